@@ -33,11 +33,10 @@ def uniform(*by: Column) -> Column:
 
 
 def _pick(weighted: Column, u: Column) -> Column:
-    """Of an array of struct(v, w), the ``v`` at the share ``u`` of the total weight."""
-    total = F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x["w"])
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("string").alias("v"))
-    step = lambda s, x: F.struct((s["c"] + x["w"]).alias("c"), F.when(s["v"].isNull() & (s["c"] + x["w"] > u * total), x["v"]).otherwise(s["v"]).alias("v"))
-    return F.coalesce(F.aggregate(weighted, start, step)["v"], F.element_at(weighted, -1)["v"])
+    """Of an array of struct(v, w), a ``v`` drawn by weight; the same for the same ``u``."""
+    # a weighted draw in one pass: of independent exponentials with these rates, the level whose one comes first
+    race = F.transform(weighted, lambda x: F.struct((-F.log(F.pmod(F.xxhash64(u, x["v"]), F.lit(1 << 40)) / float(1 << 40) + 1e-13) / x["w"]).alias("t"), x["v"].alias("v")))
+    return F.array_min(race)["v"]
 
 
 def _bin(c: Column) -> Column:
@@ -45,6 +44,10 @@ def _bin(c: Column) -> Column:
     return F.when(c > 0, F.concat(F.lit("b"), F.round(F.log2(c) * 5).cast("int").cast("string")))
 
 
+#: A fitted distribution: probability by level, and the levels with their cumulated probabilities.
+_FITTED = T.StructType([T.StructField("p", T.MapType(T.StringType(), T.DoubleType())), T.StructField("v", T.ArrayType(T.StringType())), T.StructField("c", T.ArrayType(T.DoubleType()))])
+
+
 class _Model:
     """Sufficient statistics of the current table: a row for each combination of levels, with counts and moments of the numeric fields."""
 
@@ -170,8 +173,8 @@ def chained_imputation(df: DataFrame, key: str, group: str, fields: list[Field],
                 table = [(*c, v) for c, v in sorted(fit.items())]
                 kind = T.DoubleType()
             else:
-                table = [(*c, v) for c, v in sorted(model.classifier(n, others).items())]
-                kind = T.MapType(T.StringType(), T.DoubleType())
+                table = [(*c, (v, list(v), np.cumsum(list(v.values())).tolist())) for c, v in sorted(model.classifier(n, others).items())]
+                kind = _FITTED
             if not table:
                 continue
             # at most MAX_LEVELS + 2 levels of each other field, so this is small by construction
@@ -189,11 +192,14 @@ def chained_imputation(df: DataFrame, key: str, group: str, fields: list[Field],
                 new_number = F.when(g["lo"] == g["hi"], F.when(g["least"] > 0, g["least"])).when(F.lit(any_value), number)
                 current = current.withColumns({f"c_{n}": F.when(F.col(f"m_{n}"), new_text).otherwise(F.col(f"c_{n}")), f"y_{n}": F.when(F.col(f"m_{n}"), new_number).otherwise(F.col(f"y_{n}"))})
             else:
-                weighted = F.transform(g, lambda x: F.struct(x["v"].alias("v"), (x["n"] * (F.coalesce(F.element_at(F.col("fit__"), x["v"]), F.lit(0.0)) + 1e-6)).alias("w")))
-                free = F.transform(F.array_sort(F.map_entries(F.col("fit__"))), lambda x: F.struct(x["key"].alias("v"), x["value"].alias("w")))
-                drawn = F.when(F.size(g) == 1, F.element_at(g, 1)["v"]).when(F.size(g) > 1, _pick(weighted, u)).when(F.size(F.map_keys(F.col("fit__"))) > 0, _pick(free, u))
+                fit = F.col("fit__")
+                weighted = F.transform(g, lambda x: F.struct(x["v"].alias("v"), (x["n"] * (F.coalesce(F.element_at(fit["p"], x["v"]), F.lit(0.0)) + 1e-6)).alias("w")))
+                free = F.element_at(fit["v"], F.least(F.size(fit["v"]), F.size(F.filter(fit["c"], lambda x: x <= u)) + 1))
+                drawn = F.when(F.size(g) == 1, F.element_at(g, 1)["v"]).when(F.size(g) > 1, _pick(weighted, u)).when(fit.isNotNull(), free)
                 current = current.withColumn(f"c_{n}", F.when(F.col(f"m_{n}"), F.nullif(F.nullif(drawn, F.lit("")), F.lit(OTHER))).otherwise(F.col(f"c_{n}")))
             current = current.drop("fit__")
+        if turn < rounds - 1:  # else each later step would redo all earlier ones
+            current = materialize(current)
 
     def result(frame: DataFrame, filled: bool) -> DataFrame:
         taken = df.select(key, group, *keep)
