@@ -1,0 +1,11 @@
+"""Streams. Routing works on fixed graphs and has no streaming form. The one-pass operators (splitting fields, common speeds, encoding and canonical texts with a given vocabulary) and the weighting of edges have
+neither actions nor shuffles inside, so they take streaming frames as they are; ``latest_edges`` keeps deliveries of edges current."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def latest_edges(stream: DataFrame, key: str = "edge_id", at: str = "loaded_at", delay: str = "30 days") -> DataFrame:
+    """Each edge of a stream of deliveries once: repeats within ``delay`` of event time are dropped, with a watermark that bounds the state."""
+    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
