@@ -17,7 +17,9 @@ from wayloom.operators import routing
 from wayloom.schema import Graph
 from wayloom.session import materialize
 
-_PART = "edge bigint, flow double"
+
+def _part(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("edge", kind), T.StructField("flow", T.DoubleType())])
 
 
 def _with_edges(graph: Graph, parts: DataFrame, name: str) -> DataFrame:
@@ -47,9 +49,10 @@ def _load(graph: Graph, edges: DataFrame, flows: DataFrame, norm: bool) -> DataF
             flow = {t: f for t, (_, f) in zip(to.tolist(), rows) if t >= 0}
             g.load(g.search(at, targets=list(flow)), flow, norm, onto)
         at = np.flatnonzero(onto)
-        yield pa.RecordBatch.from_arrays([pa.array(g.ord[at].astype(np.int64)), pa.array(onto[at])], names=["edge", "flow"])
+        yield pa.RecordBatch.from_arrays([routing.id_array(kind, g.ord[at]), pa.array(onto[at])], names=["edge", "flow"])
 
-    return routing.spread(flows.select("from_id", "to_id", "flow"), "from_id").mapInArrow(run, _PART)
+    kind = edges.schema["ord"].dataType
+    return routing.spread(flows.select("from_id", "to_id", "flow"), "from_id").mapInArrow(run, _part(kind))
 
 
 def flows_aggregate(graph: Graph, flows: DataFrame, tol: float = 1e-12, norm_sums: bool = True, pairwise: bool = False, strategy: str = "auto", name: str = "flow") -> DataFrame:
@@ -130,10 +133,10 @@ def centrality(graph: Graph, edges: bool = True, column: str = "d_weighted", ver
                 if at >= 0:
                     g.brandes(at, threshold, n, edges, onto)
         at = np.flatnonzero(onto)
-        key = g.ord[at].astype(np.int64) if edges else at
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(onto[at])], names=["edge", "flow"])
+        yield pa.RecordBatch.from_arrays([routing.id_array(kind, g.ord[at] if edges else at), pa.array(onto[at])], names=["edge", "flow"])
 
-    parts = routing.spread(sources, "id").mapInArrow(run, _PART)
+    kind = std.schema["ord"].dataType if edges else T.LongType()
+    parts = routing.spread(sources, "id").mapInArrow(run, _part(kind))
     if edges:
         return _with_edges(graph, parts, "centrality")
     names = graph.edges.sparkSession.createDataFrame([(i, v) for i, v in enumerate(csr.names.tolist())], T.StructType([T.StructField("edge", T.LongType()), T.StructField("id", ids.schema["id"].dataType)]))

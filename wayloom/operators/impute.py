@@ -178,8 +178,9 @@ def chained_imputation(df: DataFrame, key: str, group: str, fields: list[Field],
             if not table:
                 continue
             # at most MAX_LEVELS + 2 levels of each other field, so this is small by construction
-            fitted = F.broadcast(spark.createDataFrame(table, T.StructType([*[T.StructField(f"l_{o}", T.StringType()) for o in others], T.StructField("fit__", kind)])))
-            current = current.select("*", *[level(o, now[o]).alias(f"l_{o}") for o in others]).join(fitted, [f"l_{o}" for o in others], "left").drop(*[f"l_{o}" for o in others])
+            keys = [*[f"l_{o}" for o in others], "l__"]  # the last is the same for all rows: there may be no other field
+            fitted = F.broadcast(spark.createDataFrame([(*r[:-1], "", r[-1]) for r in table], T.StructType([*[T.StructField(k, T.StringType()) for k in keys], T.StructField("fit__", kind)])))
+            current = current.select("*", *[level(o, now[o]).alias(f"l_{o}") for o in others], F.lit("").alias("l__")).join(fitted, keys, "left").drop(*keys)
             g = F.col(f"g_{n}")
             if n in numeric:
                 any_value = fixed_any = any(r[f"obs_{n}"] for r in model.rows)

@@ -52,7 +52,7 @@ def load(edges: DataFrame, category: str | None = None) -> tuple[Csr, list]:
     return Csr(column("from_id"), column("to_id"), column("w"), column("d"), column("ord"), codes), kinds
 
 
-def _ids(kind: T.DataType, names: np.ndarray) -> pa.Array:
+def id_array(kind: T.DataType, names: np.ndarray) -> pa.Array:
     return pa.array(names.tolist() if names.dtype == object or names.dtype.kind in "US" else names, _ARROW.get(kind))
 
 
@@ -104,7 +104,7 @@ def each_target(sources: DataFrame, targets: DataFrame) -> DataFrame:
 
 def tree_loop(edges: DataFrame, sources: DataFrame, limit: float | None = None, max_rounds: int = 100_000) -> DataFrame:
     """(``source``, ``vertex``, ``w``, ``d``, ``hops``, ``prev``, ``edge``) of all best routes, by a loop of joins: the labels that the last round improved are joined with the edges, and the least (w, d, hops, prev) of each vertex
-    is kept. ``limit``: only rows within this length are returned, and a source's routes are no longer followed once all its open ones are beyond."""
+    is kept. ``limit``: only rows within this length are returned, and routes beyond it are followed only while they may show that a vertex isn't within."""
     kind = edges.schema["from_id"].dataType
     best = edges.groupBy("from_id", "to_id").agg(F.min(F.struct("w", "d", "ord")).alias("e")).select("from_id", "to_id", "e.w", "e.d", F.col("e.ord").alias("edge_ord"))
     best = materialize(best)
@@ -114,8 +114,9 @@ def tree_loop(edges: DataFrame, sources: DataFrame, limit: float | None = None,
     for _ in range(max_rounds):
         fresh = labels.where("fresh")
         if limit is not None:
-            alive = fresh.groupBy("source").agg(F.min("l.d").alias("least")).where(F.col("least") <= limit)
-            fresh = fresh.join(alive.select("source"), "source", "left_semi")
+            # a route beyond the limit still matters while it may be the better one to a vertex that now seems within
+            top = labels.where(F.col("l.d") <= limit).groupBy("source").agg(F.max("l.w").alias("top_w"))
+            fresh = fresh.join(top, "source").where((F.col("l.d") <= limit) | (F.col("l.w") < F.col("top_w"))).drop("top_w")
         step = fresh.join(best, fresh["vertex"] == best["from_id"]).select(
             "source", F.col("to_id").alias("vertex"), F.struct((F.col("l.w") + best["w"]).alias("w"), (F.col("l.d") + best["d"]).alias("d"), (F.col("l.hops") + 1).alias("hops"), F.col("from_id").alias("prev"), F.col("edge_ord").alias("edge")).alias("l"), F.lit(True).alias("fresh")
         )
@@ -127,11 +128,11 @@ def tree_loop(edges: DataFrame, sources: DataFrame, limit: float | None = None,
     return out if limit is None else out.where(F.col("d") <= limit)
 
 
-def _tree_batch(csr: Csr, kind: T.DataType, source, tree: Tree) -> pa.RecordBatch:
+def _tree_batch(csr: Csr, kind: T.DataType, ord_kind: T.DataType, source, tree: Tree) -> pa.RecordBatch:
     n = len(tree.v)
     prev = [None if p < 0 else csr.names[p] for p in tree.prev.tolist()]
     edge = [None if k < 0 else csr.ord[k] for k in tree.edge.tolist()]
-    return pa.RecordBatch.from_arrays([_ids(kind, np.array([source] * n, dtype=csr.names.dtype)), _ids(kind, csr.names[tree.v]), pa.array(tree.w), pa.array(tree.d), pa.array(tree.hops), pa.array(prev, _ARROW[kind]), pa.array(edge)], names=["source", "vertex", "w", "d", "hops", "prev", "edge"])
+    return pa.RecordBatch.from_arrays([id_array(kind, np.array([source] * n, dtype=csr.names.dtype)), id_array(kind, csr.names[tree.v]), pa.array(tree.w), pa.array(tree.d), pa.array(tree.hops), pa.array(prev, _ARROW[kind]), pa.array(edge, _ARROW[ord_kind])], names=["source", "vertex", "w", "d", "hops", "prev", "edge"])
 
 
 def trees(graph: Graph, sources: DataFrame | list | None = None, limit: float | None = None, weight: str = "d_weighted", length: str = "d", strategy: str = "auto") -> DataFrame:
@@ -141,7 +142,7 @@ def trees(graph: Graph, sources: DataFrame | list | None = None, limit: float |
     if not fits_kernel(edges, strategy):
         return tree_loop(edges, wanted, limit)
     csr, _ = load(edges)
-    kind = wanted.schema["id"].dataType
+    kind, ord_kind = wanted.schema["id"].dataType, edges.schema["ord"].dataType
 
     def work(g: Csr, ids: list) -> Iterator[pa.RecordBatch]:
         for source, at in zip(ids, g.index(ids).tolist()):
@@ -150,7 +151,7 @@ def trees(graph: Graph, sources: DataFrame | list | None = None, limit: float |
                 if limit is not None:
                     near = tree.d <= limit
                     tree = Tree(*[getattr(tree, f)[near] for f in ("v", "w", "d", "hops", "prev", "edge")])
-                yield _tree_batch(g, kind, source, tree)
+                yield _tree_batch(g, kind, ord_kind, source, tree)
 
     fields = [("source", kind), ("vertex", kind), ("w", T.DoubleType()), ("d", T.DoubleType()), ("hops", T.LongType()), ("prev", kind), ("edge", edges.schema["ord"].dataType)]
     return per_source(graph.edges.sparkSession, csr, spread(wanted, "id"), work, T.StructType([T.StructField(*f) for f in fields]))
@@ -184,7 +185,7 @@ def dists(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strat
     def work(g: Csr, ids: list) -> Iterator[pa.RecordBatch]:
         ends = g.index(to_list)
         known = ends[ends >= 0].tolist()
-        columns = _ids(kind, np.array(to_list, dtype=g.names.dtype if g.n else None))
+        columns = id_array(kind, np.array(to_list, dtype=g.names.dtype if g.n else None))
         for source, at in zip(ids, g.index(ids).tolist()):
             d = np.full(g.n + 1, np.nan)
             if at >= 0:
@@ -193,7 +194,7 @@ def dists(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strat
             found = d[ends]
             if source in same:
                 found[same[source]] = 0.0
-            yield pa.RecordBatch.from_arrays([_ids(kind, np.array([source] * len(to_list), dtype=object)), columns, pa.array(found, mask=np.isnan(found))], names=[*names, "d"])
+            yield pa.RecordBatch.from_arrays([id_array(kind, np.array([source] * len(to_list), dtype=object)), columns, pa.array(found, mask=np.isnan(found))], names=[*names, "d"])
 
     same = {v: i for i, v in enumerate(to_list)}
     out = per_source(graph.edges.sparkSession, csr, spread(sources, "id"), work, T.StructType([T.StructField(names[0], kind), T.StructField(names[1], kind), T.StructField("d", T.DoubleType())]))
@@ -231,7 +232,7 @@ def dists_pairwise(graph: Graph, pairs: DataFrame, shortest: bool = True, strate
                     tree = g.search(int(at), targets=to[to >= 0].tolist())
                     d[tree.v] = tree.d
                 found = np.where([z == a for z in ends], 0.0, d[to])
-                yield pa.RecordBatch.from_arrays([_ids(kind, np.array([a] * len(ends), dtype=object)), _ids(kind, np.array(ends, dtype=object)), pa.array(found, mask=np.isnan(found))], names=["from_id", "to_id", "found__"])
+                yield pa.RecordBatch.from_arrays([id_array(kind, np.array([a] * len(ends), dtype=object)), id_array(kind, np.array(ends, dtype=object)), pa.array(found, mask=np.isnan(found))], names=["from_id", "to_id", "found__"])
 
         got = spread(wanted.select(F.col("from_id").cast(kind), F.col("to_id").cast(kind)), "from_id").mapInArrow(run, T.StructType([T.StructField("from_id", kind), T.StructField("to_id", kind), T.StructField("found__", T.DoubleType())]))
     else:

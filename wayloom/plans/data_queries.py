@@ -79,7 +79,7 @@ _TAGS = (
 _SPEEDS = (
     "with u(u,mh) as (values ('km/h',1000.0),('kmh',1000),('kmph',1000),('kph',1000),('mph',1609.344),('mi/h',1609.344),('m.p.h.',1609.344),('milesperhour',1609.344),('m/s',3600),('mps',3600),('m/sec',3600),"
     "('metrespersecond',3600),('kn',1852),('kt',1852),('kts',1852),('knots',1852),('fps',1097.28),('ft/s',1097.28),('feetpersecond',1097.28),('m/min',60),('metres/min',60),('mpermin',60)), "
-    "g as (select edge_id, feed, regexp_replace(trim(replace(lower(maxspeed),' ',''),';\"'),'^max','') t from graph where maxspeed is not null), "
+    "g as (select edge_id, feed, regexp_replace(trim(replace(lower(maxspeed),' ',''),';\"'),'^max','') t from graph where not regexp_matches(maxspeed,',\\s')), "
     "x as (select edge_id, feed, regexp_extract(t,'^([a-z./]*)([0-9]+([.,][0-9]+)?)([a-z./]*)$',2) n, regexp_extract(t,'^([a-z./]*)([0-9]+([.,][0-9]+)?)([a-z./]*)$',1)||regexp_extract(t,'^([a-z./]*)([0-9]+([.,][0-9]+)?)([a-z./]*)$',4) unit from g), "
     "y as (select x.edge_id, cast(replace(x.n,',','.') as decimal(18,4)) n, coalesce(u.mh, case when x.unit='' then w.mh*cast(f.scale as decimal(9,3)) end) mh from x left join u on u.u=x.unit left join feed f on f.feed=x.feed left join u w on w.u=f.unit where x.n<>'')"
 )
