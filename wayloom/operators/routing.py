@@ -112,18 +112,20 @@ def tree_loop(edges: DataFrame, sources: DataFrame, limit: float | None = None,
     label = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("d"), F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast(kind).alias("prev"), F.lit(None).cast(edges.schema["ord"].dataType).alias("edge"))
     labels = materialize(start.select("source", F.col("source").alias("vertex"), label.alias("l"), F.lit(True).alias("fresh")))
     for _ in range(max_rounds):
-        fresh = labels.where("fresh")
+        state = labels.withColumn("go", F.col("fresh"))
         if limit is not None:
-            # a route beyond the limit still matters while it may be the better one to a vertex that now seems within
+            # a route beyond the limit waits, and is followed once it may be the better one to a vertex that now seems within
             top = labels.where(F.col("l.d") <= limit).groupBy("source").agg(F.max("l.w").alias("top_w"))
-            fresh = fresh.join(top, "source").where((F.col("l.d") <= limit) | (F.col("l.w") < F.col("top_w"))).drop("top_w")
-        step = fresh.join(best, fresh["vertex"] == best["from_id"]).select(
+            state = labels.join(top, "source").withColumn("go", F.col("fresh") & ((F.col("l.d") <= limit) | (F.col("l.w") < F.col("top_w")))).drop("top_w")
+            state = materialize(state)
+        going = state.where("go")
+        if not going.limit(1).count():
+            break
+        step = going.join(best, going["vertex"] == best["from_id"]).select(
             "source", F.col("to_id").alias("vertex"), F.struct((F.col("l.w") + best["w"]).alias("w"), (F.col("l.d") + best["d"]).alias("d"), (F.col("l.hops") + 1).alias("hops"), F.col("from_id").alias("prev"), F.col("edge_ord").alias("edge")).alias("l"), F.lit(True).alias("fresh")
         )
-        both = labels.withColumn("fresh", F.lit(False)).unionByName(step)
+        both = state.select("source", "vertex", "l", (F.col("fresh") & ~F.col("go")).alias("fresh")).unionByName(step)
         labels = materialize(both.groupBy("source", "vertex").agg(F.min(F.struct("l", "fresh")).alias("m")).select("source", "vertex", "m.l", "m.fresh"))
-        if not labels.where("fresh").limit(1).count():
-            break
     out = labels.select("source", "vertex", "l.*")
     return out if limit is None else out.where(F.col("d") <= limit)
 
