@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,7 +62,12 @@ def test_dense_search_agrees(town, monkeypatch):
     for source in range(csr.n):
         heap, arrays = csr._search_heap(source, None, None, False), csr._search_arrays(source, None, None, False)
         assert dict(zip(heap.v.tolist(), zip(heap.w, heap.d, heap.hops, heap.prev))) == dict(zip(arrays.v.tolist(), zip(arrays.w, arrays.d, arrays.hops, arrays.prev)))
-    assert kernel.DENSE_DEGREE > 1 and want
+    csr.w[:3], csr._lists = csr.w[3], None
+    whole = [csr._search_heap(i, None, None, False) for i in range(csr.n)]
+    label = lambda t: dict(zip(t.v.tolist(), zip(t.w, t.d, t.hops, t.prev, t.edge)))
+    assert [label(t) for t in csr._search_block(np.arange(csr.n))] == [label(t) for t in whole]
+    monkeypatch.setattr(kernel, "DENSE_DEGREE", 0)
+    assert [label(t) for _, t in csr.searches(list(range(csr.n)))] == [label(t) for t in whole] and want
 
 
 def test_turned_and_pairwise(spark, town):

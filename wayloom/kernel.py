@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 #: Mean out-degree from which the search over arrays beats the heap.
 DENSE_DEGREE = 24
+#: Vertices up to which a dense graph is held as matrices, for searches from a block of sources at once.
+MATRIX_VERTICES, BLOCK = 2500, 64
 
 
 @dataclass
@@ -42,6 +44,10 @@ class Csr:
         self.n = len(self.names)
         self.start = np.searchsorted(self.tail, np.arange(self.n + 1))
         self._lists: tuple | None = None
+        self._matrices: tuple | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_lists": None, "_matrices": None}
 
     def index(self, ids: Iterable) -> np.ndarray:
         """Vertex numbers of ``ids``; -1 for ids that aren't in the graph."""
@@ -62,6 +68,58 @@ class Csr:
         dense = self.n and len(self.w) / self.n >= DENSE_DEGREE and limit is None
         return (self._search_arrays if dense else self._search_heap)(source, targets, limit, nearest)
 
+    @property
+    def blocks(self) -> bool:
+        """Whether blocks of sources are searched together."""
+        return bool(self.n and len(self.w) / self.n >= DENSE_DEGREE and self.n <= MATRIX_VERTICES and self.w.min() > 0)
+
+    def searches(self, sources: list[int], targets: Iterable[int] | None = None) -> Iterator[tuple[int, Tree]]:
+        """(source, tree) of each of ``sources``; of a dense graph with positive weights, blocks of them are searched together."""
+        if self.blocks:
+            for at in range(0, len(sources), BLOCK):
+                block = sources[at : at + BLOCK]
+                yield from zip(block, self._search_block(np.array(block, np.int64)))
+        else:
+            for s in sources:
+                yield s, self.search(s, targets)
+
+    def _search_block(self, sources: np.ndarray) -> Iterator[Tree]:
+        """As ``search``, a row of a matrix for each source. With positive weights a vertex' label can only come from vertices of less weight, so it doesn't matter in which order equal ones are settled."""
+        n, rows = self.n, np.arange(len(sources))
+        if self._matrices is None:
+            ws, ds, ks = np.full((n, n), np.inf), np.zeros((n, n)), np.full((n, n), -1, np.int32)
+            ws[self.tail, self.head], ds[self.tail, self.head], ks[self.tail, self.head] = self.w, self.d, np.arange(len(self.w))
+            self._matrices = ws, ds, ks
+        ws, ds, ks = self._matrices
+        shape = (len(sources), n)
+        w, d, hops, prev, edge = np.full(shape, np.inf), np.full(shape, np.inf), np.zeros(shape, np.int64), np.full(shape, -1), np.full(shape, -1)
+        w[rows, sources] = d[rows, sources] = 0.0
+        key, order = w.copy(), np.full(shape, -1)
+        for i in range(n):
+            v = key.argmin(1)
+            least = key[rows, v]
+            live = least < np.inf
+            if not live.any():
+                break
+            order[live, i] = v[live]
+            key[rows[live], v[live]] = np.inf
+            new = least[:, None] + ws[v]
+            better = new < w
+            tie = (new == w) & (key < np.inf)
+            if tie.any():
+                r, t = np.nonzero(tie)
+                u = v[r]
+                nd, nh = d[r, u] + ds[u, t], hops[r, u] + 1
+                less = (nd < d[r, t]) | (nd == d[r, t]) & ((nh < hops[r, t]) | (nh == hops[r, t]) & (u < prev[r, t]))
+                better[r[less], t[less]] = True
+            r, t = np.nonzero(better)
+            u = v[r]
+            w[r, t] = key[r, t] = new[r, t]
+            d[r, t], hops[r, t], prev[r, t], edge[r, t] = d[r, u] + ds[u, t], hops[r, u] + 1, u, ks[u, t]
+        for r in rows.tolist():
+            at = order[r][order[r] >= 0]
+            yield Tree(at, w[r, at], d[r, at], hops[r, at], prev[r, at], edge[r, at])
+
     def _search_heap(self, source: int, targets, limit, nearest) -> Tree:
         start, head, ws, ds = self.lists()
         label: dict[int, tuple] = {source: (0.0, 0.0, 0, -1, -1)}

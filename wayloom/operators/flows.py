@@ -41,13 +41,10 @@ def _load(graph: Graph, edges: DataFrame, flows: DataFrame, norm: bool) -> DataF
             for a, z, f in zip(*(c.to_pylist() for c in b.columns)):
                 goals.setdefault(a, []).append((z, f))
         onto = np.zeros(len(g.w))
-        for a, rows in goals.items():
-            at = int(g.index([a])[0])
-            if at < 0:
-                continue
-            to = g.index([z for z, _ in rows])
-            flow = {t: f for t, (_, f) in zip(to.tolist(), rows) if t >= 0}
-            g.load(g.search(at, targets=list(flow)), flow, norm, onto)
+        for a, tree in routing.trees_of(g, goals):
+            if tree is not None:
+                to = g.index([z for z, _ in goals[a]])
+                g.load(tree, {t: f for t, (_, f) in zip(to.tolist(), goals[a]) if t >= 0}, norm, onto)
         at = np.flatnonzero(onto)
         yield pa.RecordBatch.from_arrays([routing.id_array(kind, g.ord[at]), pa.array(onto[at])], names=["edge", "flow"])
 

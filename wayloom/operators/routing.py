@@ -6,6 +6,7 @@ that, the search is a loop of joins of the open routes with the edges, so neithe
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -68,6 +69,19 @@ def per_source(spark: SparkSession, csr: Csr, sources: DataFrame, work: Callable
     return sources.mapInArrow(run, schema)
 
 
+def trees_of(g: Csr, goals: dict) -> Iterator[tuple]:
+    """(source id, tree or None) for a table of sources and the ids of their targets."""
+    at = g.index(goals)
+    place = {k: a for k, a in zip(at.tolist(), goals) if k >= 0}
+    yield from ((a, None) for k, a in zip(at.tolist(), goals) if k < 0)
+    if g.blocks:
+        yield from ((place[s], tree) for s, tree in g.searches(list(place)))
+        return
+    for k, a in place.items():
+        to = g.index([z if not isinstance(z, tuple) else z[0] for z in goals[a]])
+        yield a, g.search(k, targets=to[to >= 0].tolist())
+
+
 def spread(sources: DataFrame, on: str) -> DataFrame:
     """Sources over all cores: a search is worth a task even for few rows."""
     return sources.repartition(max(1, sources.sparkSession.sparkContext.defaultParallelism * 2), on)
@@ -188,10 +202,12 @@ def dists(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strat
         ends = g.index(to_list)
         known = ends[ends >= 0].tolist()
         columns = id_array(kind, np.array(to_list, dtype=g.names.dtype if g.n else None))
-        for source, at in zip(ids, g.index(ids).tolist()):
+        at = g.index(ids)
+        place = dict(zip(at.tolist(), ids))
+        missing = [(i, None) for i, k in zip(ids, at.tolist()) if k < 0]
+        for source, tree in itertools.chain(((place[s], t) for s, t in g.searches([k for k in place if k >= 0], known)), missing):
             d = np.full(g.n + 1, np.nan)
-            if at >= 0:
-                tree = g.search(at, targets=known)
+            if tree is not None:
                 d[tree.v] = tree.d
             found = d[ends]
             if source in same:
@@ -226,12 +242,11 @@ def dists_pairwise(graph: Graph, pairs: DataFrame, shortest: bool = True, strate
             for b in batches:
                 for a, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     goals.setdefault(a, []).append(z)
-            for a, ends in goals.items():
-                at = g.index([a])[0]
+            for a, tree in trees_of(g, goals):
+                ends = goals[a]
                 d = np.full(g.n + 1, np.nan)
                 to = g.index(ends)
-                if at >= 0:
-                    tree = g.search(int(at), targets=to[to >= 0].tolist())
+                if tree is not None:
                     d[tree.v] = tree.d
                 found = np.where([z == a for z in ends], 0.0, d[to])
                 yield pa.RecordBatch.from_arrays([id_array(kind, np.array([a] * len(ends), dtype=object)), id_array(kind, np.array(ends, dtype=object)), pa.array(found, mask=np.isnan(found))], names=["from_id", "to_id", "found__"])
@@ -315,11 +330,11 @@ def paths(graph: Graph, from_ids=None, to_ids=None, pairs: DataFrame | None = No
         for b in batches:
             for a, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 goals.setdefault(a, []).append(z)
-        for a, ends in goals.items():
-            at, to = int(g.index([a])[0]), g.index(ends)
+        for a, tree in trees_of(g, goals):
+            ends = goals[a]
+            to = g.index(ends)
             found, d = {}, {}
-            if at >= 0:
-                tree = g.search(at, targets=to[to >= 0].tolist())
+            if tree is not None:
                 found, d = g.paths(tree, to[to >= 0]), dict(zip(tree.v.tolist(), tree.d.tolist()))
             rows = []
             for z, t in zip(ends, to.tolist()):
