@@ -133,4 +133,4 @@ def shares(uses: DataFrame, plan: list[Plan]) -> DataFrame:
     table = spark.createDataFrame([(p.source, p.weight, p.share, p.tokens, p.limit, p.budget) for p in plan], "source string, weight double, planned_share double, source_tokens long, max_repeat int, planned_tokens double")
     got = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mix_tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
     out = table.join(F.broadcast(got), "source", "left").fillna(0, ["mix_tokens", "documents", "most_uses"])
-    return out.withColumn("reached_share", F.coalesce(F.col("mix_tokens") / F.sum("mix_tokens").over(Window.partitionBy(F.lit(1))), F.lit(0.0)))
+    return out.withColumn("reached_share", F.coalesce(F.try_divide("mix_tokens", F.sum("mix_tokens").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)))
