@@ -83,7 +83,7 @@ def flows_si(graph: Graph, origins: DataFrame, destinations: DataFrame, k: float
     pull = reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"), "d").where("from_id <> to_id").join(o, "from_id").join(d, "to_id")
     pull = materialize(pull.where(F.col("d") <= -kk * math.log(tol)).withColumn("e", F.col("n_to") * F.exp(-F.col("d") / kk)))
     total = pull.groupBy("from_id").agg(F.sum("e").alias("total")).where(F.col("total") > tol)
-    flows = pull.join(total, "from_id").select("from_id", "to_id", (F.col("n_from") * F.col("e") / F.col("total")).alias("flow"))
+    flows = pull.join(total, "from_id").select("from_id", "to_id", (F.col("n_from") * F.try_divide("e", "total")).alias("flow"))
     return flows_aggregate(graph, flows, 0.0, norm_sums, pairwise=True, strategy=strategy)
 
 

@@ -97,7 +97,7 @@ def add_nodes(graph: Graph, points: DataFrame, key: str, x: str, y: str, dist_to
     pieces = with_stops.withColumn("stops__", stops).select("*", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("stops__") - 1), lambda i: F.struct(F.element_at("stops__", i).alias("a"), F.element_at("stops__", i + 1).alias("b")))).alias("k__", "p__"))
     d = haversine(F.col("p__.a.qx"), F.col("p__.a.qy"), F.col("p__.b.qx"), F.col("p__.b.qy"))
     ids = {r["from_id"]: F.col("p__.a.q"), r["to_id"]: F.col("p__.b.q"), r["from_x"]: F.col("p__.a.qx"), r["from_y"]: F.col("p__.a.qy"), r["to_x"]: F.col("p__.b.qx"), r["to_y"]: F.col("p__.b.qy")}
-    scaled = {r["d"]: d} | {r[k]: graph[k] * d / graph["d"] for k in ("d_weighted", "time", "time_weighted") if k in r and r[k] != r["d"]}
+    scaled = {r["d"]: d} | {r[k]: graph[k] * F.try_divide(d, graph["d"]) for k in ("d_weighted", "time", "time_weighted") if k in r and r[k] != r["d"]}
     id_col = r.get("edge_id", graph.order)
     new_id = {id_col: F.concat_ws("_", F.col(f"`{id_col}`").cast("string"), F.col("k__").cast("string"))}
     as_text = {id_col, r["from_id"], r["to_id"]}
@@ -111,6 +111,6 @@ def add_nodes(graph: Graph, points: DataFrame, key: str, x: str, y: str, dist_to
         gap = haversine(F.col("px"), F.col("py"), F.col("qx"), F.col("qy"))
         for k, (end, back) in enumerate((("from", "to"), ("to", "from"))):
             link = {r[f"{end}_id"]: F.col("pid"), r[f"{back}_id"]: F.col("q"), r[f"{end}_x"]: F.col("px"), r[f"{end}_y"]: F.col("py"), r[f"{back}_x"]: F.col("qx"), r[f"{back}_y"]: F.col("qy")}
-            sized = {r["d"]: gap} | {r[c]: graph[c] * gap / graph["d"] for c in ("d_weighted", "time", "time_weighted") if c in r and r[c] != r["d"]}
+            sized = {r["d"]: gap} | {r[c]: graph[c] * F.try_divide(gap, graph["d"]) for c in ("d_weighted", "time", "time_weighted") if c in r and r[c] != r["d"]}
             out = out.unionByName(shaped(far, link | sized | {id_col: F.concat_ws("_", F.lit("link"), F.col("pid"), F.lit(str(k)))}))
     return graph.with_edges(out)

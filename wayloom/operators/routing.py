@@ -389,7 +389,7 @@ def categorical_proportions(graph: Graph, category: str, from_ids=None, to_ids=N
     e = graph.standard(extra=[category]).select(F.col("ord").alias("edge"), F.col("d").alias("part"), F.col(f"`{category}`").alias("category"))
     by_kind = steps.join(e, "edge").groupBy("category").agg(F.sum("part").alias("d"))
     total = by_kind.agg(F.sum("d").alias("total"))
-    return by_kind.join(F.broadcast(total)).where("category is not null").select("category", "d", (F.col("d") / F.col("total")).alias("proportion"))
+    return by_kind.join(F.broadcast(total)).where("category is not null").select("category", "d", F.try_divide("d", "total").alias("proportion"))
 
 
 def categorical_within(graph: Graph, category: str, from_ids, limit: float | None, strategy: str = "auto") -> DataFrame:

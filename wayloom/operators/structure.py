@@ -249,7 +249,7 @@ def insert_vertex(graph: Graph, v1, v2, x: float | None = None, y: float | None
     parts = []
     for part, (x0, y0, x1, y1) in enumerate(((fx, fy, mx, my), (mx, my, tx, ty))):
         d = geo.haversine(x0, y0, x1, y1)
-        ratio = d / graph["d"]
+        ratio = F.try_divide(d, graph["d"])
         new = {graph.roles["d"]: d} | {graph.roles[r]: graph[r] * ratio for r in ("d_weighted", "time", "time_weighted") if graph.has(r) and graph.roles[r] != graph.roles["d"]}
         new |= {graph.roles["to_id"]: name, graph.roles["to_x"]: mx, graph.roles["to_y"]: my} if part == 0 else {graph.roles["from_id"]: name, graph.roles["from_x"]: mx, graph.roles["from_y"]: my}
         if graph.has("edge_id"):

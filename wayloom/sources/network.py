@@ -92,7 +92,7 @@ def set_speeds(e: DataFrame, mode: str, maxspeed: str | None, highway: str, surf
 def set_times(e: DataFrame, mode: str, elevation: bool = False) -> DataFrame:
     """``time`` = d / speed in seconds and ``time_weighted`` = d_weighted / speed; with ``elevation`` (column ``dz``) on foot by Tobler's pace, by bicycle more slowly uphill."""
     pace = F.col("speed") * 1000 / 3600
-    e = e.withColumns({"time": F.col("d") / pace, "time_weighted": F.col("d_weighted") / pace})
+    e = e.withColumns({"time": F.try_divide(F.col("d"), pace), "time_weighted": F.try_divide(F.col("d_weighted"), pace)})
     if elevation and mode in ("foot", "bicycle"):
         slope = F.when(F.col("d") > 0, F.col("dz") / F.col("d")).otherwise(0.0)
         factor = F.exp(3.5 * F.abs(slope + 0.05)) / F.exp(F.lit(3.5 * 0.05)) if mode == "foot" else F.when(slope > 0, 1 + 11 * slope).otherwise(1.0)
