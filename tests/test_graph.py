@@ -254,6 +254,38 @@ def test_cycles(spark):
     assert {r.component: r["rank"] for r in cycles.cycle_rank(g).collect()} == {"a": 2, "x": 0}
 
 
+def test_cycles_through_contraction(spark):
+    names = ["j1", "m1", "m2", "j2", "m3"]
+    rows, at = [], {"j1": (0.0, 0.0), "m1": (0.0, 1.0), "m2": (0.5, 2.0), "j2": (1.0, 1.0), "m3": (1.0, 0.0), "t1": (-1.0, 0.0), "t2": (2.0, 1.0)}
+    for a, b in [*zip(names, names[1:] + names[:1]), ("j1", "t1"), ("j2", "t2"), ("j1", "j2")]:
+        for u, v in ((a, b), (b, a)):
+            rows.append((f"{u}{v}", u, *at[u], v, *at[v], 1.0, 1.0))
+    g = graph(spark, rows, XY)
+    full = {}
+    for r in cycles.full_cycles(g).orderBy("cycle_id", "pos").collect():
+        full.setdefault(r.cycle_id, []).append(r.id)
+    assert sum(len(v) for v in full.values()) == 4 + 3 and len(full) == 2
+    assert all(r.wkt.startswith("POLYGON ((") for r in cycles.polygons(g, least_edges=5).collect())
+    assert cycles.polygons(g, least_edges=100).count() == 0
+    boxed = cycles.cycles(g, max_edges=4)
+    assert boxed.select("cycle_id").distinct().count() <= 2
+
+
+def test_estimates_and_strategies(spark, town):
+    assert flows.estimate_centrality_threshold(town, tolerance=0.01) > 0
+    assert len(flows.estimate_centrality_time(town, sources=5).split(":")) == 3
+    assert set(routing.compare_strategies(town, 3)) == {"kernel", "loop"}
+
+
+def test_ends_by_coordinates(spark, cross, toy):
+    want = as_dict(routing.dists(cross, ["s"], ["n"]))
+    assert as_dict(routing.dists(cross, [(0.0001, -9e-4)], [(0.0, 2e-3)])) == want
+    assert as_dict(routing.dists(cross, spark.createDataFrame([(0.0001, -9e-4)], "x double, y double"), ["n"])) == want
+    assert as_dict(routing.dists(cross, spark.createDataFrame([(0.0, "s")], "x double, id string"), ["n"])) == want
+    with pytest.raises(ValueError, match="geographical coordinates"):
+        routing.dists(toy, [(0.0, 0.0)])
+
+
 def test_roles():
     assert column_roles(["from", "to", "dist"]) == {"from_id": "from", "to_id": "to", "d": "dist", "d_weighted": "dist"}
     assert column_roles([".vx0", ".vx1", "d", "w"])["d_weighted"] == "w"

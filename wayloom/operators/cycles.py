@@ -86,11 +86,17 @@ def cycle_rank(graph: Graph) -> DataFrame:
 
 
 def full_cycles(graph: Graph, max_edges: int = MAX_EDGES) -> DataFrame:
-    """The cycles of the contracted graph with all vertices of the original one between them."""
+    """The cycles of the contracted graph with all vertices of the original one between them. Chains that run beside another edge, or back to where they began, are not contracted, or their cycles would be lost."""
     short, mapped = contract(graph)
+    ends = graph.edges.select(F.col(f"`{graph.order}`").alias("edge_old"), graph["from_id"].alias("f"), graph["to_id"].alias("t"))
+    loops = short.edges.where(short["from_id"] == short["to_id"]).select(F.col(f"`{short.roles.get('edge_id', short.order)}`").cast("string").alias("edge_new"))
+    whole = ends.join(mapped.join(loops, "edge_new", "left_anti"), "edge_old", "left_anti")
+    whole = materialize(whole.select("f").union(whole.select("t")).distinct())
+    if whole.limit(1).count():
+        short, mapped = contract(graph, whole)
     found = materialize(cycles(short, max_edges))
     id_col = short.roles.get("edge_id", short.order)
-    step = found.alias("a").join(found.alias("b"), (F.col("a.cycle_id") == F.col("b.cycle_id"))).join(found.groupBy("cycle_id").agg(F.max("pos").alias("last")), F.col("a.cycle_id") == F.col("cycle_id")).where("b.pos = case when a.pos = last then 0 else a.pos + 1 end")
+    step = found.alias("a").join(found.alias("b"), (F.col("a.cycle_id") == F.col("b.cycle_id"))).join(found.groupBy(F.col("cycle_id").alias("c__")).agg(F.max("pos").alias("last")), F.col("a.cycle_id") == F.col("c__")).where("b.pos = case when a.pos = last then 0 else a.pos + 1 end")
     step = step.select(F.col("a.cycle_id").alias("cycle_id"), F.col("a.pos").alias("side"), F.col("a.id").alias("u"), F.col("b.id").alias("v"))
     named = short.edges.select(short["from_id"].alias("f"), short["to_id"].alias("t"), F.col(f"`{id_col}`").cast("string").alias("edge_new"))
     there = step.join(named, (step["u"] == named["f"]) & (step["v"] == named["t"])).select("cycle_id", "side", "edge_new", F.lit(1).alias("way"))
