@@ -20,7 +20,7 @@ from wayloom.kernel import Csr, Tree
 from wayloom.operators import match
 from wayloom.operators.structure import vertices
 from wayloom.schema import Graph
-from wayloom.session import bounded_rows, materialize
+from wayloom.session import bounded_rows, forget, materialize
 
 #: Edges that may be sent to every executor: about 40 bytes each.
 KERNEL_EDGES = 5_000_000
@@ -153,7 +153,8 @@ def tree_loop(edges: DataFrame, sources: DataFrame, limit: float | None = None,
             "source", F.col("to_id").alias("vertex"), F.struct((F.col("l.w") + best["w"]).alias("w"), (F.col("l.d") + best["d"]).alias("d"), (F.col("l.hops") + 1).alias("hops"), F.col("from_id").alias("prev"), F.col("edge_ord").alias("edge")).alias("l"), F.lit(True).alias("fresh")
         )
         both = state.select("source", "vertex", "l", (F.col("fresh") & ~F.col("go")).alias("fresh")).unionByName(step)
-        labels = materialize(both.groupBy("source", "vertex").agg(F.min(F.struct("l", "fresh")).alias("m")).select("source", "vertex", "m.l", "m.fresh"))
+        old, labels = (state, labels), materialize(both.groupBy("source", "vertex").agg(F.min(F.struct("l", "fresh")).alias("m")).select("source", "vertex", "m.l", "m.fresh"))
+        forget(*old)
     out = labels.select("source", "vertex", "l.*")
     return out if limit is None else out.where(F.col("d") <= limit)
 

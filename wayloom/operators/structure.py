@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import geo
 from wayloom.schema import Graph
-from wayloom.session import materialize
+from wayloom.session import forget, materialize
 
 
 def vertices(graph: Graph, numbered: bool = False) -> DataFrame:
@@ -94,6 +94,7 @@ def component_labels(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
         tied = large.join(low, large["hi"] == low["u"]).select("lo", "u", "m")
         small = materialize(tied.where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(low.select("m", "u")).distinct())
         done = small.join(e, ["lo", "hi"], "left_anti").limit(1).count() == 0 and e.join(small, ["lo", "hi"], "left_anti").limit(1).count() == 0
+        forget(e, large)
         e = small
         if done:
             break
@@ -158,7 +159,8 @@ def contract(graph: Graph, keep: DataFrame | None = None, same: list[str] | None
         for _ in range(max_rounds):
             far = state.select(F.col("e").alias("jump"), F.col("jump").alias("j2"), F.col("pos").alias("p2"), F.col("head").alias("h2"), F.col("least").alias("l2"))
             grown = state.join(far, "jump", "left").select("e", F.col("j2").alias("jump"), (F.col("pos") + F.coalesce("p2", F.lit(0))).alias("pos"), F.coalesce("h2", "head").alias("head"), F.least("least", "l2").alias("least"))
-            state = materialize(grown)
+            old, state = state, materialize(grown)
+            forget(old)
             left = state.where("jump is not null")
             if not left.limit(1).count():
                 break

@@ -27,7 +27,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it again. Survives lost executors."""
     path = os.path.join(shared_dir(df.sparkSession), f"t-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing needs any more, so that long loops don't fill the shared folder."""
+    for t in tables:
+        if path := getattr(t, "_shared_path", None):
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
