@@ -15,7 +15,7 @@ def form():
 @pytest.mark.parametrize(
     ("a", "b"),
     [
-        ("road", f"r{O}{A}d"), ("full width 12!", "ｆｕｌｌ ｗｉｄｔｈ　１２！"), ("café", "café"), ("office", "oﬃce"), ("a b", "a b"), ("a b", "a b"), ("a b", "a\tb"), ("soft", "so­ft"), ("join", "jo‍﻿in"), ("non‐break", "non‑break"),
+        ("road", f"r{O}{A}d"), ("full width 12!", "ｆｕｌｌ ｗｉｄｔｈ　１２！"), ("café", "café"), ("office", "oﬃce"), ("a b", "a b"), ("a b", "a b"), ("a b", "a\tb"), ("soft", "so­ft"), ("join", "jo‍﻿in"), ("non-break", "non‑break"), ("well-known", "well‐known"),
         ("больше", "бoльшe"), ("é", f"{E}́"), ("ёж", "ëж"), ("e‍́", "é"), ("Τo", "To"), ("x\r\ny", "x\ny"), ("cop", "сор"), ("Москва", "Mocквa"),
     ],
 )
@@ -23,7 +23,7 @@ def test_looks_the_same(form, a, b):
     assert form(a) == form(b)
 
 
-@pytest.mark.parametrize(("a", "b"), [("m²", "m2"), ("A", "a"), ("e", "é"), ("a.", "a,"), ("-", "‐"), ("1", "l"), ("a b", "a\nb"), ("a b", "a  b"), ("a b", "ab"), ("ﬁ", "f1"), ("½", "1/2"), ("oe", "œ"), ("ss", "ß")])
+@pytest.mark.parametrize(("a", "b"), [("m²", "m2"), ("A", "a"), ("e", "é"), ("a.", "a,"), ("-", "–"), ("-", "−"), ("1", "l"), ("a b", "a\nb"), ("a b", "a  b"), ("a b", "ab"), ("ﬁ", "f1"), ("½", "1/2"), ("oe", "œ"), ("ss", "ß")])
 def test_looks_different(form, a, b):
     assert form(a) != form(b)
 

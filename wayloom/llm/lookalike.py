@@ -23,6 +23,9 @@ CYRILLIC_AS = "ABESIJKMHOPCTYXWQaesijopcyxhdqw"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ"
 GREEK_AS = "ABEZHIKMNOPTYXocj"
 
+# Hyphens that are drawn as the ASCII one (dashes and minus signs are longer and stay).
+HYPHENS = "\u2010\u2011"
+
 #: Words of the corpus that the trie may hold; those beyond are spelled by the table, by the same rule.
 MAX_VOCABULARY = 100_000
 
@@ -58,7 +61,7 @@ _SHOWN_AS_LETTER = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<f
 
 @lru_cache(maxsize=1)
 def plain_table() -> dict[int, str]:
-    """Character table by rule: ignorables to nothing, blanks within a line to a space, and full-width, half-width, joined and styled forms to their plain letters.
+    """Character table by rule: ignorables to nothing, blanks within a line to a space, hyphens to the ASCII one, and full-width, half-width, joined and styled forms to their plain letters.
 
     Raised and lowered forms, fractions and circled ones stay. Built once, on the driver.
     """
@@ -68,6 +71,8 @@ def plain_table() -> dict[int, str]:
         kind = unicodedata.category(c)
         if _IGNORABLE.match(c):
             table[code] = ""
+        elif c in HYPHENS:
+            table[code] = "-"
         elif kind == "Zs" and c != " " or c in "\t\x0b\x0c":
             table[code] = " "
         elif c in "  \x85":
