@@ -64,6 +64,16 @@ def test_pairs(spark):
     assert same_look(df.limit(0)).count() == 0
 
 
+def test_words_with_digits(spark):
+    spellings = [["B8", "В8", "Β8"], ["XX25", "ХХ25", "ХX25"], ["4x4", "4х4"]]
+    docs = table(spark, [(10 * i + j, f"the {w}, then") for i, ws in enumerate(spellings) for j, w in enumerate(ws)])
+    got = {r.doc_id: r.canonical for r in canonical_text(docs).collect()}
+    assert got == {10 * i + j: f"the {ws[0]}, then" for i, ws in enumerate(spellings) for j in range(len(ws))}
+    assert sorted(map(tuple, same_look(docs).collect())) == [(0, 1), (0, 2), (1, 2), (10, 11), (10, 12), (11, 12), (20, 21)]
+    # without an ASCII spelling the corpus' own one is kept, as of words without digits; bare numbers are no words of any script
+    assert vocabulary(table(spark, [(1, "ХХ25 25 8"), (2, "В8")])) == {"XX25": "ХХ25", "B8": "В8"}
+
+
 def test_canonical_cases(spark):
     rows = [(1, None), (2, ""), (3, "ａ"), (3, "ａ"), (None, "b c")]
     got = sorted(map(tuple, canonical_text(table(spark, rows)).collect()), key=str)

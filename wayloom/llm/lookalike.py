@@ -39,8 +39,8 @@ _IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}\x00-\x08\x0
 _BEYOND = "À-῿Ⰰ-ⷿ぀-\U0010ffff"
 _WORD_CHAR = "0-9A-Za-z" + _BEYOND
 _TAIL = re.compile(f"[{_BEYOND}][{_WORD_CHAR}]*+")
-#: An ASCII word all of whose letters are shared by another script.
-_SHARED_WORD = re.compile(rf"(?<![{_WORD_CHAR}])[{''.join(sorted(_SHARED))}]++(?![{_WORD_CHAR}])")
+#: An ASCII word all of whose letters are shared by another script, with or without digits: what a word beyond ASCII of one script may look like.
+_SHARED_WORD = re.compile(rf"(?<![{_WORD_CHAR}])[0-9]*+[{''.join(sorted(_SHARED))}][0-9{''.join(sorted(_SHARED))}]*+(?![{_WORD_CHAR}])")
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 _ALNUM = frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -228,7 +228,7 @@ def vocabulary(docs: DataFrame, text: str = "text", limit: int = MAX_VOCABULARY)
     texts = docs.select(F.col(text).cast("string").alias("t")).where("t <> ''")
     counted = texts.mapInArrow(count, "look string, word string, clean int, n long").groupBy("look", "word", "clean").agg(F.sum("n").alias("n"))
     best = counted.groupBy("look").agg(F.max(F.struct("clean", "n", "word")).alias("best"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-    shared = "^[" + "".join(sorted(_SHARED)) + "]+$"
+    shared = "^[0-9" + "".join(sorted(_SHARED)) + "]+$"
     keep = best.where((F.col("k") > 1) | (F.col("look").rlike(shared) & (F.col("best.clean") == 1))).orderBy(F.desc("n"), "look").limit(limit)
     return {r.look: r.word if r.clean else script_form(r.word) for r in keep.select("look", "best.word", "best.clean").collect()}
 
