@@ -51,6 +51,14 @@ def test_mix_reaches_its_weights(spark, docs):
     assert math.isclose(sum(r.reached_share for r in report.values()), 1.0)
 
 
+def test_budget_at_the_end_of_a_block(spark):
+    even = spark.createDataFrame([(i, "even", 8) for i in range(10)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("even", 1.0, 3)], "source string, weight double, max_repeat int")
+    for budget in (8, 40, 72, 80, 120, 240):
+        uses = mix_sources(even, targets, budget=float(budget))[0].collect()
+        assert sum(r.n_tokens * r.uses for r in uses) == budget
+
+
 def test_repeats_and_empty(spark, docs):
     targets = spark.createDataFrame([("big", 1.0, 2)], "source string, weight double, max_repeat int")
     twice = docs.unionByName(docs)

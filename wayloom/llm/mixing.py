@@ -114,7 +114,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source
     drawn = F.broadcast(spark.createDataFrame([(p.source, p.passes, p.rest) for p in plan if p.budget > 0], T.StructType([T.StructField("s_", T.StringType()), T.StructField("p_", T.IntegerType()), T.StructField("r_", T.DoubleType())])))
     by_source = Window.partitionBy("s_").orderBy("b_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heads = blocks.withColumn("end_", F.sum("t_").over(by_source)).withColumn("start_", F.col("end_") - F.col("t_")).join(drawn, "s_")
-    last = heads.where("start_ < r_ and end_ > r_").select("s_", "b_", (F.col("r_") - F.col("start_")).alias("left_"))
+    last = heads.where("start_ < r_ and end_ >= r_").select("s_", "b_", (F.col("r_") - F.col("start_")).alias("left_"))
     edge = [(r.s_, r.b_, float(r.left_)) for r in bounded_rows(last, MAX_SOURCES, "sources")]
     ends = F.broadcast(spark.createDataFrame(edge, T.StructType([T.StructField("s_", T.StringType()), T.StructField("e_", T.IntegerType()), T.StructField("left_", T.DoubleType())])))
     every = clean.join(drawn, "s_").join(ends, "s_", "left")
