@@ -15,6 +15,14 @@ def test_weights_and_limits():
     assert more["b"].budget == pytest.approx(200, rel=1e-3) and sum(p.share for p in more.values()) == pytest.approx(1)
 
 
+def test_budgets_are_fractions(spark):
+    # weights times the budget may come out a little above the limit, which is a whole number
+    plans = [plan_mix({"a": n, "b": 7 * n + 1}, {"a": (0.1, 3), "b": (0.7, 1)}) for n in range(1, 300)]
+    assert {type(p.budget) for plan in plans for p in plan} == {float}
+    uses = spark.createDataFrame([], "doc_id long, source string, n_tokens long, uses int")
+    assert all(shares(uses, plan).count() == 2 for plan in plans[:3])
+
+
 def test_temperature():
     n = [0.7, 0.2, 0.1]
     assert tempered(n, 1.0) == pytest.approx(n) and tempered(n, 0.0) == pytest.approx([1 / 3] * 3)

@@ -86,7 +86,7 @@ def plan_mix(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budg
         fits = lambda e: all(budget * w <= most[s] * (1 + 1e-12) for s, w in zip(usable, tempered(wanted, e, natural)))
         wanted = tempered(wanted, bisect_exponent(0.0, 1.0, fits), natural)
     share = dict(zip(usable, wanted))
-    return [Plan(s, targets[s][0], share.get(s, 0.0), tokens.get(s, 0), targets[s][1], min(share.get(s, 0.0) * budget, most.get(s, 0))) for s in sorted(targets)]
+    return [Plan(s, targets[s][0], share.get(s, 0.0), tokens.get(s, 0), targets[s][1], float(min(share.get(s, 0.0) * budget, most.get(s, 0)))) for s in sorted(targets)]
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "n_tokens", budget: float | None = None, seed: int = 0) -> tuple[DataFrame, list[Plan]]:
