@@ -54,6 +54,23 @@ def test_repeatable_and_empty(spark):
     assert nothing[1].kind is None and not nothing[1].kind_filled and nothing[2].top is None
 
 
+def test_more_levels_than_the_models_know(spark):
+    # 64 levels of 20 rows each, 300 of 4 each: nearly half of the observed cells are of a rarer level
+    kinds = [f"t{i:02}" for i in range(64) for _ in range(20)] + [f"r{i:03}" for i in range(300) for _ in range(4)]
+    rows = [(i, f"w{i}", k, "1", 1.0) for i, k in enumerate(kinds)]
+    rows += [(10_000 + i, None, None, "1", 1.0) for i in range(1000)] + [(20_000 + i, f"v{i}", None, "1", 1.0) for i in range(1000)]
+    rows += [(30_000 + i, "both", k, "1", 1.0) for i, k in enumerate(["t00", *["r000"] * 9])] + [(40_000 + i, "both", None, "1", 1.0) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = fill(df)
+    assert len(got) == len(rows) and all(got[r[0]].kind in set(kinds) and got[r[0]].kind_filled == (r[2] is None) for r in rows)
+    free = Counter(got[i].kind for i, *_ in rows if 10_000 <= i < 30_000)
+    assert 0.4 < sum(c for k, c in free.items() if k[0] == "r") / 2000 < 0.56 and sum(k[0] == "r" for k in free) > 230 and sum(k[0] == "t" for k in free) == 64
+    # by number and probability: 9 of r000 (13 rows in all) against 1 of t00 (21 rows in all)
+    both = Counter(got[i].kind for i, *_ in rows if i >= 40_000)
+    assert set(both) == {"r000", "t00"} and 0.75 < both["r000"] / 300 < 0.93
+    assert fill(df.repartition(3)) == got
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "w", "a", "1", 1.0, "x", "y" * 50_000)], SCHEMA + ", kind_filled string, v_kind string")
     out = chained_imputation(df, "id", "way", [Field("kind", F.col("kind"), F.lit(False))], keep=["kind_filled", "v_kind", "kind"])

@@ -15,6 +15,8 @@ from wayloom.session import free_name, materialize, salted_join
 #: Levels of a field that have a coefficient of their own in the models of the other fields; rarer ones share one. All levels can be filled in.
 MAX_LEVELS = 64
 OTHER = "\u0000other"
+#: Parts by hash into which the rarer levels are put to be drawn from.
+RARE_PARTS = 1024
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,31 @@ def _bin(c: Column) -> Column:
     return F.when(c > 0, F.concat(F.lit("b"), F.round(F.log2(c) * 5).cast("int").cast("string")))
 
 
+class _Rarer:
+    """The levels of a field beyond its ``MAX_LEVELS`` most frequent ones, as a table to draw from by their counts: first a part, of which only the sums are known to the driver, then a level of it."""
+
+    def __init__(self, counted: DataFrame):
+        """``counted``: ``l``, ``count``."""
+        self.levels = materialize(counted.select(F.col("l").alias("v"), F.col("count").alias("w"), F.pmod(F.xxhash64("l"), F.lit(RARE_PARTS)).cast("int").alias("part__")))
+        sums = self.levels.groupBy("part__").agg(F.sum("w").alias("w")).orderBy("part__").collect()
+        self.total = sum(r.w for r in sums)
+        self.ends = (np.cumsum([r.w for r in sums]) / self.total).tolist()
+        self.parts = [r.part__ for r in sums]
+        self.by_part = materialize(self.levels.groupBy("part__").agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("levels__")))
+
+    def shares(self) -> DataFrame:
+        """(``v``, ``s``): of each of these levels its share of them all."""
+        return self.levels.select("v", (F.col("w") / F.lit(float(self.total))).alias("s"))
+
+    def draw(self, frame: DataFrame, column: str, drawn: Column, *by: Column) -> DataFrame:
+        """``frame`` with a level in ``column`` where ``drawn``; other rows are spread over parts that don't exist."""
+        parts, ends = F.array(*map(F.lit, self.parts)), F.array(*map(F.lit, self.ends))
+        u = uniform(*by, F.lit("part"))
+        part = F.when(drawn, F.element_at(parts, F.least(F.lit(len(self.parts)), F.size(F.filter(ends, lambda x: x <= u)) + 1))).otherwise(-1 - F.pmod(F.xxhash64(*by), F.lit(RARE_PARTS)).cast("int"))
+        out = frame.withColumn("part__", part).join(self.by_part, "part__", "left")
+        return out.withColumn(column, F.when(F.col("part__") >= 0, _pick(F.col("levels__"), uniform(*by, F.lit("level")))).otherwise(F.col(column))).drop("part__", "levels__")
+
+
 #: A fitted distribution: probability by level, and the levels with their cumulated probabilities.
 _FITTED = T.StructType([T.StructField("p", T.MapType(T.StringType(), T.DoubleType())), T.StructField("v", T.ArrayType(T.StringType())), T.StructField("c", T.ArrayType(T.DoubleType()))])
 
@@ -103,7 +130,7 @@ def chained_imputation(df: DataFrame, key: str, group: str, fields: list[Field],
     A cell is drawn from its conditional distribution given the other fields' current values and its group: where the group has observed values, they are the candidates, weighted by
     their number times the classifier's probability (numbers: the regression's prediction plus the group's own deviation and a residual draw, held within the group's range, one of its values
     where all agree); else the classifier's or regression's distribution alone. Draws are hashes of key and field, so a rerun or a lost executor gives the same values, and the filled column keeps the
-    residual variation of the observed one. ``rounds`` times, each field is refitted on the current values of the others and redrawn.
+    residual variation of the observed one. The classifiers know the ``MAX_LEVELS`` most frequent levels and one for the rest; which of the rarer levels it is is drawn by their counts. ``rounds`` times, each field is refitted on the current values of the others and redrawn.
 
     All models are fitted on all rows: one map-side combined aggregation a step gives the counts and moments by combination of levels, of which there are at most ``MAX_LEVELS`` a field.
     Group evidence is an aggregate by group and value, joined to the rows with missing cells only; a group that holds much of the table is salted. Rows with a null group have no group evidence; rows
@@ -118,6 +145,12 @@ def chained_imputation(df: DataFrame, key: str, group: str, fields: list[Field],
     base = materialize(base)
     numeric = {f.name for f in fields if f.number is not None}
 
+    level_of = {n: (_bin(F.col(f"x_{n}")) if n in numeric else F.col(f"v_{n}")) for n in names}
+    counts = {n: base.where(~F.col(f"m_{n}")).groupBy(level_of[n].alias("l")).count().where("l is not null") for n in names}
+    first = {n: [r[0] for r in counts[n].orderBy(F.desc("count"), "l").limit(MAX_LEVELS + 1).collect()] for n in names}
+    top = {n: first[n][:MAX_LEVELS] for n in names}
+    rarer = {n: _Rarer(counts[n].where(~F.col("l").isin(top[n]))) for n in names if n not in numeric and len(first[n]) > MAX_LEVELS}
+
     # evidence of the groups: candidates with counts (bounded by the distinct levels), or range and mean
     seen = base.where(F.col("group__").isNotNull())
     parts = []
@@ -126,10 +159,11 @@ def chained_imputation(df: DataFrame, key: str, group: str, fields: list[Field],
         if n in numeric:
             x = F.when(F.col(f"x_{n}") > 0, F.log(F.col(f"x_{n}")))
             stat = one.groupBy("group__").agg(F.min(f"v_{n}").alias("lo"), F.max(f"v_{n}").alias("hi"), F.min(f"x_{n}").alias("least"), F.max(f"x_{n}").alias("most"), F.sum(x).alias("sx"), F.count(x).alias("nx"))
-            parts.append(stat.select("group__", F.lit(n).alias("f"), F.struct("lo", "hi", "least", "most", "sx", "nx").alias("num"), F.lit(None).cast("array<struct<v:string,n:bigint>>").alias("cand")))
+            parts.append(stat.select("group__", F.lit(n).alias("f"), F.struct("lo", "hi", "least", "most", "sx", "nx").alias("num"), F.lit(None).cast("array<struct<v:string,n:bigint,s:double>>").alias("cand")))
         else:
             counted = one.groupBy("group__", F.col(f"v_{n}").alias("v")).count()
-            cand = F.sort_array(F.collect_list(F.struct("v", F.col("count").alias("n"))))
+            counted = counted.join(rarer[n].shares(), "v", "left") if n in rarer else counted.withColumn("s", F.lit(None).cast("double"))
+            cand = F.sort_array(F.collect_list(F.struct("v", F.col("count").alias("n"), "s")))
             parts.append(counted.groupBy("group__").agg(cand.alias("cand")).select("group__", F.lit(n).alias("f"), F.lit(None).cast("struct<lo:string,hi:string,least:double,most:double,sx:double,nx:bigint>").alias("num"), "cand"))
     vacant = F.lit(False)
     for n in names:
@@ -146,9 +180,6 @@ def chained_imputation(df: DataFrame, key: str, group: str, fields: list[Field],
     gaps = materialize(salted_join(base.where(vacant), evidence, "group__", "size__", spread=F.col("key__")).drop("size__"))
     whole = base.where(~vacant)
 
-    level_of = {n: (_bin(F.col(f"x_{n}")) if n in numeric else F.col(f"v_{n}")) for n in names}
-    top = {n: [r[0] for r in base.where(~F.col(f"m_{n}")).groupBy(level_of[n].alias("l")).count().where("l is not null").orderBy(F.desc("count"), "l").limit(MAX_LEVELS).collect()] for n in names}
-
     def level(n: str, c: Column) -> Column:
         return F.when(c.isNull(), "").when(c.isin(top[n]), c).otherwise(OTHER) if top[n] else F.lit("")
 
@@ -194,10 +225,12 @@ def chained_imputation(df: DataFrame, key: str, group: str, fields: list[Field],
                 current = current.withColumns({f"c_{n}": F.when(F.col(f"m_{n}"), new_text).otherwise(F.col(f"c_{n}")), f"y_{n}": F.when(F.col(f"m_{n}"), new_number).otherwise(F.col(f"y_{n}"))})
             else:
                 fit = F.col("fit__")
-                weighted = F.transform(g, lambda x: F.struct(x["v"].alias("v"), (x["n"] * (F.coalesce(F.element_at(fit["p"], x["v"]), F.lit(0.0)) + 1e-6)).alias("w")))
+                weighted = F.transform(g, lambda x: F.struct(x["v"].alias("v"), (x["n"] * (F.coalesce(F.element_at(fit["p"], x["v"]), x["s"] * F.element_at(fit["p"], F.lit(OTHER)), F.lit(0.0)) + 1e-6)).alias("w")))
                 free = F.element_at(fit["v"], F.least(F.size(fit["v"]), F.size(F.filter(fit["c"], lambda x: x <= u)) + 1))
                 drawn = F.when(F.size(g) == 1, F.element_at(g, 1)["v"]).when(F.size(g) > 1, _pick(weighted, u)).when(fit.isNotNull(), free)
-                current = current.withColumn(f"c_{n}", F.when(F.col(f"m_{n}"), F.nullif(F.nullif(drawn, F.lit("")), F.lit(OTHER))).otherwise(F.col(f"c_{n}")))
+                current = current.withColumn(f"c_{n}", F.when(F.col(f"m_{n}"), F.nullif(drawn, F.lit(""))).otherwise(F.col(f"c_{n}")))
+                if n in rarer:
+                    current = rarer[n].draw(current, f"c_{n}", F.col(f"m_{n}") & (F.col(f"c_{n}") == OTHER), F.col("key__"), F.lit(n), F.lit(turn))
             current = current.drop("fit__")
         if turn < rounds - 1:  # else each later step would redo all earlier ones
             current = materialize(current)
