@@ -59,6 +59,13 @@ def test_mix_reaches_its_weights(spark, docs):
     assert math.isclose(sum(r.reached_share for r in report.values()), 1.0)
 
 
+def test_mix_reaches_an_entropy(spark, docs):
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3)], "source string, weight double, max_repeat int")
+    uses, plan = mix_sources(docs, targets, target_entropy=0.3)
+    reached = [r.reached_share for r in shares(uses, plan).collect()]
+    assert entropy(reached) == pytest.approx(0.3, abs=1e-2) and max(r.uses for r in uses.where("source = 'big'").collect()) == 1
+
+
 def test_budget_at_the_end_of_a_block(spark):
     even = spark.createDataFrame([(i, "even", 8) for i in range(10)], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("even", 1.0, 3)], "source string, weight double, max_repeat int")

@@ -80,7 +80,7 @@ def plan_mix(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budg
         wanted = tempered(natural, exponent)
     most = {s: targets[s][1] * tokens[s] for s in usable}
     if budget is None:
-        budget = min(most[s] / w for s, w in zip(usable, wanted))
+        budget = min(most[s] / w for s, w in zip(usable, wanted) if w > 0)
     else:
         budget = min(budget, sum(most.values()))
         fits = lambda e: all(budget * w <= most[s] * (1 + 1e-12) for s, w in zip(usable, tempered(wanted, e, natural)))
@@ -89,13 +89,13 @@ def plan_mix(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budg
     return [Plan(s, targets[s][0], share.get(s, 0.0), tokens.get(s, 0), targets[s][1], float(min(share.get(s, 0.0) * budget, most.get(s, 0)))) for s in sorted(targets)]
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "n_tokens", budget: float | None = None, seed: int = 0) -> tuple[DataFrame, list[Plan]]:
+def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "n_tokens", budget: float | None = None, seed: int = 0, target_entropy: float | None = None) -> tuple[DataFrame, list[Plan]]:
     """Draw documents so that each source has its weight in the total size. Returns (uses, plan).
 
     ``docs`` has a row per document with its ``size`` in tokens; ``targets`` the columns ``source``, ``weight``, ``max_repeat``. Uses: ``key``, ``source``, ``n_tokens``, ``uses`` (1 up to max_repeat; documents that are
     not used have no row). Every document of a source is used in each whole pass; the remaining part of a pass is the head of a random permutation by hash, cut at the budget: the pass is divided
     into ``BLOCKS`` blocks by hash, whose sizes are summed first; blocks within the budget are taken whole and only the block at its end is ordered document by document. So no source is ever
-    sorted or gathered in one task, however many of the rows it holds. A source misses its budget by less than one document.
+    sorted or gathered in one task, however many of the rows it holds. A source misses its budget by less than one document. ``budget`` and ``target_entropy`` are those of ``plan_mix``.
 
     Documents of a source that is null or not listed, with a null key, or without tokens are not drawn. Rows that repeat a key are documents of their own. Of several targets of a source the
     greatest (weight, max_repeat) counts; null weights and limits count as 0. Empty tables give an empty mix. Other columns are ignored.
@@ -110,7 +110,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source
     listed = F.broadcast(spark.createDataFrame([(s,) for s in goal], T.StructType([T.StructField("s_", T.StringType())])))
     blocks = clean.join(listed, "s_", "left_semi").groupBy("s_", "b_").agg(F.sum("n_").alias("t_"))
     totals = {r.s_: r.t_ for r in blocks.groupBy("s_").agg(F.sum("t_").alias("t_")).collect()}
-    plan = plan_mix(totals, goal, budget)
+    plan = plan_mix(totals, goal, budget, target_entropy)
     drawn = F.broadcast(spark.createDataFrame([(p.source, p.passes, p.rest) for p in plan if p.budget > 0], T.StructType([T.StructField("s_", T.StringType()), T.StructField("p_", T.IntegerType()), T.StructField("r_", T.DoubleType())])))
     by_source = Window.partitionBy("s_").orderBy("b_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heads = blocks.withColumn("end_", F.sum("t_").over(by_source)).withColumn("start_", F.col("end_") - F.col("t_")).join(drawn, "s_")
