@@ -80,6 +80,14 @@ def test_turned_and_pairwise(spark, town):
     assert len(got) == 5 and ("v00", "v03", "x", full["v00", "v03"]) in got and ("v01", "v01", "y", 0.0) in got and ("nix", "v01", "z", None) in got
 
 
+def test_more_targets_than_may_be_sent(toy, monkeypatch):
+    rows = lambda df: sorted(map(str, df.collect()))
+    ask = lambda: [rows(routing.dists(toy, ["s", "a"], ["a", "b", "t"])), rows(routing.dists(toy, ["s", "a", "b"], ["t"])), rows(routing.dists_nearest(toy, ["s", "a"], ["a", "b", "t"])), rows(routing.paths(toy, ["s"], ["a", "b", "t"]))]
+    sent = ask()
+    monkeypatch.setattr(routing, "KERNEL_TARGETS", 2)
+    assert ask() == sent
+
+
 def test_nearest_target_first_in_order(spark):
     g = graph(spark, [(1, "s", "near", 1.0, 1.0), (2, "s", "far", 9.0, 9.0), (3, "x", "b", 1.0, 1.0), (4, "x", "a", 1.0, 1.0)])
     got = {r.from_id: (r.to_id, r.d) for r in routing.dists_nearest(g, ["s", "x"], ["near", "far", "a", "b"]).collect()}

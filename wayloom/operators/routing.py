@@ -20,11 +20,11 @@ from wayloom.kernel import Csr, Tree
 from wayloom.operators import match
 from wayloom.operators.structure import vertices
 from wayloom.schema import Graph
-from wayloom.session import bounded_rows, forget, materialize
+from wayloom.session import forget, materialize
 
 #: Edges that may be sent to every executor: about 40 bytes each.
 KERNEL_EDGES = 5_000_000
-#: Targets that may be sent along.
+#: Targets that may be sent along; with more of them the loop is taken.
 KERNEL_TARGETS = 2_000_000
 
 _ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64()}
@@ -115,9 +115,17 @@ def endpoints(graph: Graph, ids: DataFrame | list | None) -> DataFrame:
     return frame
 
 
+def few(ids: DataFrame) -> list | None:
+    """The ids that may be sent to every task, or None if they are more than ``KERNEL_TARGETS``."""
+    rows = ids.limit(KERNEL_TARGETS + 1).collect()
+    return [r[0] for r in rows] if len(rows) <= KERNEL_TARGETS else None
+
+
 def each_target(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """(``from_id``, ``to_id``): the rows of the answer, each source with each of the stated targets, whose list is bounded by ``KERNEL_TARGETS`` and goes to every task."""
-    to_list = [r[0] for r in bounded_rows(targets, KERNEL_TARGETS, "targets")]
+    """(``from_id``, ``to_id``): the rows of the answer, each source with each of the stated targets. Up to ``KERNEL_TARGETS`` of them go to every task, more are joined."""
+    to_list = few(targets)
+    if to_list is None:
+        return sources.select(F.col("id").alias("from_id")).crossJoin(targets.select(F.col("id").alias("to_id")))
     kind = sources.schema["id"].dataType
     sent = sources.sparkSession.sparkContext.broadcast(to_list)
 
@@ -199,14 +207,13 @@ def dists(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strat
         graph.require(weight, "Graph does not contain a weighted time column from which to calculate fastest paths.")
     sources, targets = endpoints(graph, from_ids).distinct(), endpoints(graph, to_ids).distinct()
     edges = graph.standard(weight, length)
-    if not fits_kernel(edges, strategy):
+    to_list = few(targets) if fits_kernel(edges, strategy) else None
+    if to_list is None:
         reached = tree_loop(edges, sources)
         got = reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"), "d")
         return each_target(sources, targets).join(got, ["from_id", "to_id"], "left")
-    to_list = [r[0] for r in bounded_rows(targets, KERNEL_TARGETS, "targets")]
     turned = False
-    if from_ids is not None and len(to_list) < (n_from := sources.limit(len(to_list) + 1).count()):
-        from_list = [r[0] for r in bounded_rows(sources, KERNEL_TARGETS, "sources")]
+    if from_ids is not None and len(to_list) < (n_from := sources.limit(len(to_list) + 1).count()) and (from_list := few(sources)) is not None:
         edges = edges.select("ord", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "w", "d")
         sources, to_list, turned = targets, from_list, bool(n_from)
     csr, _ = load(edges)
@@ -278,12 +285,12 @@ def dists_nearest(graph: Graph, from_ids=None, to_ids=None, shortest: bool = Tru
     weight = "d_weighted" if shortest else "time_weighted"
     edges = graph.standard(weight)
     sources, targets = endpoints(graph, from_ids).distinct(), endpoints(graph, to_ids).distinct()
-    if not fits_kernel(edges, strategy):
+    to_list = few(targets) if fits_kernel(edges, strategy) else None
+    if to_list is None:
         reached = tree_loop(edges, sources).join(targets.select(F.col("id").alias("vertex")), "vertex", "left_semi")
         got = reached.groupBy("source").agg(F.min(F.struct("w", "d", "vertex")).alias("m"))
         return sources.join(got, sources["id"] == got["source"], "left").select(F.col("id").alias("from_id"), F.col("m.vertex").alias("to_id"), F.col("m.d").alias("d"))
     csr, _ = load(edges)
-    to_list = [r[0] for r in bounded_rows(targets, KERNEL_TARGETS, "targets")]
     kind = sources.schema["id"].dataType
 
     def work(g: Csr, ids: list) -> Iterator[pa.RecordBatch]:
