@@ -83,3 +83,31 @@ def test_repeats_and_empty(spark, docs):
     assert none.count() == 0 and plan[0].budget == 0
     assert mix_sources(docs, targets.limit(0))[0].count() == 0
     assert shares(none, plan).first().reached_share == 0
+
+
+def test_the_default_mix_comes_from_the_bisection(spark, docs, monkeypatch):
+    from wayloom.llm import mixing
+
+    targets = spark.createDataFrame([("big", 0.75, 1), ("small", 0.25, 3)], "source string, weight double, max_repeat int")
+    asked = []
+    real = mixing.bisect_exponent
+    monkeypatch.setattr(mixing, "bisect_exponent", lambda *a, **k: asked.append(real(*a, **k)) or asked[-1])
+    uses, plan = mix_sources(docs, targets)
+    assert asked == [1.0] and {p.exponent for p in plan} == {1.0} and uses.count() > 0
+    monkeypatch.setattr(mixing, "bisect_exponent", lambda *a, **k: 0.0)
+    natural = {p.source: p.share for p in mix_sources(docs, targets)[1]}
+    assert natural["small"] == pytest.approx(2400 / 80_000, rel=0.1)  # another exponent gives another mix
+
+
+def test_budgets_beyond_the_weights():
+    tokens, targets = {"a": 10_000, "b": 100, "c": 400}, {"a": (0.2, 1), "b": (0.4, 2), "c": (0.4, 2)}
+    plan = plan_mix(tokens, targets, budget=5000.0)
+    assert 0 < plan[0].exponent < 1 and sum(p.budget for p in plan) == pytest.approx(5000)
+    assert all(p.budget <= p.limit * p.tokens * (1 + 1e-9) for p in plan)
+    assert max(p.budget / (p.limit * p.tokens) for p in plan) == pytest.approx(1, rel=1e-6)  # a limit binds
+    full = plan_mix(tokens, targets, budget=10_800.0)
+    assert sum(p.budget for p in full) == pytest.approx(10_800) and all(p.budget <= p.limit * p.tokens + 1e-6 for p in full)
+    assert sum(p.budget for p in plan_mix(tokens, targets, budget=1e9)) == pytest.approx(11_000)
+    # limits may be met by exponents of several intervals
+    assert bisect_exponent(0.0, 1.0, lambda e: e <= 0.2 or 0.5 <= e <= 0.7) == pytest.approx(0.7)
+    assert bisect_exponent(0.0, 1.0, lambda e: False) is None

@@ -20,7 +20,10 @@ BLOCKS = 4096
 
 @dataclass(frozen=True)
 class Plan:
-    """Of one source: its target weight and what the mix takes. ``budget`` tokens in all; ``passes`` whole passes, then ``rest`` tokens of one more."""
+    """Of one source: its target weight and what the mix takes.
+
+    ``budget`` tokens in all; ``passes`` whole passes, then ``rest`` tokens of one more. ``exponent``: the one that was found for the mix.
+    """
 
     source: str
     weight: float
@@ -28,6 +31,7 @@ class Plan:
     tokens: int
     limit: int
     budget: float
+    exponent: float
 
     @property
     def passes(self) -> int:
@@ -50,43 +54,81 @@ def entropy(p: list[float]) -> float:
     return -sum(x * math.log(x) for x in p if x > 0)
 
 
-def bisect_exponent(low: float, high: float, meets, steps: int = 60) -> float:
-    """The largest exponent between ``low`` and ``high`` that ``meets``, if those up to some point do; ``low`` where none does."""
+def bisect_exponent(low: float, high: float, meets, steps: int = 60, grid: int = 64) -> float | None:
+    """The largest exponent from ``low`` to ``high`` that ``meets``; None where none does.
+
+    The exponents that meet a limit may form several intervals, so a grid is walked down from ``high`` first, and the bisection runs between
+    the first one on it that meets and its neighbour above.
+    """
     if meets(high):
         return high
-    for _ in range(steps):
-        middle = (low + high) / 2
-        low, high = (middle, high) if meets(middle) else (low, middle)
-    return low
-
-
-def plan_mix(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget: float | None = None, target_entropy: float | None = None) -> list[Plan]:
+    above = high
+    for k in range(grid - 1, -1, -1):
+        at = low + (high - low) * k / grid
+        if meets(at):
+            for _ in range(steps):
+                middle = (at + above) / 2
+                at, above = (middle, above) if meets(middle) else (at, middle)
+            return at
+        above = at
+    return None
+
+
+def _filled(shares: list[float], budget: float, most: list[float]) -> list[float]:
+    """``budget`` shared out by ``shares``, none above its ``most``: what is over goes to the others in proportion."""
+    out, free = [0.0] * len(shares), {i for i, s in enumerate(shares) if s > 0}
+    while free:
+        rest, total = budget - sum(out), sum(shares[i] for i in free)
+        full = {i for i in free if rest * shares[i] / total > most[i] - out[i]}
+        for i in full or free:
+            out[i] = most[i] if full else rest * shares[i] / total
+        free = free - full if full else set()
+    return out
+
+
+def plan_mix(
+    tokens: dict[str, int],
+    targets: dict[str, tuple[float, int]],
+    budget: float | None = None,
+    target_entropy: float | None = None,
+) -> list[Plan]:
     """How much of each source to take.
 
-    ``tokens``: tokens of each source, ``targets``: its weight and the most uses of one document. Sources without tokens or weight can't be drawn from; the weights of the others are normalised. Without
-    ``budget`` the mix is the largest that keeps every weight within its repetition limit. With a larger budget, the exponent of a temperature mix between the natural token shares (0) and the target weights
-    (1) is bisected to the largest that keeps the limits. With ``target_entropy`` the given weights are replaced by natural shares^exponent, the exponent bisected to that entropy.
+    ``tokens``: tokens of each source, ``targets``: its weight and the most uses of one document. Sources without tokens or weight can't be
+    drawn from; the weights of the others are normalised.
+
+    The shares are always those of a temperature mix, source token shares^(1 - e) x weights^e, and e is always bisected: to the greatest
+    exponent for which the limits of repetition leave room for the size wanted. Exponent 1 keeps the weights, 0 the natural shares.
+    Without ``budget`` the size wanted is what the weights themselves allow, so the exponent comes out as 1, and the mix is then as large as
+    the limits let it be. With a larger ``budget`` it comes out lower; where even the natural shares leave no room, sources at their
+    limit are used up and the others give the rest. ``target_entropy``: the weights are replaced by natural shares^x, x bisected to that entropy.
     """
     usable = [s for s in sorted(targets) if tokens.get(s, 0) > 0 and targets[s][0] > 0 and targets[s][1] > 0]
     if not usable:
-        return [Plan(s, targets[s][0], 0.0, tokens.get(s, 0), targets[s][1], 0.0) for s in sorted(targets)]
+        return [Plan(s, targets[s][0], 0.0, tokens.get(s, 0), targets[s][1], 0.0, 1.0) for s in sorted(targets)]
     total = sum(tokens[s] for s in usable)
     natural = [tokens[s] / total for s in usable]
     wanted = [targets[s][0] for s in usable]
     wanted = [w / sum(wanted) for w in wanted]
     if target_entropy is not None:
         # the entropy falls as the exponent grows
-        exponent = bisect_exponent(0.0, 16.0, lambda e: entropy(tempered(natural, e)) >= target_entropy)
-        wanted = tempered(natural, exponent)
-    most = {s: targets[s][1] * tokens[s] for s in usable}
-    if budget is None:
-        budget = min(most[s] / w for s, w in zip(usable, wanted) if w > 0)
-    else:
-        budget = min(budget, sum(most.values()))
-        fits = lambda e: all(budget * w <= most[s] * (1 + 1e-12) for s, w in zip(usable, tempered(wanted, e, natural)))
-        wanted = tempered(wanted, bisect_exponent(0.0, 1.0, fits), natural)
-    share = dict(zip(usable, wanted))
-    return [Plan(s, targets[s][0], share.get(s, 0.0), tokens.get(s, 0), targets[s][1], float(min(share.get(s, 0.0) * budget, most.get(s, 0)))) for s in sorted(targets)]
+        power = bisect_exponent(0.0, 16.0, lambda e: entropy(tempered(natural, e)) >= target_entropy)
+        wanted = tempered(natural, 0.0 if power is None else power)
+    most = [float(targets[s][1] * tokens[s]) for s in usable]
+
+    def room(e: float) -> float:
+        """The largest mix at exponent ``e`` that no limit of repetition stops."""
+        return min(m / w for m, w in zip(most, tempered(wanted, e, natural)) if w > 0)
+
+    size = room(1.0) if budget is None else min(budget, sum(most))
+    exponent = bisect_exponent(0.0, 1.0, lambda e: room(e) * (1 + 1e-12) >= size)
+    shares = tempered(wanted, exponent or 0.0, natural)
+    taken = _filled(shares, size, most) if exponent is None else [min(s * size, m) for s, m in zip(shares, most)]
+    got = dict(zip(usable, zip(shares, taken)))
+    return [
+        Plan(s, targets[s][0], got.get(s, (0.0,))[0], tokens.get(s, 0), targets[s][1], float(got.get(s, (0.0, 0.0))[1]), exponent or 0.0)
+        for s in sorted(targets)
+    ]
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "n_tokens", budget: float | None = None, seed: int = 0, target_entropy: float | None = None) -> tuple[DataFrame, list[Plan]]:
@@ -130,7 +172,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source
 def shares(uses: DataFrame, plan: list[Plan]) -> DataFrame:
     """The report, one row per listed source: its target, what was reached in the total, and what stands against it."""
     spark = uses.sparkSession
-    table = spark.createDataFrame([(p.source, p.weight, p.share, p.tokens, p.limit, p.budget) for p in plan], "source string, weight double, planned_share double, source_tokens long, max_repeat int, planned_tokens double")
+    table = spark.createDataFrame(
+        [(p.source, p.weight, p.share, p.tokens, p.limit, p.budget, p.exponent) for p in plan],
+        "source string, weight double, planned_share double, source_tokens long, max_repeat int, planned_tokens double, exponent double",
+    )
     got = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mix_tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
     out = table.join(F.broadcast(got), "source", "left").fillna(0, ["mix_tokens", "documents", "most_uses"])
     return out.withColumn("reached_share", F.coalesce(F.try_divide("mix_tokens", F.sum("mix_tokens").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)))
