@@ -76,3 +76,48 @@ def test_clashing_names(spark):
     out = chained_imputation(df, "id", "way", [Field("kind", F.col("kind"), F.lit(False))], keep=["kind_filled", "v_kind", "kind"])
     assert out.columns == ["id", "way", "kind_filled", "v_kind", "kind", "kind_", "kind_filled_", "kind_alike"]
     assert len(out.first().v_kind) == 50_000
+
+
+def test_rarer_levels_are_filled_and_drawn_by_their_counts(spark):
+    # 200 levels, 600 cells without evidence of a group
+    rows = [(i, f"w{i}", f"t{i % 200:03}", "1", 1.0) for i in range(2000)] + [(10_000 + i, None, None, "1", 1.0) for i in range(600)]
+    got = fill(spark.createDataFrame(rows, SCHEMA), rounds=1)
+    assert all(got[10_000 + i].kind and got[10_000 + i].kind_filled for i in range(600))
+    # groups with a rare value three times and a common one once
+    rows = [(i, f"c{i}", f"t{i % 64:02}", "1", 1.0) for i in range(64 * 60)]
+    for g in range(500):
+        values = [f"rare{g % 100}"] * 3 + ["t00"]
+        rows += [(100_000 + 10 * g + i, f"g{g}", v, "1", 1.0) for i, v in enumerate(values)] + [(100_000 + 10 * g + 5, f"g{g}", None, "1", 1.0)]
+    got = fill(spark.createDataFrame(rows, SCHEMA), rounds=1)
+    drawn = Counter(got[100_000 + 10 * g + 5].kind == f"rare{g % 100}" for g in range(500))
+    assert 0.68 < drawn[True] / 500 < 0.82 and all(got[100_000 + 10 * g + 5].kind in ("t00", f"rare{g % 100}") for g in range(500))
+
+
+def test_filled_cells_are_the_draws(spark, monkeypatch):
+    """Where a group agrees its fitted distribution has one value; the cell has what was drawn from it, not a copy past the model."""
+    from wayloom.operators import impute
+
+    rows = [(i, f"w{i // 4}", None if i % 4 == 3 else "ab"[i // 4 % 2], "1", 1.0) for i in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {got.kind for i, got in fill(df, rounds=1).items() if i % 8 == 3} == {"a"}
+    real = impute._class_draw
+    monkeypatch.setattr(impute, "_class_draw", lambda model: lambda *_: F.lit("z") if set(model[0]) == {"a", "b"} else real(model)(*_))
+    assert {got.kind for i, got in fill(df, rounds=1).items() if i % 4 == 3} == {"z"}
+
+
+def test_words_of_a_numeric_field(spark):
+    rows = [(i, f"w{i}", "a", "walk" if i % 2 else "50", None if i % 2 else 50.0) for i in range(400)] + [(1000 + i, None, "a", None, None) for i in range(400)]
+    got = fill(spark.createDataFrame(rows, SCHEMA), rounds=1)
+    drawn = Counter(got[1000 + i].top == "walk" for i in range(400))
+    assert 120 < drawn[True] < 280
+
+
+def test_held_out(spark):
+    from wayloom.operators.impute import held_out
+
+    rng = random.Random(8)
+    rows = [(i, f"w{i // 5}", "ab"[i // 5 % 2], "10" if i // 5 % 2 else "90", 10.0 if i // 5 % 2 else 90.0) for i in range(3000)]
+    rng.shuffle(rows)
+    fields = [Field("kind", F.col("kind"), F.col("kind").isNull()), Field("top", F.col("top"), F.col("top").isNull(), F.col("mh"))]
+    got = {r.field: r for r in held_out(spark.createDataFrame(rows, SCHEMA), "id", "way", fields).collect()}
+    assert set(got) == {"kind", "top"} and all(r.accuracy > 0.97 and 0.4 < r.most_frequent < 0.65 and 80 < r.cells < 250 for r in got.values())

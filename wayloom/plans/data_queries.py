@@ -18,12 +18,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return eav.cells(p1_wide(spark, d))
 
 
-def p2_impute(spark: SparkSession, d: str) -> DataFrame:
+def _street_fields(spark: SparkSession, d: str):
+    """The street table with its speeds in one unit, and the fields to fill."""
     graph = read(spark, d, "graph").select("edge_id", "way_id", "highway", "surface", "maxspeed", "feed")
     parsed = units.common_speeds(graph, read(spark, d, "feed"), ["edge_id", "way_id", "highway", "surface"])
     speed = F.coalesce(F.col("speed_mh").cast("string"), F.col("word"))
     fields = [impute.Field(c, usable_word(F.col(c)), is_placeholder(F.col(c))) for c in ("highway", "surface")]
-    return impute.chained_imputation(parsed, "edge_id", "way_id", [*fields, impute.Field("maxspeed", speed, F.col("vacant"), F.col("speed_mh"))])
+    return parsed, [*fields, impute.Field("maxspeed", speed, F.col("vacant"), F.col("speed_mh"))]
+
+
+def p2_impute(spark: SparkSession, d: str) -> DataFrame:
+    parsed, fields = _street_fields(spark, d)
+    return impute.chained_imputation(parsed, "edge_id", "way_id", fields)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +38,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return full.select("edge_id", F.inline(F.array_compact(F.array(*cell)))).distinct()
 
 
+def p2_held_out(spark: SparkSession, d: str) -> DataFrame:
+    parsed, fields = _street_fields(spark, d)
+    return impute.held_out(parsed, "edge_id", "way_id", fields)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return multivalue.split_values(read(spark, d, "graph"), "edge_id", ["lanes", "maxspeed"]).distinct()
 
@@ -59,7 +70,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.unionByName(inside.distinct())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_impute, p3_found, p4_found, p4_speeds, p5_found, p5_near, p5_inside)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_impute, p2_held_out, p3_found, p4_found, p4_speeds, p5_found, p5_near, p5_inside)}
 
 
 _UNKNOWN = "('', '-', '--', '---', '.', '..', '...', '?', '??', '???', 'fixme', 'missing', 'n.a.', 'n/a', 'na', 'nan', 'nil', 'no data', 'not known', 'null', 'tba', 'tbc', 'tbd', 'todo', 'undefined', 'unknown', 'unspecified', 'xxx')"
