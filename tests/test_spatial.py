@@ -37,6 +37,9 @@ def test_crowded_leaf_is_cut_into_chunks(spark):
     rows = [(f"k{i:04d}", 5.0, 5.0) for i in range(300)]
     got = spatial.near_pairs(spark.createDataFrame(rows, "id string, x double, y double"), "id", "x", "y", 1.0, leaf_points=10)
     assert got.count() == 300 * 299 // 2
+    far = [(f"k{i:04d}", 5.0 + 1e-3 * (i % 40), 5.0) for i in range(300)]
+    got = {(r.key_a, r.key_b) for r in spatial.near_pairs(spark.createDataFrame(far, "id string, x double, y double"), "id", "x", "y", 120.0, leaf_points=8).collect()}
+    assert got == brute(far, 120.0)
 
 
 def test_near_empty(spark):
@@ -49,16 +52,16 @@ AREAS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_inside(spark, limit):
+@pytest.mark.parametrize("leaf", [20_000, 2])
+def test_inside(spark, leaf):
     points = [(1, 1.0, 1.0), (2, 5.0, 5.5), (3, 22.0, 6.0), (4, 45.0, 5.0), (5, 35.0, 5.0), (6, None, 1.0), (7, math.nan, 1.0), (8, math.inf, 1.0), (None, 1.0, 1.0), (9, 7.0, 7.0), (9, 7.0, 7.0)]
     df = spark.createDataFrame(points, "edge long, x double, y double")
     areas = spark.createDataFrame(AREAS, "area string, wkt string")
-    got = sorted(tuple(r) for r in spatial.inside_regions(df, "edge", "x", "y", areas, "area", "wkt", broadcast_bytes=limit, leaf_points=2).collect())
+    got = sorted(tuple(r) for r in spatial.inside_regions(df, "edge", "x", "y", areas, "area", "wkt", leaf_points=leaf).collect())
     assert got == [(1, "square"), (2, "over"), (3, "over"), (3, "two"), (4, "two"), (9, "over"), (9, "over"), (9, "square"), (9, "square")]
-    assert spatial.inside_regions(df.limit(0), "edge", "x", "y", areas, "area", "wkt", broadcast_bytes=limit).count() == 0
-    assert spatial.inside_regions(df, "edge", "x", "y", areas.limit(0), "area", "wkt", broadcast_bytes=limit).count() == 0
-    assert spatial.inside_regions(df, "edge", "x", "y", areas.withColumnRenamed("area", "edge"), "edge", "wkt", broadcast_bytes=limit).columns == ["edge", "edge_"]
+    assert spatial.inside_regions(df.limit(0), "edge", "x", "y", areas, "area", "wkt", leaf_points=leaf).count() == 0
+    assert spatial.inside_regions(df, "edge", "x", "y", areas.limit(0), "area", "wkt", leaf_points=leaf).count() == 0
+    assert spatial.inside_regions(df, "edge", "x", "y", areas.withColumnRenamed("area", "edge"), "edge", "wkt", leaf_points=leaf).columns == ["edge", "edge_"]
 
 
 def test_rtree_equals_scan():

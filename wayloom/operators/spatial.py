@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayloom.session import bounded_rows
-
 RADIUS = 6_371_000.0
 WORLD = (-180.0, -90.0, 180.0, 90.0)
 
@@ -22,8 +20,10 @@ WORLD = (-180.0, -90.0, 180.0, 90.0)
 SAMPLE = 60_000
 #: Points that a leaf should hold, and how many a task should read.
 LEAF_POINTS, TASK_POINTS = 20_000, 150_000
-#: Text of regions that may be sent to every executor; above it they are shuffled by leaf.
-BROADCAST_BYTES = 32 << 20
+
+
+#: What a row does in its leaf.
+PROBE, PROBED = 1, 2
 
 
 @dataclass
@@ -36,8 +36,8 @@ class QuadTree:
     count: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
     @classmethod
-    def of_sample(cls, x: np.ndarray, y: np.ndarray, capacity: float, least: float = 4e-4) -> QuadTree:
-        """``capacity``: sampled points a leaf may hold; ``least``: degrees below which a cell isn't split."""
+    def of_sample(cls, x: np.ndarray, y: np.ndarray, capacity: float, least: float = 1e-5, world: tuple = WORLD) -> QuadTree:
+        """``capacity``: sampled points a leaf may hold; ``least``: width below which a cell isn't split."""
         boxes, children, leaves, counts = [], [], [], []
 
         def grow(x0: float, y0: float, x1: float, y1: float, at: np.ndarray) -> int:
@@ -51,7 +51,7 @@ class QuadTree:
             children[me] = [grow(*corners[q], at[part == q]) for q in range(4)]
             return me
 
-        grow(*WORLD, np.arange(len(x)))
+        grow(*world, np.arange(len(x)))
         n = 0
         for i, c in enumerate(children):
             if c[0] < 0:
@@ -167,20 +167,23 @@ def _pairs_of_leaf(key: np.ndarray, x: np.ndarray, y: np.ndarray, probe: np.ndar
 def near_pairs(points: DataFrame, key: str, x: str, y: str, metres: float, leaf_points: int = LEAF_POINTS) -> DataFrame:
     """(``key_a``, ``key_b``, ``metres``): the pairs of different keys, the smaller string first, at most ``metres`` apart on the great circle.
 
-    A quadtree grown on a sample of at most ``SAMPLE`` points cuts the world into leaves of about ``leaf_points`` points. Every point goes to its own leaf, and as a replica to each
-    other leaf that its circle's box touches (across the antimeridian with its longitude turned by 360, at a pole all around). In a leaf, points probe an STR-packed R-tree
-    of points and replicas; the exact distance decides; and a pair is reported only in the leaf of its smaller key, the reference point, so no distinct is needed. A leaf that would still hold far more
-    than ``leaf_points`` (the cells have a least size) is probed in several chunks. One shuffle.
+    A quadtree grown on a sample of at most ``SAMPLE`` points cuts the world into leaves of about ``leaf_points`` points. Every point goes to its
+    own leaf, and as a replica to each other leaf that its circle's box touches (across the antimeridian with its longitude turned by 360, at
+    a pole all around). In a leaf, points probe an STR-packed R-tree of points and replicas; the exact distance decides; and a pair is
+    reported only in the leaf of its smaller key, the reference point. Cells aren't split below four times the distance; a leaf that would
+    still hold far more than ``leaf_points`` is cut into parts by hash, and each pair of parts, one probing the other, is a task's work of its own.
 
-    Keys are compared as strings. Rows with a null key or without a valid position take no part; repeated rows count once; a key that has several positions has the smallest distance.
-    Empty tables give no rows; other columns are not read.
+    Shuffles: the distinct points, their leaves, and the pairs, of which a key with several positions may report one more than once; those
+    have the smallest distance. Keys are compared as strings. Rows with a null key or without a valid position take no part; repeated rows count
+    once. Empty tables give no rows; other columns are not read.
     """
     clean = points.select(F.col(key).cast("string").alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    clean = clean.where(F.col("k").isNotNull() & valid_position(F.col("x"), F.col("y")))
+    clean = clean.where(F.col("k").isNotNull() & valid_position(F.col("x"), F.col("y"))).distinct()
     sx, sy, n = _sample(clean, "x", "y")
     per = max(1.0, n / max(1, len(sx)))
-    tree = QuadTree.of_sample(sx, sy, leaf_points / per)
-    chunks = np.maximum(1, np.ceil(tree.weights() * per / (4 * leaf_points))).astype(int)
+    reach = math.degrees(metres / RADIUS)
+    tree = QuadTree.of_sample(sx, sy, leaf_points / per, least=max(4 * reach, 1e-6))
+    parts = np.maximum(1, np.ceil(tree.weights() * per / (4 * leaf_points))).astype(int)
     tasks = max(1, math.ceil(1.2 * n / TASK_POINTS))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,35 +198,52 @@ def near_pairs(points: DataFrame, key: str, x: str, y: str, metres: float, leaf_
                 index.append(at[i]), leaf.append(found), sx.append(px[at[i]] + turn)
             index, leaf, sx = np.concatenate(index), np.concatenate(leaf), np.concatenate(sx)
             home = (leaf == own[index]) & (sx == px[index])
-            many = chunks[leaf]
-            # a chunk is probed by its share of the leaf's own points and holds all points of the leaf
-            mine = (np.array([hash_of(k) for k in batch.column(0).take(pa.array(index)).to_pylist()], np.int64) if (many > 1).any() else np.zeros(len(index), np.int64)) % many
-            rep = np.repeat(np.arange(len(index)), many)
-            chunk = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
-            probe = home[rep] & (mine[rep] == chunk)
+            many = parts[leaf]
+            mine = np.zeros(len(index), np.int64)
+            if (many > 1).any():
+                mine = np.array([hash_of(k) for k in batch.column(0).take(pa.array(index)).to_pylist()], np.int64) % many
+            # in a leaf that is one part, a row does both; else one row probes each part, one is probed by each
+            columns = []
+            cut = many > 1
+            for role, rows in ((PROBE + PROBED, np.flatnonzero(home & ~cut)), (PROBED, np.flatnonzero(~home | cut)), (PROBE, np.flatnonzero(home & cut))):
+                rep = np.repeat(rows, many[rows])
+                other = np.arange(len(rep)) - np.repeat(np.cumsum(many[rows]) - many[rows], many[rows])
+                pair = mine[rep] * many[rep] + other if role & PROBE else other * many[rep] + mine[rep]
+                columns.append((leaf[rep], pair, np.full(len(rep), role), index[rep], sx[rep]))
+            leaf, pair, role, at, sx = (np.concatenate(c) for c in zip(*columns))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf[rep], pa.int32()), pa.array(chunk, pa.int32()), pa.array(probe), batch.column(0).take(pa.array(index[rep])), pa.array(sx[rep]), pa.array(py[index[rep]])], names=["leaf", "chunk", "probe", "k", "x", "y"]
+                [pa.array(leaf, pa.int32()), pa.array(pair, pa.int64()), pa.array(role, pa.int32()), batch.column(0).take(pa.array(at)), pa.array(sx), pa.array(py[at])],
+                names=["leaf", "pair", "role", "k", "x", "y"],
             )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        table = _held(batches)
+        if table is None:
             return
-        table = pa.Table.from_batches(held)
-        cell = table["leaf"].to_numpy().astype(np.int64) << 32 | table["chunk"].to_numpy()
-        order = np.argsort(cell, kind="stable")
-        cuts = np.flatnonzero(np.diff(cell[order])) + 1
-        keys, xs, ys, probing = table["k"].to_pandas().to_numpy(), table["x"].to_numpy(), table["y"].to_numpy(), table["probe"].to_numpy()
-        for at in np.split(order, cuts):
-            a, b = _pairs_of_leaf(keys[at], xs[at], ys[at], probing[at], np.ones(len(at), bool), metres)
+        keys, xs, ys, role = table["k"].to_pandas().to_numpy(), table["x"].to_numpy(), table["y"].to_numpy(), table["role"].to_numpy()
+        for at in _cells(table["leaf"].to_numpy(), table["pair"].to_numpy()):
+            a, b = _pairs_of_leaf(keys[at], xs[at], ys[at], (role[at] & PROBE) > 0, (role[at] & PROBED) > 0, metres)
             a, b = at[a], at[b]
             yield pa.RecordBatch.from_arrays([pa.array(keys[a], pa.string()), pa.array(keys[b], pa.string()), pa.array(great_circle(xs[a], ys[a], xs[b], ys[b]))], names=["key_a", "key_b", "metres"])
 
-    leaves = clean.distinct().mapInArrow(spread, "leaf int, chunk int, probe boolean, k string, x double, y double")
-    found = leaves.repartition(tasks, "leaf", "chunk").mapInArrow(probe, "key_a string, key_b string, metres double")
+    leaves = clean.mapInArrow(spread, "leaf int, pair long, role int, k string, x double, y double")
+    found = leaves.repartition(tasks, "leaf", "pair").mapInArrow(probe, "key_a string, key_b string, metres double")
     return found.groupBy("key_a", "key_b").agg(F.min("metres").alias("metres"))
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """The rows of a task's leaves, of which it has about ``TASK_POINTS``."""
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held) if held else None
+
+
+def _cells(leaf: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
+    """The rows of each (leaf, part)."""
+    order = np.lexsort((part, leaf))
+    change = (np.diff(leaf[order]) != 0) | (np.diff(part[order]) != 0)
+    return np.split(order, np.flatnonzero(change) + 1)
+
+
 def hash_of(text: str) -> int:
     import zlib
 
@@ -256,6 +276,12 @@ def parse_wkt(text: str | None) -> list[list[np.ndarray]]:
     return out
 
 
+def multipolygon(polygons: list[list[np.ndarray]]) -> str:
+    """The text of polygons, with all digits of their coordinates."""
+    ring = lambda r: "(" + ",".join(f"{a!r} {b!r}" for a, b in r.tolist()) + ")"
+    return "MULTIPOLYGON(" + ",".join("(" + ",".join(map(ring, rings)) + ")" for rings in polygons) + ")"
+
+
 def within(polygons: list[list[np.ndarray]], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which points lie in one of the polygons, by the parity of crossed borders; holes are outside."""
     inside = np.zeros(len(x), bool)
@@ -301,15 +327,16 @@ class Regions:
         return np.concatenate(points), np.concatenate(parts)
 
 
-def inside_regions(points: DataFrame, key: str, x: str, y: str, regions: DataFrame, region: str, wkt: str, broadcast_bytes: int = BROADCAST_BYTES, leaf_points: int = LEAF_POINTS) -> DataFrame:
+def inside_regions(points: DataFrame, key: str, x: str, y: str, regions: DataFrame, region: str, wkt: str, leaf_points: int = LEAF_POINTS) -> DataFrame:
     """(``key``, ``region``): the regions that contain each point, straight borders in longitude and latitude, holes outside.
 
-    The regions' text is measured first. Up to ``broadcast_bytes`` it goes to every executor, which bulk-loads the R-tree of polygon boxes once and probes it with its batches of points: no
-    shuffle of the points. Beyond, a quadtree grown on a sample of the points cuts the plane; a point goes to its leaf and a polygon to each leaf that its box touches, and every leaf loads and probes
-    its own R-tree (a leaf with far too many points in several chunks). Both end with the exact crossing test; a point is in one leaf only, so no pair comes twice.
+    A quadtree grown on a sample of the points cuts the plane. A point goes to its leaf, a region as a replica to each leaf that the box of one
+    of its polygons touches, with just those polygons. Every leaf bulk-loads and probes its own R-tree, and the exact crossing test decides. The
+    point is the reference: it is in one leaf only, so no pair comes twice. A leaf with far too many points is cut into parts, each with its replicas.
 
-    Points without a key or two finite coordinates, and regions without a text that can be read as polygons, take no part. Repeated points give repeated rows; several rows of one region count as one
-    region. Points exactly on a border may count either way. Empty tables give no rows; other columns are not read. If ``region`` is named like ``key`` it gets the suffix ``_``.
+    Points without a key or two finite coordinates, and regions without a text that can be read as polygons, take no part. Repeated points
+    give repeated rows; several rows of one region count as one region. Points exactly on a border may count either way. Empty tables give no
+    rows; other columns are not read. If ``region`` is named like ``key`` it gets the suffix ``_``.
     """
     name = region if region.lower() != key.lower() else region + "_"
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e300)
@@ -327,19 +354,6 @@ def inside_regions(points: DataFrame, key: str, x: str, y: str, regions: DataFra
         names = pa.array(list(coded)) if coded else pa.array([], pa.string())
         return pa.RecordBatch.from_arrays([k.take(pa.array(p)), names.take(pa.array(code))], names=[key, name])
 
-    size = areas.agg(F.coalesce(F.sum(F.octet_length("w")), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
-        rows = bounded_rows(areas, 10_000_000, "regions")
-        sent = clean.sparkSession.sparkContext.broadcast(([r.r for r in rows], [r.w for r in rows]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            loaded = Regions(*sent.value)
-            for b in batches:
-                yield hits(b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy(), loaded).cast(target)
-
-        target = pa.schema([pa.field(key, _arrow(kinds[0])), pa.field(name, _arrow(kinds[1]))])
-        return clean.mapInArrow(run, schema)
-
     sx, sy, n = _sample(clean, "x", "y")
     per = max(1.0, n / max(1, len(sx)))
     tree = QuadTree.of_sample(sx, sy, leaf_points / per)
@@ -358,12 +372,15 @@ def inside_regions(points: DataFrame, key: str, x: str, y: str, regions: DataFra
         for b in batches:
             ids, texts, leaf, chunk = [], [], [], []
             for r, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                boxes = np.array([(*p[0].min(0), *p[0].max(0)) for p in parse_wkt(w)], float).reshape(-1, 4)
+                polygons = parse_wkt(w)
+                boxes = np.array([(*p[0].min(0), *p[0].max(0)) for p in polygons], float).reshape(-1, 4)
                 # cells at the rim of the world also own the points beyond it
                 c = np.clip(boxes, [WORLD[0], WORLD[1]] * 2, [WORLD[2], WORLD[3]] * 2)
-                for cell in np.unique(tree.touched(*c.T)[1]).tolist():
+                item, cells = tree.touched(*c.T)
+                for cell in np.unique(cells).tolist():
+                    text = multipolygon([polygons[i] for i in np.unique(item[cells == cell]).tolist()])
                     for part in range(chunks[cell]):
-                        ids.append(r), texts.append(w), leaf.append(cell), chunk.append(part)
+                        ids.append(r), texts.append(text), leaf.append(cell), chunk.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), pa.array(ids, b.column(0).type), pa.array(texts, pa.string())], names=["leaf", "chunk", "r", "w"])
 
     spread = clean.mapInArrow(place, T.StructType([T.StructField("leaf", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("k", kinds[0]), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
@@ -371,14 +388,11 @@ def inside_regions(points: DataFrame, key: str, x: str, y: str, regions: DataFra
     both = spread.select("*", F.lit(None).cast(kinds[1]).alias("r"), F.lit(None).cast("string").alias("w")).unionByName(copies, allowMissingColumns=True)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        table = _held(batches)
+        if table is None:
             return
-        table = pa.Table.from_batches(held)
-        cell = table["leaf"].to_numpy().astype(np.int64) << 32 | table["chunk"].to_numpy()
-        order = np.argsort(cell, kind="stable")
         region_row = table["w"].is_valid().to_numpy()
-        for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+        for at in _cells(table["leaf"].to_numpy(), table["chunk"].to_numpy()):
             mine, pts = at[region_row[at]], at[~region_row[at]]
             if len(mine) and len(pts):
                 some = table.take(pa.array(pts))
