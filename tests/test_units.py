@@ -2,7 +2,7 @@ from fractions import Fraction
 
 import pytest
 
-from wayloom.operators.units import common_speeds, quantity, unit_scale, whole
+from wayloom.operators.units import common_speeds, common_units, quantity, unit_scale, whole
 
 MILE = Fraction("1609.344")
 
@@ -45,3 +45,23 @@ def test_operator(spark):
     clash = common_speeds(df.withColumnRenamed("edge_id", "Speed_mh"), feeds.limit(0), ["Speed_mh"])
     assert clash.columns == ["Speed_mh", "speed_mh_", "word", "is_kmh", "vacant"]
     assert clash.count() == len(rows)
+
+
+def test_other_dimensions():
+    assert unit_scale("m", "length") == 1 and unit_scale("m", "duration") == Fraction(1, 60) and unit_scale("m") is None
+    assert unit_scale("ft", "length") == Fraction("0.3048") and unit_scale("km/h", "length") is None and unit_scale("h", "duration") == 1
+    with pytest.raises(KeyError):
+        unit_scale("m", "colour")
+
+
+def test_long_units():
+    assert unit_scale("kilometres" + " " * 500 + "per" + " " * 500 + "hour") == 1000
+    assert unit_scale("km" * 50_000) is None and unit_scale("m/s" + "*m/m" * 3) == 3600
+
+
+def test_lengths(spark):
+    rows = [(1, "3 m"), (2, "10 ft"), (3, "2km"), (4, "50 km/h"), (5, None), (6, "1;2"), (7, "90 cm"), (8, "7")]
+    df = spark.createDataFrame(rows, "id int, width string")
+    got = {r[0]: tuple(r)[1:] for r in common_units(df, None, ["id"], "width", "length", "cm", "m", ("cm", "word", "is_m", "vacant"), feed=None).collect()}
+    assert got[1] == (300, None, True, False) and got[2] == (305, None, False, False) and got[3][0] == 200_000 and got[7][0] == 90
+    assert got[4] == (None, "50 km/h", False, False) and got[5][3] and got[6] == (None, None, False, False) and got[8] == (None, None, False, True)

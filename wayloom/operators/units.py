@@ -39,9 +39,24 @@ EXPONENTS = {"-1": -1, "^-1": -1, "⁻¹": -1, "2": 2, "^2": 2, "²": 2}
 OVER = {"/": 0.95, " per ": 0.95, "per": 0.5, "p": 0.4, " p ": 0.4, " an ": 0.3}
 TIMES = {" ": 0.3, "*": 0.3, "·": 0.3, "": 0.2}
 
-#: Of the dimensions (power of length, of time) and the sizes in metres an hour that a speed field holds, how likely each is.
-SPEED_PRIOR = {"dimension": {(1, -1): 1.0}, "scale": {Fraction(1000): 0.6, _MILE: 0.2, Fraction(3600): 0.1, _NM: 0.05, _FOOT * 3600: 0.03, Fraction(60): 0.02}}
+#: Of the dimensions (power of length, of time) and the sizes in metres and hours that a field holds, how likely each is.
+PRIORS = {
+    "speed": {
+        "dimension": {(1, -1): 1.0},
+        "scale": {Fraction(1000): 0.6, _MILE: 0.2, Fraction(3600): 0.1, _NM: 0.05, _FOOT * 3600: 0.03, Fraction(60): 0.02},
+    },
+    "length": {
+        "dimension": {(1, 0): 1.0},
+        "scale": {_METRE: 0.6, Fraction(1000): 0.2, _FOOT: 0.1, _MILE: 0.05, Fraction(1, 100): 0.03, _NM: 0.02},
+    },
+    "duration": {
+        "dimension": {(0, 1): 1.0},
+        "scale": {_S: 0.5, Fraction(1, 60): 0.3, Fraction(1): 0.2},
+    },
+}
 _RARE = 1e-4
+#: Roots that one unit may be made of. A text that needs more isn't read as a unit; so texts of any length take time in proportion.
+MAX_FACTORS = 8
 
 
 def _trie(words) -> dict:
@@ -69,25 +84,26 @@ def _matches(trie: dict, text: str, at: int) -> Iterator[str]:
 
 @lru_cache(maxsize=100_000)
 def unit_scale(text: str, prior: str = "speed") -> Fraction | None:
-    """The size of a unit text in metres an hour; None if it isn't a unit of the field's dimension.
+    """The size of a unit text in metres and hours; None if it isn't a unit of a dimension that ``prior`` (a name in ``PRIORS``) knows.
 
-    Dynamic programming over the text: from each position the tries give the prefixes, roots, exponents and links that begin there; a state is (position, after a division, length, time,
-    size) and keeps its best score. Complete decompositions are then weighed with the field's priors of dimension and size, so that in a speed field "mph" is miles
-    and "mps" metres, and "kmh" a quotient though no stroke says so.
+    Dynamic programming over the text: from each position the tries give the prefixes, roots, exponents and links that begin there; a state
+    is (position, roots so far, length, time, kinds of roots, size) and keeps its best score. Complete decompositions, in which no kind of
+    root cancels out, are then weighed with the field's priors of dimension and size, so that in a speed field "mph" is miles and "mps" metres, and "kmh" a quotient though no
+    stroke says so, while in a field of lengths "m" are metres and in one of durations minutes.
     """
+    table = PRIORS[prior]
     s = re.sub(r"\s+", " ", text.strip().lower())
     s = re.sub(r" ?([/*·]) ?", r"\1", s)
     s = re.sub(r"(?<=[a-z])\.(?=[a-z]|$)", "", s)
-    if not s or len(s) > 64:
+    if not s:
         return None
-    # states[i]: {(sign, length, time, size): log score} of the decompositions of s[:i] that end with a root
-    states: list[dict] = [{} for _ in range(len(s) + 1)]
-
-    def put(at: int, state: tuple, score: float) -> None:
-        if score > states[at].get(state, -1e9):
-            states[at][state] = score
+    # states[i]: {(roots, length, time, (a length, a time), size): log score} of the decompositions of s[:i] that end with a root
+    states: dict[int, dict] = {}
 
-    def term(at: int, sign: int, length: int, time: int, size: Fraction, score: float) -> None:
+    def term(at: int, sign: int, state: tuple, score: float) -> None:
+        roots, length, time, used, size = state
+        if roots == MAX_FACTORS:
+            return
         for prefix in ["", *_matches(_PREFIX_TRIE, s, at)]:
             for root in _matches(_ROOT_TRIE, s, at + len(prefix)):
                 end = at + len(prefix) + len(root)
@@ -97,22 +113,27 @@ def unit_scale(text: str, prior: str = "speed") -> Fraction | None:
                         if prefix and not (of_length == 1 and of_time == 0 and usual >= 0.5) or prefix == "nautical " and metres != _MILE:
                             continue
                         factor = PREFIXES.get(prefix, Fraction(1)) * metres
-                        put(end + len(exponent), (sign, length + power * of_length, time + power * of_time, size * factor**power), score + log(usual) + (log(0.8) if prefix else 0))
+                        new = (roots + 1, length + power * of_length, time + power * of_time, (used[0] or of_length != 0, used[1] or of_time != 0), size * factor**power)
+                        value = score + log(usual) + (log(0.8) if prefix else 0)
+                        here = states.setdefault(end + len(exponent), {})
+                        if value > here.get(new, -1e9):
+                            here[new] = value
 
-    term(0, 1, 0, 0, Fraction(1), 0.0)
+    term(0, 1, (0, 0, 0, (False, False), Fraction(1)), 0.0)
     for at in range(1, len(s)):
-        for (_sign, length, time, size), score in list(states[at].items()):
+        for state, score in states.pop(at, {}).items():
             for link in ["", *_matches(_LINK_TRIE, s, at)]:
                 if link in OVER:
-                    term(at + len(link), -1, length, time, size, score + log(OVER[link]))
+                    term(at + len(link), -1, state, score + log(OVER[link]))
                 if link in TIMES:
-                    term(at + len(link), 1, length, time, size, score + log(TIMES[link]))
-                    if length and not time:  # a quotient of which the stroke was left out
-                        term(at + len(link), -1, length, time, size, score + log(TIMES[link] / 2))
-    table = SPEED_PRIOR
+                    term(at + len(link), 1, state, score + log(TIMES[link]))
+                    if state[1] and not state[2]:  # a quotient of which the stroke was left out
+                        term(at + len(link), -1, state, score + log(TIMES[link] / 2))
+        if not states:
+            return None
     best, found = -1e9, None
-    for (_sign, length, time, size), score in states[len(s)].items():
-        if (length, time) in table["dimension"]:
+    for (_roots, length, time, used, size), score in states.get(len(s), {}).items():
+        if (length, time) in table["dimension"] and used == (length != 0, time != 0):
             score += log(table["dimension"][length, time]) + log(table["scale"].get(size, _RARE))
             if score > best:
                 best, found = score, size
@@ -124,8 +145,8 @@ _LEAD = re.compile(r"^(?:max(?:imum)?|limit|speed|ca|approx|about)\b[.:]?\s*", r
 
 
 @lru_cache(maxsize=200_000)
-def quantity(text: str) -> tuple[str, Fraction | None, Fraction | None]:
-    """(kind, number, metres an hour of the unit in the text). Kinds: ``none`` for placeholders, ``number`` (unit None: none named), ``word`` for anything else."""
+def quantity(text: str, prior: str = "speed") -> tuple[str, Fraction | None, Fraction | None]:
+    """(kind, number, size of the unit in the text). Kinds: ``none`` for placeholders, ``number`` (unit None: none named), ``word`` for anything else."""
     plain = text.strip()
     if plain.lower() in PLACEHOLDERS:
         return "none", None, None
@@ -139,7 +160,7 @@ def quantity(text: str) -> tuple[str, Fraction | None, Fraction | None]:
         return "number", number, None
     if before and after:
         return "word", None, None
-    scale = unit_scale(before or after)
+    scale = unit_scale(before or after, prior)
     return ("number", number, scale) if scale is not None else ("word", None, None)
 
 
@@ -149,25 +170,22 @@ def whole(x: Fraction) -> int:
 
 
 @lru_cache(maxsize=1_000)
-def _default(unit: str | None, scale: float | None) -> Fraction | None:
-    """Metres an hour of one counted step of a feed; None where it names its units in the text."""
+def _default(unit: str | None, scale: float | None, prior: str) -> Fraction | None:
+    """The size of one counted step of a feed; None where it names its units in the text."""
     if unit is None or scale is None or scale != scale:
         return None
-    base = unit_scale(unit)
+    base = unit_scale(unit, prior)
     return None if base is None else base * Fraction(str(scale))
 
 
-PARSED = T.StructType([T.StructField("speed_mh", T.LongType()), T.StructField("word", T.StringType()), T.StructField("is_kmh", T.BooleanType()), T.StructField("vacant", T.BooleanType())])
-
-
-def _parse(values: pa.Array, defaults: list[tuple[str | None, float | None]]) -> list[pa.Array]:
-    """The columns of PARSED for each text of ``values``; texts are read once per batch and feed."""
+def _parse(values: pa.Array, defaults: list[tuple[str | None, float | None]], prior: str, common: Fraction) -> list[pa.Array]:
+    """Value, word, as it is, vacant: the columns of ``common_units`` for each text. Texts are read once per batch and feed."""
     coded = values.dictionary_encode()
     words, codes = coded.dictionary, coded.indices.to_pylist()
     singles = single_values(words).to_pylist()
     vacant = [t is None or t.strip(' \t\r\n;|&,/"').lower() in PLACEHOLDERS for t in words.to_pylist()]
     seen: dict = {}
-    speed, word, kmh, empty = [], [], [], []
+    value, word, same, empty = [], [], [], []
     for code, unit in zip(codes, defaults):
         key = (code, unit)
         if key not in seen:
@@ -177,37 +195,52 @@ def _parse(values: pa.Array, defaults: list[tuple[str | None, float | None]]) ->
                 if text is None:
                     out = (None, None, False, vacant[code])
                 else:
-                    kind, number, named = quantity(text)
-                    scale = named if named is not None else _default(*unit)
+                    kind, number, named = quantity(text, prior)
+                    scale = named if named is not None else _default(*unit, prior)
                     if kind == "word":
                         out = (None, text.strip().lower(), False, False)
                     elif kind == "number" and number > 0 and scale is not None:
-                        out = (whole(number * scale), None, scale == 1000, False)
+                        out = (whole(number * scale / common), None, scale, False)
             seen[key] = out
         a, b, c, d = seen[key]
-        speed.append(a), word.append(b), kmh.append(c), empty.append(d)
-    return [pa.array(speed, pa.int64()), pa.array(word, pa.string()), pa.array(kmh, pa.bool_()), pa.array(empty, pa.bool_())]
+        value.append(a), word.append(b), same.append(c), empty.append(d)
+    return [pa.array(value, pa.int64()), pa.array(word, pa.string()), same, pa.array(empty, pa.bool_())]
 
 
-def common_speeds(df: DataFrame, feeds: DataFrame, keep: list[str], field: str = "maxspeed", feed: str = "feed", max_feeds: int = 10_000) -> DataFrame:
-    """``keep`` of ``df`` and the speed of ``field`` in metres an hour, in one pass over Arrow batches.
+def common_units(
+    df: DataFrame, feeds: DataFrame | None, keep: list[str], field: str, prior: str, common: str, usual: str, names: tuple[str, ...], feed: str | None = "feed", max_feeds: int = 10_000
+) -> DataFrame:
+    """``keep`` of ``df`` and the quantity of ``field`` in whole units of ``common``, in one pass over Arrow batches.
 
-    ``feeds`` (``feed``, ``unit``, ``scale``) says what numbers without a unit mean; a unit in the text overrides both. Added columns:
-    ``speed_mh`` (long; null unless the field holds exactly one value and that is a positive speed), ``word`` (the one value in lower case, where it is no number), ``is_kmh`` (recorded in km/h
-    at scale 1), ``vacant`` (no usable value: null, blank, placeholder, a number not above 0, or one without any unit). Fields with several values have neither speed nor word. Rows of a feed that
-    isn't listed, or is null, count as feeds that name their units. Of several rows of a feed the smallest (unit, scale) counts. Added names that clash get the suffix ``_``.
+    ``prior``: the kind of quantity, a name in ``PRIORS``. ``feeds`` (``feed``, ``unit``, ``scale``) says what numbers without a unit mean; a
+    unit in the text overrides both. Added columns, under ``names``: the quantity (long; null unless the field holds exactly one
+    value and that is a positive quantity), the word (the one value in lower case, where it is no quantity), whether it was recorded in
+    ``usual`` at scale 1, and whether there is no usable value: null, blank, placeholder, a number not above 0, or one without any unit.
+    Fields with several values have neither quantity nor word. Rows of a feed that isn't listed, or is null, count as feeds that name
+    their units. Of several rows of a feed the smallest (unit, scale) counts. Added names that clash get the suffix ``_``.
     """
     from wayloom.session import free_name
 
-    table = {r.feed: (r.unit, r.scale) for r in sorted(bounded_rows(feeds.select("feed", "unit", F.col("scale").cast("double")), max_feeds, "feeds"), key=str, reverse=True)}
-    names = free_name(df.select(*keep), *PARSED.names)
+    rows = bounded_rows(feeds.select("feed", "unit", F.col("scale").cast("double")), max_feeds, "feeds") if feeds is not None else []
+    table = {r.feed: (r.unit, r.scale) for r in sorted(rows, key=str, reverse=True)}
+    size, plain = unit_scale(common, prior), unit_scale(usual, prior)
+    if size is None or plain is None:
+        raise ValueError(f"{common!r} and {usual!r} must be units of a {prior}")
     n = len(keep)
+    kinds = [T.LongType(), T.StringType(), T.BooleanType(), T.BooleanType()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             defaults = [table.get(f, (None, None)) for f in batch.column(n + 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *_parse(batch.column(n), defaults)], names=schema.names)
+            value, word, scales, empty = _parse(batch.column(n), defaults, prior, size)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], value, word, pa.array([s == plain for s in scales], pa.bool_()), empty], names=schema.names)
 
     kept = df.select(*keep)
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(a, f.dataType) for a, f in zip(names, PARSED.fields)]])
-    return df.select(*keep, F.col(field).cast("string").alias("value__"), F.col(feed).cast("string").alias("feed__")).mapInArrow(run, schema)
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(a, k) for a, k in zip(free_name(kept, *names), kinds)]])
+    source = F.col(feed).cast("string") if feed else F.lit(None).cast("string")
+    return df.select(*keep, F.col(field).cast("string").alias("value__"), source.alias("feed__")).mapInArrow(run, schema)
+
+
+def common_speeds(df: DataFrame, feeds: DataFrame, keep: list[str], field: str = "maxspeed", feed: str = "feed") -> DataFrame:
+    """``common_units`` of speeds, in metres an hour: ``speed_mh``, ``word``, ``is_kmh`` (recorded in km/h at scale 1), ``vacant``."""
+    return common_units(df, feeds, keep, field, "speed", "metres per hour", "km/h", ("speed_mh", "word", "is_kmh", "vacant"), feed)
