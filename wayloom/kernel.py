@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Mean out-degree from which the search over arrays beats the heap.
 DENSE_DEGREE = 24
@@ -27,19 +29,30 @@ class Tree:
 
 
 class Csr:
-    """A graph as adjacency arrays. Vertices are numbered in the order of their ids; of parallel edges the one with the least (w, d, ord) is kept."""
+    """A graph as adjacency arrays. Vertices are numbered in the order of their ids; of parallel edges the one with the least (w, d, ord) is kept.
 
-    def __init__(self, start_id: np.ndarray, end_id: np.ndarray, w: np.ndarray, d: np.ndarray, ord_: np.ndarray, kind: np.ndarray | None = None):
+    Ids are coded once, when the graph is loaded; ``names`` and ``ord`` are Arrow arrays, all else numbers.
+    """
+
+    def __init__(self, start_id: pa.Array, end_id: pa.Array, w: np.ndarray, d: np.ndarray, ord_: pa.Array, kind: np.ndarray | None = None):
         n_edges = len(w)
-        self.names, coded = np.unique(np.concatenate([start_id, end_id]), return_inverse=True)
-        tail, head = coded[:n_edges], coded[n_edges:]
-        order = np.lexsort((ord_, d, w, head, tail))
+        coded = pa.concat_arrays([start_id, end_id]).dictionary_encode()
+        rank = pc.sort_indices(coded.dictionary)
+        self.names = coded.dictionary.take(rank)
+        place = np.empty(len(rank), np.int32)
+        place[rank.to_numpy()] = np.arange(len(rank), dtype=np.int32)
+        codes = place[coded.indices.to_numpy(zero_copy_only=False)]
+        tail, head = codes[:n_edges], codes[n_edges:]
+        first = pc.array_sort_indices(ord_)
+        by_order = np.empty(n_edges, np.int64)
+        by_order[first.to_numpy()] = np.arange(n_edges)
+        order = np.lexsort((by_order, d, w, head, tail))
         tail, head = tail[order], head[order]
-        first = np.ones(n_edges, bool)
-        first[1:] = (tail[1:] != tail[:-1]) | (head[1:] != head[:-1])
-        keep = order[first]
-        self.tail, self.head = tail[first], head[first]
-        self.w, self.d, self.ord = np.asarray(w, float)[keep], np.asarray(d, float)[keep], np.asarray(ord_)[keep]
+        new = np.ones(n_edges, bool)
+        new[1:] = (tail[1:] != tail[:-1]) | (head[1:] != head[:-1])
+        keep = order[new]
+        self.tail, self.head = tail[new], head[new]
+        self.w, self.d, self.ord = np.asarray(w, float)[keep], np.asarray(d, float)[keep], ord_.take(pa.array(keep))
         self.kind = None if kind is None else np.asarray(kind)[keep]
         self.n = len(self.names)
         self.start = np.searchsorted(self.tail, np.arange(self.n + 1))
@@ -49,13 +62,20 @@ class Csr:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_lists": None, "_matrices": None}
 
-    def index(self, ids: Iterable) -> np.ndarray:
-        """Vertex numbers of ``ids``; -1 for ids that aren't in the graph."""
-        ids = np.asarray(list(ids), dtype=self.names.dtype)
-        if not self.n:
-            return np.full(len(ids), -1)
-        at = np.minimum(np.searchsorted(self.names, ids), self.n - 1)
-        return np.where(self.names[at] == ids, at, -1)
+    def index(self, ids) -> np.ndarray:
+        """Vertex numbers of ``ids`` (an Arrow array, or values); -1 for ids that aren't in the graph."""
+        ids = ids if isinstance(ids, pa.Array) else pa.array(list(ids), self.names.type)
+        return pc.fill_null(pc.index_in(ids.cast(self.names.type), value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def id_of(self, vertices) -> pa.Array:
+        """The ids of vertex numbers, null for -1."""
+        at = np.asarray(vertices, np.int64)
+        return self.names.take(pa.array(at, mask=at < 0))
+
+    def edge_of(self, edges) -> pa.Array:
+        """The graph's own numbers of edges, null for -1."""
+        at = np.asarray(edges, np.int64)
+        return self.ord.take(pa.array(at, mask=at < 0))
 
     def lists(self) -> tuple:
         if self._lists is None:

@@ -46,7 +46,7 @@ def _load(graph: Graph, edges: DataFrame, flows: DataFrame, norm: bool) -> DataF
                 to = g.index([z for z, _ in goals[a]])
                 g.load(tree, {t: f for t, (_, f) in zip(to.tolist(), goals[a]) if t >= 0}, norm, onto)
         at = np.flatnonzero(onto)
-        yield pa.RecordBatch.from_arrays([routing.id_array(kind, g.ord[at]), pa.array(onto[at])], names=["edge", "flow"])
+        yield pa.RecordBatch.from_arrays([g.edge_of(at), pa.array(onto[at])], names=["edge", "flow"])
 
     kind = edges.schema["ord"].dataType
     return routing.spread(flows.select("from_id", "to_id", "flow"), "from_id").mapInArrow(run, _part(kind))
@@ -62,7 +62,10 @@ def flows_aggregate(graph: Graph, flows: DataFrame, tol: float = 1e-12, norm_sum
     if not pairwise:
         top = sums.groupBy("from_id").agg(F.max("flow").alias("top"))
         sums = sums.join(top, "from_id").where(F.col("flow") > F.col("top") * tol).drop("top")
-    edges = graph.standard()
+    edges, everyone = routing.prepared(graph)
+    kind = edges.schema["from_id"].dataType
+    sums = sums.withColumns({c: F.col(c).cast(kind) for c in ("from_id", "to_id")})
+    sums = routing.ends_of(graph, routing.ends_of(graph, sums, "from_id", "start", everyone), "to_id", "end", everyone)
     if routing.fits_kernel(edges, strategy):
         return _with_edges(graph, _load(graph, edges, sums, norm_sums), name)
     reached = materialize(routing.tree_loop(edges, sums.select(F.col("from_id").alias("id"))))
@@ -114,11 +117,10 @@ def centrality(graph: Graph, edges: bool = True, column: str = "d_weighted", ver
     Each source's part is weighted by ``vertex_weights`` (``id``, ``n``; 1 if not given); routes longer than ``threshold`` (by ``column``) aren't followed. Of parallel edges the first of the least weight counts. Every task sums the parts of its sources before the
     shuffle. The graph must fit an executor.
     """
-    std = graph.standard(column)
+    std, ids = routing.prepared(graph, column)
     if not routing.fits_kernel(std):
         raise ValueError(f"centrality needs a graph of at most {routing.KERNEL_EDGES} edges; contract it first")
     csr, _ = routing.load(std)
-    ids = routing.vertex_ids(graph)
     sources = ids.withColumn("n", F.lit(1.0)) if vertex_weights is None else ids.join(vertex_weights.groupBy("id").agg(F.sum("n").cast("double").alias("n")), "id")
     sent = graph.edges.sparkSession.sparkContext.broadcast(csr)
 
@@ -130,13 +132,13 @@ def centrality(graph: Graph, edges: bool = True, column: str = "d_weighted", ver
                 if at >= 0:
                     g.brandes(at, threshold, n, edges, onto)
         at = np.flatnonzero(onto)
-        yield pa.RecordBatch.from_arrays([routing.id_array(kind, g.ord[at] if edges else at), pa.array(onto[at])], names=["edge", "flow"])
+        yield pa.RecordBatch.from_arrays([g.edge_of(at) if edges else pa.array(at, pa.int64()), pa.array(onto[at])], names=["edge", "flow"])
 
     kind = std.schema["ord"].dataType if edges else T.LongType()
     parts = routing.spread(sources, "id").mapInArrow(run, _part(kind))
     if edges:
         return _with_edges(graph, parts, "centrality")
-    names = graph.edges.sparkSession.createDataFrame([(i, v) for i, v in enumerate(csr.names.tolist())], T.StructType([T.StructField("edge", T.LongType()), T.StructField("id", ids.schema["id"].dataType)]))
+    names = graph.edges.sparkSession.createDataFrame([(i, v) for i, v in enumerate(csr.names.to_pylist())], T.StructType([T.StructField("edge", T.LongType()), T.StructField("id", ids.schema["id"].dataType)]))
     return names.join(parts.groupBy("edge").agg(F.sum("flow").alias("centrality")), "edge", "left").select("id", F.coalesce("centrality", F.lit(0.0)).alias("centrality"))
 
 

@@ -19,11 +19,18 @@ from pyspark.sql import types as T
 from wayloom.kernel import Csr, Tree
 from wayloom.operators import match
 from wayloom.operators.structure import vertices
-from wayloom.schema import Graph
+from wayloom.schema import TRAVELLED, Graph
 from wayloom.session import forget, materialize
 
-#: Edges that may be sent to every executor: about 40 bytes each.
-KERNEL_EDGES = 5_000_000
+#: Edges, and bytes of their arrays, that may be sent to every executor.
+KERNEL_EDGES, KERNEL_BYTES = 5_000_000, 400 << 20
+# The wording of errors.
+NO_WEIGHTED_TIME = "Graph does not contain a weighted time column from which to calculate fastest paths."
+NO_TIME = "Graph does not contain a time column."
+NO_LIMIT = "'dlimit' must be specified if no 'to' points are given."
+NO_COORDINATES = "Unable to determine geographical coordinates in from/to"
+NOT_IN_GRAPH = "from/to are not numeric yet can not be matched onto graph vertices"
+
 #: Targets that may be sent along; with more of them the loop is taken.
 KERNEL_TARGETS = 2_000_000
 
@@ -35,29 +42,59 @@ def vertex_ids(graph: Graph) -> DataFrame:
     return e.select(graph["from_id"].alias("id")).union(e.select(graph["to_id"].alias("id"))).where("id is not null").distinct()
 
 
+def prepared(graph: Graph, weight: str = "d_weighted", length: str = "d", extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges of ``Graph.standard``, all vertices' ``id``), of a table that is written once: an edge source may be dear, and is asked for both, measured and loaded."""
+    table = materialize(graph.standard(weight, length, extra, whole=True))
+    ids = table.select(F.col("from_id").alias("id")).union(table.select("to_id")).where("id is not null").distinct()
+    return table.where(TRAVELLED), ids
+
+
+def ends_of(graph: Graph, frame: DataFrame, column: str, end: str, everyone: DataFrame) -> DataFrame:
+    """``frame`` with the ids of ``column`` as routes of the graph need them.
+
+    In a graph with compound junctions a route leaves a junction from its vertex with the suffix _start and arrives at the one with _end.
+    """
+    if not graph.attributes.get("compound"):
+        return frame
+    known = everyone.where(F.col("id").endswith("_" + end)).select(F.col("id").alias("k__"))
+    out = frame.join(known, F.concat(F.col(column), F.lit("_" + end)) == F.col("k__"), "left")
+    return out.withColumn(column, F.coalesce("k__", F.col(column))).drop("k__")
+
+
+def plain_ends(graph: Graph, frame: DataFrame, start: str = "from_id", end: str = "to_id") -> DataFrame:
+    """The ids of a result without the suffixes of ``ends_of``; the way from a junction to itself is 0 also where it has two vertices."""
+    if not graph.attributes.get("compound"):
+        return frame
+    strip = {start: F.regexp_replace(start, "_start$", ""), end: F.regexp_replace(end, "_end$", "")}
+    out = frame.select(*[strip.get(c, F.col(c)).alias(c) if c in strip else F.col(c) for c in frame.columns])
+    return out.withColumn("d", F.when(F.col(start) == F.col(end), 0.0).otherwise(F.col("d"))) if "d" in out.columns else out
+
+
 def fits_kernel(edges: DataFrame, strategy: str = "auto") -> bool:
+    """Whether the edges measure at most ``KERNEL_EDGES`` rows and ``KERNEL_BYTES`` as arrays: 36 bytes each, and their ids."""
     if strategy in ("kernel", "loop"):
         return strategy == "kernel"
     if strategy != "auto":
         raise ValueError(f"unknown strategy {strategy!r}")
-    return edges.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES
+    size = F.lit(36)
+    for c in ("from_id", "to_id", "ord"):
+        size = size + (F.octet_length(c) + 4 if isinstance(edges.schema[c].dataType, T.StringType) else F.lit(8))
+    n, total = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= KERNEL_EDGES and total <= KERNEL_BYTES
 
 
 def load(edges: DataFrame, category: str | None = None) -> tuple[Csr, list]:
     """The arrays of an edge table of ``Graph.standard`` that is known to fit, and the categories in order."""
     t = edges.toArrow()
-    column = lambda c: t[c].to_pandas().to_numpy()
+    column = lambda c: t[c].combine_chunks()
     kinds, codes = [], None
     if category:
         values = t[category].to_pylist()
         kinds = sorted({v for v in values if v is not None})
         code = {v: i for i, v in enumerate(kinds)}
         codes = np.array([code.get(v, -1) for v in values], np.int64)
-    return Csr(column("from_id"), column("to_id"), column("w"), column("d"), column("ord"), codes), kinds
-
-
-def id_array(kind: T.DataType, names: np.ndarray) -> pa.Array:
-    return pa.array(names.tolist() if names.dtype == object or names.dtype.kind in "US" else names, _ARROW.get(kind))
+    number = lambda c: column(c).to_numpy(zero_copy_only=False)
+    return Csr(column("from_id"), column("to_id"), number("w"), number("d"), column("ord"), codes), kinds
 
 
 def per_source(spark: SparkSession, csr: Csr, sources: DataFrame, work: Callable[[Csr, list], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
@@ -90,28 +127,39 @@ def spread(sources: DataFrame, on: str) -> DataFrame:
     return sources.repartition(max(1, sources.sparkSession.sparkContext.defaultParallelism * 2), on)
 
 
-def endpoints(graph: Graph, ids: DataFrame | list | None) -> DataFrame:
-    """A frame with the one column ``id`` of the graph's vertex type: all vertices, those of a list or of a frame's ``id`` (else its first) column, or the vertices nearest to points, given as (x, y) pairs or as a frame with ``x`` and ``y`` but
-    no ``id``. Ids given as a list must be in the graph."""
+def endpoints(graph: Graph, ids: DataFrame | list | None, everyone: DataFrame | None = None, end: str | None = None) -> DataFrame:
+    """A frame with the one column ``id`` of the graph's vertex type, each once.
+
+    ``ids``: None for all vertices; a list or a frame's ``id`` (else its first) column; places in the order of the vertices, as a frame with the one
+    column ``n``, counted from 0; or points, as (x, y) pairs or a frame with ``x`` and ``y`` but no ``id``, for the vertices nearest to
+    them. Ids given as a list must be in the graph. ``end`` (start or end): which of a compound junction's vertices is meant.
+    """
     spark = graph.edges.sparkSession
-    kind = graph.edges.select(graph["from_id"].alias("x")).schema["x"].dataType
+    everyone = vertex_ids(graph) if everyone is None else everyone
+    kind = everyone.schema["id"].dataType
+    done = lambda frame: (ends_of(graph, frame, "id", end, everyone) if end else frame).distinct()
     if ids is None:
-        return vertex_ids(graph)
+        if end and graph.attributes.get("compound"):
+            return everyone.where(~F.col("id").endswith("_end" if end == "start" else "_start"))
+        return everyone
     points = None
     if isinstance(ids, DataFrame):
+        if ids.columns == ["n"]:
+            numbered = vertices(graph, numbered=True).select(F.col("id").cast(kind).alias("id"), F.col("n").alias("n__"))
+            return done(numbered.join(ids, F.col("n__") == F.col("n"), "left_semi").select("id"))
         if "id" in ids.columns or not {"x", "y"} <= set(ids.columns):
-            return ids.select(F.col("id" if "id" in ids.columns else ids.columns[0]).cast(kind).alias("id"))
+            return done(ids.select(F.col("id" if "id" in ids.columns else ids.columns[0]).cast(kind).alias("id")))
         points = ids.select("x", "y")
     elif ids and all(isinstance(i, tuple | list) and len(i) == 2 for i in ids):
         points = spark.createDataFrame([(float(a), float(b)) for a, b in ids], "x double, y double")
     if points is not None:
         if not graph.is_spatial:
-            raise ValueError("Unable to determine geographical coordinates in from/to")
+            raise ValueError(NO_COORDINATES)
         keyed = points.withColumn("k", F.concat_ws("|", "x", "y"))
-        return match.points_to_vertices(keyed, "k", "x", "y", vertices(graph)).select("id")
-    frame = spark.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("id", kind)]))
-    if len(ids) and frame.join(vertex_ids(graph), "id", "left_anti").limit(1).count():
-        raise ValueError("from/to are not numeric yet can not be matched onto graph vertices")
+        return done(match.points_to_vertices(keyed, "k", "x", "y", vertices(graph)).select(F.col("id").cast(kind).alias("id")))
+    frame = done(spark.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("id", kind)])))
+    if len(ids) and frame.join(everyone, "id", "left_anti").limit(1).count():
+        raise ValueError(NOT_IN_GRAPH)
     return frame
 
 
@@ -133,7 +181,7 @@ def each_target(sources: DataFrame, targets: DataFrame) -> DataFrame:
         ends = pa.array(sent.value, _ARROW[kind])
         for b in batches:
             for source in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array([source.as_py()] * len(ends), _ARROW[kind]), ends], names=["from_id", "to_id"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(source, len(ends)), ends], names=["from_id", "to_id"])
 
     return spread(sources, "id").mapInArrow(run, T.StructType([T.StructField("from_id", kind), T.StructField("to_id", kind)]))
 
@@ -163,34 +211,38 @@ def tree_loop(edges: DataFrame, sources: DataFrame, limit: float | None = None,
         both = state.select("source", "vertex", "l", (F.col("fresh") & ~F.col("go")).alias("fresh")).unionByName(step)
         old, labels = (state, labels), materialize(both.groupBy("source", "vertex").agg(F.min(F.struct("l", "fresh")).alias("m")).select("source", "vertex", "m.l", "m.fresh"))
         forget(*old)
+    else:
+        raise RuntimeError(f"routes are still open after {max_rounds} rounds")
     out = labels.select("source", "vertex", "l.*")
     return out if limit is None else out.where(F.col("d") <= limit)
 
 
-def _tree_batch(csr: Csr, kind: T.DataType, ord_kind: T.DataType, source, tree: Tree) -> pa.RecordBatch:
-    n = len(tree.v)
-    prev = [None if p < 0 else csr.names[p] for p in tree.prev.tolist()]
-    edge = [None if k < 0 else csr.ord[k] for k in tree.edge.tolist()]
-    return pa.RecordBatch.from_arrays([id_array(kind, np.array([source] * n, dtype=csr.names.dtype)), id_array(kind, csr.names[tree.v]), pa.array(tree.w), pa.array(tree.d), pa.array(tree.hops), pa.array(prev, _ARROW[kind]), pa.array(edge, _ARROW[ord_kind])], names=["source", "vertex", "w", "d", "hops", "prev", "edge"])
+def _tree_batch(g: Csr, kind: T.DataType, source, tree: Tree) -> pa.RecordBatch:
+    ids = [pa.repeat(pa.scalar(source, _ARROW[kind]), len(tree.v)), g.id_of(tree.v)]
+    numbers = [pa.array(tree.w), pa.array(tree.d), pa.array(tree.hops)]
+    return pa.RecordBatch.from_arrays([*ids, *numbers, g.id_of(tree.prev), g.edge_of(tree.edge)], names=["source", "vertex", "w", "d", "hops", "prev", "edge"])
 
 
 def trees(graph: Graph, sources: DataFrame | list | None = None, limit: float | None = None, weight: str = "d_weighted", length: str = "d", strategy: str = "auto") -> DataFrame:
-    """The best routes from each source to every vertex that it reaches (within ``limit`` of length): one row per source and vertex with the route's weight, length, edges and last step."""
-    edges = graph.standard(weight, length)
-    wanted = endpoints(graph, sources).where("id is not null").distinct()
+    """The best routes from each source to every vertex that it reaches (within ``limit`` of length).
+
+    One row per source and vertex with the route's weight, length, edges and last step. In graphs with compound junctions the rows are of the graph's own vertices.
+    """
+    edges, everyone = prepared(graph, weight, length)
+    wanted = endpoints(graph, sources, everyone, "start").where("id is not null")
     if not fits_kernel(edges, strategy):
         return tree_loop(edges, wanted, limit)
     csr, _ = load(edges)
-    kind, ord_kind = wanted.schema["id"].dataType, edges.schema["ord"].dataType
+    kind = wanted.schema["id"].dataType
 
     def work(g: Csr, ids: list) -> Iterator[pa.RecordBatch]:
-        for source, at in zip(ids, g.index(ids).tolist()):
-            if at >= 0:
-                tree = g.search(at, limit=limit)
-                if limit is not None:
-                    near = tree.d <= limit
-                    tree = Tree(*[getattr(tree, f)[near] for f in ("v", "w", "d", "hops", "prev", "edge")])
-                yield _tree_batch(g, kind, ord_kind, source, tree)
+        place = {k: i for i, k in zip(ids, g.index(ids).tolist()) if k >= 0}
+        found = g.searches(list(place)) if limit is None else ((k, g.search(k, limit=limit)) for k in place)
+        for k, tree in found:
+            if limit is not None:
+                near = tree.d <= limit
+                tree = Tree(*[getattr(tree, f)[near] for f in ("v", "w", "d", "hops", "prev", "edge")])
+            yield _tree_batch(g, kind, place[k], tree)
 
     fields = [("source", kind), ("vertex", kind), ("w", T.DoubleType()), ("d", T.DoubleType()), ("hops", T.LongType()), ("prev", kind), ("edge", edges.schema["ord"].dataType)]
     return per_source(graph.edges.sparkSession, csr, spread(wanted, "id"), work, T.StructType([T.StructField(*f) for f in fields]))
@@ -199,19 +251,20 @@ def trees(graph: Graph, sources: DataFrame | list | None = None, limit: float |
 def dists(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strategy: str = "auto", length: str = "d", weight: str | None = None) -> DataFrame:
     """(``from_id``, ``to_id``, ``d``): the length of the best route for each source and target, null where there is none, 0 from a vertex to itself.
 
-    Routes have the least ``d_weighted`` (``shortest``) or the least ``time_weighted``; of equal ones the shorter. Ids that aren't in the graph are an error in lists, and unreachable in frames. Repeated ids give one row a pair.
-    If there are more sources than targets the graph is turned round and searched from the targets.
+    Routes have the least ``d_weighted`` (``shortest``) or the least ``time_weighted``; of equal ones the shorter. Ids that aren't in the graph
+    are an error in lists, and unreachable in frames. Repeated ids give one row a pair. If there are more sources than targets the graph is
+    turned round and searched from the targets. In graphs with compound junctions ids are those of the plain graph.
     """
     weight = weight or ("d_weighted" if shortest else "time_weighted")
     if weight == "time_weighted":
-        graph.require(weight, "Graph does not contain a weighted time column from which to calculate fastest paths.")
-    sources, targets = endpoints(graph, from_ids).distinct(), endpoints(graph, to_ids).distinct()
-    edges = graph.standard(weight, length)
+        graph.require(weight, NO_WEIGHTED_TIME)
+    edges, everyone = prepared(graph, weight, length)
+    sources, targets = endpoints(graph, from_ids, everyone, "start"), endpoints(graph, to_ids, everyone, "end")
     to_list = few(targets) if fits_kernel(edges, strategy) else None
     if to_list is None:
         reached = tree_loop(edges, sources)
         got = reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"), "d")
-        return each_target(sources, targets).join(got, ["from_id", "to_id"], "left")
+        return plain_ends(graph, each_target(sources, targets).join(got, ["from_id", "to_id"], "left"))
     turned = False
     if from_ids is not None and len(to_list) < (n_from := sources.limit(len(to_list) + 1).count()) and (from_list := few(sources)) is not None:
         edges = edges.select("ord", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "w", "d")
@@ -219,11 +272,12 @@ def dists(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strat
     csr, _ = load(edges)
     kind = sources.schema["id"].dataType
     names = ["to_id", "from_id"] if turned else ["from_id", "to_id"]
+    same = {v: i for i, v in enumerate(to_list)}
+    columns = pa.array(to_list, _ARROW[kind])
 
     def work(g: Csr, ids: list) -> Iterator[pa.RecordBatch]:
-        ends = g.index(to_list)
+        ends = g.index(columns)
         known = ends[ends >= 0].tolist()
-        columns = id_array(kind, np.array(to_list, dtype=g.names.dtype if g.n else None))
         at = g.index(ids)
         place = dict(zip(at.tolist(), ids))
         missing = [(i, None) for i, k in zip(ids, at.tolist()) if k < 0]
@@ -234,16 +288,16 @@ def dists(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strat
             found = d[ends]
             if source in same:
                 found[same[source]] = 0.0
-            yield pa.RecordBatch.from_arrays([id_array(kind, np.array([source] * len(to_list), dtype=object)), columns, pa.array(found, mask=np.isnan(found))], names=[*names, "d"])
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(source, _ARROW[kind]), len(columns)), columns, pa.array(found, mask=np.isnan(found))], names=[*names, "d"])
 
-    same = {v: i for i, v in enumerate(to_list)}
-    out = per_source(graph.edges.sparkSession, csr, spread(sources, "id"), work, T.StructType([T.StructField(names[0], kind), T.StructField(names[1], kind), T.StructField("d", T.DoubleType())]))
-    return out.select("from_id", "to_id", "d")
+    fields = [T.StructField(names[0], kind), T.StructField(names[1], kind), T.StructField("d", T.DoubleType())]
+    out = per_source(graph.edges.sparkSession, csr, spread(sources, "id"), work, T.StructType(fields))
+    return plain_ends(graph, out.select("from_id", "to_id", "d"))
 
 
 def times(graph: Graph, from_ids=None, to_ids=None, shortest: bool = False, strategy: str = "auto") -> DataFrame:
     """As ``dists``, of travel times (column ``time``): along the fastest routes, or with ``shortest`` along the routes of least weighted distance."""
-    graph.require("time", "Graph does not contain a time column.")
+    graph.require("time", NO_TIME)
     return dists(graph, from_ids, to_ids, shortest, strategy, length="time").withColumnRenamed("d", "time")
 
 
@@ -251,9 +305,10 @@ def dists_pairwise(graph: Graph, pairs: DataFrame, shortest: bool = True, strate
     """``pairs`` (``from_id``, ``to_id``, and whatever else) with the length ``d`` of each pair's best route (``d_`` if there is such a column). Each source is searched once, for its own targets only; a source with many pairs is one search."""
     weight = "d_weighted" if shortest else "time_weighted"
     name = "d" if "d" not in {c.lower() for c in pairs.columns} else "d_"
-    edges = graph.standard(weight, length)
-    wanted = pairs.select("from_id", "to_id").where("from_id is not null and to_id is not null").distinct()
+    edges, everyone = prepared(graph, weight, length)
     kind = edges.schema["from_id"].dataType
+    asked = pairs.select(F.col("from_id").cast(kind).alias("from_id"), F.col("to_id").cast(kind).alias("to_id")).where("from_id is not null and to_id is not null").distinct()
+    wanted = ends_of(graph, ends_of(graph, asked, "from_id", "start", everyone), "to_id", "end", everyone)
     if fits_kernel(edges, strategy):
         csr, _ = load(edges)
         sent = graph.edges.sparkSession.sparkContext.broadcast(csr)
@@ -271,25 +326,27 @@ def dists_pairwise(graph: Graph, pairs: DataFrame, shortest: bool = True, strate
                 if tree is not None:
                     d[tree.v] = tree.d
                 found = np.where([z == a for z in ends], 0.0, d[to])
-                yield pa.RecordBatch.from_arrays([id_array(kind, np.array([a] * len(ends), dtype=object)), id_array(kind, np.array(ends, dtype=object)), pa.array(found, mask=np.isnan(found))], names=["from_id", "to_id", "found__"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(a, _ARROW[kind]), len(ends)), pa.array(ends, _ARROW[kind]), pa.array(found, mask=np.isnan(found))], names=["from_id", "to_id", "d"])
 
-        got = spread(wanted.select(F.col("from_id").cast(kind), F.col("to_id").cast(kind)), "from_id").mapInArrow(run, T.StructType([T.StructField("from_id", kind), T.StructField("to_id", kind), T.StructField("found__", T.DoubleType())]))
+        got = spread(wanted, "from_id").mapInArrow(run, T.StructType([T.StructField("from_id", kind), T.StructField("to_id", kind), T.StructField("d", T.DoubleType())]))
     else:
         reached = tree_loop(edges, wanted.select(F.col("from_id").alias("id")))
-        got = wanted.join(reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"), F.col("d").alias("found__")), ["from_id", "to_id"])
+        got = wanted.join(reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"), "d"), ["from_id", "to_id"])
+    got = plain_ends(graph, got).withColumnRenamed("d", "found__")
     return pairs.join(got, ["from_id", "to_id"], "left").withColumnRenamed("found__", name)
 
 
 def dists_nearest(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strategy: str = "auto") -> DataFrame:
     """(``from_id``, ``to_id``, ``d``): for each source the target whose route has the least weight (of equal ones the shorter route, then the smaller id) and its length; nulls where none can be reached. The search ends at the first target."""
     weight = "d_weighted" if shortest else "time_weighted"
-    edges = graph.standard(weight)
-    sources, targets = endpoints(graph, from_ids).distinct(), endpoints(graph, to_ids).distinct()
+    edges, everyone = prepared(graph, weight)
+    sources, targets = endpoints(graph, from_ids, everyone, "start"), endpoints(graph, to_ids, everyone, "end")
     to_list = few(targets) if fits_kernel(edges, strategy) else None
     if to_list is None:
         reached = tree_loop(edges, sources).join(targets.select(F.col("id").alias("vertex")), "vertex", "left_semi")
         got = reached.groupBy("source").agg(F.min(F.struct("w", "d", "vertex")).alias("m"))
-        return sources.join(got, sources["id"] == got["source"], "left").select(F.col("id").alias("from_id"), F.col("m.vertex").alias("to_id"), F.col("m.d").alias("d"))
+        out = sources.join(got, sources["id"] == got["source"], "left").select(F.col("id").alias("from_id"), F.col("m.vertex").alias("to_id"), F.col("m.d").alias("d"))
+        return plain_ends(graph, out)
     csr, _ = load(edges)
     kind = sources.schema["id"].dataType
 
@@ -306,11 +363,12 @@ def dists_nearest(graph: Graph, from_ids=None, to_ids=None, shortest: bool = Tru
                     full = g.search(at, targets=goals) if _tied(g, tree) else tree
                     hits = [(w, d, v) for w, d, v in zip(full.w.tolist(), full.d.tolist(), full.v.tolist()) if v in goals]
                     w, d, v = min(hits)
-                    best = (g.names[v], d)
+                    best = (g.names[v].as_py(), d)
             out.append((source, *best))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], _ARROW[kind] if i < 2 else pa.float64()) for i in range(3)], names=["from_id", "to_id", "d"])
 
-    return per_source(graph.edges.sparkSession, csr, spread(sources, "id"), work, T.StructType([T.StructField("from_id", kind), T.StructField("to_id", kind), T.StructField("d", T.DoubleType())]))
+    fields = [T.StructField("from_id", kind), T.StructField("to_id", kind), T.StructField("d", T.DoubleType())]
+    return plain_ends(graph, per_source(graph.edges.sparkSession, csr, spread(sources, "id"), work, T.StructType(fields)))
 
 
 def _tied(g: Csr, tree: Tree) -> bool:
@@ -329,13 +387,13 @@ def paths(graph: Graph, from_ids=None, to_ids=None, pairs: DataFrame | None = No
 
     From a vertex to itself the vertices are [v, v] and the edges null; pairs without a route have nulls. Either sources and targets, or ``pairs`` of them.
     """
-    edges = graph.standard(weight)
+    edges, everyone = prepared(graph, weight)
+    kind, ord_kind = edges.schema["from_id"].dataType, edges.schema["ord"].dataType
     if pairs is not None:
-        wanted = pairs.select("from_id", "to_id").where("from_id is not null and to_id is not null").distinct()
+        wanted = pairs.select(F.col("from_id").cast(kind).alias("from_id"), F.col("to_id").cast(kind).alias("to_id")).where("from_id is not null and to_id is not null").distinct()
+        wanted = ends_of(graph, ends_of(graph, wanted, "from_id", "start", everyone), "to_id", "end", everyone)
     else:
-        a, b = endpoints(graph, from_ids).distinct(), endpoints(graph, to_ids).distinct()
-        wanted = each_target(a, b)
-    kind, ord_kind = edges.schema["from_id"].dataType, edges.schema["ord"].dataType
+        wanted = each_target(endpoints(graph, from_ids, everyone, "start"), endpoints(graph, to_ids, everyone, "end"))
     if not fits_kernel(edges, strategy):
         reached = materialize(tree_loop(edges, wanted.select(F.col("from_id").alias("id")).distinct()))
         steps = path_steps_loop(reached, wanted)
@@ -363,14 +421,14 @@ def paths(graph: Graph, from_ids=None, to_ids=None, pairs: DataFrame | None = No
                 if z == a:
                     rows.append((a, z, [a, a], None, 0.0))
                 elif t in found:
-                    rows.append((a, z, g.names[found[t][0]].tolist(), g.ord[found[t][1]].tolist(), d[t]))
+                    rows.append((a, z, g.id_of(found[t][0]).to_pylist(), g.edge_of(found[t][1]).to_pylist(), d[t]))
                 else:
                     rows.append((a, z, None, None, None))
             kinds = [_ARROW[kind], _ARROW[kind], pa.list_(_ARROW[kind]), pa.list_(_ARROW[ord_kind]), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["from_id", "to_id", "vertices", "edges", "d"])
 
     fields = [("from_id", kind), ("to_id", kind), ("vertices", T.ArrayType(kind)), ("edges", T.ArrayType(ord_kind)), ("d", T.DoubleType())]
-    return spread(wanted.select(F.col("from_id").cast(kind), F.col("to_id").cast(kind)), "from_id").mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
+    return spread(wanted, "from_id").mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
 def path_steps_loop(reached: DataFrame, wanted: DataFrame, max_rounds: int = 100_000) -> DataFrame:
@@ -384,6 +442,8 @@ def path_steps_loop(reached: DataFrame, wanted: DataFrame, max_rounds: int = 100
             break
         parts.append(step.select("from_id", "to_id", F.col("hops").alias("pos"), F.col("at").alias("vertex"), "edge"))
         open_ = step.select("from_id", "to_id", F.col("prev").alias("at"))
+    else:
+        raise RuntimeError(f"routes are still open after {max_rounds} rounds")
     if not parts:
         return open_.join(tree, ["from_id", "at"]).select("from_id", "to_id", F.col("hops").alias("pos"), F.col("at").alias("vertex"), "edge").limit(0)
     out = parts[0]
@@ -417,7 +477,7 @@ def categorical_proportions(graph: Graph, category: str, from_ids=None, to_ids=N
 def categorical_within(graph: Graph, category: str, from_ids, limit: float | None, strategy: str = "auto") -> DataFrame:
     """(``from_id``, ``category``, ``d``): for each source, the summed lengths by category of the routes to the first vertices beyond ``limit``: those further than it whose previous vertex is nearer."""
     if limit is None:
-        raise ValueError("'dlimit' must be specified if no 'to' points are given.")
+        raise ValueError(NO_LIMIT)
     reached = materialize(trees(graph, from_ids, strategy=strategy))
     before = reached.select("source", F.col("vertex").alias("prev"), F.col("d").alias("d_prev"))
     first = reached.join(before, ["source", "prev"]).where((F.col("d") > limit) & (F.col("d_prev") < limit)).select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"))

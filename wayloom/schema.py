@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 ROLES = ["edge_id", "from_id", "to_id", "d", "d_weighted", "time", "time_weighted", "from_x", "from_y", "to_x", "to_y", "component"]
 
 
+#: The rows of ``Graph.standard`` that a route can take.
+TRAVELLED = "w is not null and d is not null and not isnan(w) and not isnan(d) and from_id is not null and to_id is not null"
+
+
 def _one(names: list[str], *rules, what: str = "") -> str | None:
     """The name that the first of ``rules`` with any match gives; several matches are an error."""
     for rule in rules:
@@ -94,13 +98,16 @@ class Graph:
     def with_edges(self, edges: DataFrame) -> Graph:
         return replace(self, edges=edges)
 
-    def standard(self, weight: str = "d_weighted", length: str = "d", extra: list[str] | None = None) -> DataFrame:
-        """Only what a search needs: ``ord``, ``from_id``, ``to_id``, ``w``, ``d`` and ``extra``. Edges without a weight or length can't be travelled and are left out; negative ones are an error at run time."""
+    def standard(self, weight: str = "d_weighted", length: str = "d", extra: list[str] | None = None, whole: bool = False) -> DataFrame:
+        """Only what a search needs: ``ord``, ``from_id``, ``to_id``, ``w``, ``d`` and ``extra``.
+
+        Edges without a weight or length can't be travelled and are left out unless ``whole``; negative ones are an error at run time.
+        """
         place = F.col(f"`{self.order}`") if self.order else F.monotonically_increasing_id()
         w, d = self[weight].cast("double"), self[length].cast("double")
         checked = lambda c: F.when(c < 0, F.raise_error(F.lit("negative weights are not allowed")).cast("double")).otherwise(c)
         out = self.edges.select(place.alias("ord"), self["from_id"].alias("from_id"), self["to_id"].alias("to_id"), checked(w).alias("w"), checked(d).alias("d"), *[F.col(f"`{c}`") for c in extra or []])
-        return out.where("w is not null and d is not null and not isnan(w) and not isnan(d) and from_id is not null and to_id is not null")
+        return out if whole else out.where(TRAVELLED)
 
     def require(self, role: str, message: str) -> None:
         if role not in self.roles:
