@@ -196,13 +196,15 @@ class Canonical:
         self.trie, self.table = Trie(vocabulary, table), table
         inner = [c for c, form in table.items() if c > 0x7F and _IS_WORD.fullmatch(form)]
         #: what is replaced before words are cut: blanks, punctuation, what isn't a word when written plainly
-        self.outer = re.compile("[" + _class([c for c in table if c not in set(inner)]) + "]")
-        beyond = _BEYOND + _class(inner)
+        self.outer = re.compile("[" + _class(list(table.keys() - set(inner))) + "]")
+        beyond = _BEYOND + _class([c for c in inner if not _IS_WORD.fullmatch(chr(c))])
         self.tail = re.compile(f"[{beyond}][0-9A-Za-z{beyond}]*+")
         edge = f"0-9A-Za-z{beyond}"
-        alike = "|".join(f"[0-9{''.join(sorted(set(latin)))}]++" for _, latin in SCRIPTS.values())
-        #: ASCII words that may be the look of a word of one other script
-        self.shared = re.compile(f"(?<![{edge}])(?:(?:{alike})(?![{edge}]))")
+        classes = [f"[0-9{''.join(sorted(set(latin)))}]" for _, latin in SCRIPTS.values()]
+        alike = "|".join(f"(?<={c}){c}*+(?![{edge}])" for c in classes)
+        first = f"[0-9{''.join(sorted(_SHARED))}]"
+        #: ASCII words that may be the look of a word of one other script; looked behind after the first letter, for speed
+        self.shared = re.compile(f"{first}(?<![{edge}]{first})(?:{alike})")
         self.known: dict[str, str] = {}
         self.remembered = remembered
 
