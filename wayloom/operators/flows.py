@@ -139,7 +139,8 @@ def centrality(graph: Graph, edges: bool = True, column: str = "d_weighted", ver
     if edges:
         return _with_edges(graph, parts, "centrality")
     names = graph.edges.sparkSession.createDataFrame([(i, v) for i, v in enumerate(csr.names.to_pylist())], T.StructType([T.StructField("edge", T.LongType()), T.StructField("id", ids.schema["id"].dataType)]))
-    return names.join(parts.groupBy("edge").agg(F.sum("flow").alias("centrality")), "edge", "left").select("id", F.coalesce("centrality", F.lit(0.0)).alias("centrality"))
+    sums = names.join(parts.groupBy("edge").agg(F.sum("flow").alias("centrality")), "edge").select("id", "centrality")
+    return ids.join(sums, "id", "left").select("id", F.coalesce("centrality", F.lit(0.0)).alias("centrality"))
 
 
 def estimate_centrality_threshold(graph: Graph, tolerance: float = 1e-3, start: float | None = None, grow: float = 1.1, max_rounds: int = 60) -> float:

@@ -258,11 +258,6 @@ def street_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return structure.deduplicate(fx.streets(spark, d)).edges.select("edge_id", "from_id", "to_id", "d", "d_weighted", "time_weighted")
 
 
-@query()
-def street_components(spark: SparkSession, d: str) -> DataFrame:
-    return structure.components(fx.streets(spark, d)).edges.select("edge_id", "component")
-
-
 @query()
 def street_contract(spark: SparkSession, d: str) -> DataFrame:
     return structure.contract(fx.streets(spark, d))[0].edges.select("edge_id", "from_id", "to_id", "d", "d_weighted")
