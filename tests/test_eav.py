@@ -70,3 +70,9 @@ def test_extra_columns_and_cells(spark, keys):
     rows = table(spark, [("a", "name", "N", 1, None), ("a", "lit", "n", 1, None)]).withColumn("name", F.lit("other")).withColumn("attribute", F.lit(1))
     got = {tuple(r) for r in eav.cells(eav.widen(rows, keys)).collect()}
     assert got == {("a", "name", "N"), ("a", "lit", "false")}
+
+
+def test_numbers_are_rounded_once(spark, keys):
+    t = dt.datetime(2024, 1, 1)
+    out = wide(spark, keys, [("a", "height", "1.00499999999999", 1, t), ("b", "height", "1.005", 1, t)])
+    assert out["a"]["height"] == Decimal("1.00") and out["b"]["height"] == Decimal("1.01")

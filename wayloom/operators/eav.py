@@ -35,7 +35,7 @@ def typed_text(value: Column, dtype: str) -> Column:
         out = F.when(text.rlike(r"^[+-]?\d{1,18}(\.0*)?$"), F.regexp_extract(text, r"^\+?(-?\d+)", 1).try_cast("bigint").cast("string"))
     elif dtype == "num":
         number = F.regexp_extract(text, r"^\+?(-?\d+(?:[.,]\d*)?|-?[.,]\d+)[\s]*(?:%|°|[A-Za-z]{1,8}\.?)?$", 1)
-        out = F.when(number != "", F.regexp_replace(number, ",", ".").try_cast("decimal(38,12)").try_cast("decimal(20,2)").cast("string"))
+        out = F.when(number != "", F.regexp_replace(number, ",", ".").try_cast("decimal(20,2)").cast("string"))
     elif dtype == "bool":
         out = F.when(F.lower(text).isin(TRUE), "true").when(F.lower(text).isin(FALSE), "false")
     elif dtype == "date":
@@ -78,8 +78,9 @@ def discover(keys: DataFrame, max_attributes: int = 5_000) -> list[Attribute]:
 def widen(rows: DataFrame, keys: DataFrame, entity: str = "object_", key: str = "key", value: str = "value", order: tuple[str, ...] = ("rev", "edited_at")) -> DataFrame:
     """One row per entity of ``rows``, with a typed column for each attribute of ``keys``.
 
-    The attribute list and types are read first; then one conditional aggregation per attribute takes, of its usable values, the one with the
-    highest ``order`` columns, the greatest text deciding ties. Partial aggregates are built before the only shuffle, so a hot entity is no problem.
+    The attribute list and types are read first. Duplicates are resolved next: of the usable values of an entity's attribute the one with the
+    highest ``order`` columns counts, the greatest text deciding ties; one narrow aggregate. Then one conditional aggregation per attribute
+    pivots what is left. Both have partial aggregates before their shuffle, so a hot entity is no problem.
     Null keys and keys of no attribute are left out, null values, placeholders and values that don't fit the type are not usable. An entity
     without any usable value keeps a row of nulls; rows without an entity make none. Repeated rows change nothing; no rows give no rows.
     Other columns of ``rows`` are ignored. An attribute named like the entity gets the suffix ``_``.
@@ -93,9 +94,12 @@ def widen(rows: DataFrame, keys: DataFrame, entity: str = "object_", key: str =
     for dtype in sorted({a.dtype for a in attributes}):
         text = F.when(F.col("d_") == dtype, typed_text(F.col("v_"), dtype)).otherwise(text)
     tagged = tagged.join(small(spelled), "k_", "left").withColumn("t_", text)
+    # rows without a usable value only say that the entity is there
+    named = F.when(F.col("t_").isNotNull(), F.col("a_"))
     ranked = F.when(F.col("t_").isNotNull(), F.struct(*[F.col(f"o{j}_") for j in range(len(order))], F.col("t_")))
-    best = [F.max(F.when(F.col("a_") == a.name, ranked)).alias(f"b{i}_") for i, a in enumerate(attributes)]
-    wide = tagged.groupBy("e_").agg(*best) if best else tagged.select("e_").distinct()
+    one = tagged.groupBy("e_", named.alias("a_")).agg(F.max(ranked).alias("b_")).select("e_", "a_", F.col("b_.t_").alias("t_"))
+    best = [F.max(F.when(F.col("a_") == a.name, F.col("t_"))).alias(f"b{i}_") for i, a in enumerate(attributes)]
+    wide = one.groupBy("e_").agg(*best) if best else one.select("e_").distinct()
     taken = {entity.lower()}
     out = [F.col("e_").alias(entity)]
     for i, a in enumerate(attributes):
@@ -103,7 +107,7 @@ def widen(rows: DataFrame, keys: DataFrame, entity: str = "object_", key: str =
         while name.lower() in taken:
             name += "_"
         taken.add(name.lower())
-        out.append(F.col(f"b{i}_.t_").cast(DTYPES[a.dtype]).alias(name))
+        out.append(F.col(f"b{i}_").cast(DTYPES[a.dtype]).alias(name))
     return wide.select(*out)
 
 

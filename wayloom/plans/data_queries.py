@@ -56,18 +56,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_near(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.near_pairs(read(spark, d, "vertex"), "id", "x", "y", 10.0)
+    return spatial.near_pairs(read(spark, d, "vertex"), "id", "x", "y", 10.0).select("key_a", "key_b")
 
 
 def p5_inside(spark: SparkSession, d: str) -> DataFrame:
     starts = read(spark, d, "graph").select("edge_id", "from_lon", "from_lat")
-    return spatial.inside_regions(starts, "edge_id", "from_lon", "from_lat", read(spark, d, "area"), "area_id", "wkt")
+    return spatial.inside_regions(starts, "edge_id", "from_lon", "from_lat", read(spark, d, "area"), "area_id", "wkt").distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     near = p5_near(spark, d).select(F.lit("near").alias("kind"), F.col("key_a"), F.col("key_b"))
     inside = p5_inside(spark, d).select(F.lit("inside").alias("kind"), F.col("edge_id").cast("string").alias("key_a"), F.col("area_id").cast("string").alias("key_b"))
-    return near.unionByName(inside.distinct())
+    return near.unionByName(inside)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_impute, p2_held_out, p3_found, p4_found, p4_speeds, p5_found, p5_near, p5_inside)}
@@ -107,8 +107,41 @@ _INSIDE = (
     "select edge_id, c.area_id from c join seg on seg.area_id=c.area_id where (y1>py)<>(y2>py) and px<(x2-x1)*(py-y1)/(y2-y1)+x1 group by 1,2 having count(*)%2=1"
 )
 
+# The attributes of tag_key and how SQL types them.
+_ATTRIBUTES = {
+    "varchar": ["bicycle", "foot", "highway", "name", "operator", "ref", "smoothness", "surface"],
+    "boolean": ["bridge", "covered", "lit", "oneway", "toll", "tunnel"],
+    "bigint": ["capacity", "lanes", "layer", "step_count"],
+    "decimal(20,2)": ["incline", "width"],
+    "date": ["check_date", "start_date"],
+}
+_WIDE = " select o.object_, " + ", ".join(
+    f"cast(max(case when b.attribute='{a}' then b.item end) as {t}) \"{a}\"" for t, names in _ATTRIBUTES.items() for a in names
+) + " from (select distinct object_ from sc_object where object_ is not null) o left join b on b.object_=o.object_ group by 1"
+
+_CELLS = (
+    "with usable_ as (select edge_id, way_id, {word} item from graph) select g.edge_id, '{field}' field, a.item from (select distinct edge_id, way_id from usable_ where item is null) g "
+    "join (select way_id, min(item) item from usable_ where item is not null group by 1 having count(distinct item)=1) a on a.way_id=g.way_id"
+)
+
+
+def _word(field: str) -> str:
+    low = f"lower(trim(regexp_replace({field},'^\\s+|\\s+$','','g')))"
+    return f"case when {low} not in {_UNKNOWN} then {low} end"
+
+
 ORACLES: dict[str, str] = {
     "p1_found": _TAGS + " select object_, attribute, item from b",
+    "p5_near": f"select key_a, key_b from ({_NEAR}) a",
+    "p5_inside": _INSIDE,
+    "p1_wide": _TAGS + _WIDE,
+    "p2_found": (
+        _CELLS.format(word=_word("highway"), field="highway") + " union all " + _CELLS.format(word=_word("surface"), field="surface") + " union all select * from (" + _SPEEDS
+        + ", m as (select g.edge_id, g.way_id, coalesce(cast(cast(round(y.n*y.mh) as bigint) as varchar), case when not regexp_matches(w.t,'[0-9;|&,/]') and w.t not in " + _UNKNOWN + " then w.t end) item, "
+        "y.edge_id is not null and y.n<=0 or y.edge_id is not null and y.mh is null or trim(coalesce(lower(g.maxspeed),''),' ;|&,/\"') in " + _UNKNOWN + " vacant "
+        "from graph g left join (select distinct edge_id, n, mh from y) y on y.edge_id=g.edge_id left join (select distinct edge_id, trim(lower(maxspeed),' ;\"') t from graph) w on w.edge_id=g.edge_id) "
+        "select c.edge_id, 'maxspeed' field, a.item from (select distinct edge_id, way_id from m where vacant) c join (select way_id, min(item) item from m where item is not null and not vacant group by 1 having count(distinct item)=1) a on a.way_id=c.way_id) z"
+    ),
     "p4_found": _SPEEDS + " select distinct edge_id, cast(round(n*mh) as bigint) speed_mh from y where mh is not null and mh<>1000 and n>0",
     "p5_found": f"select 'near' kind, key_a, key_b from ({_NEAR}) a union all select 'inside', cast(edge_id as varchar), area_id from ({_INSIDE}) b",
 }
