@@ -92,7 +92,7 @@ _SPEEDS = (
     "('metrespersecond',3600),('kn',1852),('kt',1852),('kts',1852),('knots',1852),('fps',1097.28),('ft/s',1097.28),('feetpersecond',1097.28),('m/min',60),('metres/min',60),('mpermin',60)), "
     "g as (select edge_id, feed, regexp_replace(trim(replace(lower(maxspeed),' ',''),';\"'),'^max','') t from graph where not regexp_matches(maxspeed,',\\s')), "
     "x as (select edge_id, feed, regexp_extract(t,'^([a-z./]*)([0-9]+([.,][0-9]+)?)([a-z./]*)$',2) n, regexp_extract(t,'^([a-z./]*)([0-9]+([.,][0-9]+)?)([a-z./]*)$',1)||regexp_extract(t,'^([a-z./]*)([0-9]+([.,][0-9]+)?)([a-z./]*)$',4) unit from g), "
-    "y as (select x.edge_id, cast(replace(x.n,',','.') as decimal(18,4)) n, coalesce(u.mh, case when x.unit='' then w.mh*cast(f.scale as decimal(9,3)) end) mh from x left join u on u.u=x.unit left join feed f on f.feed=x.feed left join u w on w.u=f.unit where x.n<>'')"
+    "y as (select x.edge_id, x.unit, cast(replace(x.n,',','.') as decimal(18,4)) n, coalesce(u.mh, case when x.unit='' then w.mh*cast(f.scale as decimal(9,3)) end) mh from x left join u on u.u=x.unit left join feed f on f.feed=x.feed left join u w on w.u=f.unit where x.n<>'')"
 )
 _NEAR = (
     "with v as (select distinct id, x, y from vertex where id is not null and x between -180 and 180 and y between -90 and 90) select distinct a.id key_a, b.id key_b from v a join v b on b.y between a.y-0.00009 and a.y+0.00009 and a.id<b.id "
@@ -136,10 +136,10 @@ ORACLES: dict[str, str] = {
     "p5_inside": _INSIDE,
     "p1_wide": _TAGS + _WIDE,
     "p2_found": (
-        _CELLS.format(word=_word("highway"), field="highway") + " union all " + _CELLS.format(word=_word("surface"), field="surface") + " union all select * from (" + _SPEEDS
+        "select * from (" + _CELLS.format(word=_word("highway"), field="highway") + ") h_ union all select * from (" + _CELLS.format(word=_word("surface"), field="surface") + ") s_ union all select * from (" + _SPEEDS
         + ", m as (select g.edge_id, g.way_id, coalesce(cast(cast(round(y.n*y.mh) as bigint) as varchar), case when not regexp_matches(w.t,'[0-9;|&,/]') and w.t not in " + _UNKNOWN + " then w.t end) item, "
-        "y.edge_id is not null and y.n<=0 or y.edge_id is not null and y.mh is null or trim(coalesce(lower(g.maxspeed),''),' ;|&,/\"') in " + _UNKNOWN + " vacant "
-        "from graph g left join (select distinct edge_id, n, mh from y) y on y.edge_id=g.edge_id left join (select distinct edge_id, trim(lower(maxspeed),' ;\"') t from graph) w on w.edge_id=g.edge_id) "
+        "y.edge_id is not null and (y.n<=0 or y.mh is null and y.unit='') or regexp_full_match(w.t,'[-+]0*[0-9.]+') or trim(coalesce(lower(g.maxspeed),''),' ;|&,/\"') in " + _UNKNOWN + " vacant "
+        "from graph g left join (select distinct edge_id, unit, n, mh from y) y on y.edge_id=g.edge_id left join (select distinct edge_id, trim(lower(maxspeed),' ;\"') t from graph) w on w.edge_id=g.edge_id) "
         "select c.edge_id, 'maxspeed' field, a.item from (select distinct edge_id, way_id from m where vacant) c join (select way_id, min(item) item from m where item is not null and not vacant group by 1 having count(distinct item)=1) a on a.way_id=c.way_id) z"
     ),
     "p4_found": _SPEEDS + " select distinct edge_id, cast(round(n*mh) as bigint) speed_mh from y where mh is not null and mh<>1000 and n>0",
