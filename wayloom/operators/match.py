@@ -3,78 +3,156 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from wayloom.operators.spatial import LEAF_POINTS, TASK_POINTS, QuadTree, RTree, _cells, _held, _sample
 from wayloom.schema import Graph
 from wayloom.session import materialize
 
 
-def _nearest(points: DataFrame, things: DataFrame, cells: Column, distance: Column, rank: Column, keep: list[str], size: float, max_rounds: int = 64) -> DataFrame:
-    """For each row of ``points`` (``pid``, ``px``, ``py``) the row of ``things`` with the least (``distance``, ``rank``): an equi-join on grid cells, the points' cell and its eight neighbours. A best distance
-    within one cell's size is final; the other points go on with cells of twice the size, so neither side is broadcast or compared in full."""
-    found, open_ = None, points
-    for _ in range(max_rounds):
-        s = F.lit(size)
-        around = F.array(*[F.struct((F.floor(F.col("px") / s) + i).alias("i"), (F.floor(F.col("py") / s) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        a = open_.select("pid", "px", "py", F.inline(around))
-        b = things.select("*", F.inline(cells(s)))
-        best = a.join(b, ["i", "j"]).withColumn("dist2", distance).where("dist2 is not null").groupBy("pid").agg(F.min(F.struct("dist2", rank.alias("rank_"), *keep)).alias("m"))
-        best = materialize(open_.join(best, "pid", "left"))
-        done = best.where(F.col("m.dist2") <= s * s).select("pid", "px", "py", "m")
-        found = done if found is None else found.unionByName(done)
-        open_ = best.where(F.coalesce(F.col("m.dist2") > s * s, F.lit(True))).select("pid", "px", "py")
-        if not open_.limit(1).count():
-            break
-        size *= 2
-    return found.select("pid", "px", "py", "m.*")
+def _distance2(px: np.ndarray, py: np.ndarray, fx: np.ndarray, fy: np.ndarray, tx: np.ndarray, ty: np.ndarray) -> np.ndarray:
+    """Squared planar distance of points to line segments, which may be points."""
+    dx, dy = tx - fx, ty - fy
+    length = dx * dx + dy * dy
+    u = np.clip(((px - fx) * dx + (py - fy) * dy) / np.where(length > 0, length, 1.0), 0.0, 1.0)
+    x, y = px - fx - u * dx, py - fy - u * dy
+    return x * x + y * y
+
+
+def _nearest(points: DataFrame, things: DataFrame, leaf_things: int = LEAF_POINTS) -> DataFrame:
+    """(``pid``, ``px``, ``py``, ``d2``, ``tid``, ``fx``, ``fy``, ``tx``, ``ty``, ``flag``): for each of ``points`` (``pid``, ``px``, ``py``) the nearest of ``things`` (``tid``, the two ends of a segment, and a ``flag`` that is carried along), of equal ones the smallest ``tid``.
+
+    A quadtree grown on a sample of the things cuts the plane. The nearest thing of the sample bounds each point's distance, so the point
+    goes to the leaves that a circle of that size touches, and a thing to those that its box touches. In a leaf the bound is tightened by
+    a way down the R-tree of its things, and all within it are compared. The best of a point's leaves is the answer: exact, with one shuffle of both sides
+    and one of the candidates. Leaves with far too many points are cut into parts, each with the things of its leaf.
+    """
+    sx, sy, n_things = _sample(things, "fx", "fy")
+    px, py, n_points = _sample(points, "px", "py")
+    kinds = points.schema["pid"].dataType, things.schema["tid"].dataType
+    box = things.agg(F.min(F.least("fx", "tx")), F.min(F.least("fy", "ty")), F.max(F.greatest("fx", "tx")), F.max(F.greatest("fy", "ty"))).first()
+    grow = max(1e-9, 1e-9 * max(abs(v) for v in box))
+    world = (box[0] - grow, box[1] - grow, box[2] + grow, box[3] + grow)
+    tree = QuadTree.of_sample(sx, sy, leaf_things / max(1.0, n_things / len(sx)), least=max(1e-9, (world[2] - world[0]) * 1e-6), world=world)
+    asked = np.bincount(tree.owner(px, py), minlength=len(tree.weights())) * max(1.0, n_points / max(1, len(px)))
+    parts = np.maximum(1, np.ceil(asked / (4 * LEAF_POINTS))).astype(int)
+    tasks = max(1, math.ceil(1.2 * (n_things + n_points) / TASK_POINTS))
+    known = np.stack([sx, sy], 1)
+
+    def place_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, seen = RTree(known[:, 0], known[:, 1], known[:, 0], known[:, 1]), 0
+        for b in batches:
+            x, y = b.column(1).to_numpy(), b.column(2).to_numpy()
+            at = near.near_one(x, y)
+            r = np.hypot(x - known[at, 0], y - known[at, 1]) * (1 + 1e-9) + 1e-12
+            i, leaf = tree.touched(x - r, y - r, x + r, y + r)
+            part = (i + seen) % parts[leaf]
+            seen += len(x)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(part, pa.int32()), *b.take(pa.array(i)).columns, pa.array(r[i])], names=["leaf", "part", "pid", "px", "py", "r"])
+
+    def place_things(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fx, fy, tx, ty = (b.column(k).to_numpy() for k in range(1, 5))
+            i, leaf = tree.touched(np.minimum(fx, tx), np.minimum(fy, ty), np.maximum(fx, tx), np.maximum(fy, ty))
+            rep = np.repeat(np.arange(len(i)), parts[leaf])
+            part = np.arange(len(rep)) - np.repeat(np.cumsum(parts[leaf]) - parts[leaf], parts[leaf])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[rep], pa.int32()), pa.array(part, pa.int32()), *b.take(pa.array(i[rep])).columns], names=["leaf", "part", "tid", "fx", "fy", "tx", "ty", "flag"])
+
+    number = lambda *names: [T.StructField(c, T.DoubleType()) for c in names]
+    cell = [T.StructField("leaf", T.IntegerType()), T.StructField("part", T.IntegerType())]
+    point, thing = T.StructField("pid", kinds[0]), T.StructField("tid", kinds[1])
+    a = points.select("pid", "px", "py").mapInArrow(place_points, T.StructType([*cell, point, *number("px", "py", "r")]))
+    b = things.select("tid", "fx", "fy", "tx", "ty", "flag").mapInArrow(place_things, T.StructType([*cell, thing, *number("fx", "fy", "tx", "ty", "flag")]))
+    found = T.StructType([point, *number("px", "py", "d2"), thing, *number("fx", "fy", "tx", "ty", "flag")])
+    target = to_arrow_schema(found)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _held(batches)
+        if table is None:
+            return
+        x, y, r = (table[c].to_numpy() for c in ("px", "py", "r"))
+        ends = [table[c].to_numpy() for c in ("fx", "fy", "tx", "ty", "flag")]
+        is_point = ~np.isnan(r)
+        order = pc.sort_indices(table["tid"]).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        for at in _cells(table["leaf"].to_numpy(), table["part"].to_numpy()):
+            who, what = at[is_point[at]], at[~is_point[at]]
+            if not len(who) or not len(what):
+                continue
+            fx, fy, tx, ty = (c[what] for c in ends[:4])
+            near = RTree(np.minimum(fx, tx), np.minimum(fy, ty), np.maximum(fx, tx), np.maximum(fy, ty))
+            for start in range(0, len(who), 4096):
+                w = who[start : start + 4096]
+                one = near.near_one(x[w], y[w])
+                bound = np.sqrt(_distance2(x[w], y[w], fx[one], fy[one], tx[one], ty[one])) * (1 + 1e-9) + 1e-12
+                bound = np.minimum(bound, r[w])
+                q, e = near.query(x[w] - bound, y[w] - bound, x[w] + bound, y[w] + bound)
+                d2 = _distance2(x[w[q]], y[w[q]], fx[e], fy[e], tx[e], ty[e])
+                best = np.lexsort((rank[what[e]], d2, q))
+                best = best[np.concatenate([[True], np.diff(q[best]) != 0])] if len(best) else best
+                p, t = w[q[best]], what[e[best]]
+                columns = [table["pid"].take(pa.array(p)).combine_chunks(), pa.array(x[p]), pa.array(y[p]), pa.array(d2[best]), table["tid"].take(pa.array(t)).combine_chunks(), *[pa.array(c[t]) for c in ends]]
+                yield pa.RecordBatch.from_arrays(columns, names=target.names).cast(target)
+
+    both = a.unionByName(b, allowMissingColumns=True)
+    got = both.repartition(tasks, "leaf", "part").select("leaf", "part", "pid", "px", "py", "r", "tid", "fx", "fy", "tx", "ty", "flag").mapInArrow(probe, found)
+    best = got.groupBy("pid", "px", "py").agg(F.min(F.struct("d2", "tid", "fx", "fy", "tx", "ty", "flag")).alias("m"))
+    return best.select("pid", "px", "py", "m.*")
 
 
 def _points(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    ok = lambda c: c.isNotNull() & ~F.isnan(c)
-    return points.select(F.col(key).alias("pid"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where(ok(F.col("px")) & ok(F.col("py")) & F.col("pid").isNotNull()).distinct()
+    out = points.select(F.col(key).alias("pid"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
+    return out.where(_finite("px") & _finite("py") & F.col("pid").isNotNull()).distinct()
 
 
-def _cell_size(things: DataFrame, x: str, y: str) -> float:
-    r = things.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count(F.lit(1)).alias("n")).first()
-    if not r["n"]:
-        return 0.0
-    area = max((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), 1e-18)
-    return max(math.sqrt(area / r["n"]), 1e-9)
+def _finite(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < 1e300)
 
 
 def points_to_vertices(points: DataFrame, key: str, x: str, y: str, vertices: DataFrame, connected: bool = False) -> DataFrame:
-    """(``key``, ``id``, ``dist``): the nearest vertex (``id``, ``x``, ``y``, and ``component`` for ``connected``, which restricts to component 1) of each point, by planar distance, of equal ones the smallest id. Points and vertices without coordinates take no part."""
+    """(``key``, ``id``, ``dist``): the nearest vertex of each point, by planar distance, of equal ones the smallest id.
+
+    ``vertices``: ``id``, ``x``, ``y``, and ``component`` for ``connected``, which restricts them to component 1. Points and vertices without
+    finite coordinates take no part; repeated points count once.
+    """
     v = vertices.where("component = 1") if connected else vertices
-    v = materialize(v.select(F.col("id").alias("vid"), F.col("x").cast("double").alias("vx"), F.col("y").cast("double").alias("vy")).where("vid is not null and vx is not null and vy is not null and not isnan(vx) and not isnan(vy)"))
-    size = _cell_size(v, "vx", "vy")
-    pts = _points(points, key, x, y)
-    if not size:
+    v = v.select(F.col("id").alias("tid"), F.col("x").cast("double").alias("fx"), F.col("y").cast("double").alias("fy"))
+    v = materialize(v.where(F.col("tid").isNotNull() & _finite("fx") & _finite("fy")).withColumns({"tx": F.col("fx"), "ty": F.col("fy"), "flag": F.lit(0.0)}))
+    pts = materialize(_points(points, key, x, y))
+    if not v.limit(1).count():
         return pts.select(F.col("pid").alias(key), F.lit(None).cast(vertices.schema["id"].dataType).alias("id"), F.lit(None).cast("double").alias("dist")).limit(0)
-    d2 = F.pow(F.col("px") - F.col("vx"), 2) + F.pow(F.col("py") - F.col("vy"), 2)
-    one = lambda s: F.array(F.struct(F.floor(F.col("vx") / s).alias("i"), F.floor(F.col("vy") / s).alias("j")))
-    return _nearest(pts, v, one, d2, F.col("vid"), ["vid"], size).select(F.col("pid").alias(key), F.col("vid").alias("id"), F.sqrt("dist2").alias("dist"))
+    return _nearest(pts, v).select(F.col("pid").alias(key), F.col("tid").alias("id"), F.sqrt("d2").alias("dist"))
 
 
 def points_to_edges(points: DataFrame, key: str, x: str, y: str, graph: Graph) -> DataFrame:
-    """(``key``, ``edge``, ``d_signed``, ``x``, ``y``): the nearest edge (by the graph's order column, the first of equal ones) of each point, the foot on it, and the planar distance, negative on the left of the edge. Edges of no length never match."""
-    e = graph.edges.select(F.col(f"`{graph.order}`").alias("edge"), *[graph[f"{end}_{a}"].cast("double").alias(f"{end[0]}{a}") for end in ("from", "to") for a in "xy"])
-    e = materialize(e.where("fx is not null and fy is not null and tx is not null and ty is not null and (fx <> tx or fy <> ty)"))
-    pts = _points(points, key, x, y)
-    r = e.select(F.avg(F.greatest(F.abs(F.col("tx") - F.col("fx")), F.abs(F.col("ty") - F.col("fy"))))).first()[0]
-    size = max(_cell_size(e, "fx", "fy"), r or 0.0)
+    """(``key``, ``edge``, ``d_signed``, ``x``, ``y``): the nearest edge of each point, the foot on it, and the planar distance, negative on the left of the edge.
+
+    Edges are named by the graph's order column, of equal ones the first. Edges of no length or without finite coordinates never match.
+    """
+    e = graph.edges.select(F.col(f"`{graph.order}`").alias("tid"), *[graph[f"{end}_{a}"].cast("double").alias(f"{end[0]}{a}") for end in ("from", "to") for a in "xy"])
+    e = materialize(e.where(_finite("fx") & _finite("fy") & _finite("tx") & _finite("ty") & F.col("tid").isNotNull()).where("fx <> tx or fy <> ty"))
+    # both directions of a street are measured from the same end, so that they are equally far
+    back = F.struct("fx", "fy") > F.struct("tx", "ty")
+    swap = {a: F.when(back, F.col(b)).otherwise(F.col(a)) for a, b in (("fx", "tx"), ("fy", "ty"), ("tx", "fx"), ("ty", "fy"))}
+    things = e.select("tid", *[c.alias(a) for a, c in swap.items()], F.when(back, -1.0).otherwise(1.0).alias("flag"))
+    pts = materialize(_points(points, key, x, y))
+    if not e.limit(1).count():
+        return pts.select(F.col("pid").alias(key), F.lit(0).cast("bigint").alias("edge"), F.lit(0.0).alias("d_signed"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).limit(0)
+    got = _nearest(pts, things)
     dx, dy = F.col("tx") - F.col("fx"), F.col("ty") - F.col("fy")
     u = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("px") - F.col("fx")) * dx + (F.col("py") - F.col("fy")) * dy) / (dx * dx + dy * dy)))
-    foot_x, foot_y = F.col("fx") + u * dx, F.col("fy") + u * dy
-    d2 = F.pow(F.col("px") - foot_x, 2) + F.pow(F.col("py") - foot_y, 2)
-    span = lambda a, b, s: F.sequence(F.floor(F.least(a, b) / s), F.floor(F.greatest(a, b) / s))
-    covered = lambda s: F.flatten(F.transform(span(F.col("fx"), F.col("tx"), s), lambda i: F.transform(span(F.col("fy"), F.col("ty"), s), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    if not size:
-        return pts.select(F.col("pid").alias(key), F.lit(0).cast("bigint").alias("edge"), F.lit(0.0).alias("d_signed"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).limit(0)
-    got = _nearest(pts, e, covered, d2, F.col("edge"), ["edge", "fx", "fy", "tx", "ty"], size)
     cross = dx * (F.col("py") - F.col("fy")) - dy * (F.col("px") - F.col("fx"))
-    return got.select(F.col("pid").alias(key), "edge", (-F.signum(cross) * F.sqrt("dist2")).alias("d_signed"), foot_x.alias("x"), foot_y.alias("y"))
+    signed = -F.signum(cross) * F.col("flag") * F.sqrt("d2")
+    return got.select(F.col("pid").alias(key), F.col("tid").alias("edge"), signed.alias("d_signed"), (F.col("fx") + u * dx).alias("x"), (F.col("fy") + u * dy).alias("y"))
 
 
 def add_nodes(graph: Graph, points: DataFrame, key: str, x: str, y: str, dist_tol: float = 1e-6, intersections_only: bool = False) -> Graph:

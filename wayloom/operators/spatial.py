@@ -116,6 +116,20 @@ class RTree:
                 q, e = q[e < below], e[e < below]
         return q, self.order[e]
 
+    def near_one(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each point an entry that is likely to be near: down the tree by the nearest box. Its distance bounds that of the nearest."""
+        e = np.zeros(len(x), int)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            boxes = self.levels[depth]
+            last = depth == len(self.levels) - 1
+            below = np.tile(np.arange(len(boxes)), (len(x), 1)) if last else e[:, None] * self.fan + np.arange(self.fan)
+            b = boxes[np.minimum(below, len(boxes) - 1)]
+            gap_x = np.maximum(0, np.maximum(b[..., 0] - x[:, None], x[:, None] - b[..., 2]))
+            gap_y = np.maximum(0, np.maximum(b[..., 1] - y[:, None], y[:, None] - b[..., 3]))
+            far = np.where(below < len(boxes), gap_x * gap_x + gap_y * gap_y, np.inf)
+            e = below[np.arange(len(x)), far.argmin(1)]
+        return self.order[e]
+
 
 def great_circle(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
     """Metres on the sphere, by the haversine formula."""

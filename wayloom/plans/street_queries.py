@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.operators import flows, iso, routing, structure
+from wayloom.operators import flows, iso, match, routing, structure
 from wayloom.plans import fixtures as fx
 from wayloom.schema import Graph
 from wayloom.session import read
@@ -179,3 +179,35 @@ def street_cycle_rank(spark: SparkSession, d: str) -> DataFrame:
     from wayloom.operators import cycles
 
     return cycles.cycle_rank(fx.streets(spark, d))
+
+
+_POINTS = "p as (select distinct cast(edge_id as bigint) k, from_lon+((edge_id*7919)%1000-500)/1e6 px, from_lat+((edge_id*104729)%1000-500)/1e6 py from graph where edge_id%20=0 and from_lon is not null and from_lat is not null and not isnan(from_lon) and not isnan(from_lat))"
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    """Places a little beside the starts of the edges whose id is divisible by 20, matched against all of the network."""
+    k = F.col("edge_id").cast("bigint")
+    g = read(spark, d, "graph").where("edge_id % 20 = 0 and from_lon is not null and from_lat is not null and not isnan(from_lon) and not isnan(from_lat)")
+    return g.select(k.alias("k"), (F.col("from_lon") + ((k * 7919) % 1000 - 500) / 1e6).alias("px"), (F.col("from_lat") + ((k * 104729) % 1000 - 500) / 1e6).alias("py")).distinct()
+
+
+@query(
+    f"with {_POINTS}, v as (select distinct id, x, y from vertex where id is not null and x is not null and y is not null and not isnan(x) and not isnan(y)), "
+    "m as (select k, min({'d': (px-x)*(px-x)+(py-y)*(py-y), 'id': id}) m from p join v on abs(px-x)<=0.05 and abs(py-y)<=0.05 group by 1) select k, m.id id, round(sqrt(m.d), 9) dist from m"
+)
+def street_match_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """All of the points have a vertex within the SQL's box: that of their own edge."""
+    v = read(spark, d, "vertex").select("id", "x", "y")
+    return match.points_to_vertices(points(spark, d), "k", "px", "py", v).withColumn("dist", F.round("dist", 9))
+
+
+@query(
+    f"with {_POINTS}, s as (select edge_id e, (from_lon, from_lat) > (to_lon, to_lat) back, from_lon a1, from_lat b1, to_lon a2, to_lat b2 from ({fx.SQL_STREETS}) q where from_lon is not null and from_lat is not null and to_lon is not null and to_lat is not null and (from_lon<>to_lon or from_lat<>to_lat)), "
+    "o as (select e, case when back then -1 else 1 end way, case when back then a2 else a1 end fx, case when back then b2 else b1 end fy, case when back then a1 else a2 end tx, case when back then b1 else b2 end ty from s), "
+    "u as (select k, e, way, fx, fy, tx, ty, px, py, least(1.0, greatest(0.0, ((px-fx)*(tx-fx)+(py-fy)*(ty-fy))/((tx-fx)*(tx-fx)+(ty-fy)*(ty-fy)))) u from p join o on px between least(fx,tx)-0.05 and greatest(fx,tx)+0.05 and py between least(fy,ty)-0.05 and greatest(fy,ty)+0.05), "
+    "z as (select k, e, (px-fx-u*(tx-fx))*(px-fx-u*(tx-fx))+(py-fy-u*(ty-fy))*(py-fy-u*(ty-fy)) d2, way*sign((tx-fx)*(py-fy)-(ty-fy)*(px-fx)) side, fx+u*(tx-fx) qx, fy+u*(ty-fy) qy from u), "
+    "m as (select k, min({'d': d2, 'e': e, 's': side, 'x': qx, 'y': qy}) m from z group by 1) select k, m.e edge, round(-m.s*sqrt(m.d), 9) d_signed, round(m.x, 7) x, round(m.y, 7) y from m"
+)
+def street_match_edges(spark: SparkSession, d: str) -> DataFrame:
+    got = match.points_to_edges(points(spark, d), "k", "px", "py", fx.streets(spark, d))
+    return got.select("k", "edge", F.round("d_signed", 9).alias("d_signed"), F.round("x", 7).alias("x"), F.round("y", 7).alias("y"))
