@@ -275,8 +275,8 @@ def test_cycles_through_contraction(spark):
     assert sum(len(v) for v in full.values()) == 4 + 3 and len(full) == 2
     assert all(r.wkt.startswith("POLYGON ((") for r in cycles.polygons(g, least_edges=5).collect())
     assert cycles.polygons(g, least_edges=100).count() == 0
-    boxed = cycles.cycles(g, max_edges=4)
-    assert boxed.select("cycle_id").distinct().count() <= 2
+    key = lambda df: sorted(map(tuple, df.select("cycle_id", "pos", "id").collect()))
+    assert key(cycles.cycles(g, max_edges=4)) == key(cycles.cycles(g))  # a component taken by joins has the same cycles
 
 
 def test_estimates_and_strategies(spark, town):

@@ -333,12 +333,16 @@ def fundamental_cycles(tail: np.ndarray, head: np.ndarray) -> list[list[int]]:
     for root in sorted(near):
         if root in parent:
             continue
-        parent[root], depth[root], queue = -1, 0, [root]
-        for v in queue:
-            for t in near[v]:
-                if t not in parent:
-                    parent[t], depth[t] = v, depth[v] + 1
-                    queue.append(t)
+        parent[root], depth[root], level = -1, 0, [root]
+        while level:
+            above: dict[int, int] = {}
+            for v in level:  # in order, so the least neighbour of the level above comes first
+                for t in near[v]:
+                    if t not in parent:
+                        above.setdefault(t, v)
+            for t, v in above.items():
+                parent[t], depth[t] = v, depth[v] + 1
+            level = sorted(above)
     for a in sorted(near):
         for b in near[a]:
             if a < b and parent[a] != b and parent[b] != a:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,59 +13,87 @@ from wayloom.operators.structure import component_labels, contract, vertices
 from wayloom.schema import Graph
 from wayloom.session import materialize
 
-#: Edges that one task takes at a time; larger components are cut into overlapping boxes.
+#: Edges of a component up to which one task takes it whole; larger ones are worked on by joins, with the same cycles.
 MAX_EDGES = 200_000
 
 
-def _grid(e: DataFrame, max_edges: int, overlap: float = 0.05) -> DataFrame:
-    """Each edge of a large component with the boxes that hold it wholly: a grid of as many boxes as needed, each a little larger than its cell. Edges on the rim of all boxes are in none."""
-    size = e.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("fx", "tx")).alias("x0"), F.max(F.greatest("fx", "tx")).alias("x1"), F.min(F.least("fy", "ty")).alias("y0"), F.max(F.greatest("fy", "ty")).alias("y1"))
-    size = size.withColumn("n", F.ceil(F.sqrt(F.col("k") / max_edges)).cast("int"))
-    big = e.join(size.where("n > 1"), "label")
-    step_x, step_y = F.greatest((F.col("x1") - F.col("x0")) / F.col("n"), F.lit(1e-12)), F.greatest((F.col("y1") - F.col("y0")) / F.col("n"), F.lit(1e-12))
-
-    def cells(a, b, low, step):
-        first = F.floor((F.least(a, b) - low) / step - overlap).cast("int")
-        return F.filter(F.sequence(F.greatest(first, F.lit(0)), F.least(first + 2, F.col("n") - 1)), lambda i: (F.least(a, b) >= low + (i - overlap) * step) & (F.greatest(a, b) <= low + (i + 1 + overlap) * step))
-
-    rows = big.withColumns({"ix": cells(F.col("fx"), F.col("tx"), F.col("x0"), step_x), "iy": cells(F.col("fy"), F.col("ty"), F.col("y0"), step_y)})
-    rows = rows.select("label", "u", "v", F.explode("ix").alias("i"), "iy").select("label", "u", "v", "i", F.explode("iy").alias("j"))
-    small = e.join(size.where("n = 1").select("label"), "label", "left_semi").select("label", "u", "v", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    return small.unionByName(rows)
+def _normal(ring: list) -> list:
+    """The ring from its least vertex on, towards the lesser of that one's neighbours."""
+    at = ring.index(min(ring))
+    ring = ring[at:] + ring[:at]
+    return ring[:1] + ring[:0:-1] if ring[1] > ring[-1] else ring
 
 
-def cycles(graph: Graph, max_edges: int = MAX_EDGES) -> DataFrame:
-    """(``cycle_id``, ``pos``, ``id``, and ``x``, ``y`` if the graph has them): a basis of the undirected cycles of each component, vertices in order. There are E - V + 1 of a component with E distinct edges and V vertices.
-
-    A component of more than ``max_edges`` is cut into overlapping boxes and cycles found in several of them count once; cycles that no box holds are then missing. ``cycle_id`` is a hash of the cycle's edges.
-    """
-    e = graph.edges.select(F.least(graph["from_id"], graph["to_id"]).alias("u"), F.greatest(graph["from_id"], graph["to_id"]).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    e = materialize(e)
-    label = component_labels(e.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    e = e.join(label, e["u"] == label["id"]).drop("id")
-    kind = e.schema["u"].dataType
-    if graph.is_spatial:
-        at = vertices(graph).select("id", "x", "y")
-        e = e.join(at.select(F.col("id").alias("u"), F.col("x").alias("fx"), F.col("y").alias("fy")), "u").join(at.select(F.col("id").alias("v"), F.col("x").alias("tx"), F.col("y").alias("ty")), "v")
-        parts = _grid(materialize(e), max_edges)
-    else:
-        parts = e.select("label", "u", "v", F.lit(0).alias("i"), F.lit(0).alias("j"))
+def _rings_in_tasks(e: DataFrame, kind: T.DataType) -> DataFrame:
+    """(``ring``) of components, each in one task. ``e``: ``label``, ``u``, ``v``."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["u", "v"])
         names, coded = np.unique(np.concatenate([p["u"].to_numpy(), p["v"].to_numpy()]), return_inverse=True)
         found = fundamental_cycles(coded[: len(p)], coded[len(p) :])
-        rows = []
-        for c in found:
-            ring = c[:-1] if c[0] == c[-1] else c
-            at = ring.index(min(ring))
-            ring = ring[at:] + ring[:at]
-            if ring[1] > ring[-1]:
-                ring = ring[:1] + ring[:0:-1]
-            rows.append([names[i] for i in ring])
+        rows = [[names[i] for i in _normal(c)] for c in found]
         return pd.DataFrame({"ring": rows}) if rows else pd.DataFrame({"ring": pd.Series([], dtype=object)})
 
-    rings = parts.groupBy("label", "i", "j").applyInPandas(run, T.StructType([T.StructField("ring", T.ArrayType(kind))])).distinct()
+    return e.groupBy("label").applyInPandas(run, T.StructType([T.StructField("ring", T.ArrayType(kind))]))
+
+
+def _rings_by_joins(e: DataFrame, max_rounds: int) -> DataFrame:
+    """The same for components of any size: a level of the spanning trees a round, then a step up from both ends of all other edges a round."""
+    near = materialize(e.select(F.col("u").alias("a"), F.col("v").alias("b")).union(e.select("v", "u")))
+    fresh = materialize(e.select(F.col("label").alias("id")).distinct().withColumns({"parent": F.lit(None).cast(e.schema["u"].dataType), "depth": F.lit(0)}))
+    tree = fresh
+    for depth in range(1, max_rounds):
+        step = near.join(fresh.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent")).withColumn("depth", F.lit(depth))
+        fresh = materialize(step.join(tree.select("id"), "id", "left_anti"))
+        if not fresh.limit(1).count():
+            break
+        # the tables of earlier levels are joined into one, so that the plan stays short
+        tree = materialize(tree.unionByName(fresh)) if depth % 8 == 0 else tree.unionByName(fresh)
+    else:
+        raise RuntimeError(f"spanning trees are deeper than {max_rounds} edges")
+    tree = materialize(tree)
+    of = lambda c: tree.select(F.col("id").alias(c), F.col("parent").alias(f"p{c}"), F.col("depth").alias(f"d{c}"))
+    both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).join(of("a"), "a").join(of("b"), "b")
+    chords = both.where("not (coalesce(pa = b, false) or coalesce(pb = a, false))").select("a", "b", F.array("a").alias("left"), F.array("b").alias("right"))
+    todo, done = materialize(chords), []
+    for _ in range(max_rounds):
+        step = todo.join(of("a"), "a").join(of("b"), "b")
+        up_a, up_b = F.col("da") >= F.col("db"), F.col("db") >= F.col("da")
+        moved = step.select(
+            F.when(up_a, F.col("pa")).otherwise(F.col("a")).alias("a"), F.when(up_b, F.col("pb")).otherwise(F.col("b")).alias("b"),
+            F.when(up_a, F.array_append("left", F.col("pa"))).otherwise(F.col("left")).alias("left"), F.when(up_b, F.array_append("right", F.col("pb"))).otherwise(F.col("right")).alias("right"),
+        )
+        moved = materialize(moved)
+        done.append(moved.where("a = b"))
+        todo = moved.where("a <> b")
+        if not todo.limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"cycles are longer than {max_rounds} edges")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    ring = F.concat("left", F.reverse(F.slice("right", F.lit(1), F.size("right") - 1)))
+    first = F.array_position(ring, F.array_min(ring)).cast("int")
+    turned = F.concat(F.slice(ring, first, F.size(ring)), F.slice(ring, F.lit(1), first - 1))
+    back = F.concat(F.slice("t", F.lit(1), F.lit(1)), F.reverse(F.slice("t", F.lit(2), F.size("t"))))
+    return out.select(turned.alias("t")).select(F.when(F.element_at("t", 2) > F.element_at("t", -1), back).otherwise(F.col("t")).alias("ring"))
+
+
+def cycles(graph: Graph, max_edges: int = MAX_EDGES, max_rounds: int = 100_000) -> DataFrame:
+    """(``cycle_id``, ``pos``, ``id``, and ``x``, ``y`` if the graph has them): a basis of the undirected cycles of each component, vertices in order.
+
+    There are E - V + 1 of a component with E distinct edges and V vertices: each edge beyond a spanning tree closes one. The tree is that of
+    the fewest edges from the component's least vertex, each vertex under the least of its neighbours that are one edge nearer. Components of at most ``max_edges``
+    edges are taken whole by a task, larger ones by joins, with the same result. ``cycle_id`` is a hash of the cycle's vertices.
+    """
+    e = graph.edges.select(F.least(graph["from_id"], graph["to_id"]).alias("u"), F.greatest(graph["from_id"], graph["to_id"]).alias("v")).where("u is not null and v is not null and u <> v").distinct()
+    e = materialize(e)
+    label = component_labels(e.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    e = materialize(e.join(label, e["u"] == label["id"]).drop("id"))
+    large = materialize(e.groupBy("label").count().where(F.col("count") > max_edges).select("label"))
+    rings = _rings_in_tasks(e.join(large, "label", "left_anti"), e.schema["u"].dataType)
+    if large.limit(1).count():
+        rings = rings.unionByName(_rings_by_joins(e.join(large, "label", "left_semi"), max_rounds))
     out = rings.select(F.sha2(F.concat_ws("|", "ring"), 256).substr(1, 16).alias("cycle_id"), F.posexplode("ring").alias("pos", "id"))
     if graph.is_spatial:
         out = out.join(vertices(graph).select("id", "x", "y"), "id").select("cycle_id", "pos", "id", "x", "y")
@@ -124,6 +150,3 @@ def rings_to_wkt(found: DataFrame) -> DataFrame:
     text = F.transform(F.concat(F.col("s"), F.array(F.element_at("s", 1))), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
     return found.groupBy("cycle_id").agg(points.alias("s")).select("cycle_id", F.concat(F.lit("POLYGON (("), F.array_join(text, ", "), F.lit("))")).alias("wkt"))
 
-
-def boxes_needed(n: int, max_edges: int) -> int:
-    return math.ceil(math.sqrt(n / max_edges))

@@ -32,7 +32,6 @@ _LEADS = (
     "row_number() over (order by l_orderkey,l_linenumber,l_suppkey,l_quantity,l_partkey,l_extendedprice) ord from lineitem"
 )
 SQL_SUPPLIERS = SQL_DRESS + f"(select f,t,cast(sum(q) as bigint) d from ({_LEADS}) x where t is not null and f<>t group by 1,2) b0"
-SQL_ISLANDS = SQL_SUPPLIERS + " where (f+t)%40=0"
 SQL_RAW = f"select f,t,ord,cast(q as double) d, cast(q*((f*31+t*17+ord)%7+1) as double) w, cast(q*((f*13+t*29+ord)%5+1) as double) tw from ({_LEADS}) x where t is not null and f<>t"
 
 
@@ -69,10 +68,6 @@ def suppliers(spark: SparkSession, d: str) -> Graph:
     return _dress(_supplier_pairs(spark, d))
 
 
-def islands(spark: SparkSession, d: str) -> Graph:
-    return _dress(_supplier_pairs(spark, d).where("(f + t) % 40 = 0"))
-
-
 def raw_edges(spark: SparkSession, d: str) -> Graph:
     order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_partkey", "l_extendedprice"]
     e = _leads(spark, d)

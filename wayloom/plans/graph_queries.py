@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo
-from wayloom.operators import cycles, flows, iso, match, routing, structure, turns
+from wayloom.operators import flows, iso, match, routing, structure, turns
 from wayloom.plans import fixtures as fx
 from wayloom.session import read
 from wayloom.sources import network
@@ -177,27 +177,6 @@ def centrality_vertex(spark: SparkSession, d: str) -> DataFrame:
     return flows.centrality(fx.nations(spark, d), edges=False)
 
 
-_CLOSURE = f"with e as ({fx.SQL_ISLANDS}), u as (select f a,t b from e union select t,f from e union select f,f from e union select t,t from e)" + "".join(
-    f", c{i} as (select distinct x.a, y.b from {'u' if i == 1 else f'c{i-1}'} x join {'u' if i == 1 else f'c{i-1}'} y on x.b=y.a)" for i in range(1, 6)
-) + ", l as (select a id, min(b) label from c5 group by 1)"
-
-
-@query(_CLOSURE + ", k as (select label, row_number() over (order by count(*) desc, label) c from e join l on l.id=e.f group by 1) select e.e edge_id, cast(k.c as int) component from e join l on l.id=e.f join k on k.label=l.label")
-def components(spark: SparkSession, d: str) -> DataFrame:
-    return structure.components(fx.islands(spark, d)).edges.select("edge_id", "component")
-
-
-@query(_CLOSURE + ", nv as (select label,count(*) n from l group by 1), ne as (select label,count(*) n from (select distinct least(f,t) a,greatest(f,t) b from e) q join l on l.id=q.a group by 1) select nv.label component, nv.n n_vertices, ne.n n_edges, ne.n-nv.n+1 as rank from nv join ne on ne.label=nv.label")
-def cycle_rank(spark: SparkSession, d: str) -> DataFrame:
-    return cycles.cycle_rank(fx.islands(spark, d))
-
-
-@query(_CLOSURE + ", nv as (select label,count(*) n from l group by 1), ne as (select label,count(*) n from (select distinct least(f,t) a,greatest(f,t) b from e) q join l on l.id=q.a group by 1) select cast(sum(ne.n-nv.n+1) as bigint) n_cycles from nv join ne on ne.label=nv.label")
-def fundamental_cycles(spark: SparkSession, d: str) -> DataFrame:
-    g = fx.islands(spark, d)
-    return cycles.cycles(g).agg(F.count_distinct("cycle_id").alias("n_cycles"))
-
-
 _CHAIN = (
     "with s as (select cast(event_id as bigint) event_id, user_id, event_type, round(coalesce(value,0)*100) d, lead(event_id) over w nxt, row_number() over w i, count(*) over (partition by user_id) n from events window w as (partition by user_id order by ts,event_id)), "
     "a as (select *, (event_type='purchase' or i=1 or i=n) anchor from s), c as (select *, sum(case when anchor then 1 else 0 end) over (partition by user_id order by i) seg from a), "

@@ -211,3 +211,33 @@ def street_match_vertices(spark: SparkSession, d: str) -> DataFrame:
 def street_match_edges(spark: SparkSession, d: str) -> DataFrame:
     got = match.points_to_edges(points(spark, d), "k", "px", "py", fx.streets(spark, d))
     return got.select("k", "edge", F.round("d_signed", 9).alias("d_signed"), F.round("x", 7).alias("x"), F.round("y", 7).alias("y"))
+
+
+_CYCLES = (
+    _LABELS + ", roots as (select distinct label from l), m as (select distinct least(a, b) a, greatest(a, b) b from n where a<>b), "
+    "dep(id, d) using key (id) as (select label, 0 from roots union select k.id, k.d from (select n.b id, min(dep.d)+1 d from dep join n on n.a=dep.id group by 1) k left join recurring.dep o on o.id=k.id where o.d is null or k.d<o.d), "
+    "par as (select x.id, min(n.a) p, min(x.d) d from dep x join n on n.b=x.id join dep y on y.id=n.a and y.d=x.d-1 group by 1 union all select label, null, 0 from roots), "
+    "ch as (select m.a u, m.b v from m join par x on x.id=m.a join par y on y.id=m.b where coalesce(x.p<>m.b, true) and coalesce(y.p<>m.a, true)), "
+    "c(u, v, a, b) as (select u, v, u, v from ch union all select c.u, c.v, case when x.d>=y.d then x.p else c.a end, case when y.d>=x.d then y.p else c.b end from c join par x on x.id=c.a join par y on y.id=c.b where c.a<>c.b), "
+    "z as (select u, v, a id from c union select u, v, b from c) "
+    "select cast(count(*) as bigint) n, min(id) least, max(id) greatest, cast(sum(cast(id as bigint)) as bigint) id_sum from z group by u, v"
+)
+
+
+def _rings(spark: SparkSession, d: str, **more) -> DataFrame:
+    from wayloom.operators import cycles
+
+    ids = F.col("id").cast("bigint")
+    found = cycles.cycles(fx.streets(spark, d), **more)
+    return found.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("greatest"), F.sum(ids).alias("id_sum")).drop("cycle_id")
+
+
+@query(_CYCLES)
+def street_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return _rings(spark, d)
+
+
+@query(_CYCLES)
+def street_cycles_by_joins(spark: SparkSession, d: str) -> DataFrame:
+    """The same with all but the smallest components taken by joins."""
+    return _rings(spark, d, max_edges=50)
