@@ -14,10 +14,16 @@ from pyspark.sql import types as T
 
 from wayloom.kernel import Csr
 from wayloom.operators import routing
+from wayloom.operators.structure import contract
+from wayloom.operators.turns import routed, uncompound
 from wayloom.schema import Graph
 from wayloom.session import materialize
 
 
+# The coefficients of the logistic curve of cycling over distance.
+LOGISTIC = {"constant": -3.894, "d": -0.5872, "root of d": 1.832, "d squared": 0.007956}
+
+
 def _part(kind: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("edge", kind), T.StructField("flow", T.DoubleType())])
 
@@ -52,12 +58,33 @@ def _load(graph: Graph, edges: DataFrame, flows: DataFrame, norm: bool) -> DataF
     return routing.spread(flows.select("from_id", "to_id", "flow"), "from_id").mapInArrow(run, _part(kind))
 
 
-def flows_aggregate(graph: Graph, flows: DataFrame, tol: float = 1e-12, norm_sums: bool = True, pairwise: bool = False, strategy: str = "auto", name: str = "flow") -> DataFrame:
+def _on_contracted(graph: Graph, table: DataFrame, work, names: list[str]) -> DataFrame:
+    """``work(contracted graph, table)``, whose edges have the columns ``names``, on the graph's own edges; 0 on those that contraction has dropped."""
+    ends = table.select(F.col("from_id").alias("id"))
+    short, mapped = contract(graph, (ends.union(table.select("to_id")) if "to_id" in table.columns else ends).distinct())
+    id_col = short.roles.get("edge_id", short.order)
+    loaded = work(short, table).select(F.col(f"`{id_col}`").cast("string").alias("edge_new"), *names)
+    parts = mapped.join(loaded, "edge_new").select(F.col("edge_old").alias("edge__"), *names)
+    e = graph.edges.drop(*names)
+    return e.join(parts, e[graph.order] == F.col("edge__"), "left").drop("edge__").fillna(0.0, names)
+
+
+def flows_aggregate(graph: Graph, flows: DataFrame, tol: float = 1e-12, norm_sums: bool = True, pairwise: bool = False, strategy: str = "auto", name: str = "flow", contract_first: bool = False) -> DataFrame:
     """The graph's edges with the column ``flow``: the sum of all flows (``from_id``, ``to_id``, ``flow``) that are routed over each edge, with ``norm_sums`` each divided by the number of its route's edges.
 
     Flows of a pair are added up first; flows from a vertex to itself, null, not positive, or at most ``tol`` of the origin's largest one are not routed (``pairwise``: no tolerance), nor those without a route.
-    Of parallel edges the one of least weight takes all. An empty table of flows gives 0 on all edges.
+    Of parallel edges the one of least weight takes all. An empty table of flows gives 0 on all edges. ``contract_first``: routed on the contracted
+    graph, of which the ends of flows stay vertices, and given back to the edges that were contracted; ``norm_sums`` then divides by
+    the edges of the contracted route. With a penalty for turns, compound edges give their flow to both of their edges.
     """
+    if contract_first:
+        return _on_contracted(graph, flows, lambda g, f: flows_aggregate(g, f, tol, norm_sums, pairwise, strategy, name), [name])
+    turning, junctions = routed(graph)
+    if junctions is not None:
+        loaded = flows_aggregate(turning, flows, tol, norm_sums, pairwise, strategy, name)
+        plain = uncompound(turning.with_edges(loaded), junctions, [name]).edges
+        kind = {f.name: f.dataType for f in graph.edges.schema.fields}
+        return plain.select(*[F.col(f"`{c}`").cast(kind[c]) if c in kind else F.col(c) for c in plain.columns])
     sums = flows.where("from_id <> to_id and flow is not null").groupBy("from_id", "to_id").agg(F.sum("flow").alias("flow")).where("flow > 0")
     if not pairwise:
         top = sums.groupBy("from_id").agg(F.max("flow").alias("top"))
@@ -100,7 +127,8 @@ def flows_disperse(graph: Graph, origins: DataFrame, k: float | list[float] = 50
     o = origins.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "source")
     reached = routing.trees(graph, o.select(F.col("source").alias("id")), limit=limit, strategy=strategy).where("prev is not null")
     d = F.col("d")
-    logistic = F.lit(-3.894) - 0.5872 * d + 1.832 * F.sqrt(d) + 0.007956 * d * d
+    c = LOGISTIC
+    logistic = F.lit(c["constant"]) + c["d"] * d + c["root of d"] * F.sqrt(d) + c["d squared"] * d * d
     parts = [F.exp(-d / x) if x > 0 else 1 / (1 + F.exp(-logistic)) for x in ks]
     weighed = materialize(reached.select("source", "edge", *[p.alias(f"e{i}") for i, p in enumerate(parts)]))
     total = weighed.groupBy("source").agg(*[F.sum(f"e{i}").alias(f"t{i}") for i in range(len(ks))]).join(o, "source")
@@ -111,12 +139,19 @@ def flows_disperse(graph: Graph, origins: DataFrame, k: float | list[float] = 50
     return out.join(sums.withColumnRenamed("edge", "edge__"), out[graph.order] == F.col("edge__"), "left").drop("edge__").fillna(0.0, names)
 
 
-def centrality(graph: Graph, edges: bool = True, column: str = "d_weighted", vertex_weights: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
+def centrality(graph: Graph, edges: bool = True, column: str = "d_weighted", vertex_weights: DataFrame | None = None, threshold: float | None = None, contract_first: bool = False) -> DataFrame:
     """Betweenness of directed routes by least ``column``: the graph's edges with ``centrality``, or (``id``, ``centrality``) of the vertices. Not halved, not normalised; ends count for edges, not for vertices.
 
     Each source's part is weighted by ``vertex_weights`` (``id``, ``n``; 1 if not given); routes longer than ``threshold`` (by ``column``) aren't followed. Of parallel edges the first of the least weight counts. Every task sums the parts of its sources before the
-    shuffle. The graph must fit an executor.
+    shuffle. The graph must fit an executor. ``contract_first``: of the contracted graph, whose junctions are then the only sources; edges get the value
+    of the edge that they were contracted to.
     """
+    if contract_first:
+        if not edges:  # as the contracted graph has them
+            return centrality(contract(graph)[0], False, column, vertex_weights, threshold)
+        at = vertex_weights if vertex_weights is not None else routing.vertex_ids(graph).limit(0)
+        table = at.select(F.col("id").alias("from_id"))
+        return _on_contracted(graph, table, lambda g, _: centrality(g, True, column, vertex_weights, threshold), ["centrality"])
     std, ids = routing.prepared(graph, column)
     if not routing.fits_kernel(std):
         raise ValueError(f"centrality needs a graph of at most {routing.KERNEL_EDGES} edges; contract it first")

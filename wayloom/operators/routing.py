@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from wayloom.kernel import Csr, Tree
 from wayloom.operators import match
 from wayloom.operators.structure import vertices
+from wayloom.operators.turns import routed
 from wayloom.schema import TRAVELLED, Graph
 from wayloom.session import forget, materialize
 
@@ -228,6 +229,7 @@ def trees(graph: Graph, sources: DataFrame | list | None = None, limit: float |
 
     One row per source and vertex with the route's weight, length, edges and last step. In graphs with compound junctions the rows are of the graph's own vertices.
     """
+    graph, _ = routed(graph)
     edges, everyone = prepared(graph, weight, length)
     wanted = endpoints(graph, sources, everyone, "start").where("id is not null")
     if not fits_kernel(edges, strategy):
@@ -258,6 +260,7 @@ def dists(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strat
     weight = weight or ("d_weighted" if shortest else "time_weighted")
     if weight == "time_weighted":
         graph.require(weight, NO_WEIGHTED_TIME)
+    graph, _ = routed(graph)
     edges, everyone = prepared(graph, weight, length)
     sources, targets = endpoints(graph, from_ids, everyone, "start"), endpoints(graph, to_ids, everyone, "end")
     to_list = few(targets) if fits_kernel(edges, strategy) else None
@@ -305,6 +308,7 @@ def dists_pairwise(graph: Graph, pairs: DataFrame, shortest: bool = True, strate
     """``pairs`` (``from_id``, ``to_id``, and whatever else) with the length ``d`` of each pair's best route (``d_`` if there is such a column). Each source is searched once, for its own targets only; a source with many pairs is one search."""
     weight = "d_weighted" if shortest else "time_weighted"
     name = "d" if "d" not in {c.lower() for c in pairs.columns} else "d_"
+    graph, _ = routed(graph)
     edges, everyone = prepared(graph, weight, length)
     kind = edges.schema["from_id"].dataType
     asked = pairs.select(F.col("from_id").cast(kind).alias("from_id"), F.col("to_id").cast(kind).alias("to_id")).where("from_id is not null and to_id is not null").distinct()
@@ -339,6 +343,7 @@ def dists_pairwise(graph: Graph, pairs: DataFrame, shortest: bool = True, strate
 def dists_nearest(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strategy: str = "auto") -> DataFrame:
     """(``from_id``, ``to_id``, ``d``): for each source the target whose route has the least weight (of equal ones the shorter route, then the smaller id) and its length; nulls where none can be reached. The search ends at the first target."""
     weight = "d_weighted" if shortest else "time_weighted"
+    graph, _ = routed(graph)
     edges, everyone = prepared(graph, weight)
     sources, targets = endpoints(graph, from_ids, everyone, "start"), endpoints(graph, to_ids, everyone, "end")
     to_list = few(targets) if fits_kernel(edges, strategy) else None
@@ -387,6 +392,7 @@ def paths(graph: Graph, from_ids=None, to_ids=None, pairs: DataFrame | None = No
 
     From a vertex to itself the vertices are [v, v] and the edges null; pairs without a route have nulls. Either sources and targets, or ``pairs`` of them.
     """
+    graph, _ = routed(graph)
     edges, everyone = prepared(graph, weight)
     kind, ord_kind = edges.schema["from_id"].dataType, edges.schema["ord"].dataType
     if pairs is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +81,19 @@ def compound_junctions(graph: Graph, penalty: float, left_side: bool = False, re
 
     through = both.select(*[joined(c).alias(c) for c in e.columns])
     named = pairs.select(F.concat_ws("_", F.lit("j"), F.col("edge_in").cast("string"), F.col("edge_out").cast("string")).alias("edge"), "edge_in", "edge_out")
-    return graph.with_edges(plain.unionByName(through)), named
+    return replace(graph, edges=plain.unionByName(through), attributes=graph.attributes | {"compound": True}), named
+
+
+def routed(graph: Graph) -> tuple[Graph, DataFrame | None]:
+    """(graph to route on, its compound edges): with compound junctions where the graph's attribute ``turn_penalty`` asks for them, else as it is.
+
+    Further attributes: ``left_side``, ``restrictions`` (a frame of ``turn_restrictions``) and ``way`` (the column of the ways that they name).
+    """
+    penalty = graph.attributes.get("turn_penalty") or 0.0
+    if not penalty or graph.attributes.get("compound"):
+        return graph, None
+    a = graph.attributes
+    return compound_junctions(graph, penalty, a.get("left_side", False), a.get("restrictions"), a.get("way"))
 
 
 def uncompound(graph: Graph, junctions: DataFrame, columns: list[str]) -> Graph:
@@ -92,11 +106,5 @@ def uncompound(graph: Graph, junctions: DataFrame, columns: list[str]) -> Graph:
     left = e.join(junctions.select("edge"), F.col(f"`{id_col}`") == F.col("edge"), "left_anti").join(sums, F.col(f"`{id_col}`") == F.col("e__"), "left")
     plain = lambda c: F.regexp_replace(F.col(f"`{c}`").cast("string"), "_(start|end)$", "")
     change = {c: F.col(f"`{c}`") + F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) for c in columns} | {graph.roles[k]: plain(graph.roles[k]) for k in ("from_id", "to_id")}
-    return graph.with_edges(left.select(*[change.get(c, F.col(f"`{c}`")).alias(c) for c in e.columns]))
-
-
-def junction_ends(ids: DataFrame, graph: Graph, end: str) -> DataFrame:
-    """``ids`` as routes of a compound graph need them: with the suffix of their ``end`` (start or end) where they are junctions."""
-    known = graph.edges.select(graph["from_id" if end == "start" else "to_id"].alias("k__")).where(F.col("k__").endswith("_" + end)).distinct()
-    (name,) = ids.columns[:1]
-    return ids.join(known, F.concat(F.col(name).cast("string"), F.lit("_" + end)) == F.col("k__"), "left").withColumn(name, F.coalesce("k__", F.col(name).cast("string"))).drop("k__")
+    out = left.select(*[change.get(c, F.col(f"`{c}`")).alias(c) for c in e.columns])
+    return replace(graph, edges=out, attributes={k: v for k, v in graph.attributes.items() if k != "compound"})

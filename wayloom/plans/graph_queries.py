@@ -298,14 +298,14 @@ _KIND = "case when lower(trim({c})) in ('pedestrian','footway') then 'path' else
 
 
 @query(
-    f"with s as ({fx.SQL_STREETS}), p as (select {_KIND.format(c='way')} k, max(value) v, max(max_speed) ms from weighting_profiles where name='pedal' group by 1 having max(value)>0) "
+    f"with s as ({fx.SQL_STREETS}), p as (select lower(trim(way)) k, max(value) v, max(max_speed) ms from weighting_profiles where name='pedal' group by 1 having max(value)>0) "
     f"select edge_id, d/v d_weighted, ms profile_speed from s join p on p.k={_KIND.format(c='highway')}"
 )
 def profile_weights(spark: SparkSession, d: str) -> DataFrame:
     from wayloom.sources.profiles import profile
 
     e = fx.streets(spark, d).edges.drop("d_weighted")
-    w = network.weigh(e, profile(read(spark, d, "weighting_profiles"), "pedal"), network.way_kind(F.col("highway")))
+    w = network.weigh(e, profile(read(spark, d, "weighting_profiles"), "pedal"), F.col("highway"))
     return w.select("edge_id", "d_weighted", "profile_speed")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import geo
 from wayloom.operators.structure import components
 from wayloom.schema import Graph
-from wayloom.session import small
+from wayloom.session import bounded_rows, small
 
 # How truth is written in tags; factors of weight for ways of many lanes; unused railways.
 YES, NO = ["yes", "y", "true", "t", "1"], ["no", "n", "false", "f", "0"]
@@ -39,12 +39,6 @@ def lane_factor(lanes: Column) -> Column:
     return F.when(n.isNull(), 1.0).otherwise(out)
 
 
-def way_kind(c: Column) -> Column:
-    """The kind of way under which profiles know it."""
-    low = F.lower(F.trim(c))
-    return F.when(low.isin("pedestrian", "footway"), "path").otherwise(low)
-
-
 def segments(ways: DataFrame, id_col: str, geometry: str = "geometry", keep: list[str] | None = None) -> DataFrame:
     """One row per segment of each line (an array of struct(id, x, y), ids may be null) in its own direction; vertices without an id are named by their coordinates to 10 decimals."""
     at = F.col("p__")
@@ -63,12 +57,34 @@ def both_ways(e: DataFrame, one_way: Column) -> DataFrame:
     return e.select(F.inline(F.when(F.coalesce(one_way, F.lit(False)), F.array(there)).otherwise(F.array(there, back))))
 
 
-def weigh(e: DataFrame, profile: DataFrame | float, kind: Column) -> DataFrame:
-    """``e`` with ``d_weighted`` = d / value of its kind of way and the profile's ``profile_speed``; kinds of value 0 or that the profile doesn't know are dropped."""
+def kinds_of(profile: DataFrame) -> list[str]:
+    """The kinds of way that a profile knows, longest first."""
+    rows = bounded_rows(profile.where("way is not null").select(F.lower(F.trim("way")).alias("w")).distinct(), 1_000, "kinds of way")
+    return sorted((r.w for r in rows), key=lambda w: (-len(w), w))
+
+
+def remapped(highway: Column, known: list[str]) -> Column:
+    """The profile's kind of a way: itself if the profile knows it, else the longest known kind that it begins with; any foot or pedestrian way is a path."""
+    low = F.lower(F.trim(highway))
+    begun = F.filter(F.array(*map(F.lit, known)), lambda k: low.startswith(k))
+    kind = F.when(low.isin(known), low).otherwise(F.coalesce(F.try_element_at(begun, F.lit(1)), low)) if known else low
+    return F.when(kind.rlike("pedestrian|footway"), "path").otherwise(kind)
+
+
+def weigh(e: DataFrame, profile: DataFrame | float, highway: Column) -> DataFrame:
+    """``e`` with ``d_weighted`` = d / value of its kind of way and the profile's ``profile_speed``; kinds of value 0 or that the profile doesn't know are dropped (``unknown_kinds`` tells them)."""
     if isinstance(profile, float):
         return e.withColumns({"d_weighted": F.col("d") / profile, "profile_speed": F.lit(None).cast("double")})
-    p = small(profile.groupBy(way_kind(F.col("way")).alias("k__")).agg(F.max("value").alias("v__"), F.max("max_speed").alias("profile_speed")).where("v__ > 0"))
-    return e.withColumn("k__", kind).join(p, "k__").withColumn("d_weighted", F.col("d") / F.col("v__")).drop("k__", "v__")
+    p = profile.where("way is not null").groupBy(F.lower(F.trim("way")).alias("k__")).agg(F.max("value").alias("v__"), F.max("max_speed").alias("profile_speed"))
+    out = e.withColumn("k__", remapped(highway, kinds_of(profile))).join(small(p.where("v__ > 0")), "k__")
+    return out.withColumn("d_weighted", F.col("d") / F.col("v__")).drop("k__", "v__")
+
+
+def unknown_kinds(ways: DataFrame, profile: DataFrame, highway: str = "highway") -> DataFrame:
+    """(``kind``, ``n``): the kinds of way for which the profile has no value, and their rows."""
+    known = kinds_of(profile)
+    rows = ways.where(F.col(highway).isNotNull()).groupBy(remapped(F.col(highway), known).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.where(~F.col("kind").isin(known)) if known else rows
 
 
 def set_speeds(e: DataFrame, mode: str, maxspeed: str | None, highway: str, surface: str | None, surface_table: DataFrame | None) -> DataFrame:
@@ -100,8 +116,12 @@ def set_times(e: DataFrame, mode: str, elevation: bool = False) -> DataFrame:
     return e
 
 
-def weight_ways(ways: DataFrame, profile: DataFrame | float, mode: str = "bicycle", id_col: str = "way_id", highway: str = "highway", keep: list[str] | None = None, surface_table: DataFrame | None = None, measure: str = "haversine") -> Graph:
-    """A network of lines (``id_col``, ``geometry``, ``highway``, and the tags ``oneway``, ``maxspeed``, ``lanes``, ``surface`` if there are such): segments in both directions unless one-way, weighted by the profile."""
+def weight_ways(ways: DataFrame, profile: DataFrame | float, mode: str = "bicycle", id_col: str = "way_id", highway: str = "highway", keep: list[str] | None = None, surface_table: DataFrame | None = None, measure: str = "haversine", **options) -> Graph:
+    """A network of lines (``id_col``, ``geometry``, ``highway``, and the tags ``oneway``, ``maxspeed``, ``lanes``, ``surface`` if there are such): segments in both directions unless one-way, weighted by the profile.
+
+    ``measure``: of lengths; "auto" for the one that suits the table's extent. ``options`` are attributes of the graph: ``turn_penalty`` (seconds)
+    and ``left_side``, by which it is routed.
+    """
     tags = [c for c in ("oneway", "oneway_bicycle", "maxspeed", "lanes", "surface") if c in ways.columns]
     held = list(dict.fromkeys([highway, *tags, *(keep or [])]))
     e = segments(ways.where(F.col(highway).isNotNull()), id_col, keep=held)
@@ -110,13 +130,16 @@ def weight_ways(ways: DataFrame, profile: DataFrame | float, mode: str = "bicycl
         one_way = F.lit(False)
     if mode == "bicycle" and "oneway_bicycle" in tags:
         one_way = F.coalesce(truth(F.col("oneway_bicycle")), one_way)
-    e = both_ways(e, one_way).withColumn("d", geo.distance(measure)(F.col("from_lon"), F.col("from_lat"), F.col("to_lon"), F.col("to_lat")))
-    e = weigh(e, profile, way_kind(F.col(highway)))
+    e = both_ways(e, one_way)
+    if measure == "auto":
+        measure = geo.measure_for(e, "from_lon", "from_lat")
+    e = e.withColumn("d", geo.distance(measure)(F.col("from_lon"), F.col("from_lat"), F.col("to_lon"), F.col("to_lat")))
+    e = weigh(e, profile, F.col(highway))
     if "lanes" in tags and mode in LANE_MODES:
         e = e.withColumn("d_weighted", F.col("d_weighted") * lane_factor(F.col("lanes")))
     e = set_times(set_speeds(e, mode, "maxspeed" if "maxspeed" in tags else None, highway, "surface" if "surface" in tags else None, surface_table), mode).drop("profile_speed", "speed")
     e = e.withColumn("edge_id", F.substring(F.sha2(F.concat_ws("|", F.col("way_id").cast("string"), F.col("seg").cast("string"), F.col("back").cast("string")), 256), 1, 16)).drop("seg", "back")
-    return components(Graph.of(e, order="edge_id", profile=mode))
+    return components(Graph.of(e, order="edge_id", profile=mode, **options))
 
 
 def tags_wide(objects: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,11 +156,36 @@ def tagged_nodes(nodes: DataFrame, wanted: list[tuple[str, str]], need_all: bool
     return hit.groupBy("vertex_").agg(F.count_distinct("key", "value").alias("n")).where(F.col("n") == len(set(wanted))).select("vertex_")
 
 
-def weight_tables(tables: dict[str, DataFrame], profile: DataFrame | float, mode: str = "bicycle", surface_table: DataFrame | None = None, lights: float = 0.0, measure: str = "haversine") -> Graph:
+def traffic_lights(nodes: DataFrame) -> DataFrame:
+    """(``vertex_``): nodes with traffic signals, of a road or of a crossing."""
+    road = tagged_nodes(nodes, [("highway", "traffic_signals")])
+    return road.union(tagged_nodes(nodes, [("highway", "crossing"), ("crossing", "traffic_signals")], need_all=True)).distinct()
+
+
+def crossing_ways(objects: DataFrame) -> DataFrame:
+    """(``object_``): ways marked as footway crossings."""
+    return tags_wide(objects, ["highway", "footway"]).where("highway = 'footway' and footway = 'crossing'").select("object_")
+
+
+def wait_at_lights(e: DataFrame, wait: float, lights: DataFrame, crossings: DataFrame) -> DataFrame:
+    """``e`` with the seconds of ``wait`` in ``time``: at signals, on the edges of crossings that end there, and on all edges that start there unless an edge of a crossing that waits does so too."""
+    signal = small(lights.select(F.col("vertex_").alias("s__")))
+    marked = e.join(signal.withColumn("ends__", F.lit(True)), F.col("`.vx1`") == F.col("s__"), "left").drop("s__")
+    marked = marked.join(signal.withColumn("starts__", F.lit(True)), F.col("`.vx0`") == F.col("s__"), "left").drop("s__")
+    marked = marked.join(small(crossings.select(F.col("object_").alias("o__")).distinct().withColumn("crosses__", F.lit(True))), F.col("object_") == F.col("o__"), "left").drop("o__")
+    first = F.coalesce(F.col("ends__") & F.col("crosses__"), F.lit(False))
+    waiting = marked.where(first).select(F.col("`.vx0`").alias("w__")).distinct().withColumn("waits__", F.lit(True))
+    marked = marked.join(waiting, F.col("`.vx0`") == F.col("w__"), "left").drop("w__")
+    second = F.coalesce(F.col("starts__"), F.lit(False)) & F.col("waits__").isNull()
+    seconds = F.when(first, float(wait)).otherwise(0.0) + F.when(second, float(wait)).otherwise(0.0)
+    return marked.withColumn("time", F.col("time") + seconds).drop("ends__", "starts__", "crosses__", "waits__")
+
+
+def weight_tables(tables: dict[str, DataFrame], profile: DataFrame | float, mode: str = "bicycle", surface_table: DataFrame | None = None, lights: float = 0.0, measure: str = "haversine", keep: list[str] | None = None, **options) -> Graph:
     """A network of normalised tables: ``vertex`` (vertex_, x_, y_, perhaps z_), ``edge`` (edge_, .vx0, .vx1), ``object_link_edge`` (edge_, object_), ``object`` (object_, key, value), perhaps ``nodes`` (vertex_, key, value).
 
-    Coordinates, length, tags, weight, speed and time are joined in turn; seconds of ``lights`` are added to edges that end at traffic signals; of edges with the same ends the shortest is kept; and two-way edges are repeated the other way, roundabouts
-    not, one-way ones for bicycles against the traffic at twice the weight if so tagged.
+    Coordinates, length, tags, weight, speed and time are joined in turn; seconds of ``lights`` are waited at traffic signals (``wait_at_lights``); of edges with the same ends the shortest is kept; and two-way edges are repeated the other way, roundabouts
+    not, one-way ones for bicycles against the traffic at twice the weight if so tagged. ``keep``: further keys to keep as columns. ``options``: as for ``weight_ways``.
     """
     for name in ("vertex", "edge", "object_link_edge", "object"):
         if name not in tables:
@@ -146,14 +194,16 @@ def weight_tables(tables: dict[str, DataFrame], profile: DataFrame | float, mode
     high = "z_" in v.columns
     end = lambda k: v.select(F.col("vertex_").alias(f".vx{k}"), F.col("x_").alias(f"x{k}"), F.col("y_").alias(f"y{k}"), *([F.col("z_").alias(f"z{k}")] if high else []))
     e = tables["edge"].select("`.vx0`", "`.vx1`", "edge_").join(end(0), ".vx0", "left").join(end(1), ".vx1", "left")
+    if measure == "auto":
+        measure = geo.measure_for(v, "x_", "y_")
     e = e.withColumn("d", geo.distance(measure)(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
     e = e.withColumn("dz", F.col("z1") - F.col("z0") if high else F.lit(None).cast("double"))
     keys = ["highway", "oneway", "oneway:bicycle", "maxspeed", "lanes", "surface", "junction", "foot", "bicycle"]
     link = tables["object_link_edge"].select("edge_", "object_").dropDuplicates(["edge_"])
-    e = e.join(link, "edge_", "left").join(tags_wide(tables["object"], keys), "object_", "left").where("highway is not null")
+    e = e.join(link, "edge_", "left").join(tags_wide(tables["object"], list(dict.fromkeys([*keys, *(keep or [])]))), "object_", "left").where("highway is not null")
     if mode in ("foot", "bicycle"):
         e = e.where(F.coalesce(F.lower(mode) != "no", F.lit(True)) & ~F.col("highway").rlike("^(motorway|trunk)"))
-    e = weigh(e, profile, way_kind(F.col("highway")))
+    e = weigh(e, profile, F.col("highway"))
     e = set_speeds(e, mode, "maxspeed", "highway", "surface", surface_table)
     if mode in LANE_MODES:
         e = e.withColumn("d_weighted", F.col("d_weighted") * lane_factor(F.col("lanes")))
@@ -172,12 +222,9 @@ def weight_tables(tables: dict[str, DataFrame], profile: DataFrame | float, mode
     e = e.select(F.inline(F.when(one_way & ~contra, F.array(there)).otherwise(F.array(there, back))))
     e = set_times(e, mode, high)
     if lights and "nodes" in tables:
-        signals = tagged_nodes(tables["nodes"], [("highway", "traffic_signals"), ("crossing", "traffic_signals")]).select(F.col("vertex_").alias("s__"))
-        e = e.join(signals, q(".vx1") == F.col("s__"), "left")
-        wait = F.when(F.col("s__").isNotNull(), lights).otherwise(0.0)
-        e = e.withColumns({"time": F.col("time") + wait, "time_weighted": F.col("time_weighted") + wait}).drop("s__")
-    e = e.select(q(".vx0").cast("string").alias("from_id"), q(".vx1").cast("string").alias("to_id"), F.col("edge_").alias("edge_id"), F.col("x0").alias("from_lon"), F.col("y0").alias("from_lat"), F.col("x1").alias("to_lon"), F.col("y1").alias("to_lat"), "d", F.col("object_").alias("way_id"), "highway", "d_weighted", "time", "time_weighted", *(["dz"] if high else []))
-    return components(Graph.of(e, order="edge_id", profile=mode))
+        e = wait_at_lights(e, lights, traffic_lights(tables["nodes"]), crossing_ways(tables["object"]))
+    e = e.select(q(".vx0").cast("string").alias("from_id"), q(".vx1").cast("string").alias("to_id"), F.col("edge_").alias("edge_id"), F.col("x0").alias("from_lon"), F.col("y0").alias("from_lat"), F.col("x1").alias("to_lon"), F.col("y1").alias("to_lat"), "d", F.col("object_").alias("way_id"), "highway", "d_weighted", "time", "time_weighted", *(["dz"] if high else []), *[q(k.replace(":", "_")) for k in keep or [] if k != "highway"])
+    return components(Graph.of(e, order="edge_id", profile=mode, **options))
 
 
 def weight_railway(ways: DataFrame, id_col: str = "way_id", kind: str = "railway", keep: list[str] | None = None, measure: str = "haversine") -> Graph:
