@@ -334,10 +334,12 @@ def test_weighting_of_tables(spark):
         "nodes": spark.createDataFrame([("b", "highway", "traffic_signals")], "vertex_ string, key string, value string"),
     }
     profile = spark.createDataFrame([("residential", 1.0, 15.0)], "way string, value double, max_speed double")
-    out = {(r.from_id, r.to_id): r for r in network.weight_tables(t, profile, lights=8.0).edges.collect()}
+    out = {(r.from_id, r.to_id): r for r in network.weight_tables(t, profile, keep=["oneway:bicycle"], turn_penalty=5.0).edges.collect()}
+    lit = {(r.from_id, r.to_id): r for r in network.weight_tables(t, profile, lights=8.0).edges.collect()}
+    assert out["b", "c"].oneway_bicycle == "no"
     assert set(out) == {("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")}
     assert out["c", "b"].d_weighted == pytest.approx(2 * out["b", "c"].d_weighted)
-    assert out["a", "b"].time > out["b", "a"].time + 8
+    assert lit["b", "a"].time == pytest.approx(out["b", "a"].time + 8) and lit["a", "b"].time == out["a", "b"].time  # who starts at the lights waits
     with pytest.raises(ValueError):
         network.weight_tables({}, profile)
     assert network.expand_box(box=[(1.0, 2.0), (3.0, 4.0)], expand=0.0) == (1.0, 2.0, 3.0, 4.0)

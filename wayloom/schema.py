@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field, replace
+from fnmatch import fnmatchcase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +15,28 @@ ROLES = ["edge_id", "from_id", "to_id", "d", "d_weighted", "time", "time_weighte
 TRAVELLED = "w is not null and d is not null and not isnan(w) and not isnan(d) and from_id is not null and to_id is not null"
 
 
-def _one(names: list[str], *rules, what: str = "") -> str | None:
-    """The name that the first of ``rules`` with any match gives; several matches are an error."""
-    for rule in rules:
-        hits = [n for n in names if rule(n.lower())]
+# The spellings under which tables of edges name their columns, lower case. An entry with a * stands for any rest of a name. The first
+# entry with a match decides; what must match is that a table which other tools route on is understood without renaming.
+FROM_NAMES = ["from_id", "from", "fr*", "*fr", "sta*", ".vx0*", "vx0*"]
+TO_NAMES = ["to_id", "to", "to*", "*to", "sto*", ".vx1*", "vx1*"]
+X_ENDINGS = ["*x", "*_x*", "*lon*"]
+Y_ENDINGS = ["*y", "*_y*", "*lat*"]
+DISTANCE_NAMES = ["d", "dist*"]
+WEIGHT_NAMES = [["d_weighted", "w", "wt", "weight"], ["*weight*"], ["dw*", "d_w*"]]
+TIME_NAMES = [["time"], ["*time"]]
+TIME_WEIGHT_NAMES = [["time_weighted"], ["*time_w*", "*timew*", "*tw"]]
+EDGE_NAMES = [["edge_id"], ["edge_"], ["*edge"]]
+COMPONENT_NAMES = [["component"], ["*comp*"]]
+
+
+def _like(name: str, entries: list[str]) -> bool:
+    return any(fnmatchcase(name.lower(), e) for e in entries)
+
+
+def _one(names: list[str], choices: list[list[str]], unlike: list[str] | None = None, what: str = "") -> str | None:
+    """The one of ``names`` that is spelled like the first of ``choices`` with a match; several matches are an error for a column that is named by ``what``."""
+    for entries in choices:
+        hits = [n for n in names if _like(n, entries) and not _like(n, unlike or [])]
         if len(hits) == 1:
             return hits[0]
         if len(hits) > 1 and what:
@@ -26,42 +44,36 @@ def _one(names: list[str], *rules, what: str = "") -> str | None:
     return None
 
 
-def _matches(pattern: str):
-    return re.compile(pattern).search
+def _end_columns(names: list[str], entries: list[str]) -> tuple[str | None, str | None, str | None]:
+    """The id, x and y columns of one end of the edges."""
+    own = [n for n in names if _like(n, entries) and not n.lower().endswith("_z")]
+    xs = [n for n in own if _like(n, X_ENDINGS) and not _like(n, ["*vx0", "*vx1"])]
+    ys = [n for n in own if _like(n, Y_ENDINGS)]
+    rest = [n for n in own if n not in xs and n not in ys]
+    named = [n for n in rest if "id" in n.lower()] if len(rest) > 1 else rest
+    both = bool(xs and ys)
+    return (named or rest or [None])[0], xs[0] if both else None, ys[0] if both else None
 
 
 def column_roles(names: list[str]) -> dict[str, str]:
-    """Which of ``names`` plays which role. Ends are found by their spelling (from, to, start, stop), then coordinates, then weights; ``d_weighted`` falls back to ``d``."""
-    roles: dict[str, str] = {}
-    ends = {"from": _matches(r"^fr|fr$|^sta|\.?vx0"), "to": _matches(r"^to|to$|^sto|\.?vx1")}
-    is_x, is_y = (lambda n: bool(re.search(r"x$|_x$|lon", n))), (lambda n: bool(re.search(r"y$|_y$|lat", n)))
-    for end, rule in ends.items():
-        own = [n for n in names if rule(n.lower()) and not n.lower().endswith("_z")]
-        xs = [n for n in own if is_x(n.lower()) and not re.search(r"vx[01]$", n.lower())]
-        ys = [n for n in own if is_y(n.lower())]
-        rest = [n for n in own if n not in xs and n not in ys]
-        if len(rest) > 1:
-            rest = [n for n in rest if "id" in n.lower()] or rest
-        if rest:
-            roles[f"{end}_id"] = rest[0]
-        if xs and ys:
-            roles[f"{end}_x"], roles[f"{end}_y"] = xs[0], ys[0]
-    for end in ends:
-        if f"{end}_id" not in roles and f"{end}_x" not in roles:
+    """Which of ``names`` plays which role: the ends of the edges first, then lengths and weights of what is left; ``d_weighted`` falls back to ``d``."""
+    roles: dict[str, str | None] = {}
+    for end, entries in (("from", FROM_NAMES), ("to", TO_NAMES)):
+        roles[f"{end}_id"], roles[f"{end}_x"], roles[f"{end}_y"] = _end_columns(names, entries)
+        if not roles[f"{end}_id"] and not roles[f"{end}_x"]:
             raise ValueError("unable to determine the columns of the ends of edges")
-    used = set(roles.values())
+    used = {c for c in roles.values() if c}
     left = [n for n in names if n not in used]
-    d = _one(left, lambda n: n == "d", _matches(r"^dist"), lambda n: n.startswith("d") and not re.match(r"dz|dw|d_|de|du", n))
-    if d is None:
+    short = [n for n in left if n.startswith("d") and not _like(n, ["dz*", "dw*", "d_*", "de*", "du*"])]
+    roles["d"] = _one(left, [[e] for e in DISTANCE_NAMES]) or (short[0] if len(short) == 1 else None)
+    if roles["d"] is None:
         raise ValueError("unable to determine the distance column")
-    roles["d"] = d
-    left.remove(d)
-    roles["d_weighted"] = _one(left, lambda n: n in ("d_weighted", "w", "wt", "weight"), lambda n: "weight" in n and "time" not in n, _matches(r"^dw|^d_w")) or d
-    roles |= {k: v for k, v in {
-        "time_weighted": _one(left, lambda n: n == "time_weighted", _matches(r"time_?w|tw$")), "time": _one(left, lambda n: n == "time", _matches(r"time$")),
-        "edge_id": _one(left, lambda n: n == "edge_id", lambda n: n == "edge_", _matches(r"edge$"), what="edge id"), "component": _one(left, lambda n: n == "component", _matches(r"comp"), what="component"),
-    }.items() if v}
-    return roles
+    left.remove(roles["d"])
+    roles["d_weighted"] = _one(left, WEIGHT_NAMES, unlike=["*time*"]) or roles["d"]
+    roles["time_weighted"], roles["time"] = _one(left, TIME_WEIGHT_NAMES), _one(left, TIME_NAMES)
+    roles["edge_id"] = _one(left, EDGE_NAMES, what="edge id")
+    roles["component"] = _one(left, COMPONENT_NAMES, what="component")
+    return {k: v for k, v in roles.items() if v}
 
 
 @dataclass(frozen=True)

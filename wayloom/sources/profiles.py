@@ -13,19 +13,69 @@ CAR_SPEEDS = {
     "motorway_link": 45, "trunk_link": 40, "primary_link": 30, "secondary_link": 25, "tertiary_link": 20,
 }
 CAR_MODES = ["motorcar", "goods", "hgv", "psv", "motorcycle"]
-SLOW_SPEEDS = {
-    "bicycle": (15, {"track": 12, "path": 12, "steps": 4, "bridleway": 8, "footway": 4, "pedestrian": 4}),
-    "wheelchair": (5, {"track": 2, "steps": None, "bridleway": None, "footway": 4, "pedestrian": 4}),
-    "horse": (6.4, {"steps": 2}),
-    "foot": (5, {"steps": 2}),
-}
+USUAL_SLOW_SPEEDS = [("bicycle", 15), ("wheelchair", 5), ("horse", 6.4), ("foot", 5)]
+SLOW_SPEEDS = [
+    ("bicycle", "track", 12),
+    ("bicycle", "path", 12),
+    ("bicycle", "steps", 4),
+    ("bicycle", "bridleway", 8),
+    ("bicycle", "footway", 4),
+    ("bicycle", "pedestrian", 4),
+    ("wheelchair", "track", 2),
+    ("wheelchair", "steps", None),
+    ("wheelchair", "bridleway", None),
+    ("wheelchair", "footway", 4),
+    ("wheelchair", "pedestrian", 4),
+    ("horse", "steps", 2),
+    ("foot", "steps", 2),
+]
 NO_SLOW_SPEED = ["motorway", "trunk", "motorway_link", "trunk_link"]
 MOPED_TOP = 50
-SURFACES = {
-    "motorcar": {80: "cement compacted fine_gravel", 60: "paving_stones metal bricks", 40: "grass wood sett grass_paver gravel unpaved ground dirt pebblestone tartan", 30: "cobblestone clay", 20: "earth stone rocky sand", 10: "mud"},
-    "bicycle": {10: "cobblestone:flattened paving_stones compacted sett", 6: "cobblestone unpaved fine_gravel gravel pebblestone ground dirt earth grass", 3: "mud sand"},
-    "foot": {4: "fine_gravel gravel pebblestone", 2: "mud sand"},
-}
+SURFACES = [
+    ("motorcar", "cement", 80),
+    ("motorcar", "compacted", 80),
+    ("motorcar", "fine_gravel", 80),
+    ("motorcar", "paving_stones", 60),
+    ("motorcar", "metal", 60),
+    ("motorcar", "bricks", 60),
+    ("motorcar", "grass", 40),
+    ("motorcar", "wood", 40),
+    ("motorcar", "sett", 40),
+    ("motorcar", "grass_paver", 40),
+    ("motorcar", "gravel", 40),
+    ("motorcar", "unpaved", 40),
+    ("motorcar", "ground", 40),
+    ("motorcar", "dirt", 40),
+    ("motorcar", "pebblestone", 40),
+    ("motorcar", "tartan", 40),
+    ("motorcar", "cobblestone", 30),
+    ("motorcar", "clay", 30),
+    ("motorcar", "earth", 20),
+    ("motorcar", "stone", 20),
+    ("motorcar", "rocky", 20),
+    ("motorcar", "sand", 20),
+    ("motorcar", "mud", 10),
+    ("bicycle", "cobblestone:flattened", 10),
+    ("bicycle", "paving_stones", 10),
+    ("bicycle", "compacted", 10),
+    ("bicycle", "cobblestone", 6),
+    ("bicycle", "unpaved", 6),
+    ("bicycle", "fine_gravel", 6),
+    ("bicycle", "gravel", 6),
+    ("bicycle", "pebblestone", 6),
+    ("bicycle", "ground", 6),
+    ("bicycle", "dirt", 6),
+    ("bicycle", "earth", 6),
+    ("bicycle", "grass", 6),
+    ("bicycle", "mud", 3),
+    ("bicycle", "sand", 3),
+    ("bicycle", "sett", 10),
+    ("foot", "fine_gravel", 4),
+    ("foot", "gravel", 4),
+    ("foot", "pebblestone", 4),
+    ("foot", "mud", 2),
+    ("foot", "sand", 2),
+]
 LIGHTS = {"foot": 2.0, "wheelchair": 2.0, "bicycle": 2.0}
 LIGHTS_OTHER = 8.0
 TURNS = {"foot": 0.0, "horse": 0.0, "bicycle": 6.0}
@@ -34,15 +84,16 @@ UNRESTRICTED = ["foot", "horse", "wheelchair", "bicycle"]
 
 
 def way_speed(mode: str, way: str) -> float | None:
-    if mode in SLOW_SPEEDS:
-        usual, special = SLOW_SPEEDS[mode]
-        return None if way in NO_SLOW_SPEED else special.get(way, usual)
+    usual = dict(USUAL_SLOW_SPEEDS)
+    if mode in usual:
+        special = {w: v for m, w, v in SLOW_SPEEDS if m == mode}
+        return None if way in NO_SLOW_SPEED else special.get(way, usual[mode])
     speed = CAR_SPEEDS.get(way)
     return min(speed, MOPED_TOP) if mode == "moped" and speed else speed
 
 
 def surface_speeds(spark: SparkSession) -> DataFrame:
-    rows = [(mode, "surface", s, float(v)) for mode, by in SURFACES.items() for v, names in by.items() for s in names.split()]
+    rows = [(mode, "surface", surface, float(speed)) for mode, surface, speed in SURFACES]
     return spark.createDataFrame(rows, "name string, key string, value string, max_speed double")
 
 
