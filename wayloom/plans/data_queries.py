@@ -142,6 +142,12 @@ ORACLES: dict[str, str] = {
         "from graph g left join (select distinct edge_id, unit, n, mh from y) y on y.edge_id=g.edge_id left join (select distinct edge_id, trim(lower(maxspeed),' ;\"') t from graph) w on w.edge_id=g.edge_id) "
         "select c.edge_id, 'maxspeed' field, a.item from (select distinct edge_id, way_id from m where vacant) c join (select way_id, min(item) item from m where item is not null and not vacant group by 1 having count(distinct item)=1) a on a.way_id=c.way_id) z"
     ),
+    "p4_speeds": (
+        "select * from (" + _SPEEDS + ", w as (select edge_id, feed, maxspeed, trim(lower(maxspeed),' ;\"') t, trim(coalesce(lower(maxspeed),''),' ;|&,/\"') p from graph), "
+        "z as (select distinct edge_id, unit, n, mh from y) select w.edge_id, case when z.n>0 then cast(round(z.n*z.mh) as bigint) end speed_mh, "
+        "case when not regexp_matches(w.t,'[0-9;|&,/]') and w.t not in " + _UNKNOWN + " then w.t end word, coalesce(z.n>0 and z.mh=1000, false) is_kmh, "
+        "coalesce(z.n<=0 or z.mh is null and z.unit='', false) or coalesce(regexp_full_match(w.t,'[-+]0*[0-9.]+'), false) or w.p in " + _UNKNOWN + " vacant from w left join z on z.edge_id=w.edge_id) q"
+    ),
     "p4_found": _SPEEDS + " select distinct edge_id, cast(round(n*mh) as bigint) speed_mh from y where mh is not null and mh<>1000 and n>0",
     "p5_found": f"select 'near' kind, key_a, key_b from ({_NEAR}) a union all select 'inside', cast(edge_id as varchar), area_id from ({_INSIDE}) b",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from wayloom.functions import geo
 from wayloom.operators import flows, iso, match, routing, structure, turns
 from wayloom.plans import fixtures as fx
 from wayloom.session import read
-from wayloom.sources import network
+from wayloom.sources import network, profiles
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -302,10 +304,8 @@ _KIND = "case when lower(trim({c})) in ('pedestrian','footway') then 'path' else
     f"select edge_id, d/v d_weighted, ms profile_speed from s join p on p.k={_KIND.format(c='highway')}"
 )
 def profile_weights(spark: SparkSession, d: str) -> DataFrame:
-    from wayloom.sources.profiles import profile
-
     e = fx.streets(spark, d).edges.drop("d_weighted")
-    w = network.weigh(e, profile(read(spark, d, "weighting_profiles"), "pedal"), F.col("highway"))
+    w = network.weigh(e, profiles.profile(read(spark, d, "weighting_profiles"), "pedal"), F.col("highway"))
     return w.select("edge_id", "d_weighted", "profile_speed")
 
 
@@ -328,10 +328,91 @@ def turn_restrictions(spark: SparkSession, d: str) -> DataFrame:
     return turns.turn_restrictions(read(spark, d, "relation_properties"), read(spark, d, "relation_members"))
 
 
-@query()
-def compound_junctions(spark: SparkSession, d: str) -> DataFrame:
+_RULES = (
+    "ru as (select distinct relation_, lower(trim(value)) like 'only\\_%' escape '\\' as only_ from relation_properties where key='restriction' and regexp_matches(lower(trim(value)),'^(no|only)_')), "
+    "mb as (select distinct relation_, member, type, role from relation_members where member is not null), rule as (select distinct ru.only_, a.member way_from, b.member via, c.member way_to from ru join mb a on a.relation_=ru.relation_ and a.role='from' and a.type='way' "
+    "join mb b on b.relation_=ru.relation_ and b.role='via' and b.type='node' join mb c on c.relation_=ru.relation_ and c.role='to' and c.type='way')"
+)
+_COMPOUND = (
+    f"with s as ({fx.SQL_STREETS}), {_RULES}, j as (select from_id x from s where from_id is not null and to_id is not null group by 1 having count(distinct edge_id)>=4), "
+    "t as (select edge_id e, way_id y, from_id f, to_id t, d, time tm, from_lon fx, from_lat fy, to_lon tx, to_lat ty from s where from_id is not null and to_id is not null), "
+    "i as (select t x, e, y, d, tm, f, atan2(fy-ty, fx-tx) a from t where t in (select x from j)), o as (select f x, e, y, d, tm, t, atan2(ty-fy, tx-fx) a from t where f in (select x from j)), "
+    "tp as (select i.x, i.e e_in, o.e e_out, i.y y_in, o.y y_out, i.f, o.t, i.d+o.d d, i.tm+o.tm tm, case when i.a-o.a<0 then i.a-o.a+2*pi() else i.a-o.a end turn from i join o on o.x=i.x where i.e<>o.e), "
+    "tr as (select *, count(*) over (partition by x, e_in)-row_number() over (partition by x, e_in order by turn nulls first, e_out)+1 k from tp), "
+    "ok as (select tr.* from tr where not exists (select 1 from rule where not only_ and way_from=y_in and via=x and way_to=y_out) and (not exists (select 1 from rule where only_ and way_from=y_in and via=x) or exists (select 1 from rule where only_ and way_from=y_in and via=x and way_to=y_out))), "
+    "jj as (select distinct x from ok), q as (select cast(edge_id as varchar) e, from_id f, to_id t, d, time tm from s union all select 'j_'||e_in||'_'||e_out, f, t, d, tm+case when k>2 then 7.5 else 0 end from ok) "
+    "select q.e edge_id, case when a.x is null then q.f else q.f||'_start' end from_id, case when b.x is null then q.t else q.t||'_end' end to_id, q.d, q.tm as time from q left join jj a on a.x=q.f left join jj b on b.x=q.t"
+)
+
+
+def _compound(spark: SparkSession, d: str):
     rules = turns.turn_restrictions(read(spark, d, "relation_properties"), read(spark, d, "relation_members"))
-    return turns.compound_junctions(fx.streets(spark, d), 7.5, restrictions=rules, way="way_id")[0].edges.select("edge_id", "from_id", "to_id", "d", "time")
+    return turns.compound_junctions(fx.streets(spark, d), 7.5, restrictions=rules, way="way_id")
+
+
+@query(_COMPOUND)
+def compound_junctions(spark: SparkSession, d: str) -> DataFrame:
+    return _compound(spark, d)[0].edges.select("edge_id", "from_id", "to_id", "d", "time")
+
+
+@query(f"select cast(edge_id as varchar) edge_id, from_id, to_id, d from ({fx.SQL_STREETS}) s")
+def uncompound(spark: SparkSession, d: str) -> DataFrame:
+    """The street table through compound junctions and back."""
+    g, named = _compound(spark, d)
+    return turns.uncompound(g.with_edges(g.edges.withColumn("load", F.lit(0.0))), named, ["load"]).edges.select("edge_id", "from_id", "to_id", "d")
+
+
+@query(f"select edge_id, from_id, to_id, d, d_weighted, highway from ({fx.SQL_STREETS}) s")
+def save_load(spark: SparkSession, d: str) -> DataFrame:
+    from wayloom.session import shared_dir
+    from wayloom.sources import io
+
+    path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    io.save_graph(fx.streets(spark, d), path, contracted=False)
+    return io.load_graph(spark, path)["graph"].edges.select("edge_id", "from_id", "to_id", "d", "d_weighted", "highway")
+
+
+_TOPS = "(values " + ", ".join(f"('{v}', {float(x)})" for m, v, x in profiles.SURFACES if m == "motorcar") + ") tops(surface, top)"
+
+
+@query(
+    f"with s as ({fx.SQL_STREETS}), p as (select lower(trim(way)) k, max(value) v, max(max_speed) ms from weighting_profiles where name='pedal' group by 1 having max(value)>0), "
+    f"x as (select s.edge_id, s.highway, s.surface, p.ms, {_KMH} tag from s join p on p.k={_KIND.format(c='highway')}), m as (select highway, median(tag) med from x where tag is not null group by 1) "
+    f"select x.edge_id, round(least(coalesce(x.tag, m.med, x.ms), t.top), 6) speed from x left join m on m.highway=x.highway left join {_TOPS.replace('tops(', 't(')} on t.surface=lower(trim(x.surface))"
+)
+def street_speeds(spark: SparkSession, d: str) -> DataFrame:
+    """Speeds of cars: tags, medians of the kind of way, the profile, and at most what the surface allows."""
+    e = network.weigh(fx.streets(spark, d).edges, profiles.profile(read(spark, d, "weighting_profiles"), "pedal"), F.col("highway"))
+    out = network.set_speeds(e, "motorcar", "maxspeed", "highway", "surface", profiles.surface_speeds(spark))
+    return out.select("edge_id", F.round("speed", 6).alias("speed"))
+
+
+_TAG = "min(value) filter (where key='{k}')"
+_SC = (
+    f"with s as ({fx.SQL_STREETS}), v as (select distinct id, x, y from vertex where id is not null and x between -180 and 180 and y between -90 and 90), "
+    + "w as (select object_, " + ", ".join(f"{_TAG.format(k=k)} {k}" for k in ("highway", "oneway", "maxspeed", "lanes", "junction", "bicycle")) + " from sc_object group by 1), "
+    "e as (select cast(s.edge_id as varchar) e, s.from_id f, s.to_id t, " + _HAV.format(x0="a.x", y0="a.y", x1="b.x", y1="b.y") + " d, w.* from s left join v a on a.id=s.from_id left join v b on b.id=s.to_id join w on w.object_=s.way_id "
+    "where w.highway is not null and coalesce(lower(w.bicycle)<>'no', true) and not regexp_matches(w.highway, '^(motorway|trunk)')), "
+    "p as (select lower(trim(way)) k, max(value) v, max(max_speed) ms from weighting_profiles where name='pedal' group by 1 having max(value)>0), "
+    "z as (select e.*, d/p.v*case when try_cast(regexp_extract(lanes,'^\\s*([0-9]+)',1) as int)>=8 then 1.2 when try_cast(regexp_extract(lanes,'^\\s*([0-9]+)',1) as int)>=6 then 1.1 when try_cast(regexp_extract(lanes,'^\\s*([0-9]+)',1) as int)>=4 then 1.05 else 1.0 end dw, "
+    f"case when p.ms is null then null else least({_KMH}, p.ms) end sp from e join p on p.k={_KIND.format(c='highway')}), "
+    "one as (select *, row_number() over (partition by f, t order by d nulls first, e) r_ from z), "
+    "k as (select *, coalesce(lower(trim(oneway)) in ('yes','y','true','t','1','-1'), false) or coalesce(junction in ('roundabout','circular'), false) ow from one where r_=1) "
+    "select e edge_id, f from_id, t to_id, round(dw, 3) d_weighted, round(d/nullif(sp*1000/3600, 0), 3) as time from k union all select e||'_r', t, f, round(dw, 3), round(d/nullif(sp*1000/3600, 0), 3) from k where not ow"
+)
+
+
+@query(_SC)
+def sc_network(spark: SparkSession, d: str) -> DataFrame:
+    """A network of normalised tables: vertices, edges of the street table, their ways, and the ways' tags as they are spelt in lower case."""
+    v = read(spark, d, "vertex").where("id is not null and x between -180 and 180 and y between -90 and 90").select(F.col("id").alias("vertex_"), F.col("x").alias("x_"), F.col("y").alias("y_"))
+    s = fx.streets(spark, d).edges
+    tables = {
+        "vertex": v, "edge": s.select(F.col("edge_id").cast("string").alias("edge_"), F.col("from_id").alias(".vx0"), F.col("to_id").alias(".vx1")),
+        "object_link_edge": s.select(F.col("edge_id").cast("string").alias("edge_"), F.col("way_id").alias("object_")), "object": read(spark, d, "sc_object").select("object_", "key", "value"),
+    }
+    g = network.weight_tables(tables, profiles.profile(read(spark, d, "weighting_profiles"), "pedal"), "bicycle")
+    return g.edges.select("edge_id", "from_id", "to_id", F.round("d_weighted", 3).alias("d_weighted"), F.round("time", 3).alias("time"))
 
 
 @query(f"with s as ({fx.SQL_STREETS}) select edge_id, round({_HAV.format(x0='from_lon', y0='from_lat', x1='to_lon', y1='to_lat')},3) metres from s where from_lon is not null and from_lat is not null and to_lon is not null and to_lat is not null")

@@ -156,7 +156,7 @@ _TURNS = (
     "t as (select edge_id e, from_id f, to_id t, round(time*1000) d, round(time_weighted*1000) w, from_lon fx, from_lat fy, to_lon tx, to_lat ty from s where from_id is not null and to_id is not null), "
     "i as (select t x, e, d, w, f, atan2(fy-ty, fx-tx) a from t where t in (select x from j)), o as (select f x, e, d, w, t, atan2(ty-fy, tx-fx) a from t where f in (select x from j)), "
     "tp as (select i.x, i.e e_in, o.e e_out, i.f, o.t, i.d+o.d d, i.w+o.w w, case when i.a-o.a<0 then i.a-o.a+2*pi() else i.a-o.a end turn from i join o on o.x=i.x where i.e<>o.e), "
-    "tr as (select *, count(*) over (partition by x, e_in)-row_number() over (partition by x, e_in order by turn, e_out)+1 k from tp), "
+    "tr as (select *, count(*) over (partition by x, e_in)-row_number() over (partition by x, e_in order by turn nulls first, e_out)+1 k from tp), "
     "st as (select x, x||'_start' y from j), en as (select x, x||'_end' y from j), "
     "cmp as (select coalesce(st.y, q.f) f, coalesce(en.y, q.t) t, w, d, e from (select f, t, w, d, cast(e as varchar) e from t union all "
     "select f, t, w+case when k>2 then 7500 else 0 end, d+case when k>2 then 7500 else 0 end, 'j_'||e_in||'_'||e_out from tr) q left join st on st.x=q.f left join en on en.x=q.t)"
