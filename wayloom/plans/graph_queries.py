@@ -239,9 +239,46 @@ def street_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return structure.deduplicate(fx.streets(spark, d)).edges.select("edge_id", "from_id", "to_id", "d", "d_weighted", "time_weighted")
 
 
-@query()
+_CONTRACTED = (
+    f"with recursive s as ({fx.SQL_STREETS}), n as (select min(edge_id) e, from_id u, to_id v, arg_min_null(d, edge_id) d, min(d_weighted) w from s where from_id is not null and to_id is not null group by 2, 3), "
+    "e as (select * from n where u<>v), i as (select v x, count(*) k, min(u) lo, max(u) hi from e group by 1), o as (select u x, count(*) k, min(v) lo, max(v) hi from e group by 1), "
+    "th as (select i.x from i join o on o.x=i.x where i.k=1 and o.k=1 and i.lo<>o.lo or i.k=2 and o.k=2 and i.lo=o.lo and i.hi=o.hi), "
+    "ways as (select th.x, a.e before, b.e e, coalesce(abs(case when a.d>0 then a.w/a.d end-case when b.d>0 then b.w/b.d end)<1e-6, a.w=b.w and a.d=b.d) even from e a join e b on a.v=b.u and a.u<>b.v join th on th.x=a.v), "
+    "li as (select e, before from ways where x not in (select x from ways where even is not true)), "
+    "c(head, e, pos) as (select e, e, 0 from e where e not in (select e from li) union all select c.head, li.e, c.pos+1 from c join li on li.before=c.e), "
+    "sums as (select c.head, min_by(e.u, c.pos) f, max_by(e.v, c.pos) t, sum(e.d) d, sum(e.w) w from c join e on e.e=c.e group by 1), "
+    "best as (select *, row_number() over (partition by f, t order by w nulls first, d nulls first, head) r_ from sums) select f from_id, t to_id, round(d, 6) d, round(w, 6) d_weighted from best where r_=1"
+)
+
+
+@query(_CONTRACTED)
 def street_contract(spark: SparkSession, d: str) -> DataFrame:
-    return structure.contract(fx.streets(spark, d))[0].edges.select("edge_id", "from_id", "to_id", "d", "d_weighted")
+    short = structure.contract(fx.streets(spark, d))[0].edges
+    return short.select("from_id", "to_id", F.round("d", 6).alias("d"), F.round("d_weighted", 6).alias("d_weighted"))
+
+
+@query()
+def street_lines(spark: SparkSession, d: str) -> DataFrame:
+    from wayloom.sources import io
+
+    return io.to_lines(fx.streets(spark, d))
+
+
+@query()
+def street_sample(spark: SparkSession, d: str) -> DataFrame:
+    return structure.sample(fx.streets(spark, d), 100, seed=1).edges.select("edge_id", "from_id", "to_id", "d")
+
+
+@query()
+def add_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nations' graph with the customers joined to it."""
+    g = fx.nations(spark, d)
+    return match.add_nodes(g, _customers(spark, d), "custkey", "x", "y").edges.select("edge_id", "from_id", "to_id", F.round("d", 3).alias("d"))
+
+
+@query()
+def isochrones(spark: SparkSession, d: str) -> DataFrame:
+    return iso.isochrones(fx.nations(spark, d), None, [5000, 10000])
 
 
 _PV = "v as (select distinct cast(l_suppkey as bigint) id, ((l_suppkey::bigint)*7919%1000)/1000.0 vx, ((l_suppkey::bigint)*104729%1000)/1000.0 vy from lineitem), p as (select cast(c_custkey as bigint) k, ((c_custkey::bigint)*7919%1000)/1000.0 px, ((c_custkey::bigint)*104729%1000)/1000.0 py from customer)"
