@@ -104,3 +104,21 @@ def test_roles_of_columns():
     assert column_roles([".vx0", ".vx1", "edge_", "d", "w"]) == {"from_id": ".vx0", "to_id": ".vx1", "d": "d", "d_weighted": "w", "edge_id": "edge_"}
     with pytest.raises(ValueError, match="distance"):
         column_roles(["from", "to", "x"])
+
+
+def test_boxes_and_ways_around(spark):
+    assert network.expand_box(box="1.0, 2.0; 3.0 4.0", expand=0.0) == (1.0, 2.0, 3.0, 4.0)
+    assert network.expand_box(box=[(0.0, 0.0), (2.0, 0.0), (1.0, 3.0)], expand=0.0) == (0.0, 0.0, 2.0, 3.0)
+    ways = spark.createDataFrame([("in", [("a", 0.5, 0.5), ("b", 9.0, 9.0)]), ("out", [("c", 5.0, 5.0)]), ("none", None)], "way_id string, geometry array<struct<id:string,x:double,y:double>>")
+    points = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "x double, y double")
+    assert [r.way_id for r in network.ways_around(ways, points).collect()] == ["in"]
+
+
+def test_several_decays(spark, crossroads):
+    g = Graph.of(crossroads)
+    n = spark.createDataFrame([("s", 2.0), ("w", 1.0)], "id string, n double")
+    two = {r.edge_id: (r.flow1, r.flow2) for r in flows.flows_si(g, n, n, k=[50.0, 500.0]).collect()}
+    own = {r.edge_id: (r.flow1, r.flow2) for r in flows.flows_si(g, n.withColumns({"k1": F.lit(50.0), "k2": F.lit(500.0)}), n).collect()}
+    assert two == own and len(two) == 8 and sum(a for a, _ in two.values()) == pytest.approx(3.0)
+    with pytest.raises(ValueError, match="heap"):
+        routing.dists(g, heap="pile")

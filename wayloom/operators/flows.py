@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import time
 from collections.abc import Iterator
 
@@ -102,19 +103,30 @@ def flows_aggregate(graph: Graph, flows: DataFrame, tol: float = 1e-12, norm_sum
     return _with_edges(graph, parts.select("edge", (F.col("flow") / (F.col("hops") if norm_sums else F.lit(1))).alias("flow")), name)
 
 
-def flows_si(graph: Graph, origins: DataFrame, destinations: DataFrame, k: float = 500.0, tol: float = 1e-12, norm_sums: bool = True, strategy: str = "auto") -> DataFrame:
-    """Singly constrained spatial interaction: each origin's density ``n`` (``id``, ``n``, and its own ``k`` if there is such a column) is shared among the destinations (``id``, ``n``) in proportion to n exp(-d / k), and these flows are
-    aggregated along the routes. Destinations beyond -k ln(tol) get none."""
-    own = "k" in origins.columns
-    o = origins.groupBy("id").agg(F.sum("n").alias("n_from"), *([F.first("k").alias("k")] if own else [])).withColumnRenamed("id", "from_id")
+def flows_si(
+    graph: Graph, origins: DataFrame, destinations: DataFrame, k: float | list[float] = 500.0, tol: float = 1e-12, norm_sums: bool = True, strategy: str = "auto", name: str = "flow"
+) -> DataFrame:
+    """Singly constrained spatial interaction: flows of each origin's density among the destinations, aggregated along the routes.
+
+    Each origin's density ``n`` (``id``, ``n``) is shared among the destinations (``id``, ``n``) in proportion to n exp(-d / k). Several ``k`` give
+    the columns ``flow1``, ``flow2`` and so on; so do columns ``k1``, ``k2`` ... of ``origins``, each origin's own; a column ``k`` is its only one.
+    Destinations beyond -k ln(tol) get none. Routes are searched once.
+    """
+    own = [c for c in origins.columns if re.fullmatch(r"k\d*", c)]
+    ks = own or [float(x) for x in (k if isinstance(k, list) else [k])]
+    o = origins.groupBy("id").agg(F.sum("n").alias("n_from"), *[F.first(c).cast("double").alias(c) for c in own]).withColumnRenamed("id", "from_id")
     d = destinations.groupBy("id").agg(F.sum("n").alias("n_to")).withColumnRenamed("id", "to_id")
-    kk = F.col("k") if own else F.lit(float(k))
     reached = routing.trees(graph, o.select(F.col("from_id").alias("id")), strategy=strategy)
-    pull = reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"), "d").where("from_id <> to_id").join(o, "from_id").join(d, "to_id")
-    pull = materialize(pull.where(F.col("d") <= -kk * math.log(tol)).withColumn("e", F.col("n_to") * F.exp(-F.col("d") / kk)))
-    total = pull.groupBy("from_id").agg(F.sum("e").alias("total")).where(F.col("total") > tol)
-    flows = pull.join(total, "from_id").select("from_id", "to_id", (F.col("n_from") * F.try_divide("e", "total")).alias("flow"))
-    return flows_aggregate(graph, flows, 0.0, norm_sums, pairwise=True, strategy=strategy)
+    near = reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"), "d").where("from_id <> to_id").join(o, "from_id").join(d, "to_id")
+    near = materialize(near)
+    out, names = graph, [name] if len(ks) == 1 else [f"{name}{i + 1}" for i in range(len(ks))]
+    for column, one in zip(names, ks):
+        kk = F.col(one) if own else F.lit(one)
+        pull = near.where(F.col("d") <= -kk * math.log(tol)).withColumn("e", F.col("n_to") * F.exp(-F.col("d") / kk))
+        total = pull.groupBy("from_id").agg(F.sum("e").alias("total")).where(F.col("total") > tol)
+        flows = pull.join(total, "from_id").select("from_id", "to_id", (F.col("n_from") * F.try_divide("e", "total")).alias("flow"))
+        out = out.with_edges(flows_aggregate(out, flows, 0.0, norm_sums, pairwise=True, strategy=strategy, name=column))
+    return out.edges
 
 
 def flows_disperse(graph: Graph, origins: DataFrame, k: float | list[float] = 500.0, tol: float = 1e-12, strategy: str = "auto") -> DataFrame:

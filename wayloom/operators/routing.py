@@ -25,6 +25,9 @@ from wayloom.session import forget, materialize
 
 #: Edges, and bytes of their arrays, that may be sent to every executor.
 KERNEL_EDGES, KERNEL_BYTES = 5_000_000, 400 << 20
+# Names of heaps that callers may give.
+HEAPS = ["BHeap", "FHeap", "TriHeap", "TriHeapExt", "Heap23", "set"]
+
 # The wording of errors.
 NO_WEIGHTED_TIME = "Graph does not contain a weighted time column from which to calculate fastest paths."
 NO_TIME = "Graph does not contain a time column."
@@ -250,13 +253,16 @@ def trees(graph: Graph, sources: DataFrame | list | None = None, limit: float |
     return per_source(graph.edges.sparkSession, csr, spread(wanted, "id"), work, T.StructType([T.StructField(*f) for f in fields]))
 
 
-def dists(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strategy: str = "auto", length: str = "d", weight: str | None = None) -> DataFrame:
+def dists(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strategy: str = "auto", length: str = "d", weight: str | None = None, heap: str | None = None) -> DataFrame:
     """(``from_id``, ``to_id``, ``d``): the length of the best route for each source and target, null where there is none, 0 from a vertex to itself.
 
     Routes have the least ``d_weighted`` (``shortest``) or the least ``time_weighted``; of equal ones the shorter. Ids that aren't in the graph
     are an error in lists, and unreachable in frames. Repeated ids give one row a pair. If there are more sources than targets the graph is
-    turned round and searched from the targets. In graphs with compound junctions ids are those of the plain graph.
+    turned round and searched from the targets. In graphs with compound junctions ids are those of the plain graph. ``heap`` may name one of
+    ``HEAPS``, which all give the same result and are the same here.
     """
+    if heap is not None and heap not in HEAPS:
+        raise ValueError(f"there is no heap {heap!r}")
     weight = weight or ("d_weighted" if shortest else "time_weighted")
     if weight == "time_weighted":
         graph.require(weight, NO_WEIGHTED_TIME)

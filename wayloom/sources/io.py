@@ -92,14 +92,17 @@ def from_vertices_and_edges(nodes: DataFrame, edges: DataFrame) -> Graph:
 
 
 def to_lines(graph: Graph) -> DataFrame:
-    """(``edge_id``, ``wkt``): the contracted graph, each of its edges as the line through all vertices between."""
+    """(``edge_id``, ``wkt``, and the columns of the contracted graph but for its coordinates): each of its edges as the line through all vertices between."""
     short, mapped = contract(graph)
     id_col = short.roles.get("edge_id", short.order)
     old = graph.edges.select(F.col(f"`{graph.order}`").alias("edge_old"), *[graph[r].alias(r) for r in ("from_x", "from_y", "to_x", "to_y")])
     parts = mapped.join(old, "edge_old").groupBy("edge_new").agg(F.array_sort(F.collect_list(F.struct("pos", "from_x", "from_y", "to_x", "to_y"))).alias("s"))
     point = lambda a, b: F.concat_ws(" ", a.cast("string"), b.cast("string"))
     line = F.concat(F.array(point(F.element_at("s", 1)["from_x"], F.element_at("s", 1)["from_y"])), F.transform("s", lambda p: point(p["to_x"], p["to_y"])))
-    return short.edges.select(F.col(f"`{id_col}`").cast("string").alias("edge_new")).join(parts, "edge_new").select(F.col("edge_new").alias("edge_id"), F.concat(F.lit("LINESTRING ("), F.array_join(line, ", "), F.lit(")")).alias("wkt"))
+    left_out = {id_col.lower(), "edge_id", "wkt", "edge_new", "s", *(short.roles[r].lower() for r in ("from_x", "from_y", "to_x", "to_y"))}
+    more = [F.col(f"`{c}`") for c in short.edges.columns if c.lower() not in left_out]
+    named = short.edges.select(F.col(f"`{id_col}`").cast("string").alias("edge_new"), *more).join(parts, "edge_new")
+    return named.select(F.col("edge_new").alias("edge_id"), F.concat(F.lit("LINESTRING ("), F.array_join(line, ", "), F.lit(")")).alias("wkt"), *more)
 
 
 def flow_classes(graph: Graph, flow: str = "flow", classes: int = 30) -> DataFrame:

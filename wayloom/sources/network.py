@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,8 +238,17 @@ def weight_railway(ways: DataFrame, id_col: str = "way_id", kind: str = "railway
     return components(Graph.of(e, order="edge_id"))
 
 
-def expand_box(points: DataFrame | None = None, box: tuple[float, float, float, float] | list | None = None, expand: float = 0.05, x: str = "x", y: str = "y") -> tuple[float, float, float, float]:
-    """(west, south, east, north) around points or of a box (four numbers, or corners as pairs), grown by a share of its size, latitudes held within the globe and longitudes turned into -180..180."""
+def ways_around(ways: DataFrame, points: DataFrame, expand: float = 0.1, x: str = "x", y: str = "y", geometry: str = "geometry") -> DataFrame:
+    """The lines of a table of ways that have a vertex in the box around ``points``, grown by ``expand`` of its size: what a network for routing between them is built of."""
+    west, south, east, north = expand_box(points, expand=expand, x=x, y=y)
+    across = lambda v: v.between(west, east) if west <= east else (v >= west) | (v <= east)
+    return ways.where(F.exists(geometry, lambda p: across(p["x"]) & p["y"].between(south, north)))
+
+
+def expand_box(points: DataFrame | None = None, box: tuple[float, float, float, float] | list | str | None = None, expand: float = 0.05, x: str = "x", y: str = "y") -> tuple[float, float, float, float]:
+    """(west, south, east, north) around points or of a box (four numbers, also in a text, or corners or a polygon as pairs), grown by a share of its size, latitudes held within the globe and longitudes turned into -180..180."""
+    if isinstance(box, str):
+        box = re.findall(r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?", box)
     if box is not None:
         flat = [float(v) for part in box for v in (part if isinstance(part, list | tuple) else [part])]
         if len(flat) < 4 or len(flat) % 2:
