@@ -37,6 +37,8 @@ NOT_IN_GRAPH = "from/to are not numeric yet can not be matched onto graph vertic
 
 #: Targets that may be sent along; with more of them the loop is taken.
 KERNEL_TARGETS = 2_000_000
+#: Targets of a block, where they are more than that.
+BLOCK_TARGETS = 100_000
 
 _ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64()}
 
@@ -174,10 +176,13 @@ def few(ids: DataFrame) -> list | None:
 
 
 def each_target(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """(``from_id``, ``to_id``): the rows of the answer, each source with each of the stated targets. Up to ``KERNEL_TARGETS`` of them go to every task, more are joined."""
+    """(``from_id``, ``to_id``): the rows of the answer, each source with each of the stated targets. Up to ``KERNEL_TARGETS`` of them go to every task, more are met block by block."""
     to_list = few(targets)
     if to_list is None:
-        return sources.select(F.col("id").alias("from_id")).crossJoin(targets.select(F.col("id").alias("to_id")))
+        blocks = max(2 * sources.sparkSession.sparkContext.defaultParallelism, -(-targets.count() // BLOCK_TARGETS))
+        held = targets.select(F.col("id").alias("to_id"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b_"))
+        asked = sources.select(F.col("id").alias("from_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b_"))
+        return asked.join(held, "b_").drop("b_")
     kind = sources.schema["id"].dataType
     sent = sources.sparkSession.sparkContext.broadcast(to_list)
 
