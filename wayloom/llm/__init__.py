@@ -1 +1,3 @@
-"""Operators on text corpora: encoding by public tokenizers, mixing of sources, and look-alike text. Nothing else in the library needs this subpackage."""
+"""Operators on text corpora: encoding by public tokenizers, mixing of sources, and look-alike text. Nothing else in the library needs this
+subpackage.
+"""

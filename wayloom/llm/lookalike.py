@@ -112,7 +112,8 @@ def _script(c: str) -> str:
 def script_form(word: str) -> str:
     """The word with its look-alike letters in one script.
 
-    That is one that has a letter of its own in the word (Latin first, then in the order of ``SCRIPTS``), else Latin. Depends only on how the word looks.
+    That is one that has a letter of its own in the word (Latin first, then in the order of ``SCRIPTS``), else Latin. Depends only on how the word
+    looks.
     """
     latin = unicodedata.normalize("NFD", word).translate(_LATIN)
     own = {_script(c) for c in latin if c not in _SHARED and c.isalpha()}
@@ -301,7 +302,9 @@ def spellings(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = docs.select(F.col(text).cast("string").alias("t")).where("t <> ''")
     counted = texts.mapInArrow(count, "look string, word string, clean int, n long, odd int")
     counted = counted.groupBy("look", "word", "clean").agg(F.sum("n").alias("n"), F.max("odd").alias("odd"))
-    best = counted.groupBy("look").agg(F.max(F.struct("clean", "n", "word")).alias("best"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max("odd").alias("odd"))
+    best = counted.groupBy("look").agg(
+        F.max(F.struct("clean", "n", "word")).alias("best"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max("odd").alias("odd")
+    )
     shared = "^[0-9" + "".join(sorted(_SHARED)) + "]+$"
     keep = best.where((F.col("k") > 1) | (F.col("odd") > 0) | (F.col("look").rlike(shared) & (F.col("best.clean") == 1)))
     return keep.select("look", "best.word", "best.clean", "n").mapInArrow(_spelled, "look string, spelling string, n long")
@@ -390,8 +393,12 @@ def canonical_text(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
 
 
 def look_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", words: dict[str, str] | None = None) -> DataFrame:
-    """(``k``, ``look``, ``exact``): 16-byte digests of the canonical text and of the text itself, for rows with a key whose canonical text has a visible character."""
-    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("look", T.BinaryType()), T.StructField("exact", T.BinaryType())])
+    """(``k``, ``look``, ``exact``): 16-byte digests of the canonical text and of the text itself, for rows with a key whose canonical text has a
+    visible character.
+    """
+    schema = T.StructType(
+        [T.StructField("k", docs.schema[key].dataType), T.StructField("look", T.BinaryType()), T.StructField("exact", T.BinaryType())]
+    )
 
     def out(keys: pa.Array, texts: list, forms: list) -> pa.RecordBatch:
         digest = lambda s: hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
@@ -409,16 +416,21 @@ def _cases(keys: DataFrame) -> DataFrame:
 
 
 def look_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``key``, ``look_class``, ``n_links``): each document with a visible character, the class of all that look like it, and the number of documents of its class with another text.
+    """(``key``, ``look_class``, ``n_links``): each document with a visible character, the class of all that look like it, and the number of documents
+    of its class with another text.
 
     The class is a digest of the canonical text. Nothing is paired, so a look that a third of all documents have is no problem. Null, empty and
     blank texts have no row. Repeated rows count once, several texts of one key each have a row.
     """
     keys = materialize(look_keys(docs, key, text).distinct())
     cases = _cases(keys)
-    same = cases.groupBy("look", "exact").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("m")).select("look", "exact", (F.col("n") - F.col("m")).alias("n_links"))
+    same = cases.groupBy("look", "exact").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("m")).select(
+        "look", "exact", (F.col("n") - F.col("m")).alias("n_links")
+    )
     out = keys.join(small(same), ["look", "exact"], "left")
-    return out.select(F.col("k").alias(key), F.lower(F.hex("look")).alias("look_class"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    return out.select(
+        F.col("k").alias(key), F.lower(F.hex("look")).alias("look_class"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")
+    )
 
 
 def same_look(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -131,20 +131,35 @@ def plan_mix(
     ]
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "n_tokens", budget: float | None = None, seed: int = 0, target_entropy: float | None = None) -> tuple[DataFrame, list[Plan]]:
+def mix_sources(
+    docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "n_tokens", budget: float | None = None,
+    seed: int = 0, target_entropy: float | None = None
+) -> tuple[DataFrame, list[Plan]]:
     """Draw documents so that each source has its weight in the total size. Returns (uses, plan).
 
-    ``docs`` has a row per document with its ``size`` in tokens; ``targets`` the columns ``source``, ``weight``, ``max_repeat``. Uses: ``key``, ``source``, ``n_tokens``, ``uses`` (1 up to max_repeat; documents that are
-    not used have no row). Every document of a source is used in each whole pass; the remaining part of a pass is the head of a random permutation by hash, cut at the budget: the pass is divided
-    into ``BLOCKS`` blocks by hash, whose sizes are summed first; blocks within the budget are taken whole and only the block at its end is ordered document by document. So no source is ever
-    sorted or gathered in one task, however many of the rows it holds. A source misses its budget by less than one document. ``budget`` and ``target_entropy`` are those of ``plan_mix``.
-
-    Documents of a source that is null or not listed, with a null key, or without tokens are not drawn. Rows that repeat a key are documents of their own. Of several targets of a source the
+    ``docs`` has a row per document with its ``size`` in tokens; ``targets`` the columns ``source``, ``weight``, ``max_repeat``. Uses: ``key``,
+    ``source``, ``n_tokens``, ``uses`` (1 up to max_repeat; documents that are
+    not used have no row). Every document of a source is used in each whole pass; the remaining part of a pass is the head of a random permutation by
+    hash, cut at the budget: the pass is divided
+    into ``BLOCKS`` blocks by hash, whose sizes are summed first; blocks within the budget are taken whole and only the block at its end is ordered
+    document by document. So no source is ever
+    sorted or gathered in one task, however many of the rows it holds. A source misses its budget by less than one document. ``budget`` and
+    ``target_entropy`` are those of ``plan_mix``.
+
+    Documents of a source that is null or not listed, with a null key, or without tokens are not drawn. Rows that repeat a key are documents of their
+    own. Of several targets of a source the
     greatest (weight, max_repeat) counts; null weights and limits count as 0. Empty tables give an empty mix. Other columns are ignored.
     """
-    rows = bounded_rows(targets.where(F.col("source").isNotNull()).select("source", F.coalesce(F.col("weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.col("max_repeat"), F.lit(0)).alias("max_repeat")), MAX_SOURCES, "sources")
+    rows = bounded_rows(
+        targets.where(F.col("source").isNotNull()).select(
+            "source", F.coalesce(F.col("weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.col("max_repeat"), F.lit(0)).alias("max_repeat")
+        ),
+        MAX_SOURCES, "sources"
+    )
     goal = {r.source: (float(r.weight), int(r.max_repeat)) for r in sorted(rows, key=lambda r: (r.source, r.weight, r.max_repeat))}
-    clean = docs.select(F.col(key).alias("k_"), F.col(source).alias("s_"), F.col(size).cast("long").alias("n_")).where("k_ is not null and s_ is not null and n_ > 0")
+    clean = docs.select(
+        F.col(key).alias("k_"), F.col(source).alias("s_"), F.col(size).cast("long").alias("n_")
+    ).where("k_ is not null and s_ is not null and n_ > 0")
     block = F.pmod(F.xxhash64(F.lit(seed), F.col("s_"), F.col("k_").cast("string")), F.lit(BLOCKS)).cast("int").alias("b_")
     clean = clean.select("*", block)
     spark = docs.sparkSession
@@ -153,20 +168,33 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source
     blocks = clean.join(listed, "s_", "left_semi").groupBy("s_", "b_").agg(F.sum("n_").alias("t_"))
     totals = {r.s_: r.t_ for r in blocks.groupBy("s_").agg(F.sum("t_").alias("t_")).collect()}
     plan = plan_mix(totals, goal, budget, target_entropy)
-    drawn = F.broadcast(spark.createDataFrame([(p.source, p.passes, p.rest) for p in plan if p.budget > 0], T.StructType([T.StructField("s_", T.StringType()), T.StructField("p_", T.IntegerType()), T.StructField("r_", T.DoubleType())])))
+    drawn = F.broadcast(
+        spark.createDataFrame(
+            [(p.source, p.passes, p.rest) for p in plan if p.budget > 0],
+            T.StructType([T.StructField("s_", T.StringType()), T.StructField("p_", T.IntegerType()), T.StructField("r_", T.DoubleType())])
+        )
+    )
     by_source = Window.partitionBy("s_").orderBy("b_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heads = blocks.withColumn("end_", F.sum("t_").over(by_source)).withColumn("start_", F.col("end_") - F.col("t_")).join(drawn, "s_")
     last = heads.where("start_ < r_ and end_ >= r_").select("s_", "b_", (F.col("r_") - F.col("start_")).alias("left_"))
     edge = [(r.s_, r.b_, float(r.left_)) for r in bounded_rows(last, MAX_SOURCES, "sources")]
-    ends = F.broadcast(spark.createDataFrame(edge, T.StructType([T.StructField("s_", T.StringType()), T.StructField("e_", T.IntegerType()), T.StructField("left_", T.DoubleType())])))
+    ends = F.broadcast(
+        spark.createDataFrame(
+            edge, T.StructType([T.StructField("s_", T.StringType()), T.StructField("e_", T.IntegerType()), T.StructField("left_", T.DoubleType())])
+        )
+    )
     every = clean.join(drawn, "s_").join(ends, "s_", "left")
     full = F.when(F.col("r_") <= 0, 0).when(F.col("e_").isNull() | (F.col("b_") < F.col("e_")), 1).otherwise(0)
     within = every.where("b_ = e_")
-    order = Window.partitionBy("s_", "b_").orderBy(F.xxhash64(F.lit(seed + 1), F.col("k_").cast("string")), "k_", "n_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("s_", "b_").orderBy(
+        F.xxhash64(F.lit(seed + 1), F.col("k_").cast("string")), "k_", "n_"
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = within.withColumn("sum_", F.sum("n_").over(order)).withColumn("more_", (F.col("sum_") - F.col("n_") / 2 <= F.col("left_")).cast("int"))
     outside = every.where("e_ is null or b_ <> e_").withColumn("more_", full)
     picked = outside.unionByName(within.drop("sum_")).withColumn("u_", F.col("p_") + F.col("more_")).where("u_ > 0")
-    return picked.select(F.col("k_").alias(key), F.col("s_").alias("source"), F.col("n_").alias("n_tokens"), F.col("u_").cast("int").alias("uses")), plan
+    return picked.select(
+        F.col("k_").alias(key), F.col("s_").alias("source"), F.col("n_").alias("n_tokens"), F.col("u_").cast("int").alias("uses")
+    ), plan
 
 
 def shares(uses: DataFrame, plan: list[Plan]) -> DataFrame:
@@ -176,6 +204,8 @@ def shares(uses: DataFrame, plan: list[Plan]) -> DataFrame:
         [(p.source, p.weight, p.share, p.tokens, p.limit, p.budget, p.exponent) for p in plan],
         "source string, weight double, planned_share double, source_tokens long, max_repeat int, planned_tokens double, exponent double",
     )
-    got = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mix_tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
+    got = uses.groupBy("source").agg(
+        F.sum(F.col("n_tokens") * F.col("uses")).alias("mix_tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses")
+    )
     out = table.join(F.broadcast(got), "source", "left").fillna(0, ["mix_tokens", "documents", "most_uses"])
     return out.withColumn("reached_share", F.coalesce(F.try_divide("mix_tokens", F.sum("mix_tokens").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)))

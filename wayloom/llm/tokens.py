@@ -35,7 +35,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of a short word: part boundaries and the ranks of adjacent parts in two contiguous arrays.
 
-    The least rank (the first of equals) is searched, the boundary between its two parts deleted, and the ranks of the two neighbours looked up anew, until no adjacent parts merge.
+    The least rank (the first of equals) is searched, the boundary between its two parts deleted, and the ranks of the two neighbours looked up anew,
+    until no adjacent parts merge.
     """
     get = ranks.get
     bounds = list(range(len(word) + 1))
@@ -113,7 +114,8 @@ def _shared_ranks(spark: SparkSession, vocabulary: str, tokenizers: str):
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", tokenizers: str = TOKENIZERS) -> DataFrame:
     """(``key``, ``ids``): the token ids of the whole text of each row, without special tokens. One pass over Arrow batches, no shuffle.
 
-    Null and empty texts have an empty list; blanks are encoded as any text. Each row gives one row, repeated or not, also for null keys. Empty tables give empty tables, other
+    Null and empty texts have an empty list; blanks are encoded as any text. Each row gives one row, repeated or not, also for null keys. Empty tables
+    give empty tables, other
     columns are not read. A key named ``ids`` is returned as it is and the list is then called ``ids_``.
     """
     ranks = _shared_ranks(df.sparkSession, vocabulary, tokenizers)
@@ -127,14 +129,19 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
                 if t:
                     encoder.encode_into(t, ids)
                 offsets.append(len(ids))
-            lists = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets)]), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
+            lists = pa.ListArray.from_arrays(
+                pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets)]),
+                pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
+            )
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, name])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(name, T.ArrayType(T.IntegerType()))])
     return df.select(F.col(key), F.col(text).cast("string").alias("text__")).mapInArrow(run, schema)
 
 
-def count_tokens(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str = "byte_bpe_50k", tokenizers: str = TOKENIZERS, name: str = "n_tokens") -> DataFrame:
+def count_tokens(
+    df: DataFrame, keep: list[str], text: str = "text", vocabulary: str = "byte_bpe_50k", tokenizers: str = TOKENIZERS, name: str = "n_tokens"
+) -> DataFrame:
     """``keep`` and the number of tokens (long) of each text; 0 for null and empty texts."""
     ranks = _shared_ranks(df.sparkSession, vocabulary, tokenizers)
     n = len(keep)
@@ -146,4 +153,6 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", vocabulary:
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(counts, pa.int64())], names=[*keep, name])
 
     kept = df.select(*keep)
-    return df.select(*keep, F.col(text).cast("string").alias("text__")).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.LongType())]))
+    return df.select(*keep, F.col(text).cast("string").alias("text__")).mapInArrow(
+        run, T.StructType([*kept.schema.fields, T.StructField(name, T.LongType())])
+    )
