@@ -18,7 +18,9 @@ MATRIX_VERTICES, BLOCK = 2500, 64
 
 @dataclass
 class Tree:
-    """Best routes from one source: for each settled vertex, in the order of settling, its route's weight, length, number of edges, previous vertex and last edge (-1 at the source)."""
+    """Best routes from one source: for each settled vertex, in the order of settling, its route's weight, length, number of edges, previous vertex
+    and last edge (-1 at the source).
+    """
 
     v: np.ndarray
     w: np.ndarray
@@ -83,7 +85,8 @@ class Csr:
         return self._lists
 
     def search(self, source: int, targets: Iterable[int] | None = None, limit: float | None = None, nearest: bool = False) -> Tree:
-        """Best routes by (w, d, edges, previous vertex). Ends early once all ``targets`` are settled (``nearest``: one of them), or when no open route is within ``limit`` of length. Exact: a longer best route is never passed over for a
+        """Best routes by (w, d, edges, previous vertex). Ends early once all ``targets`` are settled (``nearest``: one of them), or when no open
+        route is within ``limit`` of length. Exact: a longer best route is never passed over for a
         shorter one of more weight."""
         dense = self.n and len(self.w) / self.n >= DENSE_DEGREE and limit is None
         return (self._search_arrays if dense else self._search_heap)(source, targets, limit, nearest)
@@ -104,7 +107,9 @@ class Csr:
                 yield s, self.search(s, targets)
 
     def _search_block(self, sources: np.ndarray) -> Iterator[Tree]:
-        """As ``search``, a row of a matrix for each source. With positive weights a vertex' label can only come from vertices of less weight, so it doesn't matter in which order equal ones are settled."""
+        """As ``search``, a row of a matrix for each source. With positive weights a vertex' label can only come from vertices of less weight, so it
+        doesn't matter in which order equal ones are settled.
+        """
         n, rows = self.n, np.arange(len(sources))
         if self._matrices is None:
             ws, ds, ks = np.full((n, n), np.inf), np.zeros((n, n)), np.full((n, n), -1, np.int32)
@@ -174,7 +179,9 @@ class Csr:
                 break
         rows = list(done.values())
         column = lambda i, kind: np.fromiter((r[i] for r in rows), kind, len(rows))
-        return Tree(np.fromiter(done, np.int64, len(done)), column(0, float), column(1, float), column(2, np.int64), column(3, np.int64), column(4, np.int64))
+        return Tree(
+            np.fromiter(done, np.int64, len(done)), column(0, float), column(1, float), column(2, np.int64), column(3, np.int64), column(4, np.int64)
+        )
 
     def _search_arrays(self, source: int, targets, limit, nearest) -> Tree:
         n = self.n
@@ -224,7 +231,9 @@ class Csr:
         return out
 
     def load(self, tree: Tree, flow: dict[int, float], norm: bool, onto: np.ndarray) -> None:
-        """Add to ``onto`` (by edge) the ``flow`` to each vertex, on all edges of its route; with ``norm`` divided by their number. Back from the far ends, so each tree edge is visited once."""
+        """Add to ``onto`` (by edge) the ``flow`` to each vertex, on all edges of its route; with ``norm`` divided by their number. Back from the far
+        ends, so each tree edge is visited once.
+        """
         held = dict.fromkeys(tree.v.tolist(), 0.0)
         rows = list(zip(tree.v.tolist(), tree.hops.tolist(), tree.prev.tolist(), tree.edge.tolist()))
         for v, hops, _p, _k in rows:
@@ -295,7 +304,9 @@ def convex_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def concave_hull(x: np.ndarray, y: np.ndarray, concavity: float, length_threshold: float = 0.0) -> np.ndarray:
-    """The convex hull dug inwards: a side longer than ``length_threshold`` takes in the nearest inner point whose two new sides are, by the side's length, short enough for ``concavity`` (0: convex, up to 1: deepest)."""
+    """The convex hull dug inwards: a side longer than ``length_threshold`` takes in the nearest inner point whose two new sides are, by the side's
+    length, short enough for ``concavity`` (0: convex, up to 1: deepest).
+    """
     hull = convex_hull(x, y).tolist()
     if concavity <= 0 or len(hull) < 3:
         return np.array(hull)
@@ -322,7 +333,9 @@ def concave_hull(x: np.ndarray, y: np.ndarray, concavity: float, length_threshol
 
 
 def fundamental_cycles(tail: np.ndarray, head: np.ndarray) -> list[list[int]]:
-    """A basis of the cycles of an undirected graph, each as its vertices in order: a spanning forest, and for each edge beyond it the symmetric difference of the two root paths."""
+    """A basis of the cycles of an undirected graph, each as its vertices in order: a spanning forest, and for each edge beyond it the symmetric
+    difference of the two root paths.
+    """
     near: dict[int, list[int]] = {}
     for a, b in sorted({(min(a, b), max(a, b)) for a, b in zip(tail.tolist(), head.tolist()) if a != b}):
         near.setdefault(a, []).append(b)

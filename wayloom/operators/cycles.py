@@ -39,10 +39,14 @@ def _rings_in_tasks(e: DataFrame, kind: T.DataType) -> DataFrame:
 def _rings_by_joins(e: DataFrame, max_rounds: int) -> DataFrame:
     """The same for components of any size: a level of the spanning trees a round, then a step up from both ends of all other edges a round."""
     near = materialize(e.select(F.col("u").alias("a"), F.col("v").alias("b")).union(e.select("v", "u")))
-    fresh = materialize(e.select(F.col("label").alias("id")).distinct().withColumns({"parent": F.lit(None).cast(e.schema["u"].dataType), "depth": F.lit(0)}))
+    fresh = materialize(
+        e.select(F.col("label").alias("id")).distinct().withColumns({"parent": F.lit(None).cast(e.schema["u"].dataType), "depth": F.lit(0)})
+    )
     tree = fresh
     for depth in range(1, max_rounds):
-        step = near.join(fresh.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent")).withColumn("depth", F.lit(depth))
+        step = near.join(
+            fresh.select(F.col("id").alias("a")), "a"
+        ).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent")).withColumn("depth", F.lit(depth))
         fresh = materialize(step.join(tree.select("id"), "id", "left_anti"))
         if not fresh.limit(1).count():
             break
@@ -53,14 +57,18 @@ def _rings_by_joins(e: DataFrame, max_rounds: int) -> DataFrame:
     tree = materialize(tree)
     of = lambda c: tree.select(F.col("id").alias(c), F.col("parent").alias(f"p{c}"), F.col("depth").alias(f"d{c}"))
     both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).join(of("a"), "a").join(of("b"), "b")
-    chords = both.where("not (coalesce(pa = b, false) or coalesce(pb = a, false))").select("a", "b", F.array("a").alias("left"), F.array("b").alias("right"))
+    chords = both.where("not (coalesce(pa = b, false) or coalesce(pb = a, false))").select(
+        "a", "b", F.array("a").alias("left"), F.array("b").alias("right")
+    )
     todo, done = materialize(chords), []
     for _ in range(max_rounds):
         step = todo.join(of("a"), "a").join(of("b"), "b")
         up_a, up_b = F.col("da") >= F.col("db"), F.col("db") >= F.col("da")
         moved = step.select(
             F.when(up_a, F.col("pa")).otherwise(F.col("a")).alias("a"), F.when(up_b, F.col("pb")).otherwise(F.col("b")).alias("b"),
-            F.when(up_a, F.array_append("left", F.col("pa"))).otherwise(F.col("left")).alias("left"), F.when(up_b, F.array_append("right", F.col("pb"))).otherwise(F.col("right")).alias("right"),
+            F.when(up_a, F.array_append("left", F.col("pa"))).otherwise(F.col("left")).alias("left"), F.when(
+                up_b, F.array_append("right", F.col("pb"))
+            ).otherwise(F.col("right")).alias("right"),
         )
         moved = materialize(moved)
         done.append(moved.where("a = b"))
@@ -83,10 +91,13 @@ def cycles(graph: Graph, max_edges: int = MAX_EDGES, max_rounds: int = 100_000)
     """(``cycle_id``, ``pos``, ``id``, and ``x``, ``y`` if the graph has them): a basis of the undirected cycles of each component, vertices in order.
 
     There are E - V + 1 of a component with E distinct edges and V vertices: each edge beyond a spanning tree closes one. The tree is that of
-    the fewest edges from the component's least vertex, each vertex under the least of its neighbours that are one edge nearer. Components of at most ``max_edges``
+    the fewest edges from the component's least vertex, each vertex under the least of its neighbours that are one edge nearer. Components of at most
+    ``max_edges``
     edges are taken whole by a task, larger ones by joins, with the same result. ``cycle_id`` is a hash of the cycle's vertices.
     """
-    e = graph.edges.select(F.least(graph["from_id"], graph["to_id"]).alias("u"), F.greatest(graph["from_id"], graph["to_id"]).alias("v")).where("u is not null and v is not null and u <> v").distinct()
+    e = graph.edges.select(
+        F.least(graph["from_id"], graph["to_id"]).alias("u"), F.greatest(graph["from_id"], graph["to_id"]).alias("v")
+    ).where("u is not null and v is not null and u <> v").distinct()
     e = materialize(e)
     label = component_labels(e.select(F.col("u").alias("a"), F.col("v").alias("b")))
     e = materialize(e.join(label, e["u"] == label["id"]).drop("id"))
@@ -101,8 +112,12 @@ def cycles(graph: Graph, max_edges: int = MAX_EDGES, max_rounds: int = 100_000)
 
 
 def cycle_rank(graph: Graph) -> DataFrame:
-    """(``component``, ``n_vertices``, ``n_edges``, ``rank``): per component, named by its smallest vertex, the number of independent cycles, edges minus vertices plus one."""
-    e = graph.edges.select(F.least(graph["from_id"], graph["to_id"]).alias("a"), F.greatest(graph["from_id"], graph["to_id"]).alias("b")).where("a is not null and b is not null").distinct()
+    """(``component``, ``n_vertices``, ``n_edges``, ``rank``): per component, named by its smallest vertex, the number of independent cycles, edges
+    minus vertices plus one.
+    """
+    e = graph.edges.select(
+        F.least(graph["from_id"], graph["to_id"]).alias("a"), F.greatest(graph["from_id"], graph["to_id"]).alias("b")
+    ).where("a is not null and b is not null").distinct()
     e = materialize(e)
     label = materialize(component_labels(e))
     n_v = label.groupBy("label").agg(F.count(F.lit(1)).alias("n_vertices"))
@@ -112,24 +127,32 @@ def cycle_rank(graph: Graph) -> DataFrame:
 
 
 def full_cycles(graph: Graph, max_edges: int = MAX_EDGES) -> DataFrame:
-    """The cycles of the contracted graph with all vertices of the original one between them. Chains that run beside another edge, or back to where they began, are not contracted, or their cycles would be lost."""
+    """The cycles of the contracted graph with all vertices of the original one between them. Chains that run beside another edge, or back to where
+    they began, are not contracted, or their cycles would be lost.
+    """
     short, mapped = contract(graph)
     ends = graph.edges.select(F.col(f"`{graph.order}`").alias("edge_old"), graph["from_id"].alias("f"), graph["to_id"].alias("t"))
-    loops = short.edges.where(short["from_id"] == short["to_id"]).select(F.col(f"`{short.roles.get('edge_id', short.order)}`").cast("string").alias("edge_new"))
+    loops = short.edges.where(short["from_id"] == short["to_id"]).select(
+        F.col(f"`{short.roles.get('edge_id', short.order)}`").cast("string").alias("edge_new")
+    )
     whole = ends.join(mapped.join(loops, "edge_new", "left_anti"), "edge_old", "left_anti")
     whole = materialize(whole.select("f").union(whole.select("t")).distinct())
     if whole.limit(1).count():
         short, mapped = contract(graph, whole)
     found = materialize(cycles(short, max_edges))
     id_col = short.roles.get("edge_id", short.order)
-    step = found.alias("a").join(found.alias("b"), (F.col("a.cycle_id") == F.col("b.cycle_id"))).join(found.groupBy(F.col("cycle_id").alias("c__")).agg(F.max("pos").alias("last")), F.col("a.cycle_id") == F.col("c__")).where("b.pos = case when a.pos = last then 0 else a.pos + 1 end")
+    step = found.alias("a").join(found.alias("b"), (F.col("a.cycle_id") == F.col("b.cycle_id"))).join(
+        found.groupBy(F.col("cycle_id").alias("c__")).agg(F.max("pos").alias("last")), F.col("a.cycle_id") == F.col("c__")
+    ).where("b.pos = case when a.pos = last then 0 else a.pos + 1 end")
     step = step.select(F.col("a.cycle_id").alias("cycle_id"), F.col("a.pos").alias("side"), F.col("a.id").alias("u"), F.col("b.id").alias("v"))
     named = short.edges.select(short["from_id"].alias("f"), short["to_id"].alias("t"), F.col(f"`{id_col}`").cast("string").alias("edge_new"))
     there = step.join(named, (step["u"] == named["f"]) & (step["v"] == named["t"])).select("cycle_id", "side", "edge_new", F.lit(1).alias("way"))
     back = step.join(named, (step["v"] == named["f"]) & (step["u"] == named["t"])).select("cycle_id", "side", "edge_new", F.lit(-1).alias("way"))
     one = there.unionByName(back).groupBy("cycle_id", "side").agg(F.max(F.struct("way", "edge_new")).alias("m")).select("cycle_id", "side", "m.*")
     old = graph.edges.select(F.col(f"`{graph.order}`").alias("edge_old"), graph["from_id"].alias("f"), graph["to_id"].alias("t"))
-    steps = one.join(mapped, "edge_new").join(old, "edge_old").select("cycle_id", "side", (F.col("pos") * F.col("way")).alias("k"), F.when(F.col("way") > 0, F.col("f")).otherwise(F.col("t")).alias("id"))
+    steps = one.join(mapped, "edge_new").join(old, "edge_old").select(
+        "cycle_id", "side", (F.col("pos") * F.col("way")).alias("k"), F.when(F.col("way") > 0, F.col("f")).otherwise(F.col("t")).alias("id")
+    )
     ring = steps.groupBy("cycle_id").agg(F.array_sort(F.collect_list(F.struct("side", "k", "id"))).alias("s"))
     return ring.select("cycle_id", F.posexplode("s.id").alias("pos", "id"))
 
@@ -148,5 +171,7 @@ def rings_to_wkt(found: DataFrame) -> DataFrame:
     """Ordered vertices to polygon texts; rings are as long as their cycles."""
     points = F.array_sort(F.collect_list(F.struct("pos", "x", "y")))
     text = F.transform(F.concat(F.col("s"), F.array(F.element_at("s", 1))), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
-    return found.groupBy("cycle_id").agg(points.alias("s")).select("cycle_id", F.concat(F.lit("POLYGON (("), F.array_join(text, ", "), F.lit("))")).alias("wkt"))
+    return found.groupBy("cycle_id").agg(points.alias("s")).select(
+        "cycle_id", F.concat(F.lit("POLYGON (("), F.array_join(text, ", "), F.lit("))")).alias("wkt")
+    )
 

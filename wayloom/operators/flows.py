@@ -34,11 +34,15 @@ def _with_edges(graph: Graph, parts: DataFrame, name: str) -> DataFrame:
     sums = parts.groupBy("edge").agg(F.sum("flow").alias(name))
     order = graph.order
     e = graph.edges if name not in graph.edges.columns else graph.edges.drop(name)
-    return e.join(sums.withColumnRenamed("edge", "edge__"), e[order] == F.col("edge__"), "left").drop("edge__").withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
+    return e.join(
+        sums.withColumnRenamed("edge", "edge__"), e[order] == F.col("edge__"), "left"
+    ).drop("edge__").withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
 
 
 def _load(graph: Graph, edges: DataFrame, flows: DataFrame, norm: bool) -> DataFrame:
-    """Partial sums of (``from_id``, ``to_id``, ``flow``) by edge, by the kernel: each task routes its sources and returns a row for each edge that it loaded."""
+    """Partial sums of (``from_id``, ``to_id``, ``flow``) by edge, by the kernel: each task routes its sources and returns a row for each edge that it
+    loaded.
+    """
     csr, _ = routing.load(edges)
     sent = graph.edges.sparkSession.sparkContext.broadcast(csr)
 
@@ -60,7 +64,8 @@ def _load(graph: Graph, edges: DataFrame, flows: DataFrame, norm: bool) -> DataF
 
 
 def _on_contracted(graph: Graph, table: DataFrame, work, names: list[str]) -> DataFrame:
-    """``work(contracted graph, table)``, whose edges have the columns ``names``, on the graph's own edges; 0 on those that contraction has dropped."""
+    """``work(contracted graph, table)``, whose edges have the columns ``names``, on the graph's own edges; 0 on those that contraction has dropped.
+    """
     ends = table.select(F.col("from_id").alias("id"))
     short, mapped = contract(graph, (ends.union(table.select("to_id")) if "to_id" in table.columns else ends).distinct())
     id_col = short.roles.get("edge_id", short.order)
@@ -70,10 +75,15 @@ def _on_contracted(graph: Graph, table: DataFrame, work, names: list[str]) -> Da
     return e.join(parts, e[graph.order] == F.col("edge__"), "left").drop("edge__").fillna(0.0, names)
 
 
-def flows_aggregate(graph: Graph, flows: DataFrame, tol: float = 1e-12, norm_sums: bool = True, pairwise: bool = False, strategy: str = "auto", name: str = "flow", contract_first: bool = False) -> DataFrame:
-    """The graph's edges with the column ``flow``: the sum of all flows (``from_id``, ``to_id``, ``flow``) that are routed over each edge, with ``norm_sums`` each divided by the number of its route's edges.
+def flows_aggregate(
+    graph: Graph, flows: DataFrame, tol: float = 1e-12, norm_sums: bool = True, pairwise: bool = False, strategy: str = "auto", name: str = "flow",
+    contract_first: bool = False
+) -> DataFrame:
+    """The graph's edges with the column ``flow``: the sum of all flows (``from_id``, ``to_id``, ``flow``) that are routed over each edge, with
+    ``norm_sums`` each divided by the number of its route's edges.
 
-    Flows of a pair are added up first; flows from a vertex to itself, null, not positive, or at most ``tol`` of the origin's largest one are not routed (``pairwise``: no tolerance), nor those without a route.
+    Flows of a pair are added up first; flows from a vertex to itself, null, not positive, or at most ``tol`` of the origin's largest one are not
+    routed (``pairwise``: no tolerance), nor those without a route.
     Of parallel edges the one of least weight takes all. An empty table of flows gives 0 on all edges. ``contract_first``: routed on the contracted
     graph, of which the ends of flows stay vertices, and given back to the edges that were contracted; ``norm_sums`` then divides by
     the edges of the contracted route. With a penalty for turns, compound edges give their flow to both of their edges.
@@ -117,7 +127,9 @@ def flows_si(
     o = origins.groupBy("id").agg(F.sum("n").alias("n_from"), *[F.first(c).cast("double").alias(c) for c in own]).withColumnRenamed("id", "from_id")
     d = destinations.groupBy("id").agg(F.sum("n").alias("n_to")).withColumnRenamed("id", "to_id")
     reached = routing.trees(graph, o.select(F.col("from_id").alias("id")), strategy=strategy)
-    near = reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"), "d").where("from_id <> to_id").join(o, "from_id").join(d, "to_id")
+    near = reached.select(
+        F.col("source").alias("from_id"), F.col("vertex").alias("to_id"), "d"
+    ).where("from_id <> to_id").join(o, "from_id").join(d, "to_id")
     near = materialize(near)
     out, names = graph, [name] if len(ks) == 1 else [f"{name}{i + 1}" for i in range(len(ks))]
     for column, one in zip(names, ks):
@@ -130,9 +142,11 @@ def flows_si(
 
 
 def flows_disperse(graph: Graph, origins: DataFrame, k: float | list[float] = 500.0, tol: float = 1e-12, strategy: str = "auto") -> DataFrame:
-    """The graph's edges with ``flow`` (several ``k``: ``flow1``, ``flow2`` ...): each origin's density ``n`` (``id``, ``n``) is dispersed to the vertices it reaches in proportion to exp(-d / k), each vertex' part on the last edge of its route.
+    """The graph's edges with ``flow`` (several ``k``: ``flow1``, ``flow2`` ...): each origin's density ``n`` (``id``, ``n``) is dispersed to the
+    vertices it reaches in proportion to exp(-d / k), each vertex' part on the last edge of its route.
 
-    For k > 0 the search ends at -k ln(tol), for k not above 0 the logistic curve of cycling models is used on all reached vertices. An origin whose parts add up to ``tol`` at most is skipped.
+    For k > 0 the search ends at -k ln(tol), for k not above 0 the logistic curve of cycling models is used on all reached vertices. An origin whose
+    parts add up to ``tol`` at most is skipped.
     """
     ks = [float(x) for x in (k if isinstance(k, list) else [k])]
     limit = -max(ks) * math.log(tol) if min(ks) > 0 else None
@@ -146,16 +160,24 @@ def flows_disperse(graph: Graph, origins: DataFrame, k: float | list[float] = 50
     total = weighed.groupBy("source").agg(*[F.sum(f"e{i}").alias(f"t{i}") for i in range(len(ks))]).join(o, "source")
     out, names = graph.edges, ["flow"] if len(ks) == 1 else [f"flow{i + 1}" for i in range(len(ks))]
     joined = weighed.join(total, "source")
-    sums = joined.groupBy("edge").agg(*[F.sum(F.when(F.col(f"t{i}") > tol, F.col("n") * F.col(f"e{i}") / F.col(f"t{i}"))).alias(n) for i, n in enumerate(names)])
+    sums = joined.groupBy("edge").agg(
+        *[F.sum(F.when(F.col(f"t{i}") > tol, F.col("n") * F.col(f"e{i}") / F.col(f"t{i}"))).alias(n) for i, n in enumerate(names)]
+    )
     out = graph.edges.drop(*names)
     return out.join(sums.withColumnRenamed("edge", "edge__"), out[graph.order] == F.col("edge__"), "left").drop("edge__").fillna(0.0, names)
 
 
-def centrality(graph: Graph, edges: bool = True, column: str = "d_weighted", vertex_weights: DataFrame | None = None, threshold: float | None = None, contract_first: bool = False) -> DataFrame:
-    """Betweenness of directed routes by least ``column``: the graph's edges with ``centrality``, or (``id``, ``centrality``) of the vertices. Not halved, not normalised; ends count for edges, not for vertices.
+def centrality(
+    graph: Graph, edges: bool = True, column: str = "d_weighted", vertex_weights: DataFrame | None = None, threshold: float | None = None,
+    contract_first: bool = False
+) -> DataFrame:
+    """Betweenness of directed routes by least ``column``: the graph's edges with ``centrality``, or (``id``, ``centrality``) of the vertices. Not
+    halved, not normalised; ends count for edges, not for vertices.
 
-    Each source's part is weighted by ``vertex_weights`` (``id``, ``n``; 1 if not given); routes longer than ``threshold`` (by ``column``) aren't followed. Of parallel edges the first of the least weight counts. Every task sums the parts of its sources before the
-    shuffle. The graph must fit an executor. ``contract_first``: of the contracted graph, whose junctions are then the only sources; edges get the value
+    Each source's part is weighted by ``vertex_weights`` (``id``, ``n``; 1 if not given); routes longer than ``threshold`` (by ``column``) aren't
+    followed. Of parallel edges the first of the least weight counts. Every task sums the parts of its sources before the
+    shuffle. The graph must fit an executor. ``contract_first``: of the contracted graph, whose junctions are then the only sources; edges get the
+    value
     of the edge that they were contracted to.
     """
     if contract_first:
@@ -168,7 +190,9 @@ def centrality(graph: Graph, edges: bool = True, column: str = "d_weighted", ver
     if not routing.fits_kernel(std):
         raise ValueError(f"centrality needs a graph of at most {routing.KERNEL_EDGES} edges; contract it first")
     csr, _ = routing.load(std)
-    sources = ids.withColumn("n", F.lit(1.0)) if vertex_weights is None else ids.join(vertex_weights.groupBy("id").agg(F.sum("n").cast("double").alias("n")), "id")
+    sources = ids.withColumn("n", F.lit(1.0)) if vertex_weights is None else ids.join(
+        vertex_weights.groupBy("id").agg(F.sum("n").cast("double").alias("n")), "id"
+    )
     sent = graph.edges.sparkSession.sparkContext.broadcast(csr)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,13 +209,20 @@ def centrality(graph: Graph, edges: bool = True, column: str = "d_weighted", ver
     parts = routing.spread(sources, "id").mapInArrow(run, _part(kind))
     if edges:
         return _with_edges(graph, parts, "centrality")
-    names = graph.edges.sparkSession.createDataFrame([(i, v) for i, v in enumerate(csr.names.to_pylist())], T.StructType([T.StructField("edge", T.LongType()), T.StructField("id", ids.schema["id"].dataType)]))
+    names = graph.edges.sparkSession.createDataFrame(
+        [(i, v) for i, v in enumerate(csr.names.to_pylist())],
+        T.StructType([T.StructField("edge", T.LongType()), T.StructField("id", ids.schema["id"].dataType)])
+    )
     sums = names.join(parts.groupBy("edge").agg(F.sum("flow").alias("centrality")), "edge").select("id", "centrality")
     return ids.join(sums, "id", "left").select("id", F.coalesce("centrality", F.lit(0.0)).alias("centrality"))
 
 
-def estimate_centrality_threshold(graph: Graph, tolerance: float = 1e-3, start: float | None = None, grow: float = 1.1, max_rounds: int = 60) -> float:
-    """The least distance threshold, growing by a tenth, from which the centrality no longer changes by more than ``tolerance`` (1 - r squared against the step before)."""
+def estimate_centrality_threshold(
+    graph: Graph, tolerance: float = 1e-3, start: float | None = None, grow: float = 1.1, max_rounds: int = 60
+) -> float:
+    """The least distance threshold, growing by a tenth, from which the centrality no longer changes by more than ``tolerance`` (1 - r squared against
+    the step before).
+    """
     d = start or graph.standard().agg(F.avg("w")).first()[0] * 10
     last = centrality(graph, threshold=d).select(F.col(graph.order).alias("k"), F.col("centrality").alias("a"))
     for _ in range(max_rounds):
@@ -208,6 +239,8 @@ def estimate_centrality_time(graph: Graph, sources: int = 100, threshold: float
     """H:M:S that the full centrality is expected to take, from the time of ``sources`` of them."""
     ids = routing.vertex_ids(graph)
     began = time.time()
-    centrality(graph, vertex_weights=ids.orderBy(F.xxhash64("id")).limit(sources).withColumn("n", F.lit(1.0)), threshold=threshold).agg(F.sum("centrality")).collect()
+    centrality(
+        graph, vertex_weights=ids.orderBy(F.xxhash64("id")).limit(sources).withColumn("n", F.lit(1.0)), threshold=threshold
+    ).agg(F.sum("centrality")).collect()
     s = int((time.time() - began) * max(1.0, ids.count() / sources))
     return f"{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"

@@ -15,7 +15,9 @@ from wayloom.schema import Graph
 
 
 def isoverts(graph: Graph, from_ids, dlim: list[float] | None = None, tlim: list[float] | None = None, strategy: str = "auto") -> DataFrame:
-    """(``from_id``, ``dlim`` or ``tlim``, ``id``, and the vertex' ``x``, ``y`` if the graph has them): every vertex within each limit of each source. At the largest limit the length must be below it, at the others not above."""
+    """(``from_id``, ``dlim`` or ``tlim``, ``id``, and the vertex' ``x``, ``y`` if the graph has them): every vertex within each limit of each source.
+    At the largest limit the length must be below it, at the others not above.
+    """
     if dlim and tlim:
         raise ValueError("Only one of dlim or tlim can be provided")
     limits, name = (dlim, "dlim") if dlim else (tlim, "tlim")
@@ -32,8 +34,13 @@ def isoverts(graph: Graph, from_ids, dlim: list[float] | None = None, tlim: list
     return out
 
 
-def iso_hulls(graph: Graph, from_ids, dlim: list[float] | None = None, tlim: list[float] | None = None, concavity: float = 0.0, length_threshold: float = 0.0, strategy: str = "auto") -> DataFrame:
-    """(``from_id``, limit, ``pos``, ``id``, ``x``, ``y``): the hull of the vertices within each limit of each source, a closed ring in order. ``concavity`` from 0 (convex) to 1; sides up to ``length_threshold`` aren't dug in."""
+def iso_hulls(
+    graph: Graph, from_ids, dlim: list[float] | None = None, tlim: list[float] | None = None, concavity: float = 0.0, length_threshold: float = 0.0,
+    strategy: str = "auto"
+) -> DataFrame:
+    """(``from_id``, limit, ``pos``, ``id``, ``x``, ``y``): the hull of the vertices within each limit of each source, a closed ring in order.
+    ``concavity`` from 0 (convex) to 1; sides up to ``length_threshold`` aren't dug in.
+    """
     if not 0 <= concavity <= 1:
         raise ValueError("concavity must be between 0 and 1")
     if not graph.is_spatial:
@@ -50,7 +57,10 @@ def iso_hulls(graph: Graph, from_ids, dlim: list[float] | None = None, tlim: lis
         q = p.iloc[at]
         return pd.DataFrame({"from_id": q["from_id"], name: q[name], "pos": np.arange(len(q)), "id": q["id"], "x": q["x"], "y": q["y"]})
 
-    fields = [("from_id", points.schema["from_id"].dataType), (name, T.DoubleType()), ("pos", T.LongType()), ("id", kind), ("x", T.DoubleType()), ("y", T.DoubleType())]
+    fields = [
+        ("from_id", points.schema["from_id"].dataType), (name, T.DoubleType()), ("pos", T.LongType()), ("id", kind), ("x", T.DoubleType()),
+        ("y", T.DoubleType())
+    ]
     # a group is what one source reaches, which the search bounds
     return points.groupBy("from_id", name).applyInPandas(hull, T.StructType([T.StructField(*f) for f in fields]))
 

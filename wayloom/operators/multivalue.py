@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # What may stand on the two sides of a slash within a unit.
-UNIT_OVER = ["km", "m", "mi", "ft", "nm", "nmi", "metre", "metres", "meter", "meters", "mile", "miles", "foot", "feet", "kilometre", "kilometres", "kilometer", "kilometers"]
+UNIT_OVER = [
+    "km", "m", "mi", "ft", "nm", "nmi", "metre", "metres", "meter", "meters", "mile", "miles", "foot", "feet", "kilometre", "kilometres", "kilometer",
+    "kilometers"
+]
 UNIT_UNDER = ["h", "hr", "hrs", "hour", "s", "sec", "secs", "second", "min", "mins", "minute"]
 
 QUOTE, OPEN, CLOSE, COMMA, SLASH = b'"(),/'
@@ -48,7 +51,8 @@ def _unit_slash(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray
 def split_array(values: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(parent, position from 1, item) of every value of a string array, empty places included as empty items.
 
-    The string buffer is scanned once: the parity of the quotes and the depth of the brackets before each byte, each relative to its row's start, mask the delimiters. A quote or
+    The string buffer is scanned once: the parity of the quotes and the depth of the brackets before each byte, each relative to its row's start, mask
+    the delimiters. A quote or
     bracket that is never closed is an ordinary character. Null and empty texts give one empty item.
     """
     values = pc.fill_null(values.cast(pa.string()), "")
@@ -129,7 +133,9 @@ def split_array(values: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     length = z - a
     ends = np.cumsum(length)
     take = np.arange(ends[-1]) + np.repeat(a - (ends - length), length)
-    items = pa.StringArray.from_buffers(len(a), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[take])))
+    items = pa.StringArray.from_buffers(
+        len(a), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[take]))
+    )
     if quoted.any():
         items = pc.if_else(pa.array(quoted), pc.replace_substring(items, '""', '"'), items)
     return parent.astype(np.int64), position, items
@@ -153,7 +159,8 @@ def single_values(values: pa.Array) -> pa.Array:
 def split_values(df: DataFrame, key: str, fields: list[str], least: int = 2) -> DataFrame:
     """(``key``, ``field``, ``pos``, ``item``): one row per value of each of ``fields`` that holds at least ``least`` non-empty values.
 
-    Values are separated by ; | & tab, line end, the word "and" between blanks, a slash outside units, and a comma that isn't directly between digits; not
+    Values are separated by ; | & tab, line end, the word "and" between blanks, a slash outside units, and a comma that isn't directly between digits;
+    not
     within quotes or round brackets. ``pos`` counts from 1 and counts empty places, which give no row. No shuffle: one pass over Arrow batches.
     Null, empty and blank fields give no rows; repeated rows give repeated rows; other columns are not read. Texts of any length are scanned whole.
     """
@@ -168,10 +175,22 @@ def split_values(df: DataFrame, key: str, fields: list[str], least: int = 2) ->
                 full &= (np.bincount(parent[full], minlength=len(column)) >= least)[parent]
                 at = np.flatnonzero(full)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(parent[at])), pa.array([field] * len(at), pa.string()), pa.array(pos[at]), items.take(pa.array(at))], names=["key_", "field", "pos", "item"]
+                    [
+                        batch.column(0).take(pa.array(parent[at])), pa.array([field] * len(at), pa.string()), pa.array(pos[at]),
+                        items.take(pa.array(at))
+                    ], names=["key_", "field", "pos", "item"]
                 )
 
-    schema = T.StructType([T.StructField("key_", kind), T.StructField("field", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("item", T.StringType())])
-    has_two = [F.when(F.col(f).rlike(r"[;|&\t\n,/]|(?i)\sand\s"), F.col(f)).alias(f"f{i}_") if least > 1 else F.col(f).alias(f"f{i}_") for i, f in enumerate(fields)]
+    schema = T.StructType(
+        [
+            T.StructField("key_", kind), T.StructField("field", T.StringType()), T.StructField("pos", T.IntegerType()),
+            T.StructField("item", T.StringType())
+        ]
+    )
+    has_two = [
+        F.when(
+            F.col(f).rlike(r"[;|&\t\n,/]|(?i)\sand\s"), F.col(f)
+        ).alias(f"f{i}_") if least > 1 else F.col(f).alias(f"f{i}_") for i, f in enumerate(fields)
+    ]
     read = df.select(F.col(key).alias("key_"), *has_two).where(F.coalesce(*[F.col(f"f{i}_") for i in range(len(fields))]).isNotNull())
     return read.mapInArrow(run, schema).withColumnRenamed("key_", key)

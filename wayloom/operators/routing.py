@@ -1,6 +1,7 @@
 """Distances, times, nearest targets, paths and distances by category.
 
-Two strategies give the same results. The kernel sends the graph as arrays to every executor, where each task searches from its share of the sources; it is taken while the counted edges stay within ``KERNEL_EDGES``. Beyond
+Two strategies give the same results. The kernel sends the graph as arrays to every executor, where each task searches from its share of the sources;
+it is taken while the counted edges stay within ``KERNEL_EDGES``. Beyond
 that, the search is a loop of joins of the open routes with the edges, so neither the graph nor the routes need to fit anywhere.
 """
 
@@ -49,7 +50,9 @@ def vertex_ids(graph: Graph) -> DataFrame:
 
 
 def prepared(graph: Graph, weight: str = "d_weighted", length: str = "d", extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(edges of ``Graph.standard``, all vertices' ``id``), of a table that is written once: an edge source may be dear, and is asked for both, measured and loaded."""
+    """(edges of ``Graph.standard``, all vertices' ``id``), of a table that is written once: an edge source may be dear, and is asked for both,
+    measured and loaded.
+    """
     table = materialize(graph.standard(weight, length, extra, whole=True))
     ids = table.select(F.col("from_id").alias("id")).union(table.select("to_id")).where("id is not null").distinct()
     return table.where(TRAVELLED), ids
@@ -103,7 +106,9 @@ def load(edges: DataFrame, category: str | None = None) -> tuple[Csr, list]:
     return Csr(column("from_id"), column("to_id"), number("w"), number("d"), column("ord"), codes), kinds
 
 
-def per_source(spark: SparkSession, csr: Csr, sources: DataFrame, work: Callable[[Csr, list], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+def per_source(
+    spark: SparkSession, csr: Csr, sources: DataFrame, work: Callable[[Csr, list], Iterator[pa.RecordBatch]], schema: T.StructType
+) -> DataFrame:
     """Run ``work(csr, source ids)`` in every task; the graph is broadcast once."""
     sent = spark.sparkContext.broadcast(csr)
 
@@ -176,12 +181,16 @@ def few(ids: DataFrame) -> list | None:
 
 
 def each_target(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """(``from_id``, ``to_id``): the rows of the answer, each source with each of the stated targets. Up to ``KERNEL_TARGETS`` of them go to every task, more are met block by block."""
+    """(``from_id``, ``to_id``): the rows of the answer, each source with each of the stated targets. Up to ``KERNEL_TARGETS`` of them go to every
+    task, more are met block by block.
+    """
     to_list = few(targets)
     if to_list is None:
         blocks = max(2 * sources.sparkSession.sparkContext.defaultParallelism, -(-targets.count() // BLOCK_TARGETS))
         held = targets.select(F.col("id").alias("to_id"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b_"))
-        asked = sources.select(F.col("id").alias("from_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b_"))
+        asked = sources.select(
+            F.col("id").alias("from_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b_")
+        )
         return asked.join(held, "b_").drop("b_")
     kind = sources.schema["id"].dataType
     sent = sources.sparkSession.sparkContext.broadcast(to_list)
@@ -196,29 +205,44 @@ def each_target(sources: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def tree_loop(edges: DataFrame, sources: DataFrame, limit: float | None = None, max_rounds: int = 100_000) -> DataFrame:
-    """(``source``, ``vertex``, ``w``, ``d``, ``hops``, ``prev``, ``edge``) of all best routes, by a loop of joins: the labels that the last round improved are joined with the edges, and the least (w, d, hops, prev) of each vertex
+    """(``source``, ``vertex``, ``w``, ``d``, ``hops``, ``prev``, ``edge``) of all best routes, by a loop of joins: the labels that the last round
+    improved are joined with the edges, and the least (w, d, hops, prev) of each vertex
     is kept. ``limit``: only rows within this length are returned, and routes beyond it are followed only while they may show that a vertex isn't within."""
     kind = edges.schema["from_id"].dataType
-    best = edges.groupBy("from_id", "to_id").agg(F.min(F.struct("w", "d", "ord")).alias("e")).select("from_id", "to_id", "e.w", "e.d", F.col("e.ord").alias("edge_ord"))
+    best = edges.groupBy("from_id", "to_id").agg(F.min(F.struct("w", "d", "ord")).alias("e")).select(
+        "from_id", "to_id", "e.w", "e.d", F.col("e.ord").alias("edge_ord")
+    )
     best = materialize(best)
-    start = sources.select(F.col("id").alias("source")).where("source is not null").distinct().join(best.select(F.col("from_id").alias("source")).union(best.select("to_id")).distinct(), "source", "left_semi")
-    label = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("d"), F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast(kind).alias("prev"), F.lit(None).cast(edges.schema["ord"].dataType).alias("edge"))
+    start = sources.select(F.col("id").alias("source")).where("source is not null").distinct().join(
+        best.select(F.col("from_id").alias("source")).union(best.select("to_id")).distinct(), "source", "left_semi"
+    )
+    label = F.struct(
+        F.lit(0.0).alias("w"), F.lit(0.0).alias("d"), F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast(kind).alias("prev"),
+        F.lit(None).cast(edges.schema["ord"].dataType).alias("edge")
+    )
     labels = materialize(start.select("source", F.col("source").alias("vertex"), label.alias("l"), F.lit(True).alias("fresh")))
     for _ in range(max_rounds):
         state = labels.withColumn("go", F.col("fresh"))
         if limit is not None:
             # a route beyond the limit waits, and is followed once it may be the better one to a vertex that now seems within
             top = labels.where(F.col("l.d") <= limit).groupBy("source").agg(F.max("l.w").alias("top_w"))
-            state = labels.join(top, "source").withColumn("go", F.col("fresh") & ((F.col("l.d") <= limit) | (F.col("l.w") < F.col("top_w")))).drop("top_w")
+            state = labels.join(top, "source").withColumn(
+                "go", F.col("fresh") & ((F.col("l.d") <= limit) | (F.col("l.w") < F.col("top_w")))
+            ).drop("top_w")
             state = materialize(state)
         going = state.where("go")
         if not going.limit(1).count():
             break
         step = going.join(best, going["vertex"] == best["from_id"]).select(
-            "source", F.col("to_id").alias("vertex"), F.struct((F.col("l.w") + best["w"]).alias("w"), (F.col("l.d") + best["d"]).alias("d"), (F.col("l.hops") + 1).alias("hops"), F.col("from_id").alias("prev"), F.col("edge_ord").alias("edge")).alias("l"), F.lit(True).alias("fresh")
+            "source", F.col("to_id").alias("vertex"), F.struct(
+                (F.col("l.w") + best["w"]).alias("w"), (F.col("l.d") + best["d"]).alias("d"), (F.col("l.hops") + 1).alias("hops"),
+                F.col("from_id").alias("prev"), F.col("edge_ord").alias("edge")
+            ).alias("l"), F.lit(True).alias("fresh")
         )
         both = state.select("source", "vertex", "l", (F.col("fresh") & ~F.col("go")).alias("fresh")).unionByName(step)
-        old, labels = (state, labels), materialize(both.groupBy("source", "vertex").agg(F.min(F.struct("l", "fresh")).alias("m")).select("source", "vertex", "m.l", "m.fresh"))
+        old, labels = (state, labels), materialize(
+            both.groupBy("source", "vertex").agg(F.min(F.struct("l", "fresh")).alias("m")).select("source", "vertex", "m.l", "m.fresh")
+        )
         forget(*old)
     else:
         raise RuntimeError(f"routes are still open after {max_rounds} rounds")
@@ -229,13 +253,19 @@ def tree_loop(edges: DataFrame, sources: DataFrame, limit: float | None = None,
 def _tree_batch(g: Csr, kind: T.DataType, source, tree: Tree) -> pa.RecordBatch:
     ids = [pa.repeat(pa.scalar(source, _ARROW[kind]), len(tree.v)), g.id_of(tree.v)]
     numbers = [pa.array(tree.w), pa.array(tree.d), pa.array(tree.hops)]
-    return pa.RecordBatch.from_arrays([*ids, *numbers, g.id_of(tree.prev), g.edge_of(tree.edge)], names=["source", "vertex", "w", "d", "hops", "prev", "edge"])
+    return pa.RecordBatch.from_arrays(
+        [*ids, *numbers, g.id_of(tree.prev), g.edge_of(tree.edge)], names=["source", "vertex", "w", "d", "hops", "prev", "edge"]
+    )
 
 
-def trees(graph: Graph, sources: DataFrame | list | None = None, limit: float | None = None, weight: str = "d_weighted", length: str = "d", strategy: str = "auto") -> DataFrame:
+def trees(
+    graph: Graph, sources: DataFrame | list | None = None, limit: float | None = None, weight: str = "d_weighted", length: str = "d",
+    strategy: str = "auto"
+) -> DataFrame:
     """The best routes from each source to every vertex that it reaches (within ``limit`` of length).
 
-    One row per source and vertex with the route's weight, length, edges and last step. In graphs with compound junctions the rows are of the graph's own vertices.
+    One row per source and vertex with the route's weight, length, edges and last step. In graphs with compound junctions the rows are of the graph's
+    own vertices.
     """
     graph, _ = routed(graph)
     edges, everyone = prepared(graph, weight, length)
@@ -254,11 +284,17 @@ def trees(graph: Graph, sources: DataFrame | list | None = None, limit: float |
                 tree = Tree(*[getattr(tree, f)[near] for f in ("v", "w", "d", "hops", "prev", "edge")])
             yield _tree_batch(g, kind, place[k], tree)
 
-    fields = [("source", kind), ("vertex", kind), ("w", T.DoubleType()), ("d", T.DoubleType()), ("hops", T.LongType()), ("prev", kind), ("edge", edges.schema["ord"].dataType)]
+    fields = [
+        ("source", kind), ("vertex", kind), ("w", T.DoubleType()), ("d", T.DoubleType()), ("hops", T.LongType()), ("prev", kind),
+        ("edge", edges.schema["ord"].dataType)
+    ]
     return per_source(graph.edges.sparkSession, csr, spread(wanted, "id"), work, T.StructType([T.StructField(*f) for f in fields]))
 
 
-def dists(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strategy: str = "auto", length: str = "d", weight: str | None = None, heap: str | None = None) -> DataFrame:
+def dists(
+    graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strategy: str = "auto", length: str = "d", weight: str | None = None,
+    heap: str | None = None
+) -> DataFrame:
     """(``from_id``, ``to_id``, ``d``): the length of the best route for each source and target, null where there is none, 0 from a vertex to itself.
 
     Routes have the least ``d_weighted`` (``shortest``) or the least ``time_weighted``; of equal ones the shorter. Ids that aren't in the graph
@@ -302,7 +338,9 @@ def dists(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strat
             found = d[ends]
             if source in same:
                 found[same[source]] = 0.0
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(source, _ARROW[kind]), len(columns)), columns, pa.array(found, mask=np.isnan(found))], names=[*names, "d"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(source, _ARROW[kind]), len(columns)), columns, pa.array(found, mask=np.isnan(found))], names=[*names, "d"]
+            )
 
     fields = [T.StructField(names[0], kind), T.StructField(names[1], kind), T.StructField("d", T.DoubleType())]
     out = per_source(graph.edges.sparkSession, csr, spread(sources, "id"), work, T.StructType(fields))
@@ -316,13 +354,17 @@ def times(graph: Graph, from_ids=None, to_ids=None, shortest: bool = False, stra
 
 
 def dists_pairwise(graph: Graph, pairs: DataFrame, shortest: bool = True, strategy: str = "auto", length: str = "d") -> DataFrame:
-    """``pairs`` (``from_id``, ``to_id``, and whatever else) with the length ``d`` of each pair's best route (``d_`` if there is such a column). Each source is searched once, for its own targets only; a source with many pairs is one search."""
+    """``pairs`` (``from_id``, ``to_id``, and whatever else) with the length ``d`` of each pair's best route (``d_`` if there is such a column). Each
+    source is searched once, for its own targets only; a source with many pairs is one search.
+    """
     weight = "d_weighted" if shortest else "time_weighted"
     name = "d" if "d" not in {c.lower() for c in pairs.columns} else "d_"
     graph, _ = routed(graph)
     edges, everyone = prepared(graph, weight, length)
     kind = edges.schema["from_id"].dataType
-    asked = pairs.select(F.col("from_id").cast(kind).alias("from_id"), F.col("to_id").cast(kind).alias("to_id")).where("from_id is not null and to_id is not null").distinct()
+    asked = pairs.select(
+        F.col("from_id").cast(kind).alias("from_id"), F.col("to_id").cast(kind).alias("to_id")
+    ).where("from_id is not null and to_id is not null").distinct()
     wanted = ends_of(graph, ends_of(graph, asked, "from_id", "start", everyone), "to_id", "end", everyone)
     if fits_kernel(edges, strategy):
         csr, _ = load(edges)
@@ -341,9 +383,14 @@ def dists_pairwise(graph: Graph, pairs: DataFrame, shortest: bool = True, strate
                 if tree is not None:
                     d[tree.v] = tree.d
                 found = np.where([z == a for z in ends], 0.0, d[to])
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(a, _ARROW[kind]), len(ends)), pa.array(ends, _ARROW[kind]), pa.array(found, mask=np.isnan(found))], names=["from_id", "to_id", "d"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(a, _ARROW[kind]), len(ends)), pa.array(ends, _ARROW[kind]), pa.array(found, mask=np.isnan(found))],
+                    names=["from_id", "to_id", "d"]
+                )
 
-        got = spread(wanted, "from_id").mapInArrow(run, T.StructType([T.StructField("from_id", kind), T.StructField("to_id", kind), T.StructField("d", T.DoubleType())]))
+        got = spread(wanted, "from_id").mapInArrow(
+            run, T.StructType([T.StructField("from_id", kind), T.StructField("to_id", kind), T.StructField("d", T.DoubleType())])
+        )
     else:
         reached = tree_loop(edges, wanted.select(F.col("from_id").alias("id")))
         got = wanted.join(reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"), "d"), ["from_id", "to_id"])
@@ -352,7 +399,9 @@ def dists_pairwise(graph: Graph, pairs: DataFrame, shortest: bool = True, strate
 
 
 def dists_nearest(graph: Graph, from_ids=None, to_ids=None, shortest: bool = True, strategy: str = "auto") -> DataFrame:
-    """(``from_id``, ``to_id``, ``d``): for each source the target whose route has the least weight (of equal ones the shorter route, then the smaller id) and its length; nulls where none can be reached. The search ends at the first target."""
+    """(``from_id``, ``to_id``, ``d``): for each source the target whose route has the least weight (of equal ones the shorter route, then the smaller
+    id) and its length; nulls where none can be reached. The search ends at the first target.
+    """
     weight = "d_weighted" if shortest else "time_weighted"
     graph, _ = routed(graph)
     edges, everyone = prepared(graph, weight)
@@ -361,7 +410,9 @@ def dists_nearest(graph: Graph, from_ids=None, to_ids=None, shortest: bool = Tru
     if to_list is None:
         reached = tree_loop(edges, sources).join(targets.select(F.col("id").alias("vertex")), "vertex", "left_semi")
         got = reached.groupBy("source").agg(F.min(F.struct("w", "d", "vertex")).alias("m"))
-        out = sources.join(got, sources["id"] == got["source"], "left").select(F.col("id").alias("from_id"), F.col("m.vertex").alias("to_id"), F.col("m.d").alias("d"))
+        out = sources.join(got, sources["id"] == got["source"], "left").select(
+            F.col("id").alias("from_id"), F.col("m.vertex").alias("to_id"), F.col("m.d").alias("d")
+        )
         return plain_ends(graph, out)
     csr, _ = load(edges)
     kind = sources.schema["id"].dataType
@@ -381,7 +432,9 @@ def dists_nearest(graph: Graph, from_ids=None, to_ids=None, shortest: bool = Tru
                     w, d, v = min(hits)
                     best = (g.names[v].as_py(), d)
             out.append((source, *best))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], _ARROW[kind] if i < 2 else pa.float64()) for i in range(3)], names=["from_id", "to_id", "d"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in out], _ARROW[kind] if i < 2 else pa.float64()) for i in range(3)], names=["from_id", "to_id", "d"]
+        )
 
     fields = [T.StructField("from_id", kind), T.StructField("to_id", kind), T.StructField("d", T.DoubleType())]
     return plain_ends(graph, per_source(graph.edges.sparkSession, csr, spread(sources, "id"), work, T.StructType(fields)))
@@ -399,15 +452,19 @@ def _tied(g: Csr, tree: Tree) -> bool:
 
 
 def paths(graph: Graph, from_ids=None, to_ids=None, pairs: DataFrame | None = None, strategy: str = "auto", weight: str = "d_weighted") -> DataFrame:
-    """(``from_id``, ``to_id``, ``vertices``, ``edges``, ``d``): the vertex ids and the edges (by the graph's order column) of the best routes, in order.
+    """(``from_id``, ``to_id``, ``vertices``, ``edges``, ``d``): the vertex ids and the edges (by the graph's order column) of the best routes, in
+    order.
 
-    From a vertex to itself the vertices are [v, v] and the edges null; pairs without a route have nulls. Either sources and targets, or ``pairs`` of them.
+    From a vertex to itself the vertices are [v, v] and the edges null; pairs without a route have nulls. Either sources and targets, or ``pairs`` of
+    them.
     """
     graph, _ = routed(graph)
     edges, everyone = prepared(graph, weight)
     kind, ord_kind = edges.schema["from_id"].dataType, edges.schema["ord"].dataType
     if pairs is not None:
-        wanted = pairs.select(F.col("from_id").cast(kind).alias("from_id"), F.col("to_id").cast(kind).alias("to_id")).where("from_id is not null and to_id is not null").distinct()
+        wanted = pairs.select(
+            F.col("from_id").cast(kind).alias("from_id"), F.col("to_id").cast(kind).alias("to_id")
+        ).where("from_id is not null and to_id is not null").distinct()
         wanted = ends_of(graph, ends_of(graph, wanted, "from_id", "start", everyone), "to_id", "end", everyone)
     else:
         wanted = each_target(endpoints(graph, from_ids, everyone, "start"), endpoints(graph, to_ids, everyone, "end"))
@@ -415,9 +472,17 @@ def paths(graph: Graph, from_ids=None, to_ids=None, pairs: DataFrame | None = No
         reached = materialize(tree_loop(edges, wanted.select(F.col("from_id").alias("id")).distinct()))
         steps = path_steps_loop(reached, wanted)
         route = steps.groupBy("from_id", "to_id").agg(F.sort_array(F.collect_list(F.struct("pos", "vertex", "edge"))).alias("s"))
-        full = wanted.join(route, ["from_id", "to_id"], "left").join(reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"), "d"), ["from_id", "to_id"], "left")
+        full = wanted.join(route, ["from_id", "to_id"], "left").join(
+            reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"), "d"), ["from_id", "to_id"], "left"
+        )
         own = F.col("from_id") == F.col("to_id")
-        return full.select("from_id", "to_id", F.when(own, F.array("from_id", "from_id")).when(F.col("s").isNotNull(), F.concat(F.array("from_id"), F.col("s.vertex"))).alias("vertices"), F.when(~own, F.col("s.edge")).alias("edges"), F.when(own, 0.0).otherwise(F.col("d")).alias("d"))
+        return full.select(
+            "from_id", "to_id",
+            F.when(own, F.array("from_id", "from_id")).when(
+                F.col("s").isNotNull(), F.concat(F.array("from_id"), F.col("s.vertex"))
+            ).alias("vertices"),
+            F.when(~own, F.col("s.edge")).alias("edges"), F.when(own, 0.0).otherwise(F.col("d")).alias("d")
+        )
     csr, _ = load(edges)
     sent = graph.edges.sparkSession.sparkContext.broadcast(csr)
 
@@ -442,14 +507,18 @@ def paths(graph: Graph, from_ids=None, to_ids=None, pairs: DataFrame | None = No
                 else:
                     rows.append((a, z, None, None, None))
             kinds = [_ARROW[kind], _ARROW[kind], pa.list_(_ARROW[kind]), pa.list_(_ARROW[ord_kind]), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["from_id", "to_id", "vertices", "edges", "d"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["from_id", "to_id", "vertices", "edges", "d"]
+            )
 
     fields = [("from_id", kind), ("to_id", kind), ("vertices", T.ArrayType(kind)), ("edges", T.ArrayType(ord_kind)), ("d", T.DoubleType())]
     return spread(wanted, "from_id").mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
 def path_steps_loop(reached: DataFrame, wanted: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """(``from_id``, ``to_id``, ``pos``, ``vertex``, ``edge``): the steps of the routes to ``wanted`` from a table of trees, by following all of them back one step a round."""
+    """(``from_id``, ``to_id``, ``pos``, ``vertex``, ``edge``): the steps of the routes to ``wanted`` from a table of trees, by following all of them
+    back one step a round.
+    """
     tree = reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("at"), "prev", "edge", "hops")
     open_ = wanted.select("from_id", "to_id", F.col("to_id").alias("at"))
     parts: list[DataFrame] = []
@@ -462,28 +531,38 @@ def path_steps_loop(reached: DataFrame, wanted: DataFrame, max_rounds: int = 100
     else:
         raise RuntimeError(f"routes are still open after {max_rounds} rounds")
     if not parts:
-        return open_.join(tree, ["from_id", "at"]).select("from_id", "to_id", F.col("hops").alias("pos"), F.col("at").alias("vertex"), "edge").limit(0)
+        return open_.join(tree, ["from_id", "at"]).select(
+            "from_id", "to_id", F.col("hops").alias("pos"), F.col("at").alias("vertex"), "edge"
+        ).limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def path_edges(graph: Graph, from_ids=None, to_ids=None, pairs: DataFrame | None = None, strategy: str = "auto", weight: str = "d_weighted") -> DataFrame:
+def path_edges(
+    graph: Graph, from_ids=None, to_ids=None, pairs: DataFrame | None = None, strategy: str = "auto", weight: str = "d_weighted"
+) -> DataFrame:
     """(``from_id``, ``to_id``, ``pos``, ``edge``): one row per edge of each route, ``pos`` from 1."""
     routes = paths(graph, from_ids, to_ids, pairs, strategy, weight).where("edges is not null")
-    return routes.select("from_id", "to_id", F.posexplode("edges").alias("pos0", "edge")).select("from_id", "to_id", (F.col("pos0") + 1).alias("pos"), "edge")
+    return routes.select(
+        "from_id", "to_id", F.posexplode("edges").alias("pos0", "edge")
+    ).select("from_id", "to_id", (F.col("pos0") + 1).alias("pos"), "edge")
 
 
 def dists_categorical(graph: Graph, category: str, from_ids=None, to_ids=None, pairs: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
-    """(``from_id``, ``to_id``, ``category``, ``d``): the length of each route on the edges of each category; edges without a category count in the route's length only. Categories that a route doesn't use have no row."""
+    """(``from_id``, ``to_id``, ``category``, ``d``): the length of each route on the edges of each category; edges without a category count in the
+    route's length only. Categories that a route doesn't use have no row.
+    """
     steps = path_edges(graph, from_ids, to_ids, pairs, strategy)
     e = graph.standard(extra=[category]).select(F.col("ord").alias("edge"), F.col("d").alias("part"), F.col(f"`{category}`").alias("category"))
     return steps.join(e, "edge").where("category is not null").groupBy("from_id", "to_id", "category").agg(F.sum("part").alias("d"))
 
 
 def categorical_proportions(graph: Graph, category: str, from_ids=None, to_ids=None, strategy: str = "auto") -> DataFrame:
-    """(``category``, ``d``, ``proportion``): over all routes, the length on each category and its share of the total length. Edges without a category count in the total."""
+    """(``category``, ``d``, ``proportion``): over all routes, the length on each category and its share of the total length. Edges without a category
+    count in the total.
+    """
     steps = path_edges(graph, from_ids, to_ids, strategy=strategy)
     e = graph.standard(extra=[category]).select(F.col("ord").alias("edge"), F.col("d").alias("part"), F.col(f"`{category}`").alias("category"))
     by_kind = steps.join(e, "edge").groupBy("category").agg(F.sum("part").alias("d"))
@@ -492,12 +571,16 @@ def categorical_proportions(graph: Graph, category: str, from_ids=None, to_ids=N
 
 
 def categorical_within(graph: Graph, category: str, from_ids, limit: float | None, strategy: str = "auto") -> DataFrame:
-    """(``from_id``, ``category``, ``d``): for each source, the summed lengths by category of the routes to the first vertices beyond ``limit``: those further than it whose previous vertex is nearer."""
+    """(``from_id``, ``category``, ``d``): for each source, the summed lengths by category of the routes to the first vertices beyond ``limit``: those
+    further than it whose previous vertex is nearer.
+    """
     if limit is None:
         raise ValueError(NO_LIMIT)
     reached = materialize(trees(graph, from_ids, strategy=strategy))
     before = reached.select("source", F.col("vertex").alias("prev"), F.col("d").alias("d_prev"))
-    first = reached.join(before, ["source", "prev"]).where((F.col("d") > limit) & (F.col("d_prev") < limit)).select(F.col("source").alias("from_id"), F.col("vertex").alias("to_id"))
+    first = reached.join(before, ["source", "prev"]).where((F.col("d") > limit) & (F.col("d_prev") < limit)).select(
+        F.col("source").alias("from_id"), F.col("vertex").alias("to_id")
+    )
     return dists_categorical(graph, category, pairs=first, strategy=strategy).groupBy("from_id", "category").agg(F.sum("d").alias("d"))
 
 

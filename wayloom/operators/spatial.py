@@ -161,7 +161,9 @@ def _sample(points: DataFrame, x: str, y: str, size: int = SAMPLE) -> tuple[np.n
     return got[x].to_numpy(float), got[y].to_numpy(float), n
 
 
-def _pairs_of_leaf(key: np.ndarray, x: np.ndarray, y: np.ndarray, probe: np.ndarray, build: np.ndarray, metres: float) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of_leaf(
+    key: np.ndarray, x: np.ndarray, y: np.ndarray, probe: np.ndarray, build: np.ndarray, metres: float
+) -> tuple[np.ndarray, np.ndarray]:
     """Indices (a, b) with key[a] < key[b] of near pairs, ``a`` a probing point: it lies in this leaf, so no other leaf reports the pair."""
     b, a = np.flatnonzero(build), np.flatnonzero(probe)
     tree = RTree(x[b], y[b], x[b], y[b])
@@ -219,14 +221,19 @@ def near_pairs(points: DataFrame, key: str, x: str, y: str, metres: float, leaf_
             # in a leaf that is one part, a row does both; else one row probes each part, one is probed by each
             columns = []
             cut = many > 1
-            for role, rows in ((PROBE + PROBED, np.flatnonzero(home & ~cut)), (PROBED, np.flatnonzero(~home | cut)), (PROBE, np.flatnonzero(home & cut))):
+            for role, rows in (
+                (PROBE + PROBED, np.flatnonzero(home & ~cut)), (PROBED, np.flatnonzero(~home | cut)), (PROBE, np.flatnonzero(home & cut))
+            ):
                 rep = np.repeat(rows, many[rows])
                 other = np.arange(len(rep)) - np.repeat(np.cumsum(many[rows]) - many[rows], many[rows])
                 pair = mine[rep] * many[rep] + other if role & PROBE else other * many[rep] + mine[rep]
                 columns.append((leaf[rep], pair, np.full(len(rep), role), index[rep], sx[rep]))
             leaf, pair, role, at, sx = (np.concatenate(c) for c in zip(*columns))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf, pa.int32()), pa.array(pair, pa.int64()), pa.array(role, pa.int32()), batch.column(0).take(pa.array(at)), pa.array(sx), pa.array(py[at])],
+                [
+                    pa.array(leaf, pa.int32()), pa.array(pair, pa.int64()), pa.array(role, pa.int32()), batch.column(0).take(pa.array(at)),
+                    pa.array(sx), pa.array(py[at])
+                ],
                 names=["leaf", "pair", "role", "k", "x", "y"],
             )
 
@@ -238,7 +245,10 @@ def near_pairs(points: DataFrame, key: str, x: str, y: str, metres: float, leaf_
         for at in _cells(table["leaf"].to_numpy(), table["pair"].to_numpy()):
             a, b = _pairs_of_leaf(keys[at], xs[at], ys[at], (role[at] & PROBE) > 0, (role[at] & PROBED) > 0, metres)
             a, b = at[a], at[b]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a], pa.string()), pa.array(keys[b], pa.string()), pa.array(great_circle(xs[a], ys[a], xs[b], ys[b]))], names=["key_a", "key_b", "metres"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[a], pa.string()), pa.array(keys[b], pa.string()), pa.array(great_circle(xs[a], ys[a], xs[b], ys[b]))],
+                names=["key_a", "key_b", "metres"]
+            )
 
     leaves = clean.mapInArrow(spread, "leaf int, pair long, role int, k string, x double, y double")
     found = leaves.repartition(tasks, "leaf", "pair").mapInArrow(probe, "key_a string, key_b string, metres double")
@@ -269,7 +279,9 @@ _POINT = re.compile(r"([-+]?[\d.]+(?:[eE][-+]?\d+)?)\s+([-+]?[\d.]+(?:[eE][-+]?\
 
 
 def parse_wkt(text: str | None) -> list[list[np.ndarray]]:
-    """The polygons of a POLYGON or MULTIPOLYGON text, each a list of rings (n x 2, closed), the outer ring first. Anything else has none. Case and blanks don't matter."""
+    """The polygons of a POLYGON or MULTIPOLYGON text, each a list of rings (n x 2, closed), the outer ring first. Anything else has none. Case and
+    blanks don't matter.
+    """
     if text is None:
         return []
     s = re.sub(r"^\s*SRID=\d+;", "", text, flags=re.I).strip()
@@ -341,7 +353,9 @@ class Regions:
         return np.concatenate(points), np.concatenate(parts)
 
 
-def inside_regions(points: DataFrame, key: str, x: str, y: str, regions: DataFrame, region: str, wkt: str, leaf_points: int = LEAF_POINTS) -> DataFrame:
+def inside_regions(
+    points: DataFrame, key: str, x: str, y: str, regions: DataFrame, region: str, wkt: str, leaf_points: int = LEAF_POINTS
+) -> DataFrame:
     """(``key``, ``region``): the regions that contain each point, straight borders in longitude and latitude, holes outside.
 
     A quadtree grown on a sample of the points cuts the plane. A point goes to its leaf, a region as a replica to each leaf that the box of one
@@ -354,7 +368,9 @@ def inside_regions(points: DataFrame, key: str, x: str, y: str, regions: DataFra
     """
     name = region if region.lower() != key.lower() else region + "_"
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e300)
-    clean = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(F.col(key).isNotNull() & finite(F.col("x")) & finite(F.col("y")))
+    clean = points.select(
+        F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
+    ).where(F.col(key).isNotNull() & finite(F.col("x")) & finite(F.col("y")))
     areas = regions.select(F.col(region).alias("r"), F.col(wkt).alias("w")).where("r is not null and w is not null")
     kinds = (points.schema[key].dataType, regions.schema[region].dataType)
     schema = T.StructType([T.StructField(key, kinds[0]), T.StructField(name, kinds[1])])
@@ -380,7 +396,9 @@ def inside_regions(points: DataFrame, key: str, x: str, y: str, regions: DataFra
             leaf = tree.owner(b.column(1).to_numpy(), b.column(2).to_numpy())
             chunk = (np.arange(len(leaf)) + at_row) % chunks[leaf]
             at_row += len(leaf)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), *b.columns], names=["leaf", "chunk", "k", "x", "y"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), *b.columns], names=["leaf", "chunk", "k", "x", "y"]
+            )
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -395,11 +413,32 @@ def inside_regions(points: DataFrame, key: str, x: str, y: str, regions: DataFra
                     text = multipolygon([polygons[i] for i in np.unique(item[cells == cell]).tolist()])
                     for part in range(chunks[cell]):
                         ids.append(r), texts.append(text), leaf.append(cell), chunk.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), pa.array(ids, b.column(0).type), pa.array(texts, pa.string())], names=["leaf", "chunk", "r", "w"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), pa.array(ids, b.column(0).type), pa.array(texts, pa.string())],
+                names=["leaf", "chunk", "r", "w"]
+            )
 
-    spread = clean.mapInArrow(place, T.StructType([T.StructField("leaf", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("k", kinds[0]), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-    copies = areas.mapInArrow(replicate, T.StructType([T.StructField("leaf", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("r", kinds[1]), T.StructField("w", T.StringType())]))
-    both = spread.select("*", F.lit(None).cast(kinds[1]).alias("r"), F.lit(None).cast("string").alias("w")).unionByName(copies, allowMissingColumns=True)
+    spread = clean.mapInArrow(
+        place,
+        T.StructType(
+            [
+                T.StructField("leaf", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("k", kinds[0]),
+                T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())
+            ]
+        )
+    )
+    copies = areas.mapInArrow(
+        replicate,
+        T.StructType(
+            [
+                T.StructField("leaf", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("r", kinds[1]),
+                T.StructField("w", T.StringType())
+            ]
+        )
+    )
+    both = spread.select(
+        "*", F.lit(None).cast(kinds[1]).alias("r"), F.lit(None).cast("string").alias("w")
+    ).unionByName(copies, allowMissingColumns=True)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _held(batches)

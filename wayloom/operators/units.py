@@ -34,7 +34,10 @@ ROOTS: dict[str, list[tuple[Fraction, int, int, float]]] = {
     "k": [(Fraction(1000), 1, 0, 0.2)],
 }
 ROOTS["m"] = [*ROOTS["m"], (_MILE, 1, 0, 0.2), (Fraction(1, 60), 0, 1, 0.05)]
-PREFIXES = {"k": Fraction(1000), "kilo": Fraction(1000), "c": Fraction(1, 100), "centi": Fraction(1, 100), "m": Fraction(1, 1000), "milli": Fraction(1, 1000), "nautical ": Fraction("1852") / _MILE}
+PREFIXES = {
+    "k": Fraction(1000), "kilo": Fraction(1000), "c": Fraction(1, 100), "centi": Fraction(1, 100), "m": Fraction(1, 1000), "milli": Fraction(1, 1000),
+    "nautical ": Fraction("1852") / _MILE
+}
 EXPONENTS = {"-1": -1, "^-1": -1, "⁻¹": -1, "2": 2, "^2": 2, "²": 2}
 OVER = {"/": 0.95, " per ": 0.95, "per": 0.5, "p": 0.4, " p ": 0.4, " an ": 0.3}
 TIMES = {" ": 0.3, "*": 0.3, "·": 0.3, "": 0.2}
@@ -88,7 +91,8 @@ def unit_scale(text: str, prior: str = "speed") -> Fraction | None:
 
     Dynamic programming over the text: from each position the tries give the prefixes, roots, exponents and links that begin there; a state
     is (position, roots so far, length, time, kinds of roots, size) and keeps its best score. Complete decompositions, in which no kind of
-    root cancels out, are then weighed with the field's priors of dimension and size, so that in a speed field "mph" is miles and "mps" metres, and "kmh" a quotient though no
+    root cancels out, are then weighed with the field's priors of dimension and size, so that in a speed field "mph" is miles and "mps" metres, and
+    "kmh" a quotient though no
     stroke says so, while in a field of lengths "m" are metres and in one of durations minutes.
     """
     table = PRIORS[prior]
@@ -113,7 +117,10 @@ def unit_scale(text: str, prior: str = "speed") -> Fraction | None:
                         if prefix and not (of_length == 1 and of_time == 0 and usual >= 0.5) or prefix == "nautical " and metres != _MILE:
                             continue
                         factor = PREFIXES.get(prefix, Fraction(1)) * metres
-                        new = (roots + 1, length + power * of_length, time + power * of_time, (used[0] or of_length != 0, used[1] or of_time != 0), size * factor**power)
+                        new = (
+                            roots + 1, length + power * of_length, time + power * of_time, (used[0] or of_length != 0, used[1] or of_time != 0),
+                            size * factor**power
+                        )
                         value = score + log(usual) + (log(0.8) if prefix else 0)
                         here = states.setdefault(end + len(exponent), {})
                         if value > here.get(new, -1e9):
@@ -146,7 +153,8 @@ _LEAD = re.compile(r"^(?:max(?:imum)?|limit|speed|ca|approx|about)\b[.:]?\s*", r
 
 @lru_cache(maxsize=200_000)
 def quantity(text: str, prior: str = "speed") -> tuple[str, Fraction | None, Fraction | None]:
-    """(kind, number, size of the unit in the text). Kinds: ``none`` for placeholders, ``number`` (unit None: none named), ``word`` for anything else."""
+    """(kind, number, size of the unit in the text). Kinds: ``none`` for placeholders, ``number`` (unit None: none named), ``word`` for anything else.
+    """
     plain = text.strip()
     if plain.lower() in PLACEHOLDERS:
         return "none", None, None
@@ -233,7 +241,9 @@ def common_units(
         for batch in batches:
             defaults = [table.get(f, (None, None)) for f in batch.column(n + 1).to_pylist()]
             value, word, scales, empty = _parse(batch.column(n), defaults, prior, size)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], value, word, pa.array([s == plain for s in scales], pa.bool_()), empty], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:n], value, word, pa.array([s == plain for s in scales], pa.bool_()), empty], names=schema.names
+            )
 
     kept = df.select(*keep)
     schema = T.StructType([*kept.schema.fields, *[T.StructField(a, k) for a, k in zip(free_name(kept, *names), kinds)]])

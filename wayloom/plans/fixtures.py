@@ -20,15 +20,19 @@ _TW = "(1+(f*104729+t*7919+d)%9973)*1000000+(t*t*7307+f*f*9109+f*t*1013+t*31)%99
 _X, _Y = "(({v})*7919%1000)/1000.0", "(({v})*104729%1000)/1000.0"
 
 SQL_DRESS = (
-    f"select f,t,cast(d as double) d, cast({_W} as double) w, cast(2*d+1 as double) tm, cast({_TW} as double) tw, 'k'||cast((f+t)%3 as varchar) k, f*1000000+t e, "
-    f"cast({_X.format(v='f')} as double) fx, cast({_Y.format(v='f')} as double) fy, cast({_X.format(v='t')} as double) tx, cast({_Y.format(v='t')} as double) ty from "
+    f"select f,t,cast(d as double) d, cast({_W} as double) w, cast(2*d+1 as double) tm, cast({_TW} as double) tw, 'k'||cast((f+t)%3 as varchar) k, "
+    "f*1000000+t e, "
+    f"cast({_X.format(v='f')} as double) fx, cast({_Y.format(v='f')} as double) fy, cast({_X.format(v='t')} as double) tx, cast({_Y.format(v='t')} "
+    "as double) ty from "
 )
 SQL_NATIONS = SQL_DRESS + (
-    "(select cast(c_nationkey as bigint) f, cast(s_nationkey as bigint) t, cast(sum(l_quantity) as bigint) d from lineitem join orders on l_orderkey=o_orderkey join customer on o_custkey=c_custkey "
+    "(select cast(c_nationkey as bigint) f, cast(s_nationkey as bigint) t, cast(sum(l_quantity) as bigint) d from lineitem join orders on "
+    "l_orderkey=o_orderkey join customer on o_custkey=c_custkey "
     "join supplier on l_suppkey=s_suppkey where c_nationkey<>s_nationkey group by 1,2) b0"
 )
 _LEADS = (
-    "select cast(l_suppkey as bigint) f, cast(lead(l_suppkey) over (partition by l_orderkey order by l_linenumber,l_suppkey,l_quantity,l_partkey,l_extendedprice) as bigint) t, l_quantity q, "
+    "select cast(l_suppkey as bigint) f, cast(lead(l_suppkey) over (partition by l_orderkey order by "
+    "l_linenumber,l_suppkey,l_quantity,l_partkey,l_extendedprice) as bigint) t, l_quantity q, "
     "row_number() over (order by l_orderkey,l_linenumber,l_suppkey,l_quantity,l_partkey,l_extendedprice) ord from lineitem"
 )
 SQL_SUPPLIERS = SQL_DRESS + f"(select f,t,cast(sum(q) as bigint) d from ({_LEADS}) x where t is not null and f<>t group by 1,2) b0"
@@ -41,23 +45,33 @@ def _dress(e: DataFrame) -> Graph:
     return Graph.of(
         e.select(
             (f * 1000000 + t).alias("edge_id"), f.alias("from_id"), t.alias("to_id"), d.cast("double").alias("d"), _weight(f, t, d).cast("double").alias("d_weighted"), (2 * d + 1).cast("double").alias("time"),
-            _weight(f, t, d, 104729, 7919).cast("double").alias("time_weighted"), F.concat(F.lit("k"), ((f + t) % 3).cast("string")).alias("edge_type"), at(f, 7919).alias("from_lon"), at(f, 104729).alias("from_lat"), at(t, 7919).alias("to_lon"), at(t, 104729).alias("to_lat"),
+            _weight(f, t, d, 104729, 7919).cast("double").alias("time_weighted"), F.concat(
+                F.lit("k"), ((f + t) % 3).cast("string")
+            ).alias("edge_type"), at(f, 7919).alias("from_lon"), at(f, 104729).alias("from_lat"), at(t, 7919).alias("to_lon"), at(t, 104729).alias("to_lat"),
         )
     )
 
 
 def nations(spark: SparkSession, d: str) -> Graph:
     line = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    orders, customer, supplier = read(spark, d, "orders").select("o_orderkey", "o_custkey"), read(spark, d, "customer").select("c_custkey", "c_nationkey"), read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    joined = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
-    pairs = joined.where("c_nationkey <> s_nationkey").groupBy(F.col("c_nationkey").cast("bigint").alias("f"), F.col("s_nationkey").cast("bigint").alias("t"))
+    orders, customer, supplier = read(spark, d, "orders").select("o_orderkey", "o_custkey"), read(spark, d, "customer").select(
+        "c_custkey", "c_nationkey"
+    ), read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    joined = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey")
+    )
+    pairs = joined.where("c_nationkey <> s_nationkey").groupBy(
+        F.col("c_nationkey").cast("bigint").alias("f"), F.col("s_nationkey").cast("bigint").alias("t")
+    )
     return _dress(pairs.agg(F.sum("l_quantity").cast("bigint").alias("d")))
 
 
 def _leads(spark: SparkSession, d: str) -> DataFrame:
     order = ["l_linenumber", "l_suppkey", "l_quantity", "l_partkey", "l_extendedprice"]
     line = read(spark, d, "lineitem").select("l_orderkey", *order)
-    return line.withColumns({"f": F.col("l_suppkey").cast("bigint"), "t": F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("bigint")})
+    return line.withColumns(
+        {"f": F.col("l_suppkey").cast("bigint"), "t": F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("bigint")}
+    )
 
 
 def _supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -85,14 +99,24 @@ def raw_edges(spark: SparkSession, d: str) -> Graph:
     e = e.join(before, "l_orderkey").withColumn("ord", (F.col("b_") + F.col("k_")).cast("bigint")).where("t is not null and f <> t")
     q = F.col("l_quantity")
     mark = lambda a, b, m: (F.col("f") * a + F.col("t") * b + F.col("ord")) % m + 1
-    return Graph.of(e.select("ord", F.col("f").alias("from_id"), F.col("t").alias("to_id"), q.cast("double").alias("d"), (q * mark(31, 17, 7)).cast("double").alias("d_weighted"), (q * mark(13, 29, 5)).cast("double").alias("time_weighted")))
+    return Graph.of(
+        e.select(
+            "ord", F.col("f").alias("from_id"), F.col("t").alias("to_id"), q.cast("double").alias("d"),
+            (q * mark(31, 17, 7)).cast("double").alias("d_weighted"), (q * mark(13, 29, 5)).cast("double").alias("time_weighted")
+        )
+    )
 
 
 def event_chains(spark: SparkSession, d: str) -> Graph:
     by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = read(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value").withColumn("to_id", F.lead("event_id").over(by_user))
     d_ = F.round(F.coalesce(F.col("value"), F.lit(0.0)) * 100)
-    return Graph.of(e.where("to_id is not null").select(F.col("event_id").cast("bigint").alias("edge_id"), F.col("event_id").cast("bigint").alias("from_id"), F.col("to_id").cast("bigint").alias("to_id"), d_.alias("d"), d_.alias("d_weighted")))
+    return Graph.of(
+        e.where("to_id is not null").select(
+            F.col("event_id").cast("bigint").alias("edge_id"), F.col("event_id").cast("bigint").alias("from_id"),
+            F.col("to_id").cast("bigint").alias("to_id"), d_.alias("d"), d_.alias("d_weighted")
+        )
+    )
 
 
 def streets(spark: SparkSession, d: str) -> Graph:

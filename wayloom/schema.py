@@ -34,7 +34,9 @@ def _like(name: str, entries: list[str]) -> bool:
 
 
 def _one(names: list[str], choices: list[list[str]], unlike: list[str] | None = None, what: str = "") -> str | None:
-    """The one of ``names`` that is spelled like the first of ``choices`` with a match; several matches are an error for a column that is named by ``what``."""
+    """The one of ``names`` that is spelled like the first of ``choices`` with a match; several matches are an error for a column that is named by
+    ``what``.
+    """
     for entries in choices:
         hits = [n for n in names if _like(n, entries) and not _like(n, unlike or [])]
         if len(hits) == 1:
@@ -56,7 +58,8 @@ def _end_columns(names: list[str], entries: list[str]) -> tuple[str | None, str
 
 
 def column_roles(names: list[str]) -> dict[str, str]:
-    """Which of ``names`` plays which role: the ends of the edges first, then lengths and weights of what is left; ``d_weighted`` falls back to ``d``."""
+    """Which of ``names`` plays which role: the ends of the edges first, then lengths and weights of what is left; ``d_weighted`` falls back to ``d``.
+    """
     roles: dict[str, str | None] = {}
     for end, entries in (("from", FROM_NAMES), ("to", TO_NAMES)):
         roles[f"{end}_id"], roles[f"{end}_x"], roles[f"{end}_y"] = _end_columns(names, entries)
@@ -118,7 +121,10 @@ class Graph:
         place = F.col(f"`{self.order}`") if self.order else F.monotonically_increasing_id()
         w, d = self[weight].cast("double"), self[length].cast("double")
         checked = lambda c: F.when(c < 0, F.raise_error(F.lit("negative weights are not allowed")).cast("double")).otherwise(c)
-        out = self.edges.select(place.alias("ord"), self["from_id"].alias("from_id"), self["to_id"].alias("to_id"), checked(w).alias("w"), checked(d).alias("d"), *[F.col(f"`{c}`") for c in extra or []])
+        out = self.edges.select(
+            place.alias("ord"), self["from_id"].alias("from_id"), self["to_id"].alias("to_id"), checked(w).alias("w"), checked(d).alias("d"),
+            *[F.col(f"`{c}`") for c in extra or []]
+        )
         return out if whole else out.where(TRAVELLED)
 
     def require(self, role: str, message: str) -> None:

@@ -111,7 +111,9 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCA
     return F.broadcast(df) if n <= limit and total <= limit_bytes else df
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, share: int = 64, salts: int = 32, how: str = "left") -> DataFrame:
+def salted_join(
+    left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, share: int = 64, salts: int = 32, how: str = "left"
+) -> DataFrame:
     """Join on ``key`` where a few keys of ``left`` may hold most of its rows.
 
     ``right`` has one row per key and in ``weight`` the number of rows of that key. At most ``share`` keys can hold more than one

@@ -15,7 +15,9 @@ _CACHE = {"on": True}
 
 
 def save_graph(graph: Graph, path: str, contracted: bool = True) -> None:
-    """The graph, its vertices, and its contraction with vertices and edge map, as Parquet tables in one folder, which any file system of Spark may hold."""
+    """The graph, its vertices, and its contraction with vertices and edge map, as Parquet tables in one folder, which any file system of Spark may
+    hold.
+    """
     graph.edges.write.mode("overwrite").parquet(os.path.join(path, "graph"))
     vertices(graph).write.mode("overwrite").parquet(os.path.join(path, "vertices"))
     meta = {"order": graph.order, "attributes": {k: v for k, v in graph.attributes.items() if isinstance(v, str | int | float | bool)}}
@@ -67,11 +69,15 @@ def to_vertices_and_edges(graph: Graph, weight: str = "d") -> tuple[DataFrame, D
     """The pair of tables that graph libraries take: vertices (``id`` ...) and edges (``src``, ``dst``, ``weight``, and the other columns)."""
     ends = {graph.roles.get("from_id"), graph.roles.get("to_id")}
     rest = [c for c in graph.edges.columns if c not in ends and c.lower() not in ("src", "dst", "weight")]
-    return vertices(graph), graph.edges.select(graph["from_id"].alias("src"), graph["to_id"].alias("dst"), graph[weight].alias("weight"), *[F.col(f"`{c}`") for c in rest])
+    return vertices(graph), graph.edges.select(
+        graph["from_id"].alias("src"), graph["to_id"].alias("dst"), graph[weight].alias("weight"), *[F.col(f"`{c}`") for c in rest]
+    )
 
 
 def from_vertices_and_edges(nodes: DataFrame, edges: DataFrame) -> Graph:
-    """An edge table from such a pair: coordinates by two joins, ``weight`` as ``d`` unless there is one; text columns that hold nothing but numbers become numbers."""
+    """An edge table from such a pair: coordinates by two joins, ``weight`` as ``d`` unless there is one; text columns that hold nothing but numbers
+    become numbers.
+    """
     v = nodes.dropDuplicates(["id"])
     spatial = {"x", "y"} <= set(v.columns)
     e = edges.withColumnsRenamed({"src": "from_id", "dst": "to_id"})
@@ -85,20 +91,28 @@ def from_vertices_and_edges(nodes: DataFrame, edges: DataFrame) -> Graph:
             e = e.join(v.select(F.col("id").alias(f"{end}_id"), F.col("x").alias(f"{end}_lon"), F.col("y").alias(f"{end}_lat")), f"{end}_id", "left")
     text = [f.name for f in e.schema.fields if f.dataType.typeName() == "string" and f.name not in ("from_id", "to_id", "edge_id")]
     if text:
-        odd = e.agg(*[F.max(F.coalesce(F.col(f"`{c}`").try_cast("double").isNull() & F.col(f"`{c}`").isNotNull(), F.lit(False))).alias(c) for c in text]).first()
+        odd = e.agg(
+            *[F.max(F.coalesce(F.col(f"`{c}`").try_cast("double").isNull() & F.col(f"`{c}`").isNotNull(), F.lit(False))).alias(c) for c in text]
+        ).first()
         full = e.agg(*[F.count(f"`{c}`").alias(c) for c in text]).first()
         e = e.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in text if odd[c] is False and full[c]})
     return Graph.of(e)
 
 
 def to_lines(graph: Graph) -> DataFrame:
-    """(``edge_id``, ``wkt``, and the columns of the contracted graph but for its coordinates): each of its edges as the line through all vertices between."""
+    """(``edge_id``, ``wkt``, and the columns of the contracted graph but for its coordinates): each of its edges as the line through all vertices
+    between.
+    """
     short, mapped = contract(graph)
     id_col = short.roles.get("edge_id", short.order)
     old = graph.edges.select(F.col(f"`{graph.order}`").alias("edge_old"), *[graph[r].alias(r) for r in ("from_x", "from_y", "to_x", "to_y")])
-    parts = mapped.join(old, "edge_old").groupBy("edge_new").agg(F.array_sort(F.collect_list(F.struct("pos", "from_x", "from_y", "to_x", "to_y"))).alias("s"))
+    parts = mapped.join(old, "edge_old").groupBy("edge_new").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "from_x", "from_y", "to_x", "to_y"))).alias("s")
+    )
     point = lambda a, b: F.concat_ws(" ", a.cast("string"), b.cast("string"))
-    line = F.concat(F.array(point(F.element_at("s", 1)["from_x"], F.element_at("s", 1)["from_y"])), F.transform("s", lambda p: point(p["to_x"], p["to_y"])))
+    line = F.concat(
+        F.array(point(F.element_at("s", 1)["from_x"], F.element_at("s", 1)["from_y"])), F.transform("s", lambda p: point(p["to_x"], p["to_y"]))
+    )
     left_out = {id_col.lower(), "edge_id", "wkt", "edge_new", "s", *(short.roles[r].lower() for r in ("from_x", "from_y", "to_x", "to_y"))}
     more = [F.col(f"`{c}`") for c in short.edges.columns if c.lower() not in left_out]
     named = short.edges.select(F.col(f"`{id_col}`").cast("string").alias("edge_new"), *more).join(parts, "edge_new")

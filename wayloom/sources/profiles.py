@@ -98,11 +98,16 @@ def surface_speeds(spark: SparkSession) -> DataFrame:
 
 
 def penalties(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, LIGHTS.get(m, LIGHTS_OTHER), TURNS.get(m, TURN_OTHER), m not in UNRESTRICTED) for m in MODES], "name string, traffic_lights double, turn double, restrictions boolean")
+    return spark.createDataFrame(
+        [(m, LIGHTS.get(m, LIGHTS_OTHER), TURNS.get(m, TURN_OTHER), m not in UNRESTRICTED) for m in MODES],
+        "name string, traffic_lights double, turn double, restrictions boolean"
+    )
 
 
 def profile(table: DataFrame, name: str | float | DataFrame | None) -> DataFrame | float:
-    """(``way``, ``value``, ``max_speed``) of a profile: by name from a table of profiles, a frame of one's own (``way``, ``value``, and perhaps ``max_speed``), or a number for all ways."""
+    """(``way``, ``value``, ``max_speed``) of a profile: by name from a table of profiles, a frame of one's own (``way``, ``value``, and perhaps
+    ``max_speed``), or a number for all ways.
+    """
     if isinstance(name, int | float):
         return float(name)
     if isinstance(name, DataFrame):
