@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.functions.text import is_placeholder, plain_key, trimmed
+from wayloom.functions.text import PLACEHOLDERS, is_placeholder, plain_key, trimmed
 from wayloom.session import bounded_rows, small
 
 DTYPES = {"word": "string", "text": "string", "int": "bigint", "num": "decimal(20,2)", "bool": "boolean", "date": "date"}
@@ -26,28 +26,33 @@ class Attribute:
 
 def typed_text(value: Column, dtype: str) -> Column:
     """``value`` as the canonical text of ``dtype`` (castable without loss), null where it is not usable."""
-    text = trimmed(value)
+    return F.when(~is_placeholder(value), _typed(trimmed(value), dtype))
+
+
+def _typed(text: Column, dtype: str) -> Column:
+    """The canonical text of a trimmed text that is no placeholder."""
     if dtype == "word":
-        out = F.lower(text)
-    elif dtype == "text":
-        out = text
-    elif dtype == "int":
-        out = F.when(text.rlike(r"^[+-]?\d{1,18}(\.0*)?$"), F.regexp_extract(text, r"^\+?(-?\d+)", 1).try_cast("bigint").cast("string"))
-    elif dtype == "num":
+        return F.lower(text)
+    if dtype == "text":
+        return text
+    if dtype == "int":
+        return F.when(text.rlike(r"^[+-]?\d{1,18}(\.0*)?$"), F.regexp_extract(text, r"^\+?(-?\d+)", 1).try_cast("bigint").cast("string"))
+    if dtype == "num":
         number = F.regexp_extract(text, r"^\+?(-?\d+(?:[.,]\d*)?|-?[.,]\d+)[\s]*(?:%|°|[A-Za-z]{1,8}\.?)?$", 1)
-        out = F.when(number != "", F.regexp_replace(number, ",", ".").try_cast("decimal(20,2)").cast("string"))
-    elif dtype == "bool":
-        out = F.when(F.lower(text).isin(TRUE), "true").when(F.lower(text).isin(FALSE), "false")
-    elif dtype == "date":
-        out = date_of(text).cast("string")
-    else:
-        raise ValueError(f"unknown dtype {dtype!r}")
-    return F.when(~is_placeholder(value), out)
+        return F.when(number != "", F.replace(number, F.lit(","), F.lit(".")).try_cast("decimal(20,2)").cast("string"))
+    if dtype == "bool":
+        return F.when(F.lower(text).isin(TRUE), "true").when(F.lower(text).isin(FALSE), "false")
+    if dtype == "date":
+        return date_of(text).cast("string")
+    raise ValueError(f"unknown dtype {dtype!r}")
 
 
 def date_of(text: Column) -> Column:
     """A full calendar date in one of the usual orders; null for incomplete or impossible ones. Day before month where points separate."""
-    month = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.regexp_extract(text, r"([A-Za-z]{3,9})", 1), 1, 3))).cast("string"), 2, "0")
+    month = F.lpad(
+        F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.regexp_extract(text, r"([A-Za-z]{3,9})", 1), 1, 3))).cast("string"), 2,
+        "0"
+    )
     named = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
     part = lambda pattern, i: F.lpad(F.regexp_extract(text, pattern, i), 2, "0")
     iso, compact, point, day_first, month_first = (
@@ -65,8 +70,11 @@ def date_of(text: Column) -> Column:
 
 
 def discover(keys: DataFrame, max_attributes: int = 5_000) -> list[Attribute]:
-    """Attributes and types named by ``keys`` (``spelling``, ``attribute``, ``dtype``), each once, by name. An attribute with two types is an error."""
-    rows = bounded_rows(keys.where(F.col("attribute").isNotNull()).select("attribute", "dtype").distinct().orderBy("attribute"), max_attributes, "attributes")
+    """Attributes and types named by ``keys`` (``spelling``, ``attribute``, ``dtype``), each once, by name. An attribute with two types is an error.
+    """
+    rows = bounded_rows(
+        keys.where(F.col("attribute").isNotNull()).select("attribute", "dtype").distinct().orderBy("attribute"), max_attributes, "attributes"
+    )
     names = [r.attribute for r in rows]
     if len(set(names)) < len(names):
         raise ValueError("an attribute has more than one dtype")
@@ -75,7 +83,9 @@ def discover(keys: DataFrame, max_attributes: int = 5_000) -> list[Attribute]:
     return [Attribute(r.attribute, r.dtype) for r in rows]
 
 
-def widen(rows: DataFrame, keys: DataFrame, entity: str = "object_", key: str = "key", value: str = "value", order: tuple[str, ...] = ("rev", "edited_at")) -> DataFrame:
+def widen(
+    rows: DataFrame, keys: DataFrame, entity: str = "object_", key: str = "key", value: str = "value", order: tuple[str, ...] = ("rev", "edited_at")
+) -> DataFrame:
     """One row per entity of ``rows``, with a typed column for each attribute of ``keys``.
 
     The attribute list and types are read first. Duplicates are resolved next: of the usable values of an entity's attribute the one with the
@@ -86,14 +96,20 @@ def widen(rows: DataFrame, keys: DataFrame, entity: str = "object_", key: str =
     Other columns of ``rows`` are ignored. An attribute named like the entity gets the suffix ``_``.
     """
     attributes = discover(keys)
-    spelled = keys.where(F.col("attribute").isNotNull()).select(plain_key(F.col("spelling")).alias("k_"), F.col("attribute").alias("a_"), F.col("dtype").alias("d_")).where("k_ <> ''").distinct()
+    spelled = keys.where(F.col("attribute").isNotNull()).select(
+        plain_key(F.col("spelling")).alias("k_"), F.col("attribute").alias("a_"), F.col("dtype").alias("d_")
+    ).where("k_ <> ''").distinct()
     tagged = rows.where(F.col(entity).isNotNull()).select(
-        F.col(entity).alias("e_"), plain_key(F.col(key)).alias("k_"), F.col(value).cast("string").alias("v_"), *[F.col(c).alias(f"o{i}_") for i, c in enumerate(order)]
+        F.col(entity).alias("e_"), plain_key(F.col(key)).alias("k_"), F.col(value).cast("string").alias("v_"), *[
+            F.col(c).alias(f"o{i}_") for i, c in enumerate(order)
+        ]
     )
     text = F.lit(None).cast("string")
     for dtype in sorted({a.dtype for a in attributes}):
-        text = F.when(F.col("d_") == dtype, typed_text(F.col("v_"), dtype)).otherwise(text)
-    tagged = tagged.join(small(spelled), "k_", "left").withColumn("t_", text)
+        text = F.when(F.col("d_") == dtype, _typed(F.col("v_"), dtype)).otherwise(text)
+    # trimmed once, and only where the key is that of an attribute
+    tagged = tagged.join(small(spelled), "k_", "left").withColumn("v_", F.when(F.col("a_").isNotNull(), trimmed(F.col("v_"))))
+    tagged = tagged.withColumn("t_", F.when(~F.coalesce(F.lower("v_").isin(PLACEHOLDERS), F.lit(True)), text))
     # rows without a usable value only say that the entity is there
     named = F.when(F.col("t_").isNotNull(), F.col("a_"))
     ranked = F.when(F.col("t_").isNotNull(), F.struct(*[F.col(f"o{j}_") for j in range(len(order))], F.col("t_")))
