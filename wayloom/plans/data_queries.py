@@ -152,7 +152,23 @@ def _word(field: str) -> str:
     return f"case when {low} not in {_UNKNOWN} then {low} end"
 
 
+# what holds together, then single characters; of these tokens the delimiters cut the text
+_TOKEN = (
+    r'(?i)"(?:[^"]|"")*"|\([^()]*\)|\s+and\s+|\b(?:km|m|mi|ft|nm|nmi|metres?|meters?|miles?|foot|feet|kilomet(?:re|er)s?)\s*/\s*(?:hours?|hrs?|h|secs?|seconds?|s|mins?|minutes?)\b'
+    r"|[0-9]+(?:,[0-9]+)*(?:(?:km|m|mi|ft|nm|nmi|metres?|meters?|miles?|feet)\s*/\s*(?:hours?|hrs?|h|secs?|s|mins?)\b)?|\bn\s*/\s*a\b|[\s\S]"
+)
+_PACKED = (
+    "with f as (select distinct edge_id, 'lanes' field, lanes t from graph union select distinct edge_id, 'maxspeed', maxspeed from graph), "
+    f"k as (select edge_id, field, t, regexp_extract_all(t, '{_TOKEN}') l from f where t is not null), "
+    "u as (select edge_id, field, t, unnest(l) x, unnest(range(1, len(l)+1)) i from k), d as (select *, x in (';', '|', '&', ',', '/', chr(9), chr(10)) or regexp_full_match(x, '(?i)\\s+and\\s+') cut from u), "
+    "p as (select *, 1+coalesce(sum(cut::int) over (partition by edge_id, field, t order by i rows between unbounded preceding and 1 preceding), 0) pos from d), "
+    "g as (select edge_id, field, t, cast(pos as int) pos, regexp_replace(string_agg(x, '' order by i) filter (where not cut), '^\\s+|\\s+$', '', 'g') w from p group by 1, 2, 3, 4), "
+    "z as (select edge_id, field, t, pos, case when w like '\"%\"' and len(w)>=2 then replace(w[2:len(w)-1], '\"\"', '\"') else w end item from g), "
+    "n as (select *, count(*) filter (where trim(item)<>'') over (partition by edge_id, field, t) c from z) select distinct edge_id, field, pos, item from n where c>=2 and trim(item)<>''"
+)
+
 ORACLES: dict[str, str] = {
+    "p3_found": _PACKED,
     "p1_found": _TAGS + " select object_, attribute, item from b",
     "p5_near": f"select key_a, key_b from ({_NEAR}) a",
     "p5_inside": _INSIDE,
