@@ -124,7 +124,9 @@ class _Tables:
                 self.moment[r.p, r.b] = n + r.m, s + r.sx
 
     def classifier(self) -> tuple[list[str], np.ndarray, list[tuple[list[str], np.ndarray]]]:
-        """Smoothed naive Bayes: the classes, their log prior, and of each other field its levels with log P(level | class); the last row is that of levels never met."""
+        """Smoothed naive Bayes: the classes, their log prior, and of each other field its levels with log P(level | class); the last row is that of
+        levels never met.
+        """
         classes = sorted(self.prior)
         count = np.array([self.prior[a] for a in classes])
         tables = []
@@ -212,7 +214,9 @@ def _class_draw(model) -> Callable:
 
 
 def _number_draw(model) -> Callable:
-    """A vectorised draw of a number: the regression's prediction, the group's own deviation from it, and a residual, within the range of the group's numbers."""
+    """A vectorised draw of a number: the regression's prediction, the group's own deviation from it, and a residual, within the range of the group's
+    numbers.
+    """
     base, tables, deviation = model
 
     @F.arrow_udf("double")
@@ -236,7 +240,8 @@ def chained_imputation(df: DataFrame, key: str, group: str, fields: list[Field],
     and has been filled) and ``F_alike`` (the values observed in the cell's group all agree; null without any).
 
     ``rounds`` times, each field in turn is refitted on the current values of the others and all its vacant cells are redrawn from their fitted
-    distribution. A class is drawn by naive Bayes on the levels of the other fields and, where there is evidence of it, the group. A numeric field has two
+    distribution. A class is drawn by naive Bayes on the levels of the other fields and, where there is evidence of it, the group. A numeric field has
+    two
     parts, a classifier for numbers or words and a ridge regression of the logarithm of the numbers with a deviation by
     group and a residual draw, held within the range of the group's numbers. So where a group's values all agree, their fitted
     distribution has that value only. Draws are hashes of key and field: a rerun or a lost executor gives the same values.
@@ -290,32 +295,49 @@ def chained_imputation(df: DataFrame, key: str, group: str, fields: list[Field],
             gaps = gaps.withColumn(f"y_{n}", F.when(~F.col(f"m_{n}"), F.col(f"x_{n}")))
     whole, current = base.where(~vacant), materialize(gaps)
 
-    def entries(n: str, prefix: str, wide: str) -> Column:
-        """What a row with an observed value of ``n`` adds to its pairwise statistics."""
+    def entries(n: str) -> Column:
+        """What the rows of a combination of levels, with an observed value of ``n``, add to its pairwise statistics."""
         others = [o for o in names if o != n]
-        level = {o: known(level_of(o, *of(o, prefix, wide)), top[o]) for o in others}
-        one = known(class_of(n, *of(n, "v", "x")), top_class[n])
-        cell = lambda p, b, q, c: F.struct(F.lit(n).alias("f"), F.lit(p).alias("p"), b.alias("b"), F.lit(q).alias("q"), c.alias("c"), one.alias("a"))
-        blank = F.lit("")
-        single = [cell("", blank, "", blank), *[cell(o, level[o], "", blank) for o in others]]
-        if n not in numeric:
-            return F.array(*single)
-        double = [cell(o, level[o], p, level[p]) for i, o in enumerate(others) for p in others[i + 1 :]]
-        return F.when(F.col(f"x_{n}") > 0, F.array(*single, *double)).otherwise(F.array(*single))
+        sums = [F.col("n__").alias("n"), *[F.col(f"{c}_{n}").alias(c) if n in numeric else F.lit(0.0).alias(c) for c in ("m", "sx", "sxx")]]
+
+        def cell(p: str = "", q: str = "") -> Column:
+            level = lambda o: F.col(f"l_{o}") if o else F.lit("")
+            return F.struct(
+                F.lit(n).alias("f"), F.lit(p).alias("p"), level(p).alias("b"), F.lit(q).alias("q"), level(q).alias("c"), F.col(f"k_{n}").alias("a"),
+                *sums
+            )
+
+        single = F.array(cell(), *[cell(o) for o in others])
+        double = [cell(o, p) for i, o in enumerate(others) for p in others[i + 1 :]]
+        every = F.when(F.col(f"k_{n}") == NUMBER, F.concat(single, F.array(*double))).otherwise(single) if n in numeric and double else single
+        return F.when(F.col(f"k_{n}").isNotNull(), every).otherwise(F.slice(single, 1, 0))
 
     def statistics(frame: DataFrame, prefix: str, wide: str, of_fields: list[str]) -> dict[str, list]:
-        parts, sums = [], {}
+        """The rows of ``_Tables`` of each of ``of_fields``: rows are summed by the combinations of levels that occur, before those are taken apart
+        into pairs.
+        """
+        columns = [known(level_of(n, *of(n, prefix, wide)), top[n]).alias(f"l_{n}") for n in names]
+        moments = []
         for n in of_fields:
             seen = ~F.col(f"m_{n}") & F.col(f"v_{n}").isNotNull()
-            x = F.when(F.col(f"x_{n}") > 0, F.log(F.col(f"x_{n}"))) if n in numeric else F.lit(None).cast("double")
-            items = F.transform(entries(n, prefix, wide), lambda e: F.struct(*[e[c].alias(c) for c in "fpbqca"], x.alias("x")))  # noqa: B023
-            parts.append(F.when(seen, items).otherwise(F.slice(items, 1, 0)))
-        rows = frame.select(F.inline(F.concat(*parts) if len(parts) > 1 else parts[0]))
-        x = F.col("x")
-        totals = rows.groupBy(*"fpbqca").agg(F.count(F.lit(1)).alias("n"), F.count(x).alias("m"), F.coalesce(F.sum(x), F.lit(0.0)).alias("sx"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias("sxx"))
+            columns.append(F.when(seen, known(class_of(n, *of(n, "v", "x")), top_class[n])).alias(f"k_{n}"))
+            if n in numeric:
+                columns.append(F.when(seen & (F.col(f"x_{n}") > 0), F.log(F.col(f"x_{n}"))).alias(f"x_{n}"))
+                x = F.col(f"x_{n}")
+                moments += [
+                    F.count(x).cast("double").alias(f"m_{n}"), F.coalesce(F.sum(x), F.lit(0.0)).alias(f"sx_{n}"),
+                    F.coalesce(F.sum(x * x), F.lit(0.0)).alias(f"sxx_{n}")
+                ]
+        combined = frame.select(*columns).groupBy(
+            *[f"l_{n}" for n in names], *[f"k_{n}" for n in of_fields]
+        ).agg(F.count(F.lit(1)).alias("n__"), *moments)
+        parts = [entries(n) for n in of_fields]
+        rows = combined.select(F.inline(F.concat(*parts) if len(parts) > 1 else parts[0]))
+        totals = rows.groupBy(*"fpbqca").agg(*[F.sum(c).alias(c) for c in ("n", "m", "sx", "sxx")])
+        out: dict[str, list] = {}
         for r in totals.collect():  # at most (MAX_LEVELS + 2)^2 for each pair of fields
-            sums.setdefault(r.f, []).append(r)
-        return sums
+            out.setdefault(r.f, []).append(r)
+        return out
 
     fixed = statistics(whole, "v", "x", names) if names else {}
     for turn in range(rounds):
@@ -358,7 +380,10 @@ def chained_imputation(df: DataFrame, key: str, group: str, fields: list[Field],
                 out += [F.col(f"v_{n}").alias(a), F.lit(False).alias(b), F.lit(None).cast("boolean").alias(c)]
                 continue
             agree = F.col(f"one_{n}")
-            out += [F.col(f"c_{n}").alias(a), (F.col(f"m_{n}") & F.col(f"c_{n}").isNotNull()).alias(b), F.when(F.col(f"g_{n}").isNotNull(), agree).alias(c)]
+            out += [
+                F.col(f"c_{n}").alias(a), (F.col(f"m_{n}") & F.col(f"c_{n}").isNotNull()).alias(b),
+                F.when(F.col(f"g_{n}").isNotNull(), agree).alias(c)
+            ]
         return frame.select(*out)
 
     return result(whole, False).unionByName(result(current, True))
@@ -367,7 +392,8 @@ def chained_imputation(df: DataFrame, key: str, group: str, fields: list[Field],
 def _evidence(base: DataFrame, names: list[str], numeric: set[str], class_of: Callable, top_class: dict[str, list[str]]) -> tuple[DataFrame, Column]:
     """What the observed values of each group say, one row a group with vacant cells, and the condition of rows with such cells.
 
-    Of each field n: ``g_n`` its classes with their numbers (at most ``MAX_LEVELS`` and one for the rarer), ``one_n`` whether all values agree, ``r_n`` range and moments of its numbers; and in ``size__`` the vacant rows.
+    Of each field n: ``g_n`` its classes with their numbers (at most ``MAX_LEVELS`` and one for the rarer), ``one_n`` whether all values agree,
+    ``r_n`` range and moments of its numbers; and in ``size__`` the vacant rows.
     """
     vacant = F.lit(False)
     for n in names:
@@ -380,8 +406,13 @@ def _evidence(base: DataFrame, names: list[str], numeric: set[str], class_of: Ca
         one = class_of(n)
         x = F.when(F.col(f"x_{n}") > 0, F.col(f"x_{n}")) if n in numeric else F.lit(None).cast("double")
         short = F.when(one.isin(top_class[n]), one).otherwise(OTHER) if top_class[n] else F.lit(OTHER)
-        rows = seen.where(F.col(f"v_{n}").isNotNull() & ~F.col(f"m_{n}")).select("group__", short.alias("v"), F.col(f"v_{n}").alias("t"), x.alias("x"))
-        stats = [F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.min("x").alias("least"), F.max("x").alias("most"), F.sum(F.log("x")).alias("sx"), F.count("x").alias("nx")]
+        rows = seen.where(F.col(f"v_{n}").isNotNull() & ~F.col(f"m_{n}")).select(
+            "group__", short.alias("v"), F.col(f"v_{n}").alias("t"), x.alias("x")
+        )
+        stats = [
+            F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.min("x").alias("least"), F.max("x").alias("most"),
+            F.sum(F.log("x")).alias("sx"), F.count("x").alias("nx")
+        ]
         parts.append(rows.groupBy("group__", "v").agg(*stats).withColumn("f", F.lit(n)))
     if not parts:
         return out, vacant
@@ -404,13 +435,16 @@ def _evidence(base: DataFrame, names: list[str], numeric: set[str], class_of: Ca
 
 
 def held_out(df: DataFrame, key: str, group: str, fields: list[Field], share: float = 0.05, rounds: int = 2) -> DataFrame:
-    """(``field``, ``cells``, ``right``, ``accuracy``, ``most_frequent``): how often the imputation gives back observed values that were hidden from it.
+    """(``field``, ``cells``, ``right``, ``accuracy``, ``most_frequent``): how often the imputation gives back observed values that were hidden from
+    it.
 
     ``share`` of the observed cells of each field, chosen by a hash of the key, are hidden at once. ``most_frequent`` is what always taking the most
     frequent of the hidden values would give. Rows of the same key are hidden alike.
     """
     names = [f.name for f in fields]
-    hide = {f.name: ~F.coalesce(f.missing, F.lit(True)) & f.value.isNotNull() & (uniform(F.col(key), F.lit("hide " + f.name)) < share) for f in fields}
+    hide = {
+        f.name: ~F.coalesce(f.missing, F.lit(True)) & f.value.isNotNull() & (uniform(F.col(key), F.lit("hide " + f.name)) < share) for f in fields
+    }
     shown = df.select(
         F.col(key).alias("k_"), F.col(group).alias("g_"),
         *[F.when(hide[f.name], f.value.cast("string")).alias(f"t{i}_") for i, f in enumerate(fields)],
@@ -418,10 +452,22 @@ def held_out(df: DataFrame, key: str, group: str, fields: list[Field], share: fl
         *[(F.coalesce(f.missing, F.lit(True)) | hide[f.name]).alias(f"m{i}_") for i, f in enumerate(fields)],
         *[F.when(~hide[f.name], f.number.cast("double")).alias(f"x{i}_") for i, f in enumerate(fields) if f.numeric],
     )
-    blind = [replace(f, name=f"f{i}_", value=F.col(f"u{i}_"), missing=F.col(f"m{i}_"), number=F.col(f"x{i}_") if f.numeric else None) for i, f in enumerate(fields)]
+    blind = [
+        replace(
+            f, name=f"f{i}_", value=F.col(f"u{i}_"), missing=F.col(f"m{i}_"), number=F.col(f"x{i}_") if f.numeric else None
+        ) for i, f in enumerate(fields)
+    ]
     got = chained_imputation(shown, "k_", "g_", blind, [f"t{i}_" for i in range(len(fields))], rounds)
-    pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"t{i}_").alias("truth"), F.col(f"f{i}__" if f"f{i}__" in got.columns else f"f{i}_").alias("got")) for i, n in enumerate(names)])
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("field"), F.col(f"t{i}_").alias("truth"), F.col(f"f{i}__" if f"f{i}__" in got.columns else f"f{i}_").alias("got")
+            ) for i, n in enumerate(names)
+        ]
+    )
     cells = got.select(F.inline(pairs)).where("truth is not null")
     by_value = cells.groupBy("field", "truth").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("truth") == F.col("got")).cast("long")).alias("hit"))
     out = by_value.groupBy("field").agg(F.sum("n").alias("cells"), F.coalesce(F.sum("hit"), F.lit(0)).alias("right"), F.max("n").alias("top"))
-    return out.select("field", "cells", "right", (F.col("right") / F.col("cells")).alias("accuracy"), (F.col("top") / F.col("cells")).alias("most_frequent"))
+    return out.select(
+        "field", "cells", "right", (F.col("right") / F.col("cells")).alias("accuracy"), (F.col("top") / F.col("cells")).alias("most_frequent")
+    )
