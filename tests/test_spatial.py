@@ -73,3 +73,31 @@ def test_rtree_equals_scan():
     want = {(i, j) for i in range(50) for j in range(1000) if (lo[j] <= hi[i]).all() and (hi[j] >= lo[i]).all()}
     assert set(zip(q.tolist(), e.tolist())) == want
     assert len(spatial.RTree(*np.empty((4, 0))).query(lo[:2, 0], lo[:2, 1], hi[:2, 0], hi[:2, 1])[0]) == 0
+
+
+def test_pairs_of_far_points_are_bounded():
+    """Points far from everything hold all of it in their circles; a padded entry of the tree is never the nearest."""
+    import numpy as np
+
+    from wayloom.operators.spatial import RTree
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=5000) ** 3, rng.normal(size=5000) ** 3
+    tree = RTree(x, y, x, y)
+    px, py = rng.normal(size=300) ** 3, rng.normal(size=300) ** 3
+    nearest = np.hypot(px[:, None] - x, py[:, None] - y)
+    got = nearest[np.arange(300), tree.near_one(px, py)]
+    assert np.mean(got <= nearest.min(1) * 1.5 + 1e-12) > 0.95
+    assert tree.query(px - 99, py - 99, px + 99, py + 99, most=100_000) is None
+    q, _ = tree.query(px[:1] - 99, py[:1] - 99, px[:1] + 99, py[:1] + 99, most=10)
+    assert len(q) == np.sum((abs(x - px[0]) <= 99) & (abs(y - py[0]) <= 99))
+
+
+def test_matching_a_few_points_at_a_time(spark, monkeypatch):
+    from wayloom.operators import match
+
+    v = spark.createDataFrame([(f"v{i:03d}", float(i % 17), float(i % 13)) for i in range(300)], "id string, x double, y double")
+    p = spark.createDataFrame([(i, 900.0 + i, -400.0) for i in range(40)], "k int, x double, y double")
+    want = sorted(map(tuple, match.points_to_vertices(p, "k", "x", "y", v).collect()))
+    monkeypatch.setattr(match, "MAX_PAIRS", 50)
+    assert sorted(map(tuple, match.points_to_vertices(p, "k", "x", "y", v).collect())) == want and len(want) == 40
