@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wayloom.operators import flows, parts, routing
+from wayloom import session
+from wayloom.operators import flows, parts, routing, structure
 from wayloom.schema import Graph
 
 EDGE = "edge_id long, from_id string, to_id string, d double, d_weighted double"
@@ -102,3 +103,18 @@ def test_turns_by_parts(spark, monkeypatch):
     ids = spark.createDataFrame([("000",), ("011",), ("111",), ("222",), ("nix",)], "id string")
     for a, b in ((None, None), (ids, None), (None, ids)):
         assert rows(routing.times(g, a, b, strategy="parts")) == rows(routing.times(g, a, b, strategy="kernel"))
+
+
+def test_components_in_a_task(spark, monkeypatch):
+    """The labels that one task finds are those of the rounds of joins; ids of several kinds, loops and repeated pairs."""
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(7, 7), (400, 400), (None, 5)]
+    for kind in ("long", "string"):
+        frame = spark.createDataFrame([tuple(str(x) if kind == "string" and x is not None else x for x in p) for p in pairs], f"a {kind}, b {kind}")
+        ask = lambda most: monkeypatch.setattr(structure, "TASK_PAIRS", most) or rows(structure.component_labels(frame))  # noqa: B023, E731
+        written = []
+        monkeypatch.setattr(structure, "materialize", lambda df: written.append(df) or session.materialize(df))
+        in_a_task = ask(5_000_000)
+        assert len(written) == 1  # one table, not two a round
+        assert in_a_task == ask(0)
+    assert rows(structure.component_labels(frame.limit(0))) == []
