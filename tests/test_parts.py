@@ -118,3 +118,18 @@ def test_components_in_a_task(spark, monkeypatch):
         assert len(written) == 1  # one table, not two a round
         assert in_a_task == ask(0)
     assert rows(structure.component_labels(frame.limit(0))) == []
+
+
+def test_kept_graph_is_written_once(spark, tmp_path):
+    """What a query asks for several times doesn't look for the last deliveries each time."""
+    from datetime import datetime
+
+    from wayloom.plans import street_queries as sq
+
+    e = [(k, "20", "21", 1.0, 2.0 + k, 3.0, 4.0, "road", 0.0, 0.0, 1.0, 1.0, datetime(2025, 1, 1 + n)) for k in (1, 2) for n in (0, 1)]
+    spark.createDataFrame(
+        e, "edge_id int, from_id string, to_id string, d double, d_weighted double, time double, time_weighted double, highway string, from_lon double, from_lat double, to_lon double, to_lat double, loaded_at timestamp"
+    ).write.parquet(f"{tmp_path}/graph.parquet")
+    g = sq.kept(sq.network(spark, str(tmp_path)), "d", "d_weighted")
+    assert "Aggregate" not in g.edges._jdf.queryExecution().toString()
+    assert rows(g.edges) == rows(sq.network(spark, str(tmp_path)).edges.select(*g.edges.columns)) and g.edges.count() == 2
