@@ -28,10 +28,10 @@ def isoverts(graph: Graph, from_ids, dlim: list[float] | None = None, tlim: list
     reached = routing.trees(graph, from_ids, limit=top, weight=weight, length=length, strategy=strategy).where(F.col("d") < top)
     # each row goes to the limits it is within: a handful of constants, no join
     within = F.filter(F.array(*[F.lit(float(x)) for x in sorted(limits)]), lambda x: (F.col("d") <= x))
-    out = reached.select(F.col("source").alias("from_id"), F.explode(within).alias(name), F.col("vertex").alias("id"))
+    out = reached.select(F.col("source").alias("from_id"), F.col("vertex").alias("id"), "d")
     if graph.is_spatial:
-        out = out.join(vertices(graph).select("id", "x", "y"), "id").select("from_id", name, "id", "x", "y")
-    return out
+        out = out.join(vertices(graph).select("id", "x", "y"), "id")
+    return out.select("from_id", F.explode(within).alias(name), "id", *(["x", "y"] if graph.is_spatial else []))
 
 
 def iso_hulls(
