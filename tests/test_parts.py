@@ -133,3 +133,35 @@ def test_kept_graph_is_written_once(spark, tmp_path):
     g = sq.kept(sq.network(spark, str(tmp_path)), "d", "d_weighted")
     assert "Aggregate" not in g.edges._jdf.queryExecution().toString()
     assert rows(g.edges) == rows(sq.network(spark, str(tmp_path)).edges.select(*g.edges.columns)) and g.edges.count() == 2
+
+
+def test_components_of_the_forest(spark, monkeypatch):
+    """Before pairs are shuffled, each task keeps only as many as connect their vertices, with the same components."""
+    rng = random.Random(7)
+    pairs = [(10 * (k % 3) + rng.randrange(10), 10 * (k % 3) + rng.randrange(10)) for k in range(400)] + [(70, 71), (72, 72)]
+    frame = spark.createDataFrame(pairs, "lo long, hi long").coalesce(1)
+    assert structure._forest(frame).count() == 33  # a pair for each vertex
+    monkeypatch.setattr(structure, "FOREST_PAIRS", 50)
+    labels = {r.id: r.label for r in structure.component_labels(frame.toDF("a", "b")).collect()}
+    assert labels == {v: 10 * (v // 10) for v in range(30)} | {70: 70, 71: 70, 72: 72}
+
+
+def test_written_edges_are_not_written_again(spark, towns, monkeypatch):
+    """The pairs of suppliers take a window over all lines: they are asked for once, and written once."""
+    kept = towns.with_edges(session.materialize(towns.edges))
+    want, written = rows(routing.prepared(towns)[0]), []
+    monkeypatch.setattr(routing, "materialize", lambda df: written.append(df) or session.materialize(df))
+    assert rows(routing.prepared(kept)[0]) == want and not written
+
+
+def test_pairs_of_equal_lines(spark, tmp_path):
+    """Lines that differ in part and price only give the same pairs in any order."""
+    from wayloom.plans import fixtures as fx
+
+    lines = [(1, 1, 5, 2.0, 9, 1.0), (1, 1, 5, 2.0, 3, 7.0), (1, 1, 6, 4.0, 1, 1.0), (1, 2, 5, 8.0, 1, 1.0), (2, 1, 6, 1.0, 1, 1.0), (2, 1, 5, 3.0, 1, 1.0)]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_partkey long, l_extendedprice double"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = fx._supplier_pairs(spark, str(tmp_path))
+    assert sorted(map(tuple, pairs.collect())) == [(5, 6, 5), (6, 5, 4)]
+    assert "l_extendedprice:" not in pairs._jdf.queryExecution().executedPlan().toString()
