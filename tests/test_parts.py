@@ -165,3 +165,23 @@ def test_pairs_of_equal_lines(spark, tmp_path):
     pairs = fx._supplier_pairs(spark, str(tmp_path))
     assert sorted(map(tuple, pairs.collect())) == [(5, 6, 5), (6, 5, 4)]
     assert "l_extendedprice:" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_turn_times_look_for_the_last_deliveries_once(spark, tmp_path, monkeypatch):
+    """The compound graph is made of a table that is written, of the columns that it needs."""
+    from wayloom.plans import street_queries as sq
+
+    class Seen(Exception):
+        pass
+
+    def seen(g, *_):
+        assert "loaded_at" not in g.edges._jdf.queryExecution().optimizedPlan().toString() and "highway" not in g.edges.columns
+        raise Seen
+
+    spark.createDataFrame(
+        [], "edge_id int, from_id string, to_id string, d double, d_weighted double, time double, time_weighted double, highway string, from_lon double, from_lat double, to_lon double, to_lat double, loaded_at timestamp"
+    ).write.parquet(f"{tmp_path}/graph.parquet")
+    monkeypatch.setattr(sq.routing, "times", seen)
+    monkeypatch.setattr(sq, "signals", lambda *_: None)
+    with pytest.raises(Seen):
+        sq.street_turn_times(spark, str(tmp_path))
