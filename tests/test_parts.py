@@ -185,3 +185,17 @@ def test_turn_times_look_for_the_last_deliveries_once(spark, tmp_path, monkeypat
     monkeypatch.setattr(sq, "signals", lambda *_: None)
     with pytest.raises(Seen):
         sq.street_turn_times(spark, str(tmp_path))
+
+
+def test_loop_over_regions(spark, towns, monkeypatch):
+    """Rounds over regions: components whole in one, which no round rewrites, and cut into several, whose borders are crossed again and again."""
+    ends = spark.createDataFrame([("5v01",), ("4v03",), ("0v00",), ("nix",)], "id string")
+    asks = [{"sources": ends}, {"limit": 6.0}]
+    want = [rows(routing.trees(towns, strategy="kernel", **more)) for more in asks]
+    written, counted = [], lambda df: written.append(df) or session.materialize(df)
+    monkeypatch.setattr(routing, "materialize", counted)
+    assert rows(routing.trees(towns, strategy="loop", **asks[0])) == want[0] and len(written) == 1  # the edges, and no round's labels
+    monkeypatch.setattr(parts, "PART_EDGES", 10)
+    monkeypatch.setattr(parts, "REGION_EDGES", 20)
+    for more, found in zip(asks, want):
+        assert rows(routing.trees(towns, strategy="loop", **more)) == found
