@@ -199,3 +199,30 @@ def test_loop_over_regions(spark, towns, monkeypatch):
     monkeypatch.setattr(parts, "REGION_EDGES", 20)
     for more, found in zip(asks, want):
         assert rows(routing.trees(towns, strategy="loop", **more)) == found
+
+
+def test_pairs_are_written_by_even_tasks(spark, towns, monkeypatch):
+    """One part holds all of a large component; its sources' pairs are written by many tasks all the same."""
+    monkeypatch.setattr(routing, "TASK_PAIRS", 100)
+    found = routing.dists(towns, strategy="parts")
+    each = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(each) > 12 and max(each) < sum(each) / 6
+
+
+def test_street_dists_look_for_the_last_deliveries_once(spark, tmp_path, monkeypatch):
+    from wayloom.plans import street_queries as sq
+
+    class Seen(Exception):
+        pass
+
+    def seen(g, start, _):
+        assert all("loaded_at" not in f._jdf.queryExecution().optimizedPlan().toString() for f in (g.edges, start))
+        raise Seen
+
+    spark.createDataFrame(
+        [], "edge_id int, from_id string, to_id string, d double, d_weighted double, time double, time_weighted double, highway string, from_lon double, from_lat double, to_lon double, to_lat double, loaded_at timestamp"
+    ).write.parquet(f"{tmp_path}/graph.parquet")
+    monkeypatch.setattr(sq.routing, "dists", seen)
+    monkeypatch.setattr(sq, "signals", lambda *_: None)
+    with pytest.raises(Seen):
+        sq.street_dists(spark, str(tmp_path))
